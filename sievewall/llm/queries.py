@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, piece_bpe, secrets, toxicity, url_filter
+from . import exact_dedup, language_id, mixing, near_dedup, piece_bpe, secrets, toxicity, url_filter
 from .shared import held_out
 
 #: The tokenizer file of the queries; a path, never a copy.
@@ -30,6 +30,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learnt from the labels of all folds but the held-out one."""
     toxic = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
@@ -74,7 +78,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op9_mixing)}
 
 
 EXACT_DEDUP_SQL = r"""

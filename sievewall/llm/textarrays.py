@@ -64,18 +64,40 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
-    """A 64-bit polynomial hash of each span, mixed with its length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def span_sums(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums, wrapping at 64 bits, of each span's bytes times powers of their place; where each span begins in them."""
     sizes = ends - starts
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    begin = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(begin, sizes)
-    powers = np.full(int(sizes.max()), 0xD6E8FEB86659FD93 | 1, np.uint64)
+    powers = np.full(int(sizes.max()), 0xD6E8FEB86659FD93, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     values = table64(256, salt)[flat[place + np.repeat(starts, sizes)]] * powers[place]
-    return mix64(np.add.reduceat(values, begin) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)]), begin
+
+
+def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
+    """A 64-bit polynomial hash of each span, mixed with its length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums, begin = span_sums(flat, starts, ends, salt)
+    return _hash(sums, begin, ends - starts)
+
+
+def prefix_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], salt: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, which spans are longer and the hashes of their first bytes; then all spans and their hashes."""
+    if not len(starts):
+        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    sums, begin = span_sums(flat, starts, ends, salt)
+    found = []
+    for length in lengths:
+        longer = np.flatnonzero(ends - starts > length)
+        found.append((longer, _hash(sums, begin[longer], np.full(len(longer), length))))
+    return [*found, (np.arange(len(starts)), _hash(sums, begin, ends - starts))]
+
+
+def _hash(sums: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix64(sums[begin + sizes] - sums[begin] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -10,28 +10,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_slices
-from .textarrays import byte_class, flat_text, lowered, span_hashes, word_spans
+from .textarrays import byte_class, flat_text, lowered, prefix_hashes, word_spans
 
 #: Words are runs of ASCII letters, digits, apostrophes and bytes of other scripts; sentences end at these.
 ENDINGS = byte_class(b".!?\n\r")
 WORD_GAPS = ~byte_class(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'" + bytes(range(128, 256)))
-#: Word hashes fall into so many features.
-FEATURES = 1 << 18
+#: A word's features are itself and its beginnings of so many bytes, as compounds and endings vary.
+PREFIXES = (3, 4, 5, 6)
+#: Their hashes fall into so many numbers.
+FEATURES = 1 << 19
 
 
 def instances(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as features, the sentence of each, each sentence's text, and its first and last word's place in bytes.
+    """Features of the words, the sentence of each, each sentence's text, and its first and last word's place in bytes.
 
     Sentences are numbered through the batch; a sentence has a word at least.
     """
     starts, ends, bounds = word_spans(flat, offsets, WORD_GAPS)
-    feature = (span_hashes(lowered(flat), starts, ends) & np.uint64(FEATURES - 1)).astype(np.int64)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     stop = np.cumsum(ENDINGS[flat])[starts] if len(starts) else np.zeros(0, np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (stop[1:] != stop[:-1]) | (text_of[1:] != text_of[:-1])
     first = np.flatnonzero(new)
-    sentence = np.cumsum(new) - 1
+    number = np.cumsum(new) - 1
+    parts = prefix_hashes(lowered(flat), starts, ends, PREFIXES)
+    feature = (np.concatenate([h for _, h in parts]) & np.uint64(FEATURES - 1)).astype(np.int64)
+    sentence = number[np.concatenate([w for w, _ in parts])]
     last = np.append(first[1:], len(starts)) - 1
     return feature, sentence, text_of[first], np.stack([starts[first], ends[last]], axis=1) if len(first) else np.zeros((0, 2), np.int64)
 
@@ -48,20 +52,20 @@ class ToxicityModel:
 
     def sentences(self, feature: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         """The logit of each sentence."""
-        n = int(sentence[-1]) + 1 if len(sentence) else 0
+        n = int(sentence.max()) + 1 if len(sentence) else 0
         return np.bincount(sentence, weights=self.weights[feature], minlength=n) + self.bias
 
 
 def fit(feature: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int, rate: float, shrink: float) -> ToxicityModel:
     """Proximal Adagrad on the noisy-or likelihood: P(document) = 1 - product over its sentences of (1 - p)."""
-    w, bias = np.zeros(FEATURES), -4.0
+    w, bias = np.zeros(FEATURES), -8.0
     square, bias_square = np.full(FEATURES, 1e-8), 1e-8
     total = weight.sum()
     for _ in range(steps):
         z = np.bincount(sentence, weights=w[feature], minlength=len(text_of)) + bias
         s = np.bincount(text_of, weights=softplus(z), minlength=len(label)) + 1e-9
         by_text = weight / total * np.where(label == 1, -1 / np.expm1(np.minimum(s, 500)), 1.0)
-        by_sentence = by_text[text_of] / (1 + np.exp(-z))
+        by_sentence = by_text[text_of] / (1 + np.exp(-np.maximum(z, -500)))
         g = np.bincount(feature, weights=by_sentence[sentence], minlength=FEATURES)
         bias_g = by_sentence.sum()
         square += g * g
@@ -73,13 +77,13 @@ def fit(feature: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, label: n
     return ToxicityModel(w, bias)
 
 
-def train(labelled: DataFrame, docs_per_class: int = 1500, most_bytes: int = 64 << 20, steps: int = 120, rate: float = 0.5, shrink: float = 2e-4) -> ToxicityModel:
+def train(labelled: DataFrame, docs_per_class: int = 1000, most_features: int = 10_000_000, steps: int = 200, rate: float = 0.5, shrink: float = 2e-4) -> ToxicityModel:
     """Weights from document labels; labelled: doc_id, text, label (0 or 1).
 
     Only a sample chosen by the hash of the id is learnt from: about
     `docs_per_class` documents of each label, weighted back to the labels'
-    true shares, and of their texts the first in order of that hash that
-    together have `most_bytes` bytes. Without labels, or without toxic ones,
+    true shares, and of these the first in order of that hash that together
+    have `most_features` features. Without labels, or without toxic ones,
     no text is toxic.
     """
     labelled = labelled.where("label in (0, 1)")
@@ -92,7 +96,8 @@ def train(labelled: DataFrame, docs_per_class: int = 1500, most_bytes: int = 64
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             feature, sentence, text_of, _ = instances(*flat_text(batch.column("text")))
-            words = np.bincount(sentence, minlength=len(text_of))
+            order = np.argsort(sentence, kind="stable")
+            feature, words = feature[order], np.bincount(sentence, minlength=len(text_of))
             rows = batch.num_rows
             word_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of, weights=words, minlength=rows))]).astype(np.int32)), pa.array(feature.astype(np.int32)))
             size_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=rows))]).astype(np.int32)), pa.array(words.astype(np.int32)))
@@ -100,7 +105,7 @@ def train(labelled: DataFrame, docs_per_class: int = 1500, most_bytes: int = 64
 
     picked = labelled.select(part.alias("part"), "label", F.coalesce("text", F.lit("")).alias("text")).where(F.col("part") < limit)
     rows = picked.mapInArrow(run, "part double, label int, words array<int>, sizes array<int>").toArrow().sort_by("part")
-    budget = np.cumsum(pa.compute.list_value_length(rows["words"]).to_numpy()) * 6 <= most_bytes
+    budget = np.cumsum(pa.compute.list_value_length(rows["words"]).to_numpy()) <= most_features
     rows = rows.slice(0, int(budget.sum()))
     words, lengths = rows["words"].combine_chunks(), rows["sizes"].combine_chunks()
     label = rows["label"].to_numpy().astype(np.int64)
