@@ -1,13 +1,64 @@
-"""A corpus pipeline of the operators in sievewall.llm."""
+"""A corpus pipeline: toxic documents go, copies and near copies go, sources are mixed, texts become ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sievewall.llm import exact_dedup, mixing, near_dedup, piece_bpe, queries, toxicity
+from sievewall.llm.shared import written
+
+#: A document is rejected from this score on.
+TOXIC_FROM = 0.3
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose noisy-or score stays under the threshold; the model learns from the labels of these documents.
+
+    Rows of one id with different texts are judged together: a toxic one
+    takes all of them along. A null id is judged like any other.
+    """
+    model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
+    bad = toxicity.toxic_sentences(docs, model).where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("_bad_id")).distinct()
+    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts equal but for blanks."""
+    return exact_dedup.keep_first_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as ids: doc_id, source, ids, n_tokens, decoded (the text that the ids spell)."""
+    ids = piece_bpe.encode(docs.select("doc_id", "source", "text"), queries.MODEL_FILE).drop("text")
+    return piece_bpe.decode(ids, queries.MODEL_FILE).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing", mixed),
+    ("sentencepiece", encoded),
+]
+
+#: Training, sketches and tokenisation have no form in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, applied to documents."""
-    raise NotImplementedError
+    """The stages, applied to documents; each is written and read again as the next one's input."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

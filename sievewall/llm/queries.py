@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, piece_bpe, secrets, toxicity, url_filter
+from . import exact_dedup, language_id, lm_score, mixing, near_dedup, piece_bpe, secrets, topk, toxicity, url_filter
 from .shared import held_out
 
 #: The tokenizer file of the queries; a path, never a copy.
@@ -72,13 +72,21 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "benchmark").select("text"), table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk)}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -129,5 +137,23 @@ FROM ordered
 """
 
 
+TOPK_SQL = r"""
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ints q JOIN ints d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scores
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL}
+    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_topk": TOPK_SQL}
