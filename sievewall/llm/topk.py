@@ -93,7 +93,7 @@ class Best:
         all_scores = np.concatenate([self.scores[rows], scores], axis=1)
         all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
         all_ids = np.where(all_scores == np.iinfo(np.int64).min, np.iinfo(np.int64).max, all_ids)
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
+        order = np.lexsort((all_ids, ~all_scores), axis=1)[:, : self.k]
         self.scores[rows] = np.take_along_axis(all_scores, order, axis=1)
         self.ids[rows] = np.take_along_axis(all_ids, order, axis=1)
 
