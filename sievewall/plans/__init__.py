@@ -1,0 +1,19 @@
+"""The registered queries of the screening engine and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import reviews, screening
+
+    return {f.__name__: f for plan in (screening, reviews) for f in plan.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import reviews, screening
+
+    return {k: v for plan in (screening, reviews) for k, v in plan.SQL.items()}
