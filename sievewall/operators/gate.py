@@ -91,8 +91,8 @@ def glob_pattern(glob: str) -> str:
         elif c == "?":
             out += "."
         elif end > 0:
-            body = glob[i + 1 : end].replace("\\", "\\\\")
-            out += "[" + ("^" + body[1:] if body[0] == "!" else body) + "]"
+            negated = glob[i + 1] == "!"
+            out += ("[^" if negated else "[") + re.sub(r"([\\\[\]&^])", r"\\\1", glob[i + 1 + negated : end]) + "]"
             i = end
         else:
             out += re.escape(c)
