@@ -36,9 +36,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learnt from the labels of all folds but the held-out one."""
-    toxic = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(toxic, F.col("doc_id") == F.col("_id"))
-    return toxicity.train(known)
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    return toxicity.train(docs.select("doc_id", "text"), known)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import text_slices, written
 from .textarrays import byte_class, flat_text, lowered, prefix_hashes, word_spans
 
 #: Words are runs of ASCII letters, digits, apostrophes and bytes of other scripts; sentences end at these.
@@ -77,21 +77,23 @@ def fit(feature: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, label: n
     return ToxicityModel(w, bias)
 
 
-def train(labelled: DataFrame, docs_per_class: int = 1000, most_features: int = 10_000_000, steps: int = 200, rate: float = 0.5, shrink: float = 2e-4) -> ToxicityModel:
-    """Weights from document labels; labelled: doc_id, text, label (0 or 1).
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1000, most_features: int = 10_000_000, steps: int = 200, rate: float = 0.5, shrink: float = 2e-4) -> ToxicityModel:
+    """Weights from document labels; docs: doc_id, text, and labels: doc_id, label (0 or 1), a row per document.
 
     Only a sample chosen by the hash of the id is learnt from: about
     `docs_per_class` documents of each label, weighted back to the labels'
     true shares, and of these the first in order of that hash that together
-    have `most_features` features. Without labels, or without toxic ones,
-    no text is toxic.
+    have `most_features` features. The sample is drawn from the labels, so
+    that texts are matched with a small table and never shuffled. Without
+    labels, or without toxic ones, no text is toxic.
     """
-    labelled = labelled.where("label in (0, 1)")
-    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = labels.where("label in (0, 1) and doc_id is not null")
+    sizes = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1):
         return ToxicityModel(np.zeros(FEATURES), -8.0)
     part = (F.xxhash64(F.col("doc_id")) % F.lit(1 << 30) + F.lit(1 << 30)) / F.lit(float(1 << 31))
     limit = F.when(F.col("label") == 1, docs_per_class / sizes[1]).otherwise(docs_per_class / sizes.get(0, 1))
+    sample = written(labels.select(F.col("doc_id").alias("_id"), "label", part.alias("part")).where(F.col("part") < limit), "toxicity-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -103,7 +105,8 @@ def train(labelled: DataFrame, docs_per_class: int = 1000, most_features: int =
             size_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=rows))]).astype(np.int32)), pa.array(words.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("label"), word_lists, size_lists], names=["part", "label", "words", "sizes"])
 
-    picked = labelled.select(part.alias("part"), "label", F.coalesce("text", F.lit("")).alias("text")).where(F.col("part") < limit)
+    texts = docs.select(F.col("doc_id").alias("_doc_id"), "text")
+    picked = texts.join(sample, F.col("_doc_id") == F.col("_id")).select("part", "label", F.coalesce("text", F.lit("")).alias("text"))
     rows = picked.mapInArrow(run, "part double, label int, words array<int>, sizes array<int>").toArrow().sort_by("part")
     budget = np.cumsum(pa.compute.list_value_length(rows["words"]).to_numpy()) <= most_features
     rows = rows.slice(0, int(budget.sum()))
