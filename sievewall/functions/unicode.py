@@ -102,6 +102,7 @@ def sanitized(docs: DataFrame, text: str = "text", profile: str = "prose") -> Da
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumns({"raw_length": F.length(raw).cast("int"), **hidden_counts(raw, profile), "_bare": F.regexp_replace(raw, patterns(profile)["any"], "")})
-    plain = counted.where(~F.col("_bare").rlike("[^\\x00-\\x7F]")).withColumn("clean", F.col("_bare"))
-    other = counted.where(F.col("_bare").rlike("[^\\x00-\\x7F]")).withColumn("clean", with_slashes_folded(nfkc("_bare")))
+    ascii_only = F.octet_length(raw) == F.length(raw)
+    plain = counted.where(ascii_only).withColumn("clean", F.col("_bare"))
+    other = counted.where(~ascii_only).withColumn("clean", with_slashes_folded(nfkc("_bare")))
     return plain.unionByName(other).withColumn("nfkc_changed", F.col("clean") != F.col("_bare")).drop("_bare")

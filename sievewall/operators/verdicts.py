@@ -52,13 +52,14 @@ def layer_map(unicode_reason: Column, encoded_reason: Column, secret_reason: Col
 
 def audit_rows(verdicts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """What may leave: closed vocabulary and numbers, named one by one; of the text its length only."""
-    return verdicts.select(doc_id, F.col("reason").isNull().alias("ok"), F.coalesce("reason", F.lit("pass")).alias("reason"), "raw_length", "stripped", F.length("clean").cast("int").alias("clean_length"), "nfkc_changed", F.size("blobs").alias("blobs"))
+    layers = layer_map(F.col("unicode_reason"), F.col("encoded_reason"), F.col("secret_reason"), F.col("blobs"))
+    return verdicts.select(doc_id, F.col("reason").isNull().alias("ok"), F.coalesce("reason", F.lit("pass")).alias("reason"), "raw_length", "stripped", F.length("clean").cast("int").alias("clean_length"), "nfkc_changed", F.size("blobs").alias("blobs"), F.to_json(layers).alias("layers"))
 
 
 def rejections(verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows for the quarantine sink alone: the audit as JSON and the first 300 characters."""
-    audit = audit_rows(verdicts, doc_id)
-    return verdicts.where("reason is not null").select(doc_id, F.substring(F.coalesce(F.col(text), F.lit("")), 1, 300).alias("prompt")).join(audit.select(doc_id, F.to_json(F.struct(*[x for x in audit.columns if x != doc_id])).alias("verdict")), doc_id)
+    """Rows for the quarantine sink alone: the first 300 characters and the audit as JSON."""
+    audit = audit_rows(verdicts.where("reason is not null").withColumn(doc_id, F.struct(F.col(doc_id), F.substring(F.coalesce(F.col(text), F.lit("")), 1, 300).alias("prompt"))), doc_id)
+    return audit.select(f"{doc_id}.{doc_id}", f"{doc_id}.prompt", F.to_json(F.struct(*[x for x in audit.columns if x != doc_id])).alias("verdict"))
 
 
 def without_wrap_tags(text: Column, tags: tuple[str, ...] = WRAP_TAGS) -> Column:

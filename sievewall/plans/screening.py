@@ -63,10 +63,7 @@ def verdict_first_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verdicts.screened(planted(spark, sf_dir))
-    audit = verdicts.audit_rows(found)
-    layers = found.select("doc_id", F.to_json(verdicts.layer_map(F.col("unicode_reason"), F.col("encoded_reason"), F.col("secret_reason"), F.col("blobs"))).alias("layers"))
-    return audit.join(layers, "doc_id")
+    return verdicts.audit_rows(verdicts.screened(planted(spark, sf_dir)))
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:

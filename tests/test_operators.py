@@ -200,3 +200,9 @@ def test_settings(spark):
     with pytest.raises(Exception, match="line 2"):
         column(spark, ["a.example.com\n1.2.3.4"], corpora.allowed_hosts)
     assert column(spark, ["a*\n # x\n\n b"], corpora.exception_globs) == [["a*", "b"]]
+
+
+def test_rejections_go_to_quarantine(spark):
+    frame = spark.createDataFrame([(1, "ghp_" + "a1B2" * 9 + "x" * 500), (2, "fine")], "doc_id int, text string")
+    rows = verdicts.rejections(verdicts.screened(frame)).collect()
+    assert [(r.doc_id, len(r.prompt)) for r in rows] == [(1, 300)] and '"reason":"secret_shape:github_token"' in rows[0].verdict and "ghp_" not in rows[0].verdict
