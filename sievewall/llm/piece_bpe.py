@@ -18,8 +18,8 @@ from .textarrays import gathered
 SPACE = "▁"
 #: A symbol that no vocabulary entry holds, and the rank of a pair that does not merge.
 FOREIGN, NEVER = (1 << 20) - 1, (1 << 31) - 1
-#: A task's table of encoded units starts anew beyond so many.
-MOST_UNITS = 400_000
+#: A task's table of encoded units starts anew beyond so many; so many bytes of text are encoded at once.
+MOST_UNITS, SLICE = 250_000, 1 << 20
 
 
 def space_run(length: int, pieces: set[int]) -> list[int]:
@@ -289,27 +289,33 @@ def decode_ids(model: PieceModel, ids: np.ndarray, offsets: np.ndarray) -> list[
     return [whole[a + s : b].decode("utf-8", "replace") for a, b, s in zip(bounds[:-1].tolist(), bounds[1:].tolist(), opens.tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """The frame with a column of ids, as sentencepiece encodes its texts with an end id.
 
-    Null and empty texts have the end id alone. Texts are cut at spaces, and
-    at line ends where no piece holds one, which no merge can cross; equal
-    units of a task are merged once. The model's arrays are a fixed size and
-    travel with the function. All columns stay; one named like `ids` is
-    replaced. An empty table gives no rows.
+    With a name for `decoded`, also the text that the ids spell, decoded from
+    them in the same pass over the rows. Null and empty texts have the end id
+    alone. Texts are cut at spaces, and at line ends where no piece holds
+    one, which no merge can cross; equal units of a task are merged once. The
+    model's arrays are a fixed size and travel with the function. All columns
+    stay; ones named like the new ones are replaced. An empty table gives no
+    rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(PieceModel(model_file))
-    kept = [x for x in docs.columns if x != ids]
-    schema = T.StructType([docs.schema[x] for x in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    kept = [x for x in docs.columns if x not in (ids, decoded)]
+    fields = [docs.schema[x] for x in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, SLICE):
             flat, offsets = encoder.encode(batch.column(text).to_pylist())
-            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), values], names=[*kept, ids])
+            new = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            if decoded:
+                new.append(pa.array(decode_ids(model.value, flat, offsets), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *new], names=[x.name for x in fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -323,8 +329,9 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            rows = max(1, SLICE // 4 * batch.num_rows // max(1, len(batch.column(ids).flatten())))
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
                 column = part.column(ids)
                 sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

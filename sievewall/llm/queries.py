@@ -61,8 +61,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE).select("doc_id", "ids")
-    decoded = piece_bpe.decode(encoded, MODEL_FILE)
+    decoded = piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE, decoded="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
