@@ -381,8 +381,9 @@ def test_pieces_equal_the_library(spark):
     texts = texts_for_pieces()
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = piece_bpe.decode(piece_bpe.encode(frame, queries.MODEL_FILE), queries.MODEL_FILE).collect()
+    found = piece_bpe.decode(piece_bpe.encode(frame, queries.MODEL_FILE, decoded="same"), queries.MODEL_FILE).collect()
     for r in found:
+        assert r.same == r.decoded
         wanted = sp.encode(texts[r.doc_id] or "", add_eos=True)
         assert r.ids == wanted and r.decoded == sp.decode(wanted), repr(texts[r.doc_id])[:200]
 
