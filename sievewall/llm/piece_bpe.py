@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -333,7 +334,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str =
             for begin in range(0, batch.num_rows, rows):
                 part = batch.slice(begin, rows)
                 column = part.column(ids)
-                sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = decode_ids(model.value, flat, np.concatenate([[0], np.cumsum(sizes)]))
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), pa.array(texts, pa.string())], names=[*kept, decoded])

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 <
     A single longer text makes a slice of its own; texts are never cut.
     """
     for batch in batches:
-        ends = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        ends = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
         begin, base = 0, 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(ends.searchsorted(base + limit, side="right")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,7 +38,7 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes end to end and the n + 1 offsets of its rows; nulls are empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def quantised(embedding: Column, scale: int = 1024) -> Column:
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Lists of integers as rows; shorter ones end in zeros."""
-    sizes = pa.compute.list_value_length(column).to_numpy()
+    sizes = pc.list_value_length(column).to_numpy()
     found = np.zeros((len(column), width), np.int64)
     found[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
     return found
@@ -215,7 +216,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_
                 points, ids = matrix(held["v"].combine_chunks(), width), held["vec_id"].to_numpy()
                 if not asks.any() or asks.all():
                     continue
-                known = pa.compute.fill_null(held["floor"], np.iinfo(np.int64).min).to_numpy()[asks]
+                known = pc.fill_null(held["floor"], np.iinfo(np.int64).min).to_numpy()[asks]
                 best = dual_search(points[asks], ids[asks], points[~asks], ids[~asks], k, known)
                 real = best.scores > np.iinfo(np.int64).min
                 rows = np.repeat(ids[asks], real.sum(axis=1))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,13 +109,13 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1000, most_f
     texts = docs.select(F.col("doc_id").alias("_doc_id"), "text")
     picked = texts.join(sample, F.col("_doc_id") == F.col("_id")).select("part", "label", F.coalesce("text", F.lit("")).alias("text"))
     rows = picked.mapInArrow(run, "part double, label int, words array<int>, sizes array<int>").toArrow().sort_by("part")
-    budget = np.cumsum(pa.compute.list_value_length(rows["words"]).to_numpy()) <= most_features
+    budget = np.cumsum(pc.list_value_length(rows["words"]).to_numpy()) <= most_features
     rows = rows.slice(0, int(budget.sum()))
     words, lengths = rows["words"].combine_chunks(), rows["sizes"].combine_chunks()
     label = rows["label"].to_numpy().astype(np.int64)
     words_in = lengths.flatten().to_numpy()
     sentence = np.repeat(np.arange(len(words_in)), words_in)
-    text_of = np.repeat(np.arange(len(label)), pa.compute.list_value_length(lengths).to_numpy())
+    text_of = np.repeat(np.arange(len(label)), pc.list_value_length(lengths).to_numpy())
     weight = np.zeros(len(label))
     for value, n in sizes.items():
         weight[label == value] = n / max(1, int((label == value).sum()))
