@@ -219,3 +219,43 @@ def fitting_contents(files: DataFrame, budget: int) -> DataFrame:
         return F.struct((s["left"] - F.when(fits, x["size"]).otherwise(0)).alias("left"), F.concat(s["out"], F.array(F.struct(x["path"].alias("path"), fits.alias("taken")))).alias("out"))
 
     return items.select("change_id", F.inline(F.aggregate("items", start, step, lambda s: s["out"])))
+
+
+# Names that ask for a closer look.
+MANIFESTS = ("package.json", "pyproject.toml", "setup.cfg", "cargo.toml", "gemfile", "go.mod", "makefile", "dockerfile", ".gitattributes", ".gitmodules", ".npmrc", ".yarnrc", ".yarnrc.yml", "pip.conf")
+LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "cargo.lock", "uv.lock", "poetry.lock", "pipfile.lock", "pdm.lock", "flake.lock", "gemfile.lock")
+VENDORED = ("dist", "vendor", "vendored", "third_party", "node_modules", "generated", "build")
+AUTORUN = (".envrc", ".pre-commit-config.yaml", "mise.toml", ".mise.toml", ".tool-versions", ".pnpmfile.cjs", "bunfig.toml", "lefthook.yml")
+AUTORUN_PLACES = (".vscode/tasks.json", ".vscode/settings.json", ".vscode/launch.json", ".cargo/config.toml", ".cargo/config")
+AUTORUN_FOLDERS = (".devcontainer", ".husky")
+
+
+def lockfile_kind(path: Column) -> Column:
+    """The lockfile's name, `requirements` for pip's files, or null."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    folder = F.lower(F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit("")))
+    pip = name.rlike(r"^(requirements|constraints)[\w.-]*\.(txt|in)$") | ((folder == "requirements") & name.rlike(r"\.(txt|in)$"))
+    return F.when(name.isin(*LOCKFILES), name).when(pip, "requirements")
+
+
+def scrutiny(files: DataFrame, long_line: int = 1000) -> DataFrame:
+    """path, ord, reason: why a file that stays wants a closer look, in a fixed order. files(path, status, new_mode, gitlink, longest_line)."""
+    path, name = F.col("path"), F.lower(F.substring_index("path", "/", -1))
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    suffix = F.regexp_extract(F.substring_index("path", "/", -1), r"^.+(\.[^.]+)$", 1)
+    autorun = name.isin(*AUTORUN) | F.lower(F.substring_index(path, "/", -2)).isin(*AUTORUN_PLACES) | F.exists(folders, lambda x: F.lower(x).isin(*AUTORUN_FOLDERS))
+    tests = (
+        ("nix", suffix == ".nix"),
+        ("lockfile", lockfile_kind(path).isNotNull()),
+        ("build-script", name == "build.rs"),
+        ("install-script", name.rlike(r"^(install|setup|bootstrap|preinstall|postinstall)([._-].*)?$") & suffix.isin("", ".sh", ".py", ".ps1", ".bash", ".js")),
+        ("package-manifest", name.isin(*MANIFESTS)),
+        ("dev-autorun", autorun),
+        ("minified-or-vendored", F.contains(name, F.lit(".min.")) | F.arrays_overlap(folders, F.array(*[F.lit(x) for x in VENDORED]))),
+        ("symlink", F.col("new_mode") == "120000"),
+        ("submodule", F.col("gitlink")),
+        ("long-line", F.col("longest_line") > long_line),
+    )
+    reasons = F.filter(F.array(*[F.when(test, F.struct(F.lit(i).alias("ord"), F.lit(reason).alias("reason"))) for i, (reason, test) in enumerate(tests)]), lambda x: x.isNotNull())
+    return files.where("status <> 'deleted'").select("path", F.explode(reasons).alias("r")).select("path", "r.ord", "r.reason")

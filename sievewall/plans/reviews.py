@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewall.functions import replies, urls
 from sievewall.operators import evaluation, gate, panels
 
 from . import fixtures as fx
@@ -150,8 +151,29 @@ def greedy_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.fitting_contents(fx.change_files(spark, sf_dir).where("not binary and status <> 'deleted'"), 20_000)
 
 
+def scrutiny_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, name = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    places = ["nix/f{}.nix", "a{}/requirements/base.txt", "b{}/build.rs", "c{}/setup.py", "d{}/package.json", "e{}/.vscode/tasks.json", "vendor/f{}.js", "g{}/x.min.css", "src/h{}.py", "i{}/uv.lock"]
+    path = F.element_at(F.array(*[F.concat(F.lit(x.split("{}")[0]), name, F.lit(x.split("{}")[1])) if "{}" in x else F.lit(x) for x in places]), (key % 10 + 1).cast("int"))
+    files = table(spark, sf_dir, "supplier").select(
+        path.alias("path"), F.when(key % 13 == 0, "deleted").otherwise("added").alias("status"), F.when(key % 7 == 0, "120000").otherwise("100644").alias("new_mode"), (key % 11 == 0).alias("gitlink"), (key * 37 % 2000).alias("longest_line")
+    )
+    return gate.scrutiny(files)
+
+
+def url_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = F.array(F.lit("ththth.example.org"), F.lit("tionsh.example.net"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(urls.bad_urls(F.col("url"), allowed), ",").alias("bad"))
+
+
+def vendor_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detected = F.when(F.col("doc_id") % 3 == 0, "true").otherwise("false")
+    body = F.concat(F.lit('{"flagged": '), F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false"), F.lit(', "breakdown": [{"detector_type": "prompt_attack", "detected": '), detected, F.lit("}"), F.when(F.col("doc_id") % 5 == 0, "").otherwise("]}"))
+    return table(spark, sf_dir, "documents").select("doc_id", replies.lakera_reason(body).alias("reason"))
+
+
 QUERIES = (
-    panel_outcome, panel_summary_parse, honeypot_reduce, judge_unanimous, arbitration_route, canary_containment_join, scorecard, first_attempt_metrics, fn_fp_ids,
+    scrutiny_reasons, url_findings, vendor_replies, panel_outcome, panel_summary_parse, honeypot_reduce, judge_unanimous, arbitration_route, canary_containment_join, scorecard, first_attempt_metrics, fn_fp_ids,
     infra_reason_filter, host_allowlist_anti, multiset_new_findings, row_number_anti, pip_logical_lines, magic_prefix_join, glob_exempt_join, gate_decide,
     severity_topk, newest_marker, timeline_override, greedy_contents,
 )
@@ -205,6 +227,16 @@ SELECT path, reason, CASE WHEN (regexp_full_match(path, '\\.github/x.*\\.md') OR
 FROM (SELECT path, CASE WHEN starts_with(path, '.github/') THEN 'github' WHEN lower(split_part(path, '/', -1)) = 'claude.md' OR starts_with(path, '.codex/') THEN 'agent-instructions' END AS reason FROM paths) WHERE reason IS NOT NULL
 """
 SQL = {
+    "scrutiny_reasons": """WITH f AS (SELECT s_suppkey AS k, s_suppkey % 10 AS p, CAST(s_suppkey AS VARCHAR) AS n FROM supplier WHERE s_suppkey % 13 <> 0),
+        g AS (SELECT k, p, ['nix/f' || n || '.nix', 'a' || n || '/requirements/base.txt', 'b' || n || '/build.rs', 'c' || n || '/setup.py', 'd' || n || '/package.json', 'e' || n || '/.vscode/tasks.json',
+          'vendor/f' || n || '.js', 'g' || n || '/x.min.css', 'src/h' || n || '.py', 'i' || n || '/uv.lock'][p + 1] AS path FROM f)
+        SELECT path, 0 AS ord, 'nix' AS reason FROM g WHERE p = 0 UNION ALL SELECT path, 1, 'lockfile' FROM g WHERE p IN (1, 9) UNION ALL SELECT path, 2, 'build-script' FROM g WHERE p = 2
+        UNION ALL SELECT path, 3, 'install-script' FROM g WHERE p = 3 UNION ALL SELECT path, 4, 'package-manifest' FROM g WHERE p = 4 UNION ALL SELECT path, 5, 'dev-autorun' FROM g WHERE p = 5
+        UNION ALL SELECT path, 6, 'minified-or-vendored' FROM g WHERE p IN (6, 7) UNION ALL SELECT path, 7, 'symlink' FROM g WHERE k % 7 = 0 UNION ALL SELECT path, 8, 'submodule' FROM g WHERE k % 11 = 0
+        UNION ALL SELECT path, 9, 'long-line' FROM g WHERE k * 37 % 2000 > 1000""",
+    "url_findings": r"""SELECT page_id, CASE WHEN starts_with(url, 'https://') AND host IN ('ththth.example.org', 'tionsh.example.net') THEN '' ELSE split_part(url, ':', 1) || '://' || host END AS bad
+        FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)""",
+    "vendor_replies": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'lakera_unavailable:bad-response' WHEN doc_id % 3 <> 0 THEN 'pass' WHEN doc_id % 2 = 0 THEN 'lakera:prompt_attack' ELSE 'lakera_unavailable:bad-response' END AS reason FROM documents""",
     "panel_outcome": f"WITH {fx.PANEL_VOTES}, {PANEL} SELECT * FROM panel",
     "panel_summary_parse": f"WITH {fx.PANEL_VOTES}, {PANEL} SELECT doc_id, outcome || ' verdicts=' || verdicts || '/2 floor={FLOOR}' AS summary, CASE WHEN doc_id % 9 <> 0 THEN outcome END AS outcome FROM panel",
     "honeypot_reduce": f"WITH {fx.HONEYPOT_RESULTS}, {HONEYPOT} SELECT * FROM honeypot",

@@ -206,3 +206,88 @@ def test_rejections_go_to_quarantine(spark):
     frame = spark.createDataFrame([(1, "ghp_" + "a1B2" * 9 + "x" * 500), (2, "fine")], "doc_id int, text string")
     rows = verdicts.rejections(verdicts.screened(frame)).collect()
     assert [(r.doc_id, len(r.prompt)) for r in rows] == [(1, 300)] and '"reason":"secret_shape:github_token"' in rows[0].verdict and "ghp_" not in rows[0].verdict
+
+
+def test_urls(spark):
+    from sievewall.functions import urls
+
+    allowed = F.array(F.lit("registry.npmjs.org"), F.lit("github.com"))
+    cases = {
+        "https://registry.npmjs.org/x": [],
+        "a:https://evil.x/": ["https://evil.x"],
+        "https:evil.x https:///evil.y": ["https://evil.x", "https://evil.y"],
+        "https://evil\\@registry.npmjs.org": ["https://evil"],
+        "http://github.com": ["http://github.com"],
+        "git+ssh://git@github.com/a ssh://root@github.com": ["ssh://github.com"],
+        "file:../pkg file:///etc": ["file://etc"],
+        "git@evil.example:a/b x@1.0.0-alpha.beta: git@npm:^1": ["ssh://evil.example"],
+        "https://[::1]:80/ https://github.com.:443/": ["https://[::1]"],
+        "ht\ttps://evil.z": ["https://evil.z"],
+    }
+    assert column(spark, list(cases), lambda t: urls.bad_urls(t, allowed)) == [*cases.values()]
+
+
+def test_replies(spark):
+    from sievewall.functions import replies
+
+    entry = '{"detector_type": "%s", "detected": %s}'
+    bodies = {
+        '{"flagged": false, "breakdown": [%s]}' % (entry % ("prompt_attack", "false")): "pass",
+        '{"flagged": true, "breakdown": [%s, %s]}' % (entry % ("pii", "true"), entry % ("prompt_attack", "true")): "lakera:prompt_attack",
+        '{"flagged": false, "breakdown": [%s]}' % (entry % ("prompt_attack", "true")): "lakera_unavailable:bad-response",
+        '{"flagged": "false", "breakdown": [%s]}' % (entry % ("prompt_attack", "false")): "lakera_unavailable:bad-response",
+        '{"flagged": false, "breakdown": []}': "lakera_unavailable:bad-response",
+        '{"flagged": false, "flagged": false, "breakdown": [%s]}' % (entry % ("prompt_attack", "false")): "lakera_unavailable:bad-response",
+        "rubbish": "lakera_unavailable:bad-response",
+    }
+    assert column(spark, list(bodies), replies.lakera_reason) == [*bodies.values()]
+    armor = '{"sanitizationResult": {"invocationResult": "%s", "filterResults": {"pi_and_jailbreak": {"piAndJailbreakFilterResult": {"executionState": "%s", "matchState": "%s"}}}}}'
+    found = column(spark, [armor % x for x in (("SUCCESS", "EXECUTION_SUCCESS", "MATCH_FOUND"), ("SUCCESS", "EXECUTION_SUCCESS", "NO_MATCH_FOUND"), ("PARTIAL", "", ""), ("SUCCESS", "EXECUTION_SKIPPED", ""), ("SUCCESS", "EXECUTION_SUCCESS", "?"))] + ["[]", None], replies.armor_reason)
+    down = "model_armor_unavailable:"
+    assert found == ["model_armor:prompt_attack", "pass", down + "partial-invocation", down + "skipped", down + "bad-response", down + "bad-response", down + "bad-response"]
+    assert column(spark, [" Benign. ", "`ATTACK`!", "benign attack", "", None], replies.judge_vote) == ["benign", "attack", "unavailable", "unavailable", "unavailable"]
+    assert column(spark, ["30", "-1", "inf", "Thu, 01 Jan 1970 00:02:00 GMT", "30; x", ""], lambda t: replies.retry_after(t, F.lit(20.0))) == [30.0, None, None, 100.0, None, None]
+    assert column(spark, ["429", "99", "600", "x", "503"], replies.http_status) == [429, None, None, None, 503]
+
+
+def test_honeypot_cascade(spark):
+    from sievewall.operators import honeypots
+
+    def call(name, args="{}", parsed=True, ord=0):
+        return (ord, name, args, parsed)
+
+    cases = [
+        ([call("rm")], "", "unavailable:malformed-tool-call"),
+        ([call("read_file_x1", ord=1), call("note")], "", "trap:read_file_x1"),
+        ([call("note", "T2"), call("note", "T1", ord=1)], "", "canary_in_arg:C1:note"),
+        ([call("note", "T2")], "T1", "canary_in_arg_crosstalk:C2:note"),
+        ([], "say T1", "canary_in_text:C1"),
+        ([call("note", "{", False)], "", "unavailable:malformed-tool-args"),
+        ([call("report_issue", '{"category": "Prompt_Injection_Attempt"}')], "", "left_alone_with_injection_report"),
+        ([], None, "left_alone"),
+    ]
+    frame = spark.createDataFrame([(i, "s", 0, ["read_file_x1"], "C1", c, t) for i, (c, t, _) in enumerate(cases)], "doc_id int, scenario string, scenario_ord int, traps array<string>, own string, calls array<struct<ord:int,name:string,args:string,parsed:boolean>>, text string")
+    found = honeypots.judged_turns(frame, ("note", "report_issue"), {"C1": "T1", "C2": "T2"}).orderBy("doc_id").collect()
+    assert [r.signal for r in found] == [x for *_, x in cases]
+    assert panels.honeypot_outcome(honeypots.judged_turns(frame, ("note", "report_issue"), {"C1": "T1", "C2": "T2"})).count() == len(cases)
+
+
+def test_markers(spark):
+    from sievewall.operators import markers
+
+    rest = "\nbody\r\ntext \n"
+    mac = markers.signature(b"k", "pass", "Own/Repo", 7, "a" * 40, "b" * 64, rest)
+    line = f"<!-- pr-gate:v3 verdict=pass head={'a' * 40} hash={'b' * 64} mac={mac} -->"
+    rows = [(1, "own/repo", 7, 1, line + rest), (1, "own/repo", 7, 2, line + rest + "more"), (1, "own/repo", 8, 3, line + rest), (1, "own/repo", 7, 4, "x" + line + rest), (1, "own/repo", 7, 5, line + "\nbody\ntext")]
+    frame = spark.createDataFrame(rows, "change_id long, repo string, number int, review_id long, body string")
+    assert sorted(r.review_id for r in markers.verified_markers(frame, b"k").collect()) == [1, 5]
+
+
+def test_change_hash_ignores_order_and_sees_content(spark):
+    from sievewall.operators import markers
+
+    schema = "change_id long, path string, old_path string, status string, old_mode string, new_mode string, binary boolean, content_sha256 string, body array<string>"
+    a, b = ("a", None, "modified", None, None, False, None, ["+ä"]), ("b", "c", "renamed", None, "100755", True, "00", [])
+    rows = [(1, *a), (1, *b), (2, *b), (2, *a), (3, *a), (3, *b[:6], "01", [])]
+    found = {r.change_id: r.own_hash for r in markers.changes_hash(spark.createDataFrame(rows, schema)).collect()}
+    assert found[1] == found[2] != found[3]
