@@ -19,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     takes all of them along. A null id is judged like any other.
     """
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
-    bad = toxicity.toxic_sentences(docs, model).where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("_bad_id")).distinct()
+    bad = toxicity.toxic_sentences(docs, model).where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("_bad_id"))
     return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
 
 

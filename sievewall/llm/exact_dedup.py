@@ -250,11 +250,6 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
 
 def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose row stays, with all their columns; a decision holds for an id and text together."""
-    gone = (
-        exact_groups(docs, doc_id, text)
-        .where("not kept")
-        .select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha256"))
-        .distinct()
-    )
+    gone = exact_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha256"))
     digest = F.sha2(without_blanks(docs[text]).cast("binary"), 256)
     return docs.join(gone, (digest == F.col("_gone_sha256")) & docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")

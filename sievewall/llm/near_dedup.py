@@ -217,5 +217,5 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that represent their component, with all their columns."""
-    gone = near_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = near_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"))
     return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
