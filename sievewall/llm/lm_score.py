@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_slices, written
-from .textarrays import BLANK_BYTES, flat_text, lowered, mix64, span_hashes, word_spans
+from .textarrays import BLANK_BYTES, flat_text, lowered, mix64, span_hashes, table64, word_spans
 
-#: The shared vocabulary has at most so many words, the most frequent of both corpora together; all others are one unknown word.
+#: The models have no such limit; tests take corpora of fewer and of more distinct words than this.
 VOCABULARY = 1 << 16
-#: Counts of word pairs are kept in so many hashed cells, whatever the corpus.
-CELLS = 1 << 20
+#: Texts are read in chunks of about so many words, each with its distinct words and pairs numbered.
+CHUNK = 1 << 20
+#: Words, and pairs too, are dealt by the leading bits of their keys into so many bins; a bin is counted in one piece.
+BIN_BITS = 10
+BINS = 1 << BIN_BITS
+#: What stands before a text's first word.
+START = table64(1, 29)
 #: Weight of the pair model against the single-word model, and what is added to every single-word count.
 PAIR_WEIGHT, ADDED = 0.7, 0.5
 
+#: A document with its words' and pairs' numbers in its chunk, or a chunk's keys of one bin with their counts in it.
+CHUNKED = "chunk long, doc_id long, n_tokens long, words binary, pairs binary, bin int, keys binary, n_target binary, n_background binary"
+#: The counts over the whole corpus for a chunk's keys of one bin, or (without a chunk) what a bin adds up to.
+COUNTED = "chunk long, bin int, n_target binary, n_background binary, n_distinct long, all_target long, all_background long"
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, difference double"
+
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, and where each text's begin (n + 1 bounds)."""
@@ -27,145 +39,145 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(lowered(flat), starts, ends, salt=23), bounds
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """How often each word occurs: word (hash), n_target, n_background. texts: text, in_target."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        for batch in text_slices(batches, "text", 1 << 23):
-            hashes, bounds = word_hashes(batch.column("text"))
-            side = np.repeat(batch.column("in_target").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
-            found, at = np.unique(hashes, return_inverse=True)
-            own = np.stack([np.bincount(at, weights=side == x, minlength=len(found)) for x in (1, 0)], axis=1).astype(np.int64)
-            both, place = np.unique(np.concatenate([words, found]), return_inverse=True)
-            merged = np.zeros((len(both), 2), np.int64)
-            merged[place[: len(words)]] += counts
-            merged[place[len(words) :]] += own
-            words, counts = both, merged
-            if len(words) > 500_000:
-                yield counts_batch(words, counts)
-                words, counts = words[:0], counts[:0]
-        yield counts_batch(words, counts)
-
-    parts = texts.mapInArrow(run, "word long, n_target long, n_background long")
-    return parts.groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-
-
-def counts_batch(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["word", "n_target", "n_background"])
-
-
-def numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Each word's number in the sorted vocabulary; the last number is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
-
-
-def pair_cells(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (size + 1 at a text's start) and the pair's cell."""
+def words_before(words: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """The word before each word; `start` at a text's start."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    starts = bounds[:-1][bounds[:-1] < bounds[1:]]
-    before[starts] = size + 1
-    pairs = before.astype(np.uint64) * np.uint64(1 << 32) + words.astype(np.uint64)
-    return before, (mix64(pairs * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-class DifferenceModel:
-    """Matched target and background models over one vocabulary: single words and hashed pairs."""
-
-    def __init__(self, vocabulary: np.ndarray, singles: np.ndarray, pairs: np.ndarray):
-        self.vocabulary, self.pairs = vocabulary, pairs
-        size = len(vocabulary) + 1
-        followed = np.concatenate([singles, np.zeros((1, 2))])
-        self.context = np.maximum(followed, 1.0)
-        self.single = (singles + ADDED) / (singles.sum(axis=0) + ADDED * size)
-
-    def losses(self, words: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """-ln P of each word after the one before, [word, model]; a cell counts at most as often as its context."""
-        pair = np.minimum(self.pairs[cells] / self.context[before], 1.0)
-        return -np.log(PAIR_WEIGHT * pair + (1 - PAIR_WEIGHT) * self.single[words])
-
-
-def train(texts: DataFrame) -> DifferenceModel:
-    """Both models from all texts, counted in full. texts: text, in_target.
-
-    Words are counted over the whole corpus by a shuffle; the most frequent
-    make the shared vocabulary, by whole grades of frequency (1/64 of a power
-    of e each) as long as VOCABULARY holds them. Pair counts go to CELLS hashed cells,
-    which each task sums before they are shuffled. What comes to the driver
-    has a fixed size: the vocabulary with its counts, and the cells.
-    """
-    counts = written(word_counts(texts), "lm-words")
-    grade = F.floor(F.log((F.col("n_target") + F.col("n_background")).cast("double")) * 64)
-    grades = counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n")).collect()
-    room, least = VOCABULARY, float("inf")
-    for row in sorted(grades, key=lambda r: -r.grade):
-        room -= row.n
-        if room < 0:
-            break
-        least = row.grade
-    top = counts.where(grade >= F.lit(least)).toPandas()
-    sums = counts.agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
-    words = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    vocabulary = words[order]
-    known = top[["n_target", "n_background"]].to_numpy(np.float64)[order]
-    unknown = np.array([[sums.t or 0, sums.b or 0]], np.float64) - known.sum(axis=0, keepdims=True)
-    singles = np.concatenate([known, unknown])
-    shared_words = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
+    return before
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of so many values each as binaries, all lowest bytes first, as small numbers then compress well."""
+    ends = np.cumsum(sizes).tolist()
+    rows = values.view(np.uint8).reshape(-1, values.itemsize)
+    return pa.array([rows[a:b].T.tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed binaries end to end, and how many each has."""
+    parts, width = column.to_pylist(), np.dtype(dtype).itemsize
+    rows = b"".join(np.frombuffer(x, np.uint8).reshape(width, -1).T.tobytes() for x in parts)
+    return np.frombuffer(rows, dtype), np.array([len(x) for x in parts], np.int64) // width
+
+
+def batch_of(schema: str, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of the schema's columns; those that are not given are null."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[name] if name in columns else pa.nulls(n, types[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def key_rows(chunk: int, first_bin: int, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bin that has some of the sorted keys."""
+    sizes = np.bincount((keys >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=BINS)
+    bins = np.flatnonzero(sizes)
+    columns = {"chunk": pa.array(np.full(len(bins), chunk)), "bin": pa.array((bins + first_bin).astype(np.int32)), "keys": packed(keys, sizes[bins])}
+    return batch_of(CHUNKED, len(bins), columns | {k: packed(v.astype(np.int32), sizes[bins]) for k, v in zip(("n_target", "n_background"), counts, strict=True)})
+
+
+def chunk_rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct words and pairs with their counts, and its documents as numbers; words and pairs are in order of their keys."""
+    chunk = int.from_bytes(os.urandom(8), "little") >> 1
+    hashes, sizes, target = (np.concatenate([x[i] for x in held]) for i in range(3))
+    words, word = np.unique(hashes, return_inverse=True)
+    before = words_before(word, sizes, len(words))
+    codes, pair = np.unique(before * (len(words) + 1) + word, return_inverse=True)
+    keys = mix64(mix64(np.concatenate([words, START])[codes // (len(words) + 1)]) + words[codes % (len(words) + 1)] * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    pair = rank[pair]
+    side = np.repeat(target, sizes)
+    for first_bin, own, at in ((0, words, word), (BINS, keys[order], pair)):
+        yield key_rows(chunk, first_bin, own, [np.bincount(at[side == x], minlength=len(own)) for x in (True, False)])
+    ends = np.cumsum(sizes)
+    base = 0
+    for _, n, in_target, ids in held:
+        rows = np.flatnonzero(~in_target)
+        of_rows = np.repeat(~in_target, n)
+        a, b = ends[base] - sizes[base] if len(n) else 0, ends[base + len(n) - 1] if len(n) else 0
+        columns = {"chunk": pa.array(np.full(len(rows), chunk)), "doc_id": ids.take(pa.array(rows)), "n_tokens": pa.array(n[rows])}
+        yield batch_of(CHUNKED, len(rows), columns | {k: packed(v[a:b][of_rows].astype(np.int32), n[rows]) for k, v in (("words", word), ("pairs", pair))})
+        base += len(n)
+
+
+def chunked(texts: DataFrame) -> DataFrame:
+    """The texts in chunks. texts: doc_id, text, in_target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared_words.value
-        cells = np.zeros((CELLS, 2), np.int64)
-        for batch in text_slices(batches, "text", 1 << 23):
+        held, size = [], 0
+        for batch in text_slices(batches, "text", 1 << 22):
             hashes, bounds = word_hashes(batch.column("text"))
-            numbers = numbered(hashes, own)
-            _, at = pair_cells(numbers, bounds, len(own))
-            side = np.repeat(batch.column("in_target").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            cells[:, 0] += np.bincount(at[side], minlength=CELLS)
-            cells[:, 1] += np.bincount(at[~side], minlength=CELLS)
-        some = np.flatnonzero(cells.any(axis=1))
-        for i in range(0, len(some), 100_000):
-            part = some[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part, 0]), pa.array(cells[part, 1])], names=["cell", "n_target", "n_background"])
-
-    summed = texts.mapInArrow(run, "cell long, n_target long, n_background long").groupBy("cell").agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b"))
-    found = summed.select(F.col("cell").cast("int"), F.col("t").cast("float"), F.col("b").cast("float")).toArrow()
-    pairs = np.zeros((CELLS, 2), np.float32)
-    pairs[found["cell"].to_numpy()] = np.stack([found["t"].to_numpy(), found["b"].to_numpy()], axis=1)
-    return DifferenceModel(vocabulary, singles, pairs)
-
-
-def scored(docs: DataFrame, model: DifferenceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each whole text's losses per token: doc_id, n_tokens, loss_target, loss_background, difference.
-
-    difference is loss_target minus loss_background: the lower, the more the
-    text is like the target. Texts that are null or have no words have no
-    tokens and null losses. A row gives a row; other columns are not read.
-    """
-    shared_model = docs.sparkSession.sparkContext.broadcast(model)
+            held.append((hashes, np.diff(bounds).astype(np.int64), batch.column("in_target").to_numpy(zero_copy_only=False).astype(bool), batch.column("doc_id")))
+            size += len(hashes) + batch.num_rows
+            if size >= CHUNK:
+                yield from chunk_rows(held)
+                held, size = [], 0
+        if held:
+            yield from chunk_rows(held)
+
+    return texts.mapInArrow(run, CHUNKED)
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """The whole corpus's counts of each chunk's keys, bin by bin."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, sizes = unpacked(table["keys"], np.uint64)
+        found, at = np.unique(keys, return_inverse=True)
+        sums = [np.bincount(at, weights=unpacked(table[x], np.int32)[0], minlength=len(found)).astype(np.int64) for x in ("n_target", "n_background")]
+        n = table.num_rows
+        own = batch_of(COUNTED, n, {"chunk": table["chunk"].combine_chunks(), "bin": table["bin"].combine_chunks(), "n_target": packed(sums[0][at], sizes), "n_background": packed(sums[1][at], sizes)})
+        totals = {"bin": table["bin"].combine_chunks()[:1]} | {k: pa.array([int(v)]) for k, v in (("n_distinct", len(found)), ("all_target", sums[0].sum()), ("all_background", sums[1].sum()))}
+        return pa.Table.from_batches([own, batch_of(COUNTED, 1, totals)])
+
+    return chunks.where("bin is not null").select("chunk", "bin", "keys", "n_target", "n_background").groupBy("bin").applyInArrow(run, COUNTED)
+
+
+def scored(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each document's losses, from its chunk's numbers and their counts over the whole corpus."""
+    sums = counts.where(F.col("chunk").isNull() & (F.col("bin") < BINS)).agg(F.sum("n_distinct").alias("n"), F.sum("all_target").alias("t"), F.sum("all_background").alias("b")).first()
+    # One more than the words there are, for the word that neither corpus has.
+    total = [(x or 0) + ADDED * ((sums.n or 0) + 1) for x in (sums.t, sums.b)]
+
+    def run(counted_keys: pa.Table, docs: pa.Table) -> pa.Table:
+        n = docs["n_tokens"].to_numpy().astype(np.int64)
+        if not len(n):
+            return pa.Table.from_batches([batch_of(SCORES, 0, {})])
+        counted_keys = counted_keys.sort_by("bin")
+        words, pairs = (unpacked(docs[x], np.int32)[0] for x in ("words", "pairs"))
+        n_words = sum(len(x) // 8 for x in counted_keys["n_target"].filter(pa.array(counted_keys["bin"].to_numpy() < BINS)).to_pylist())
+        before, ends, means = words_before(words, n, n_words), np.cumsum(n), []
+        for name, whole in zip(("n_target", "n_background"), total, strict=True):
+            counts_of = unpacked(counted_keys[name], np.int64)[0]
+            single, context = counts_of[:n_words], np.maximum(np.append(counts_of[:n_words], 0), 1)
+            pair = np.minimum(counts_of[n_words:][pairs] / context[before], 1.0)
+            running = np.concatenate([[0.0], np.cumsum(-np.log(PAIR_WEIGHT * pair + (1 - PAIR_WEIGHT) * (single[words] + ADDED) / whole))])
+            means.append((running[ends] - running[ends - n]) / np.maximum(n, 1))
+        losses = {k: pa.array(v, pa.float64(), mask=n == 0) for k, v in (("loss_target", means[0]), ("loss_background", means[1]), ("difference", means[0] - means[1]))}
+        return pa.Table.from_batches([batch_of(SCORES, len(n), {"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(n)} | losses)])
+
+    keyed = counts.where("chunk is not null").select("chunk", "bin", "n_target", "n_background")
+    docs = chunks.where("bin is null").select("chunk", "doc_id", "n_tokens", "words", "pairs")
+    return keyed.groupBy("chunk").cogroup(docs.groupBy("chunk")).applyInArrow(run, SCORES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared_model.value
-        for batch in text_slices(batches, "text"):
-            hashes, bounds = word_hashes(batch.column("text"))
-            numbers = numbered(hashes, own.vocabulary)
-            before, cells = pair_cells(numbers, bounds, len(own.vocabulary))
-            sums = np.concatenate([np.zeros((1, 2)), np.cumsum(own.losses(numbers, before, cells), axis=0)])
-            n = np.diff(bounds)
-            mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)[:, None]
-            empty = n == 0
-            columns = [pa.array(x, pa.float64(), mask=empty) for x in (mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *columns], names=["doc_id", "n_tokens", "loss_target", "loss_background", "difference"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, difference double")
+def cross_entropy_difference(target: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each whole text's losses per token: doc_id, n_tokens, loss_target, loss_background, difference.
 
+    The target model is learnt from all of `target`'s texts, the background
+    from all of `docs`'s, over all their words. difference is loss_target
+    minus loss_background: the lower, the more the text is like the target.
+    Texts that are null or have no words have no tokens and null losses. A
+    row gives a row; other columns are not read.
 
-def cross_entropy_difference(target: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`scored` with the target model learnt from all of `target`'s texts and the background from all of `docs`'s."""
-    both = target.select(F.col(text).alias("text"), F.lit(True).alias("in_target")).unionByName(docs.select(F.col(text).alias("text"), F.lit(False).alias("in_target")))
-    return scored(docs, train(both), doc_id, text)
+    Every word and every pair is counted: keys are 64-bit digests, which at
+    five billion distinct pairs one pair of them is expected to share, and
+    nothing is capped. A chunk of the corpus sends each distinct key once, so
+    that a frequent word or pair has a row for each chunk at most.
+    """
+    own = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("in_target"))
+    texts = own.unionByName(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(False).alias("in_target")))
+    chunks = written(chunked(texts), "lm-chunks")
+    return scored(chunks, written(counted(chunks), "lm-counts"))

@@ -558,6 +558,28 @@ def test_search_prunes():
     assert sum(seen) < 0.5 * 300 * len(data)
 
 
+def test_every_word_and_pair_is_counted(spark, monkeypatch):
+    """More distinct words than the former vocabulary had, and more distinct pairs than it had cells; exact to rounding, over many chunks."""
+    monkeypatch.setattr(lm_score, "CHUNK", 1 << 16)
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{rng.randrange(400_000)}" for _ in range(3_000))) for i in range(450)] + [(450, ""), (None, None)]
+    target = [" ".join(rows[i][1].split()[:500]) for i in range(5)]
+    found = {r.doc_id: r for r in lm_score.cross_entropy_difference(spark.createDataFrame([(t,) for t in target], "text string"), spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == len(rows)
+    sides = [[t.split() for t in target], [(t or "").split() for _, t in rows]]
+    words = {w for side in sides for t in side for w in t}
+    pairs = [Counter(p for t in side for p in zip([None, *t], t, strict=False)) for side in sides]
+    assert len(words) > lm_score.VOCABULARY and len(pairs[1]) > 1 << 20
+    single = [Counter(w for t in side for w in t) for side in sides]
+    for i in (0, 4, 5, 449):
+        own = rows[i][1].split()
+        for x, name in enumerate(("loss_target", "loss_background")):
+            total = sum(single[x].values()) + lm_score.ADDED * (len(words) + 1)
+            want = np.mean([-np.log(0.7 * min(pairs[x][a, b] / max(1, single[x][a] if a else 1), 1) + 0.3 * (single[x][b] + lm_score.ADDED) / total) for a, b in zip([None, *own], own, strict=False)])
+            assert abs(found[i][name] - want) < 1e-9
+    assert found[450].n_tokens == 0 and found[450].difference is None and found[None].n_tokens == 0
+
+
 # SQL and the pipeline
 
 
