@@ -246,6 +246,32 @@ def test_noisy_or_and_offending_sentences(spark):
         assert all("beastly" in text[r.doc_id][s.start : s.end] for s in r.sentences) and (len(r.sentences) > 0) == (r.doc_id % 4 == 0)
 
 
+def test_long_and_many_documents_leave_the_toxic_ones_in_the_sample(spark):
+    """Few toxic documents, many clean ones and a very long one, with a third of the features that they have."""
+    rng = random.Random(19)
+    plain = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(800):
+        sentences = [" ".join(rng.choice(plain) for _ in range(8)) for _ in range(2_000 if i == 5 else 5)]
+        if i % 40 == 0:
+            sentences[rng.randrange(5)] += " beastly"
+        rows.append((i, ". ".join(sentences) + ".", int(i % 40 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.train(frame, frame, most_features=130_000)
+    # The 2,000 sentences of the long one are not judged: its score adds up those of far more sentences than any other has.
+    found = {r.doc_id: r.score >= 0.3 for r in toxicity.toxic_sentences(frame, model).collect() if r.doc_id != 5}
+    assert found == {i: label == 1 for i, _, label in rows if i != 5}
+
+
+def test_allowance_and_thinning():
+    assert toxicity.allowance(np.array([1, 2, 100, 50]), 63) == 30 and toxicity.allowance(np.array([3, 4]), 7) == 4 and toxicity.allowance(np.zeros(0, np.int64), 5) == 1
+    words, sizes = toxicity.thinned(np.arange(12, dtype=np.int32), np.array([3, 4, 5], np.int32), 8)
+    starts = {0: 3, 3: 4, 7: 5}
+    assert 0 < len(words) <= 8 and sizes.sum() == len(words) and all(starts[w] == n for w, n in zip(words[np.cumsum(sizes) - sizes].tolist(), sizes.tolist(), strict=True))
+    words, sizes = toxicity.thinned(np.arange(12, dtype=np.int32), np.array([12], np.int32), 4)
+    assert words.tolist() == [0, 3, 7, 11] and sizes.tolist() == [4]
+
+
 def test_gradient_is_that_of_the_likelihood():
     feature, sentence, text_of, label = np.array([1, 2, 1, 3]), np.array([0, 0, 1, 2]), np.array([0, 0, 1]), np.array([1, 0])
     model = toxicity.fit(feature, sentence, text_of, label, np.ones(2), 400, 0.5, 0.0)
