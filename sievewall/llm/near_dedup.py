@@ -14,15 +14,15 @@ from .shared import text_slices, written
 from .similarity import band_keys, set_digests, shared, shingle_sets, sketches
 from .textarrays import flat_text
 
-#: Bins of a sketch are cut into so many bands of so many; a pair at the threshold shares none once in 2 million.
-BANDS, ROWS = 25, 5
-#: A link needs PERCENT / 100 of the union in the intersection.
-PERCENT = 85
+#: A band is a stretch of so many bins of a sketch.
+ROWS = 5
+#: A link needs PERCENT / 100 of the union in the intersection; a pair at the threshold shares none of BANDS bands once in 2 million.
+PERCENT, BANDS = 85, 25
 #: Members of a bucket are compared in blocks of so many; a task holds two at a time.
 BLOCK = 256
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, bands: int) -> DataFrame:
     """Each document's shingle count, set digest and band keys; digest and bands are null for empty sets. docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             keys: list[np.ndarray | None] = [None] * len(sets)
             if some:
                 own = [sets[i] for i in some]
-                for i, digest, row in zip(some, set_digests(own), band_keys(sketches(own, BANDS * ROWS), BANDS, ROWS), strict=True):
+                for i, digest, row in zip(some, set_digests(own), band_keys(sketches(own, bands * ROWS), bands, ROWS), strict=True):
                     digests[i], keys[i] = digest, row
             columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands"])
@@ -82,7 +82,7 @@ def block_rows(members: DataFrame) -> DataFrame:
     )
 
 
-def links_among(digests: list[bytes], blocks: np.ndarray, sets: list[np.ndarray], low: int, high: int) -> list[tuple[bytes, bytes]]:
+def links_among(digests: list[bytes], blocks: np.ndarray, sets: list[np.ndarray], low: int, high: int, percent: int) -> list[tuple[bytes, bytes]]:
     """Links between the members of two blocks (of one, if they are the same), as a spanning forest of the linked ones."""
     sizes = np.array([len(x) for x in sets], np.int64)
     n = len(sets)
@@ -90,12 +90,12 @@ def links_among(digests: list[bytes], blocks: np.ndarray, sets: list[np.ndarray]
         common = np.zeros((n, n), np.int64)
         for i in range(n):
             for j in range(i):
-                if 100 * min(sizes[i], sizes[j]) >= PERCENT * max(sizes[i], sizes[j]):
+                if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
                     common[i, j] = common[j, i] = shared(sets[i], sets[j])
     else:
         common = overlaps(sets)
     union = sizes[:, None] + sizes[None, :] - common
-    linked = np.tril(100 * common >= PERCENT * union, -1)
+    linked = np.tril(100 * common >= percent * union, -1)
     if low != high:
         linked &= blocks[:, None] != blocks[None, :]
     parent = list(range(n))
@@ -137,7 +137,7 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return common.astype(np.int64)
 
 
-def verified_links(rows: DataFrame) -> DataFrame:
+def verified_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between digests; rows come sorted by key, low and high, with their sets."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -159,7 +159,7 @@ def verified_links(rows: DataFrame) -> DataFrame:
         found: list[tuple[bytes, bytes]] = []
         for (_, low, high), held in groups(batches):
             blocks, digests, sets = zip(*held, strict=True)
-            found += links_among(list(digests), np.array(blocks), list(sets), low, high)
+            found += links_among(list(digests), np.array(blocks), list(sets), low, high, percent)
             if len(found) > 10_000:
                 yield links_batch(found)
                 found = []
@@ -174,11 +174,11 @@ def links_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if their sets of distinct 5-word shingles have
-    100 * intersection >= 85 * union; component_id is the smallest doc_id
+    100 * intersection >= percent * union; component_id is the smallest doc_id
     reachable over links, itself included. Texts without words, null ones too,
     are linked with nothing. Rows repeated under one id are nodes each. A null
     id is never a component's id unless it is alone in it. A row gives a row,
@@ -191,7 +191,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(profiles(source), "near-profiles")
+    profile = written(profiles(source, bands), "near-profiles")
     nodes = written(
         profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max(F.struct("bands")).alias("b"), F.count(F.lit(1)).alias("copies")).select("digest", "first_id", "copies", F.col("b.bands").alias("bands")),
         "near-nodes",
@@ -203,7 +203,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sets = written(sets.join(wanted.select(F.col("_digest").alias("digest")), "digest", "left_semi").groupBy("digest").agg(F.max("shingles").alias("shingles")), "near-sets")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = block_rows(members).join(sets, "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    links = written(verified_links(rows).distinct(), "near-links")
+    links = written(verified_links(rows, percent).distinct(), "near-links")
     labels = connected_components(links)
     known = nodes.select("digest", "first_id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     linked = known.where("label is not null")
@@ -215,7 +215,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that represent their component, with all their columns."""
-    gone = near_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"))
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """The documents that represent their component, with all their columns.
+
+    At 80 percent 36 bands are right: a pair at the threshold shares none once in 1.6 million.
+    """
+    gone = near_groups(docs, doc_id, text, percent, bands).where("not kept").select(F.col("doc_id").alias("_gone_id"))
     return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")

@@ -173,6 +173,18 @@ def test_near_groups_match_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_near(rows)
 
 
+def test_near_copies_from_four_fifths_on(spark):
+    """Three words of 150 changed far apart: 131 of 161 shingles, 0.81; five of them changed: 0.71."""
+    rows = []
+    for i in range(40):
+        own = [f"d{i}w{k}" for k in range(150)]
+        rows.append((3 * i, " ".join(own)))
+        for j, n in ((1, 3), (2, 5)):
+            rows.append((3 * i + j, " ".join(f"x{i}{j}{k}" if k % 25 == 10 and k // 25 < n else w for k, w in enumerate(own))))
+    kept = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, bands=36)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(120) if i % 3 != 1]
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(12)
     template = [f"t{i}" for i in range(150)]
