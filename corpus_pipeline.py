@@ -15,12 +15,10 @@ TOXIC_FROM = 0.3
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score stays under the threshold; the model learns from the labels of these documents.
 
-    Rows of one id with different texts are judged together: a toxic one
-    takes all of them along. A null id is judged like any other.
+    Each row is judged by its own text, whatever its id.
     """
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
-    bad = toxicity.toxic_sentences(docs, model).where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    return toxicity.below(docs, model, TOXIC_FROM)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

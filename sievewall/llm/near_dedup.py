@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -23,7 +23,7 @@ BLOCK = 256
 
 
 def profiles(docs: DataFrame, bands: int) -> DataFrame:
-    """Each document's shingle count, set digest and band keys; digest and bands are null for empty sets. docs: doc_id, text."""
+    """Each document's shingle count, set digest and band keys; digest and bands are null for empty sets. docs: doc_id, mark, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -35,10 +35,10 @@ def profiles(docs: DataFrame, bands: int) -> DataFrame:
                 own = [sets[i] for i in some]
                 for i, digest, row in zip(some, set_digests(own), band_keys(sketches(own, bands * ROWS), bands, ROWS), strict=True):
                     digests[i], keys[i] = digest, row
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark string, n_shingles long, digest binary, bands array<long>")
 
 
 def shingles_of(docs: DataFrame) -> DataFrame:
@@ -189,11 +189,21 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     sets, block by block and inside the tasks: what leaves a task is a forest
     of links, never its pairs, and there is no cap on a bucket.
     """
+    joined = placed_rows(docs, doc_id, text, percent, bands, F.lit(None).cast("string"))
+    component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: int, mark: Column) -> DataFrame:
+    """Each row's doc_id, mark and n_shingles with its component_id, and what is first in the component: digest, first_id, first_mark.
+
+    Of a row that no other is linked with or equal to, all but the first three are null.
+    """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text).alias("text"))
     profile = written(profiles(source, bands), "near-profiles")
     nodes = written(
-        profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max(F.struct("bands")).alias("b"), F.count(F.lit(1)).alias("copies")).select("digest", "first_id", "copies", F.col("b.bands").alias("bands")),
+        profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max(F.struct("bands")).alias("b"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("m")).select("digest", "first_id", F.col("m.mark").alias("first_mark"), "copies", F.col("b.bands").alias("bands")),
         "near-nodes",
     )
     members = written(crowded_buckets(nodes.select("digest", F.explode("bands").alias("key"))), "near-buckets")
@@ -205,20 +215,26 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     rows = block_rows(members).join(sets, "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     links = written(verified_links(rows, percent).distinct(), "near-links")
     labels = connected_components(links)
-    known = nodes.select("digest", "first_id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    known = nodes.select("digest", "first_id", "first_mark", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     linked = known.where("label is not null")
-    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    placed = linked.join(least, "label").select("digest", "component_id").unionByName(known.where("label is null and copies > 1").select("digest", F.col("first_id").alias("component_id")))
+    least = linked.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest", "first_mark")).alias("f"))
+    first = [F.col(f"f.{x}").alias(y) for x, y in (("first_id", "component_id"), ("digest", "first_digest"), ("first_mark", "first_mark"))]
+    placed = linked.select("label", "digest").join(least, "label").select("digest", *first)
+    placed = placed.unionByName(known.where("label is null and copies > 1").select("digest", F.col("first_id").alias("component_id"), F.col("digest").alias("first_digest"), "first_mark"))
     placed = written(placed, "near-components")
-    joined = profile.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return profile.select("doc_id", "mark", "n_shingles", "digest").join(placed, "digest", "left")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """The documents that represent their component, with all their columns.
 
     At 80 percent 36 bands are right: a pair at the threshold shares none once in 1.6 million.
+
+    A decision holds for an id and text together: of a component, the text of
+    the least id (null last) and digest stays, whatever other rows share its id.
     """
-    gone = near_groups(docs, doc_id, text, percent, bands).where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
+    digest = lambda column: F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
+    rows = placed_rows(docs, doc_id, text, percent, bands, digest(F.col(text))).where("first_digest is not null")
+    stays = (F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
+    gone = rows.where(~stays).select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"))
+    return docs.join(gone, (digest(docs[text]) == F.col("_gone_mark")) & docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")

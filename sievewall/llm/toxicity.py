@@ -56,6 +56,12 @@ class ToxicityModel:
         n = int(sentence.max()) + 1 if len(sentence) else 0
         return np.bincount(sentence, weights=self.weights[feature], minlength=n) + self.bias
 
+    def documents(self, z: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+        """-ln(1 - score) of each of n texts; one without words scores as the bias does."""
+        s = np.bincount(text_of, weights=softplus(z), minlength=n)
+        s[np.bincount(text_of, minlength=n) == 0] = softplus(np.array([self.bias]))[0]
+        return s
+
 
 def fit(feature: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int, rate: float, shrink: float) -> ToxicityModel:
     """Proximal Adagrad on the noisy-or likelihood: P(document) = 1 - product over its sentences of (1 - p)."""
@@ -176,8 +182,7 @@ def toxic_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
             flat, offsets = flat_text(batch.column("text"))
             feature, sentence, text_of, places = instances(flat, offsets)
             z = own.sentences(feature, sentence)
-            s = np.bincount(text_of, weights=softplus(z), minlength=batch.num_rows)
-            s[np.bincount(text_of, minlength=batch.num_rows) == 0] = softplus(np.array([own.bias]))[0]
+            s = own.documents(z, text_of, batch.num_rows)
             marked = np.flatnonzero(z >= logit)
             owner, spans = text_of[marked], places[marked]
             points = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
@@ -188,3 +193,17 @@ def toxic_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return source.mapInArrow(run, "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
+
+
+def below(docs: DataFrame, model: ToxicityModel, most: float, text: str = "text") -> DataFrame:
+    """The rows whose whole text scores less than `most`, with all their columns; each row is judged by its own text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in text_slices(batches, text):
+            feature, sentence, text_of, _ = instances(*flat_text(batch.column(text)))
+            s = own.documents(own.sentences(feature, sentence), text_of, batch.num_rows)
+            yield batch.filter(pa.array(-np.expm1(-s) < most))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -653,3 +654,20 @@ def test_stages_keep_the_columns_of_documents(spark):
         out = stage(spark, frame, SF)
         assert out.columns == frame.columns
         assert stage(spark, none_of(frame), SF).collect() == []
+
+
+def test_stages_judge_rows_of_null_and_reused_ids_by_their_own_text(spark, monkeypatch):
+    """One toxic row or near copy takes no clean, unique row along that shares its id or has none either."""
+    own = lambda name: " ".join(f"{name}w{k}" for k in range(150))
+    near = own("n").replace("nw70 ", "other ")
+    rows = [(None, own("a")), (None, own("n")), (None, near), (7, own("b")), (7, own("c")), (7, own("c").replace("cw70 ", "x ")), (8, own("m")), (9, own("e")), (9, own("m").replace("mw70 ", "x "))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one_of_each(frame).collect()]
+    assert {rows[i] for i in (0, 3, 6, 7)} < set(kept) and rows[8] not in kept and len(kept) == 6
+    bad = [(None, "beastly. " * 3), (7, "so beastly")]
+    feature = toxicity.instances(*toxicity.flat_text(pa.array(["beastly"])))[0][-1]
+    weights = np.zeros(toxicity.FEATURES)
+    weights[feature] = 20
+    monkeypatch.setattr(queries, "toxicity_model", lambda docs, labels: toxicity.ToxicityModel(weights, -10.0))
+    found = corpus_pipeline.without_toxic(spark, spark.createDataFrame(rows + bad, "doc_id long, text string"), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
