@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .credentials import first_rule
 
-# How much of a text is looked at, what is long enough to decode, and how much of it must be printable.
+# How much of a text the reference looks at, what is long enough to decode, and how much of it must be printable.
 SCAN_LENGTH, LEAST_INPUT, LEAST_DECODED, PRINTABLE_SHARE = 600_000, 16, 12, 0.90
 BASE64, HEX = r"[A-Za-z0-9+/_\-]{24,}={0,2}", r"[0-9a-fA-F]{32,}"
 #: Not printable: controls, format, private use, separators; the plain blanks are printable.
@@ -33,13 +33,14 @@ def decoded_hex(token: Column) -> Column:
     return F.when(F.length(token) % 2 == 0, printable_text(F.unhex(token)))
 
 
-def encoded_blobs(text: Column) -> Column:
+def encoded_blobs(text: Column, scan_length: int | None = None) -> Column:
     """array<struct<encoding, decoded, excerpt>>: base64 passages in order, then hex, then the whole text by rot13.
 
-    The count is bounded by the scanned length alone: a passage takes 17
-    characters at least.
+    The whole text is scanned, or its first `scan_length` characters where
+    they are given (the reference's bound is SCAN_LENGTH). The count is bounded
+    by the scanned length alone: a passage takes 17 characters at least.
     """
-    scan = F.substring(text, 1, SCAN_LENGTH)
+    scan = text if scan_length is None else F.substring(text, 1, scan_length)
 
     def blob(encoding: str, decoded: Column, source: Column) -> Column:
         return F.struct(F.lit(encoding).alias("encoding"), decoded.alias("decoded"), F.substring(source, 1, 40).alias("excerpt"))

@@ -53,6 +53,14 @@ def test_encodings(spark):
     assert [h and (h.encoding, h.rule) for h in hits] == [(x, "github_token") for x in ("base64", "hex", "rot13")] + [None]
 
 
+def test_encodings_behind_a_long_text(spark):
+    secret = "ghp_" + "a1B2" * 9
+    long = "word " * 130_000 + secret.encode().hex()
+    hits = column(spark, [long], lambda t: encodings.encoded_secret(encodings.encoded_blobs(t)))
+    assert [(h.encoding, h.rule) for h in hits] == [("hex", "github_token")]
+    assert column(spark, [long], lambda t: encodings.encoded_secret(encodings.encoded_blobs(t, encodings.SCAN_LENGTH))) == [None]
+
+
 def test_binary_noise_is_no_text(spark):
     assert column(spark, ["ff" * 20, "00" * 20, "6162" * 10], encodings.decoded_hex) == [None, None, "ab" * 10]
 
