@@ -454,29 +454,48 @@ def test_pieces_awkward_rows(spark):
 # 8 LM scores
 
 
+def words_in(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_losses(target, docs):
+    """A document's losses under the target and under all other documents, by its number; both sides are lists of word lists."""
+    single = [Counter(w for t in side for w in t) for side in (target, docs)]
+    pair = [Counter(p for t in side for p in zip([None, *t], t, strict=False)) for side in (target, docs)]
+    texts, n_words = [sum(map(bool, side)) for side in (target, docs)], len(single[0].keys() | single[1].keys())
+
+    def of(i):
+        t, means = docs[i], []
+        own_single, own_pair = Counter(t), Counter(zip([None, *t], t, strict=False))
+        for side, own in enumerate((0, 1)):
+            total = sum(single[side].values()) - own * len(t) + lm_score.ADDED * (n_words + 1)
+            context = lambda a: texts[side] - own if a is None else single[side][a] - own * own_single[a]  # noqa: B023, E731
+            p = [0.7 * min((pair[side][a, b] - own * own_pair[a, b]) / max(1, context(a)), 1) + 0.3 * (single[side][b] - own * own_single[b] + lm_score.ADDED) / total for a, b in zip([None, *t], t, strict=False)]
+            means.append(-np.mean(np.log(p)))
+        return means
+
+    return of
+
+
 def test_losses_match_brute_force(spark, docs):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("text")
+    target = [words_in(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     found = {r.doc_id: r for r in queries.op8_lm_score(spark, SF).collect()}
-    words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    sides = [[words(r.text) for r in bench.collect()], [words(r.text) for r in docs.collect()]]
-    both = Counter(w for side in sides for t in side for w in t)
-    assert len(both) < lm_score.VOCABULARY
-    losses = []
-    for side in sides:
-        single, pair, follow = Counter(w for t in side for w in t), Counter(), Counter()
-        for t in side:
-            pair.update(zip([None, *t], t, strict=False))
-            follow.update(t)
-        total = sum(single.values()) + lm_score.ADDED * (len(both) + 1)
-        losses.append(lambda t, s=single, p=pair, f=follow, n=total: np.mean([-np.log(0.7 * min(p[a, b] / max(f[a], 1) if a is not None else min(p[a, b], 1), 1) + 0.3 * (s[b] + lm_score.ADDED) / n) for a, b in zip([None, *t], t, strict=False)]))
-    close = 0
-    for r in docs.collect():
-        own = words(r.text)
-        if own:
-            want = losses[0](own) - losses[1](own)
-            close += abs(found[r.doc_id].difference - want) < 0.02 * max(1, abs(want))
-            assert found[r.doc_id].n_tokens == len(own)
-    assert close >= 0.97 * docs.count()
+    rows = docs.collect()
+    losses = brute_losses(target, [words_in(r.text) for r in rows])
+    assert len(found) == len(rows)
+    for i, r in enumerate(rows):
+        own = found[r.doc_id]
+        assert own.n_tokens == len(words_in(r.text))
+        if own.n_tokens:
+            assert np.allclose([own.loss_target, own.loss_background], losses(i), atol=1e-9) and abs(own.difference - (own.loss_target - own.loss_background)) < 1e-12
+
+
+def test_a_document_that_occurs_twice_is_known_to_the_background(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(80))) for i in range(200)] + [(200, None)]
+    rows.append((201, rows[7][1]))
+    found = {r.doc_id: r for r in lm_score.cross_entropy_difference(none_of(spark.createDataFrame(rows, "doc_id long, text string")), spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[7].loss_background == found[201].loss_background < min(r.loss_background for i, r in found.items() if i not in (7, 200, 201)) - 1
 
 
 def test_scores_prefer_the_target(spark):
@@ -606,16 +625,10 @@ def test_every_word_and_pair_is_counted(spark, monkeypatch):
     found = {r.doc_id: r for r in lm_score.cross_entropy_difference(spark.createDataFrame([(t,) for t in target], "text string"), spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(found) == len(rows)
     sides = [[t.split() for t in target], [(t or "").split() for _, t in rows]]
-    words = {w for side in sides for t in side for w in t}
-    pairs = [Counter(p for t in side for p in zip([None, *t], t, strict=False)) for side in sides]
-    assert len(words) > lm_score.VOCABULARY and len(pairs[1]) > 1 << 20
-    single = [Counter(w for t in side for w in t) for side in sides]
+    assert len({w for side in sides for t in side for w in t}) > 1 << 16 and len({p for t in sides[1] for p in zip(t[:-1], t[1:], strict=True)}) > 1 << 20
+    losses = brute_losses(*sides)
     for i in (0, 4, 5, 449):
-        own = rows[i][1].split()
-        for x, name in enumerate(("loss_target", "loss_background")):
-            total = sum(single[x].values()) + lm_score.ADDED * (len(words) + 1)
-            want = np.mean([-np.log(0.7 * min(pairs[x][a, b] / max(1, single[x][a] if a else 1), 1) + 0.3 * (single[x][b] + lm_score.ADDED) / total) for a, b in zip([None, *own], own, strict=False)])
-            assert abs(found[i][name] - want) < 1e-9
+        assert np.allclose([found[i].loss_target, found[i].loss_background], losses(i), atol=1e-9)
     assert found[450].n_tokens == 0 and found[450].difference is None and found[None].n_tokens == 0
 
 
