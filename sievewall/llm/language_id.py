@@ -13,42 +13,41 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import removed, text_slices, written
 from .textarrays import mix64
 
 SPACE = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Pieces of more characters are left out of the vocabulary; longer words are scored in stretches of so many.
-LONGEST_PIECE, LONGEST_WORD = 8, 48
-#: A task's table of scored words starts anew beyond so many.
-MOST_WORDS = 400_000
+#: Places of a word are looked up in stretches of so many; longer words than that are scored stretch by stretch.
+STRETCH = 4096
+#: Words are scored together while their characters, padded, times languages and the longest piece are at most so many.
+CELLS = 1 << 22
+#: A task's table of scored words starts anew beyond so many characters in them.
+MOST_CHARACTERS = 4_000_000
 UNDETERMINED = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, cut into stretches where they are very long."""
-    found = LETTERS.findall(text.lower()) if text else []
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    """Lower-cased runs of letters, whole."""
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def vocabulary_of(model_file: str) -> list[str]:
-    """The fixed vocabulary: lower-cased pieces of letters, with or without the mark of a word's start."""
+    """The fixed vocabulary: all lower-cased pieces of letters, with or without the mark of a word's start."""
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and (p == SPACE or p.removeprefix(SPACE).isalpha()))
+    return sorted(p for p in pieces if p == SPACE or p.removeprefix(SPACE).isalpha())
 
 
 class Lattice:
     """All places of vocabulary pieces in words; a character that no piece spells is a piece by itself."""
 
     def __init__(self, vocabulary: list[str]):
-        self.size = len(vocabulary) + 1
+        self.size, self.longest = len(vocabulary) + 1, max(map(len, vocabulary), default=1)
         keys = np.array([self._key(p) for p in vocabulary], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.piece = keys[order], order.astype(np.int32)
-        self.single = {len(p) for p in vocabulary}
+        self.keys, self.piece = keys[order], order
+        self.lengths = sorted({1, *map(len, vocabulary)})
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -57,61 +56,100 @@ class Lattice:
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(c)))
         return int(key[0])
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """pieces[word, end, length - 1]: the piece that ends there, or -1; the last number is the unknown character. And word lengths."""
+    @staticmethod
+    def points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """points[place, word]: code points behind the mark of the word's start, zeros behind its end; and sizes with the mark."""
         sizes = np.array([len(w) + 1 for w in words], np.int64)
-        width = int(sizes.max())
-        points = np.zeros((len(words), width), np.uint64)
-        flat = np.frombuffer("".join(SPACE + w for w in words).encode("utf-32-le"), np.uint32)
-        points[np.arange(width) < sizes[:, None]] = flat
-        pieces = np.full((len(words), width + 1, LONGEST_PIECE), -1, np.int32)
-        key = np.zeros((len(words), width), np.uint64)
-        for length in range(1, min(LONGEST_PIECE, width) + 1):
-            # key[:, i] is of the piece that starts at i
-            key = mix64(key[:, : width - length + 1] * np.uint64(0x9E3779B97F4A7C15) + points[:, length - 1 :])
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            hit &= np.arange(length, width + 1) <= sizes[:, None]
-            pieces[:, length:, length - 1] = np.where(hit, self.piece[at], -1)
-        alone = pieces[:, 1:, 0]
-        alone[alone < 0] = self.size - 1
-        return pieces, sizes
+        found = np.zeros((len(words), int(sizes.max(initial=1))), np.uint32)
+        found[np.arange(found.shape[1]) < sizes[:, None]] = np.frombuffer("".join(SPACE + w for w in words).encode("utf-32-le"), np.uint32)
+        return np.ascontiguousarray(found.T), sizes
+
+    def edges(self, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """For each end in order: its edges as (length, words, pieces); every word has an edge of one character at each of its ends."""
+        width = len(points)
+        for first in range(0, width, STRETCH):
+            last = min(width, first + STRETCH)
+            base = max(0, first - self.longest + 1)
+            own = points[base:last].astype(np.uint64)
+            key, found = np.zeros_like(own), {}
+            for length in range(1, min(self.longest, len(own)) + 1):
+                # key[i] is of the piece that starts at base + i
+                key = mix64(key[: len(own) - length + 1] * np.uint64(0x9E3779B97F4A7C15) + own[length - 1 :])
+                if length not in self.lengths:
+                    continue
+                at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+                hit = self.keys[at] == key if len(self.keys) else np.zeros(key.shape, bool)
+                inside = np.arange(base + length, last + 1)[:, None] <= sizes
+                piece = np.where(hit, self.piece[at] if len(self.keys) else 0, self.size - 1)
+                place, word = np.nonzero(inside if length == 1 else hit & inside)
+                found[length] = (np.searchsorted(place, np.arange(len(own) - length + 2)), word, piece[place, word])
+            for end in range(first + 1, last + 1):
+                edges = []
+                for length, (cuts, word, piece) in found.items():
+                    start = end - length - base
+                    if start >= 0 and cuts[start] < cuts[start + 1]:
+                        edges.append((length, word[cuts[start] : cuts[start + 1]], piece[cuts[start] : cuts[start + 1]]))
+                yield end, edges
 
     def forward(self, words: list[str], probability: np.ndarray) -> np.ndarray:
-        """log P(word | language), summed over all segmentations; probability[piece, language]."""
-        pieces, sizes = self.of(words)
-        padded = np.concatenate([probability, np.zeros((1, probability.shape[1]))])
-        alpha = np.zeros((len(words), pieces.shape[1], probability.shape[1]))
-        alpha[:, 0] = 1
-        for end in range(1, pieces.shape[1]):
-            for length in range(1, min(end, LONGEST_PIECE) + 1):
-                alpha[:, end] += alpha[:, end - length] * padded[pieces[:, end, length - 1]]
-        return np.log(alpha[np.arange(len(words)), sizes])
+        """log P(word | language), summed over all segmentations; probability[piece, language].
+
+        Only the sums of the last places that a piece can reach back to are
+        kept; they are scaled by the newest, word by word and language by
+        language, so that words of any length neither vanish nor cost memory.
+        """
+        points, sizes = self.points(words)
+        shape = (len(words), probability.shape[1])
+        ring, scale, found = np.zeros((self.longest + 1, *shape)), np.zeros(shape), np.zeros(shape)
+        ring[0] = 1
+        for end, edges in self.edges(points, sizes):
+            own = ring[end % len(ring)]
+            own[:] = 0
+            for length, word, piece in edges:
+                own[word] += ring[(end - length) % len(ring)][word] * probability[piece]
+            done = sizes == end
+            found[done] = np.log(own[done]) + scale[done]
+            if end % 8 == 0:
+                by = np.where(own > 0, own, 1.0)
+                scale += np.log(by)
+                ring /= by
+        return found
 
     def expected(self, words: list[str], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces in one language's words, over all segmentations (forward and backward)."""
-        pieces, sizes = self.of(words)
-        padded = np.append(probability, 0.0)
-        p = padded[pieces]
-        n, ends = pieces.shape[:2]
-        alpha, beta = np.zeros((n, ends)), np.zeros((n, ends))
-        alpha[:, 0] = 1
-        beta[np.arange(n), sizes] = 1
-        for end in range(1, ends):
-            for length in range(1, min(end, LONGEST_PIECE) + 1):
-                alpha[:, end] += alpha[:, end - length] * p[:, end, length - 1]
-        for end in range(ends - 1, 0, -1):
-            for length in range(1, min(end, LONGEST_PIECE) + 1):
-                beta[:, end - length] += beta[:, end] * p[:, end, length - 1]
-        share = weights / alpha[np.arange(n), sizes]
-        counts = np.zeros(self.size)
-        for length in range(1, min(LONGEST_PIECE, ends - 1) + 1):
-            used = alpha[:, : ends - length] * p[:, length:, length - 1] * beta[:, length:] * share[:, None]
-            own = pieces[:, length:, length - 1]
-            inside = own >= 0
-            counts += np.bincount(own[inside], weights=used[inside], minlength=self.size)
+        """Expected counts of pieces in one language's words, over all segmentations (forward and backward, in logarithms)."""
+        points, sizes = self.points(words)
+        n, width = len(words), len(points)
+        log_p = np.log(probability)
+        alpha, beta = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        alpha[0] = 0
+        edges = list(self.edges(points, sizes))
+        for end, own in edges:
+            before, total = alpha[end - 1], np.zeros(n)
+            for length, word, piece in own:
+                total[word] += np.exp(alpha[end - length][word] - before[word]) * probability[piece]
+            some = total > 0
+            alpha[end][some] = before[some] + np.log(total[some])
+        beta[sizes, np.arange(n)] = 0
+        whole, counts = alpha[sizes, np.arange(n)], np.zeros(self.size)
+        for end, own in reversed(edges):
+            for length, word, piece in own:
+                step = beta[end][word] + log_p[piece]
+                beta[end - length][word] = np.logaddexp(beta[end - length][word], step)
+                counts += np.bincount(piece, weights=weights[word] * np.exp(alpha[end - length][word] + step - whole[word]), minlength=self.size)
         return counts
 
+    def batches(self, words: list[str], columns: int) -> Iterator[np.ndarray]:
+        """The words' numbers, words of like lengths together, as many as a pass of so many columns holds."""
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            wide = sizes[order[at:]]
+            cells = np.arange(1, len(wide) + 1) * np.maximum(np.minimum(wide, STRETCH), self.longest) * max(columns, 8)
+            n = max(1, int(np.searchsorted(cells, CELLS, side="right")))
+            yield order[at : at + n]
+            at += n
+
 
 class LanguageModel:
     """Languages, and each piece's probability in each."""
@@ -120,59 +158,80 @@ class LanguageModel:
         self.languages, self.lattice, self.probability = languages, lattice, probability
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """log P(word | language); words of like lengths are scored together."""
+        """log P(word | language)."""
         found = np.zeros((len(words), len(self.languages)))
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for i in range(0, len(order), 8192):
-            part = order[i : i + 8192]
+        for part in self.lattice.batches(words, len(self.languages)):
             found[part] = self.lattice.forward([words[k] for k in part.tolist()], self.probability)
         return found
 
 
 def sampled_words(docs: DataFrame, languages: list[str], share: dict[str, float]) -> DataFrame:
-    """Words of a hashed sample of the labelled documents, counted: lang, word, n."""
-    limit = F.lit(0.0)
-    for language in languages:
-        limit = F.when(F.col("lang") == language, share[language]).otherwise(limit)
+    """Words of a hashed sample of the labelled documents, counted: language (its number), word, n."""
+    limits = docs.sparkSession.createDataFrame([(x, i, share[x]) for i, x in enumerate(languages)], "_lang string, language int, _limit double")
     part = (F.xxhash64(F.col("doc_id")) % F.lit(1 << 30) + F.lit(1 << 30)) / F.lit(float(1 << 31))
+    sample = docs.join(limits, (F.col("lang") == F.col("_lang")) & (part < F.col("_limit"))).select("language", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        for batch in batches:
+        counts: dict[int, Counter] = {}
+        for batch in text_slices(batches, "text"):
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.setdefault(language, Counter()).update(words_of(text))
-        for language, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+            if sum(map(len, counts.values())) > 100_000:
+                yield from counted_words(counts)
+                counts = {}
+        yield from counted_words(counts)
 
-    return docs.where(part < limit).select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(run, "language int, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+
+
+def counted_words(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+    for language, own in counts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([language] * len(own), pa.int32()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["language", "word", "n"])
+
+
+def expected_counts(words: DataFrame, lattice: Lattice, probability: np.ndarray) -> np.ndarray:
+    """Expected counts [piece, language] of all words under the present probabilities, added up from the tasks'."""
+    shared = words.sparkSession.sparkContext.broadcast((lattice, probability))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, p = shared.value
+        sums = np.zeros(p.shape)
+        for batch in text_slices(batches, "word"):
+            language, words, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+            for column in np.unique(language).tolist():
+                rows = np.flatnonzero(language == column)
+                texts = [words[k] for k in rows.tolist()]
+                for part in own.batches(texts, 8):
+                    sums[:, column] += own.expected([texts[k] for k in part.tolist()], n[rows[part]], p[:, column])
+        piece, column = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(column), pa.array(sums[piece, column])], names=["piece", "language", "n"])
+
+    rows = words.mapInArrow(run, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(probability.shape)
+    found[rows["piece"].to_numpy(), rows["language"].to_numpy()] = rows["n"].to_numpy()
+    return found
 
 
-def train(labelled: DataFrame, model_file: str, docs_per_language: int = 300, most_languages: int = 256, rounds: int = 3, smoothing: float = 0.1) -> LanguageModel | None:
+def train(labelled: DataFrame, model_file: str, docs_per_language: int = 300, rounds: int = 3, smoothing: float = 0.1) -> LanguageModel | None:
     """Piece probabilities of each language by expectation maximisation; labelled: doc_id, text, lang.
 
     Only a sample is read in full, chosen by the hash of the id: about
-    `docs_per_language` documents of each language, of the `most_languages`
-    with the most documents. None if nothing is labelled.
+    `docs_per_language` documents of each language. Expected counts are added
+    up in the tasks; what comes to the driver is the model's own size, a
+    number for each piece and language. None if nothing is labelled.
     """
     labelled = labelled.where("lang is not null")
-    sizes = [(r.lang, r.n) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    languages = sorted(x for x, _ in sizes)
-    counted = sampled_words(labelled, languages, {x: docs_per_language / n for x, n in sizes}).toPandas()
+    languages = sorted(sizes)
+    words = written(sampled_words(labelled, languages, {x: docs_per_language / n for x, n in sizes.items()}), "language-words")
     lattice = Lattice(vocabulary_of(model_file))
-    probability = np.zeros((lattice.size, len(languages)))
-    for column, language in enumerate(languages):
-        own = counted[counted["lang"] == language]
-        order = own["word"].str.len().argsort(kind="stable").to_numpy()
-        words, weights = own["word"].to_numpy()[order].tolist(), own["n"].to_numpy()[order].astype(float)
-        p = np.full(lattice.size, 1.0 / lattice.size)
-        for _ in range(rounds):
-            counts = np.full(lattice.size, smoothing)
-            for i in range(0, len(words), 8192):
-                counts += lattice.expected(words[i : i + 8192], weights[i : i + 8192], p)
-            p = counts / counts.sum()
-        probability[:, column] = p
+    probability = np.full((lattice.size, len(languages)), 1.0 / lattice.size)
+    for _ in range(rounds):
+        counts = expected_counts(words, lattice, probability) + smoothing
+        probability = counts / counts.sum(axis=0)
+    removed(words)
     return LanguageModel(languages, lattice, probability)
 
 
@@ -180,8 +239,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
     """The language of every whole text: doc_id, lang_pred, score.
 
     A text's probability in a language is the product of its words', each
-    summed over all segmentations into pieces; score is the posterior of the
-    best language under equal priors, ties to the first by name. Texts that
+    summed over all segmentations into pieces, whatever its length; score is
+    the posterior of the best language under equal priors, ties to the first
+    by name. Texts that
     are null or have no letter are `und` with score 0, as is every text where
     no language was learnt. A row gives a row; other columns are not read.
     """
@@ -190,12 +250,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         known: dict[str, int] = {}
+        held = 0
         scores = np.zeros((0, len(own.languages) if own else 1))
         for batch in text_slices(batches, "text"):
             words = [words_of(t) if own else [] for t in batch.column("text").to_pylist()]
-            if len(known) > MOST_WORDS:
-                known, scores = {}, scores[:0]
+            if held > MOST_CHARACTERS:
+                known, scores, held = {}, scores[:0], 0
             new = list({w for w in chain.from_iterable(words) if w not in known})
+            held += sum(map(len, new))
             if new:
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 scores = np.concatenate([scores, own.word_scores(new)])

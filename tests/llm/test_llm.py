@@ -43,14 +43,15 @@ def docs(spark):
 
 def brute_word(word, lattice, probability):
     """Sum over every segmentation, spelt out."""
-    pieces = dict(zip(lattice.names, range(len(lattice.names)), strict=True))
+    pieces = lattice.numbers if hasattr(lattice, "numbers") else dict(zip(lattice.names, range(len(lattice.names)), strict=True))
+    lattice.numbers = pieces
     text, total = "▁" + word, 0.0
 
     def go(at, p):
         nonlocal total
         if at == len(text):
             total += p
-        for n in range(1, min(language_id.LONGEST_PIECE, len(text) - at) + 1):
+        for n in range(1, min(lattice.longest, len(text) - at) + 1):
             piece = text[at : at + n]
             if piece in pieces:
                 go(at + n, p * probability[pieces[piece]])
@@ -79,6 +80,42 @@ def test_forward_sums_all_segmentations():
         assert abs(slope - counts[piece]) < 1e-3
 
 
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    """Against the sum place by place in logarithms, over words far beyond a stretch and beyond what a double holds."""
+    monkeypatch.setattr(language_id, "STRETCH", 64)
+    names = sorted({"▁", "▁a", "a", "b", "ab", "ba", "abbabbabba", "▁abbab"})
+    lattice = language_id.Lattice(names)
+    p = np.random.default_rng(2).dirichlet(np.ones(lattice.size), 2).T
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 63, 64, 65, 500, 5000)] + ["abbabbabba" * 300, "z" * 900]
+    for word, got in zip(words, lattice.forward(words, p), strict=True):
+        text, sums = "▁" + word, [np.zeros(2)]
+        for end in range(1, len(text) + 1):
+            terms = [sums[end - n] + np.log(p[names.index(text[end - n : end])]) for n in lattice.lengths if n <= end and text[end - n : end] in names]
+            sums.append(np.logaddexp.reduce(terms or [sums[end - 1] + np.log(p[-1])]))
+        assert np.allclose(got, sums[-1], rtol=1e-9)
+    assert lattice.forward(words, p)[5].max() < -750
+
+
+def test_language_query_matches_brute_force(spark):
+    """Every short text of a small table, by segmentations spelt out under the query's own model."""
+    frame = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the cat sat on a mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("Ünder 12 öl", None), ("", "en"), (None, "de"), ("chat katze cat", "fr")] * 3)], "doc_id long, text string, lang string")
+    model = language_id.train(frame, queries.MODEL_FILE)
+    model.lattice.names = language_id.vocabulary_of(queries.MODEL_FILE)
+    assert model.languages == ["de", "en", "fr"] and np.allclose(model.probability.sum(axis=0), 1)
+    known = {}
+    for r in language_id.identify(frame, model).collect():
+        words = re.findall(r"[^\W\d_]+", (frame.where(F.col("doc_id") == r.doc_id).first().text or "").lower())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        for w in words:
+            known[w] = known[w] if w in known else np.array([brute_word(w, model.lattice, model.probability[:, k]) for k in range(3)])
+        total = sum(known[w] for w in words)
+        best = int(total.argmax())
+        assert r.lang_pred == model.languages[best] and abs(r.score - 1 / np.exp(total - total[best]).sum()) < 1e-9
+
+
 def test_language_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
