@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import text_slices, written
+from .shared import one_of_each, removed, text_slices, written
 from .similarity import band_keys, set_digests, shared, shingle_sets, sketches
 from .textarrays import flat_text
 
@@ -18,8 +18,8 @@ from .textarrays import flat_text
 ROWS = 5
 #: A link needs PERCENT / 100 of the union in the intersection; a pair at the threshold shares none of BANDS bands once in 2 million.
 PERCENT, BANDS = 85, 25
-#: Members of a bucket are compared in blocks of so many; a task holds two at a time.
-BLOCK = 256
+#: Members of a bucket are compared in blocks of about so many, and of about so many shingles; a task holds two at a time.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 
 def profiles(docs: DataFrame, bands: int) -> DataFrame:
@@ -38,54 +38,82 @@ def profiles(docs: DataFrame, bands: int) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("mark"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, mark string, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, bands array<long>")
 
 
-def shingles_of(docs: DataFrame) -> DataFrame:
-    """The sets themselves: doc_id, digest, shingles (sorted hashes). docs: doc_id, text."""
+def shingles_of(texts: DataFrame) -> DataFrame:
+    """The sets themselves: digest, shingles (sorted hashes). texts: text, digest; a text of another digest is left out, a task gives a digest once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in text_slices(batches, "text"):
-            sets = shingle_sets(*flat_text(batch.column("text")))
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_digests(sets), pa.binary()), lists], names=["doc_id", "digest", "shingles"])
+            sets, wanted, chosen = shingle_sets(*flat_text(batch.column("text"))), batch.column("digest").to_pylist(), []
+            for i, digest in enumerate(set_digests(sets)):
+                if digest == wanted[i] and digest not in seen:
+                    seen.add(digest)
+                    chosen.append(i)
+            flat = np.concatenate([*(sets[i] for i in chosen), np.zeros(0, np.uint64)]).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in chosen])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in chosen], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["digest", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, shingles array<long>")
+    return texts.mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def crowded_buckets(bands: DataFrame) -> DataFrame:
-    """Memberships of the buckets that matter: key, digest, n_bucket.
+    """Memberships of the buckets that matter: key, digest, lead (one of the bucket's members), blocks (that it needs).
 
-    Buckets of one member say nothing. Of buckets with the very same members
-    (near copies meet in many bands) one is enough: they share count, sum and
-    least and greatest of the members' hashes, and the one of least key stays.
+    bands: digest, n_shingles, key. Buckets of one member say nothing. Of
+    buckets with the very same members (near copies meet in many bands) one is
+    enough: they share count, sum and least and greatest of the members'
+    64-bit hashes, and the one of least key stays.
     """
     member = F.xxhash64("digest")
     sizes = bands.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_bucket"),
         F.sum(F.shiftright(member, 20)).alias("total"),
+        F.sum("n_shingles").alias("weight"),
         F.min(F.struct(member, "digest")).alias("least"),
         F.max(F.struct(member, "digest")).alias("most"),
     )
-    chosen = sizes.where("n_bucket > 1").groupBy("n_bucket", "total", "least", "most").agg(F.min("key").alias("key"))
-    return bands.join(chosen.select("key", "n_bucket"), "key")
+    chosen = sizes.where("n_bucket > 1").groupBy("n_bucket", "total", "least", "most").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("n_bucket") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    return bands.join(chosen.select("key", F.col("least.digest").alias("lead"), blocks.alias("blocks")), "key").select("key", "digest", "lead", "blocks")
+
+
+def star_rows(members: DataFrame) -> DataFrame:
+    """Rows that compare each member with its bucket's lead: key, low, high, block, label, digest; a lead is block 0 and meets its members by the block."""
+    own = members.where("digest <> lead").select(F.col("lead").alias("key"), F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int").alias("high"), "digest").distinct()
+    leads = own.select("key", "high").distinct().select("key", "high", F.lit(0).alias("block"), F.col("key").alias("digest"))
+    return own.select("key", "high", F.lit(1).alias("block"), "digest").unionByName(leads).select(F.hex("key").alias("key"), F.lit(-1).alias("low"), "high", "block", F.col("digest").alias("label"), "digest")
 
 
 def block_rows(members: DataFrame) -> DataFrame:
-    """A row for each pair of blocks that a member takes part in: key, low, high (blocks), block (its own), and the rest."""
-    blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int"))
-    return spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest"
+    """A row for each pair of blocks that a member takes part in: key, low, high (blocks), block (its own), label, digest.
+
+    members: key, digest, label. Members of one label need no comparison: a
+    label of many members fills blocks of its own, which do not meet each
+    other; the others are dealt by label.
+    """
+    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    wide = labels.where(F.col("n") > BLOCK // 2).select("key", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("own"), F.abs(F.xxhash64("label")).alias("group"))
+    narrow = labels.where(F.col("n") <= BLOCK // 2).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pools"))
+    dealt = (
+        members.join(wide, ["key", "label"], "left").join(narrow, "key", "left")
+        .withColumn("block", F.coalesce(F.pmod(F.xxhash64("digest", F.lit(5)), F.col("own")), F.pmod(F.xxhash64("label", F.lit(6)), F.col("pools"))).cast("int"))
+        .select("key", F.coalesce("group", F.lit(-1).cast("long")).alias("group"), "block", "label", "digest")
     )
+    blocks = dealt.select("key", "group", "block").distinct().withColumn("name", F.xxhash64("group", "block"))
+    other = blocks.select("key", F.col("group").alias("_group"), F.col("block").alias("_block"), F.col("name").alias("_name"))
+    meets = (F.col("group") != F.col("_group")) | (F.col("group") == -1)
+    pairs = blocks.join(other, "key").where(meets).select("key", "group", "block", F.least("name", "_name").alias("low"), F.greatest("name", "_name").alias("high"), "name")
+    return dealt.join(pairs, ["key", "group", "block"]).select(F.col("key").cast("string").alias("key"), "low", "high", F.col("name").alias("block"), "label", "digest")
 
 
-def links_among(digests: list[bytes], blocks: np.ndarray, sets: list[np.ndarray], low: int, high: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between the members of two blocks (of one, if they are the same), as a spanning forest of the linked ones."""
+def links_among(digests: list[bytes], blocks: np.ndarray, labels: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between members of different labels and, where there are two blocks, of different blocks, as stars around the least of the linked ones."""
     sizes = np.array([len(x) for x in sets], np.int64)
     n = len(sets)
+    several = blocks.min() != blocks.max()
     if n <= 8:
         common = np.zeros((n, n), np.int64)
         for i in range(n):
@@ -96,7 +124,7 @@ def links_among(digests: list[bytes], blocks: np.ndarray, sets: list[np.ndarray]
         common = overlaps(sets)
     union = sizes[:, None] + sizes[None, :] - common
     linked = np.tril(100 * common >= percent * union, -1)
-    if low != high:
+    if several:
         linked &= blocks[:, None] != blocks[None, :]
     parent = list(range(n))
 
@@ -106,12 +134,25 @@ def links_among(digests: list[bytes], blocks: np.ndarray, sets: list[np.ndarray]
             i = parent[i]
         return i
 
-    found = []
     for i, j in np.argwhere(linked).tolist():
-        a, b = root(i), root(j)
-        if a != b:
+        if labels[i] != labels[j]:
+            a, b = root(i), root(j)
             parent[a] = b
-            found.append((digests[i], digests[j]))
+    groups: dict[int, list[bytes]] = {}
+    for i in range(n):
+        groups.setdefault(root(i), []).append(digests[i])
+    return [(least, x) for own in groups.values() if len(own) > 1 for least in [min(own)] for x in own if x != least]
+
+
+def star_links(blocks: list[int], digests: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of a lead (the member of block 0) with the others."""
+    at = blocks.index(0)
+    lead, found = sets[at], []
+    for i, own in enumerate(sets):
+        if i != at:
+            common = shared(lead, own)
+            if 100 * common >= percent * (len(lead) + len(own) - common):
+                found.append((digests[at], digests[i]))
     return found
 
 
@@ -137,36 +178,40 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return common.astype(np.int64)
 
 
-def verified_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between digests; rows come sorted by key, low and high, with their sets."""
+def verified_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between digests that are confirmed on their full sets. rows: as of `star_rows` (low is -1) and `block_rows`."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.join(sets, "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, name = [], None
         for batch in batches:
             heads = list(zip(*(batch.column(x).to_pylist() for x in ("key", "low", "high")), strict=True))
-            own_blocks, digests, lists = batch.column("block").to_pylist(), batch.column("digest").to_pylist(), batch.column("shingles")
+            own_blocks, labels, digests, lists = *(batch.column(x).to_pylist() for x in ("block", "label", "digest")), batch.column("shingles")
             values, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for i, head in enumerate(heads):
-                if head != name:
+                # A star's lead comes first; its members are compared as they come.
+                if head != name or (head[1] == -1 and len(held) > BLOCK):
                     if len(held) > 1:
                         yield name, held
-                    held, name = [], head
-                held.append((own_blocks[i], digests[i], values[offsets[i] : offsets[i + 1]]))
+                    held = held[:1] if head == name else []
+                    name = head
+                held.append((own_blocks[i], labels[i], digests[i], values[offsets[i] : offsets[i + 1]].copy()))
         if len(held) > 1:
             yield name, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[bytes, bytes]] = []
-        for (_, low, high), held in groups(batches):
-            blocks, digests, sets = zip(*held, strict=True)
-            found += links_among(list(digests), np.array(blocks), list(sets), low, high, percent)
+        for (_, low, _), held in groups(batches):
+            blocks, labels, digests, own = (list(x) for x in zip(*held, strict=True))
+            found += star_links(blocks, digests, own, percent) if low == -1 else links_among(digests, np.array(blocks), labels, own, percent)
             if len(found) > 10_000:
                 yield links_batch(found)
                 found = []
         if found:
             yield links_batch(found)
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return placed.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def links_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -174,6 +219,36 @@ def links_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def labels_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The component of each linked digest: node, label. members: as of `crowded_buckets`, written.
+
+    A bucket of one block is compared within a task. In a larger one all
+    members first meet the lead, which is linear; what is linked by then,
+    through any bucket, is one label. Members of different labels that have
+    met no lead of each other are compared block by block.
+    """
+    single = members.where("blocks = 1").select(F.col("key").cast("string").alias("key"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), F.col("digest").alias("label"), "digest")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        links = written(verified_links(single, sets, percent), "near-links")
+        found = written(connected_components(links), "near-labels")
+        removed(links)
+        return found
+    star = star_rows(large).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("block").cast("long").alias("block"), "label", "digest")
+    links = written(verified_links(single.unionByName(star), sets, percent), "near-links")
+    labels = written(connected_components(links), "near-labels")
+    rest = large.where("digest <> lead").select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    rest = written(rest.join(mixed, "key", "left_semi"), "near-rest")
+    if rest.isEmpty():
+        removed(links, rest)
+        return labels
+    more = written(verified_links(block_rows(rest), sets, percent).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-links")
+    found = written(connected_components(more), "near-labels")
+    removed(links, labels, rest, more)
+    return found
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept.
 
@@ -186,42 +261,44 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
     Documents of equal sets are one node from the start. Nodes that share a
     band's key meet in a bucket, whose members are compared on their full
-    sets, block by block and inside the tasks: what leaves a task is a forest
-    of links, never its pairs, and there is no cap on a bucket.
+    sets of 64-bit shingle hashes inside the tasks (`labels_of`): what leaves
+    a task are stars of links, never its pairs, and there is no cap on a bucket.
     """
-    joined = placed_rows(docs, doc_id, text, percent, bands, F.lit(None).cast("string"))
+    joined = placed_rows(docs, doc_id, text, percent, bands)
     component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: int, mark: Column) -> DataFrame:
-    """Each row's doc_id, mark and n_shingles with its component_id, and what is first in the component: digest, first_id, first_mark.
+def mark_of(text: Column) -> Column:
+    """A 64-bit digest of the text, which tells texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: int) -> DataFrame:
+    """Each row's doc_id, mark and n_shingles with its component_id, and what is first in the component: digest, first_digest, first_mark.
 
     Of a row that no other is linked with or equal to, all but the first three are null.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(F.col(text)).alias("mark"), F.col(text).alias("text"))
     profile = written(profiles(source, bands), "near-profiles")
-    nodes = written(
-        profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max(F.struct("bands")).alias("b"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("m")).select("digest", "first_id", F.col("m.mark").alias("first_mark"), "copies", F.col("b.bands").alias("bands")),
-        "near-nodes",
-    )
-    members = written(crowded_buckets(nodes.select("digest", F.explode("bands").alias("key"))), "near-buckets")
-    wanted = members.select("digest").distinct().join(nodes.select("digest", "first_id"), "digest").select(F.col("first_id").alias("_id"), F.col("digest").alias("_digest"))
-    texts = source.join(wanted, source.doc_id.eqNullSafe(F.col("_id")))
-    sets = shingles_of(texts.select("doc_id", "text", "_digest").select("doc_id", "text"))
-    sets = written(sets.join(wanted.select(F.col("_digest").alias("digest")), "digest", "left_semi").groupBy("digest").agg(F.max("shingles").alias("shingles")), "near-sets")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = block_rows(members).join(sets, "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    links = written(verified_links(rows, percent).distinct(), "near-links")
-    labels = connected_components(links)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+    nodes = profile.where("digest is not null").groupBy("digest").agg(first.alias("m"), F.max(F.struct("n_shingles", "bands")).alias("b"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes.select("digest", F.col("m.doc_id").alias("first_id"), F.col("m.mark").alias("first_mark"), "copies", "b.n_shingles", "b.bands"), "near-nodes")
+    members = written(crowded_buckets(nodes.select("digest", "n_shingles", F.explode("bands").alias("key"))), "near-buckets")
+    # One text of each node that is in a bucket, found by id and text: rows without an id, or under one id, meet their own node only.
+    wanted = members.select("digest").distinct().join(nodes.select("digest", "first_id", "first_mark"), "digest")
+    texts = source.join(wanted, (source.mark == F.col("first_mark")) & source.doc_id.eqNullSafe(F.col("first_id")))
+    sets = written(shingles_of(texts.select("text", "digest")), "near-sets")
+    labels = labels_of(members, sets, percent)
+    removed(members, sets)
     known = nodes.select("digest", "first_id", "first_mark", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     linked = known.where("label is not null")
     least = linked.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest", "first_mark")).alias("f"))
-    first = [F.col(f"f.{x}").alias(y) for x, y in (("first_id", "component_id"), ("digest", "first_digest"), ("first_mark", "first_mark"))]
-    placed = linked.select("label", "digest").join(least, "label").select("digest", *first)
+    firsts = [F.col(f"f.{x}").alias(y) for x, y in (("first_id", "component_id"), ("digest", "first_digest"), ("first_mark", "first_mark"))]
+    placed = linked.select("label", "digest").join(least, "label").select("digest", *firsts)
     placed = placed.unionByName(known.where("label is null and copies > 1").select("digest", F.col("first_id").alias("component_id"), F.col("digest").alias("first_digest"), "first_mark"))
     placed = written(placed, "near-components")
+    removed(labels, nodes)
     return profile.select("doc_id", "mark", "n_shingles", "digest").join(placed, "digest", "left")
 
 
@@ -231,10 +308,16 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     At 80 percent 36 bands are right: a pair at the threshold shares none once in 1.6 million.
 
     A decision holds for an id and text together: of a component, the text of
-    the least id (null last) and digest stays, whatever other rows share its id.
+    the least id (null last) and digest stays, whatever other rows share its
+    id. Of rows that repeat under one id and text, one stays.
     """
-    digest = lambda column: F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
-    rows = placed_rows(docs, doc_id, text, percent, bands, digest(F.col(text))).where("first_digest is not null")
+    rows = placed_rows(docs, doc_id, text, percent, bands).where("first_digest is not null")
     stays = (F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
-    gone = rows.where(~stays).select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"))
-    return docs.join(gone, (digest(docs[text]) == F.col("_gone_mark")) & docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
+    decided = written(rows.select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("n")), "near-decided")
+    gone = decided.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    same = (mark_of(docs[text]) == F.col("_mark")) & docs[doc_id].cast("long").eqNullSafe(F.col("_id"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = decided.where("stays and n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(one_of_each(docs.join(repeated, same), ["_id", "_mark"], docs.columns))

@@ -53,6 +53,12 @@ def removed(*frames: DataFrame) -> None:
         path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of rows that agree in `keys` one: the first by the JSON of its columns, found by a sum that Spark makes before it shuffles."""
+    own = F.struct(*[F.col(f"`{x}`") for x in columns])
+    return rows.groupBy(*keys).agg(F.min_by(own, F.to_json(own)).alias("_row")).select("_row.*")
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out of training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
