@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS
+from .shared import BLANKS, one_of_each, written
 
-#: What a partial group is: digest, blank-free text, most code points, smallest id of those, members.
-PARTIAL = "text_sha256 string, n_bytes long, body binary, best_chars long, best_id long, members long"
-OWNER = "text_sha256 string, keep_id long, group_size long"
+#: What a partial group is: digest, blank-free text, most code points, smallest id of those, members, rows of that id and so many points.
+PARTIAL = "text_sha256 string, n_bytes long, body binary, best_chars long, best_id long, members long, rows long"
+OWNER = "text_sha256 string, keep_id long, group_size long, keep_chars long, keep_rows long"
 
 
 class Node:
@@ -40,10 +40,13 @@ def shared_prefix(a: bytes, b: bytes, at: int) -> int:
 
 
 def better(a: list, b: list) -> None:
-    """Merge terminal b = [digest, chars, id, members] into a: more code points win, then the smaller id."""
+    """Merge terminal b = [digest, chars, id, members, rows] into a: more code points win, then the smaller id."""
     a[3] += b[3]
-    if (-b[1], b[2] is None, b[2] or 0) < (-a[1], a[2] is None, a[2] or 0):
-        a[1], a[2] = b[1], b[2]
+    own, other = (-a[1], a[2] is None, a[2] or 0), (-b[1], b[2] is None, b[2] or 0)
+    if other < own:
+        a[1], a[2], a[4] = b[1], b[2], b[4]
+    elif other == own:
+        a[4] += b[4]
 
 
 class Patricia:
@@ -137,7 +140,7 @@ def stored(file) -> Iterator[tuple[bytes, list]]:
 
 def terminals(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, list]]:
     for batch in batches:
-        names = ("text_sha256", "best_chars", "best_id", "members")
+        names = ("text_sha256", "best_chars", "best_id", "members", "rows")
         columns = [batch.column(x).to_pylist() for x in names]
         for body, *terminal in zip(batch.column("body"), *columns, strict=True):
             yield body.as_py(), terminal
@@ -160,8 +163,8 @@ def owners_of_slices(budget: int):
 
 def partials(trie: Patricia, rows: int = 512) -> Iterator[pa.RecordBatch]:
     found: list = []
-    for body, (digest, chars, best, members) in trie.drain():
-        found.append((digest, len(body), body, chars, best, members))
+    for body, (digest, chars, best, members, own) in trie.drain():
+        found.append((digest, len(body), body, chars, best, members, own))
         if len(found) == rows:
             yield batch_of(found)
             found = []
@@ -170,7 +173,7 @@ def partials(trie: Patricia, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"text_sha256": pa.string(), "n_bytes": pa.int64(), "body": pa.binary(), "best_chars": pa.int64(), "best_id": pa.int64(), "members": pa.int64()}
+    kinds = {"text_sha256": pa.string(), "n_bytes": pa.int64(), "body": pa.binary(), "best_chars": pa.int64(), "best_id": pa.int64(), "members": pa.int64(), "rows": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -182,9 +185,9 @@ def owners_of_partition(budget: int):
         for body, terminal in terminals(batches):
             trie.add(body, terminal)
         found: list = []
-        for _, (digest, _, best, members) in trie.drain():
+        for _, (digest, chars, best, members, own) in trie.drain():
             if members > 1:
-                found.append((digest, best, members))
+                found.append((digest, best, members, chars, own))
             if len(found) == 4096:
                 yield owners_batch(found)
                 found = []
@@ -195,8 +198,8 @@ def owners_of_partition(budget: int):
 
 
 def owners_batch(rows: list[tuple]) -> pa.RecordBatch:
-    digests, ids, members = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(ids, pa.int64()), pa.array(members, pa.int64())], names=["text_sha256", "keep_id", "group_size"])
+    digests, *numbers = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], names=["text_sha256", "keep_id", "group_size", "keep_chars", "keep_rows"])
 
 
 def without_blanks(text: Column) -> Column:
@@ -204,37 +207,45 @@ def without_blanks(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 32 << 20) -> DataFrame:
-    """Which row of each group of equal texts stays: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical without blanks. The row with the most code
-    points in its original text stays, then the smallest id. Null and
-    blank-only texts are one group. A null id comes after every other; rows
-    repeated under one id are members each and share the id's decision. An
-    empty table gives no rows; other columns are not read.
+def owners_of(plain: DataFrame, budget: int) -> DataFrame:
+    """Each group of two or more equal texts: its digest, the row that stays (id, code points, how many rows are just so), and its size. plain: doc_id, text, plain.
 
     Each input task merges copies in a trie of about `budget` bytes, so that a
     hot text leaves it once and not once a copy. Partial groups are dealt by
-    length and content hash; the trie there owns its strings. Only the digests
-    of groups of two or more are joined back, by a join whose hot keys Spark
-    can split.
+    length and content hash; the trie there owns its strings and spills by
+    subtree to its task's temporary folder, which a repeated task makes anew.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    plain = source.withColumn("plain", without_blanks(F.col("text")))
     entries = plain.select(
         F.sha2(F.col("plain").cast("binary"), 256).alias("text_sha256"),
         F.col("plain").cast("binary").alias("body"),
-        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("best_chars"),
+        code_points(F.col("text")).alias("best_chars"),
         F.col("doc_id").alias("best_id"),
         F.lit(1).cast("long").alias("members"),
+        F.lit(1).cast("long").alias("rows"),
     )
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    owners = (
-        entries.mapInArrow(owners_of_slices(budget), PARTIAL)
-        .repartition(parts, "n_bytes", "text_sha256")
-        .mapInArrow(owners_of_partition(budget), OWNER)
-    )
+    parts = max(1, int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partial = entries.mapInArrow(owners_of_slices(budget), PARTIAL).repartition(parts, "n_bytes", "text_sha256")
+    return partial.mapInArrow(owners_of_partition(budget), OWNER)
+
+
+def code_points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 32 << 20) -> DataFrame:
+    """Which row of each group of equal texts stays: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical without blanks. The row with the most code
+    points in its original text stays, then the smallest id. Null and
+    blank-only texts are one group. A null id comes after every other; rows
+    repeated under one id are members each and share the id's decision. An
+    empty table gives no rows; other columns are not read.
+
+    Only the digests of groups of two or more are joined back, by a join whose
+    hot keys Spark can split.
+    """
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("plain", without_blanks(F.col("text")))
+    owners = owners_of(plain, budget)
     return (
         plain.select("doc_id", F.sha2(F.col("plain").cast("binary"), 256).alias("text_sha256"))
         .join(owners, "text_sha256", "left")
@@ -248,8 +259,19 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     )
 
 
-def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose row stays, with all their columns; a decision holds for an id and text together."""
-    gone = exact_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha256"))
-    digest = F.sha2(without_blanks(docs[text]).cast("binary"), 256)
-    return docs.join(gone, (digest == F.col("_gone_sha256")) & docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
+def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = 32 << 20) -> DataFrame:
+    """The row that stays of each group of equal texts, with all its columns.
+
+    It is the one of most code points in its original text, then of the
+    smallest id; of rows that repeat under that id too, one stays. A text
+    that no other equals stays, whatever its id.
+    """
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("plain", without_blanks(F.col("text")))
+    owners = written(owners_of(plain, budget), "exact-owners").select(F.col("text_sha256").alias("_sha256"), F.col("keep_id").alias("_id"), F.col("keep_chars").alias("_chars"), F.col("keep_rows").alias("_rows"))
+    same = F.sha2(without_blanks(docs[text]).cast("binary"), 256) == F.col("_sha256")
+    is_first = (code_points(docs[text]) == F.col("_chars")) & docs[doc_id].cast("long").eqNullSafe(F.col("_id"))
+    kept = docs.join(owners, same, "left").where(F.col("_sha256").isNull() | (is_first & (F.col("_rows") == 1))).select(*[docs[x] for x in docs.columns])
+    repeated = owners.where("_rows > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(one_of_each(docs.join(repeated, same & is_first), ["_sha256"], docs.columns))

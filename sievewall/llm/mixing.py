@@ -70,11 +70,16 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id
     bucket find the one in which the budget ends, and only its rows are
     ordered.
     """
-    spark = docs.sparkSession
+    return copied(docs, quality, doc_id, text, source, most, False).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def copied(docs: DataFrame, quality: DataFrame | None, doc_id: str, text: str, source: str, most: float, whole: bool) -> DataFrame:
+    """What `mix` returns but for taken; `whole` adds each row's own columns as the struct `row`."""
     base = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        *([F.struct(*[docs[x] for x in docs.columns]).alias("row")] if whole else []),
     )
     if quality is None:
         base = base.withColumn("quality", F.lit(None).cast("int"))
@@ -117,16 +122,10 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id
         .withColumn("copies", F.col("epochs") + F.when(F.col("until") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
         .drop("until")
     )
-    return clear.unionByName(close).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return clear.unionByName(close)
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0) -> DataFrame:
-    """The mix itself: each document's row as often as `mix` takes it, with all its columns."""
-    copies = mix(docs, quality, doc_id, text, source, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    plan = copies.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "_copies")
-    size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
-    joined = docs.join(
-        plan,
-        docs[doc_id].cast("long").eqNullSafe(F.col("_mix_id")) & docs[source].cast("string").eqNullSafe(F.col("_mix_source")) & (size == F.col("_mix_size")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[joined[x] for x in docs.columns])
+    """The mix itself: each document's row as often as `mix` takes it, with all its columns; rows that share an id are taken each by its own count."""
+    taken = copied(docs, quality, doc_id, text, source, most, True).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -160,7 +160,7 @@ def test_trie_spills_and_keeps_everything():
     bodies = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     trie = exact_dedup.Patricia(20_000)
     for i, body in enumerate(bodies):
-        trie.add(body, ["", len(body) % 3, i, 1])
+        trie.add(body, ["", len(body) % 3, i, 1, 1])
     assert trie.spilled
     found = dict(trie.drain())
     assert {k: v[3] for k, v in found.items()} == Counter(bodies)
@@ -233,8 +233,52 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
             own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(own)))
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    for shingles in (1 << 19, 1000):
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_near(rows)
+
+
+def test_members_that_no_lead_links_meet_in_blocks(spark, monkeypatch):
+    """Families that share bands by their common half, so that a bucket holds several components."""
+    rng = random.Random(14)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    common = [f"c{i}" for i in range(100)]
+    rows = []
+    for family in range(6):
+        own = [f"f{family}w{k}" for k in range(30)]
+        for i in range(12):
+            words = [*common, *own]
+            words[rng.randrange(len(words))] = f"z{family}{i}"
+            rows.append((family * 100 + i, " ".join(words)))
     found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_near(rows)
+    wanted = brute_near(rows)
+    assert len({x[1] for x in wanted.values()}) > 1 and {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == wanted
+
+
+def test_many_rows_without_an_id_meet_their_own_text_only(spark, monkeypatch):
+    """2,000 near copies without an id: each text is read once for its set, not once for each row without an id."""
+    sent = []
+    read = near_dedup.shingles_of
+    monkeypatch.setattr(near_dedup, "shingles_of", lambda texts: (sent.append(texts.count()), read(texts))[1])
+    template = [f"t{i}" for i in range(60)]
+    rows = [(None, " ".join([*template[: i % 50], f"x{i}", *template[i % 50 :]])) for i in range(2000)]
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(found) == 2000 and sent == [2000] and {r.component_id for r in found} == {None}
+
+
+def test_a_bucket_of_thousands_is_compared_with_its_lead(spark, monkeypatch):
+    """5,000 distinct near copies and 30 others that share their bands: sets are sent once to the lead, and only the others' blocks meet."""
+    sent = []
+    verified = near_dedup.verified_links
+    monkeypatch.setattr(near_dedup, "verified_links", lambda rows, sets, percent: (sent.append(rows.count()), verified(rows, sets, percent))[1])
+    template = [f"t{i}" for i in range(200)]
+    rows = [(i, " ".join([*template, f"x{i}"])) for i in range(5000)] + [(6000 + i, " ".join([*template, *(f"y{i}w{k}" for k in range(40))])) for i in range(30)]
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert all(r.component_id == (0 if r.doc_id < 5000 else r.component_id) for r in found)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id >= 6000} == {6000 + i: 0 if 100 * 196 >= 85 * (196 + 1 + 40) else 6000 + i for i in range(30)}
+    # A member meets its leads and, in each of its 25 bands, the block of the others; not every other block.
+    assert sum(sent) < 2 * 25 * 5000
 
 
 def test_sketches_estimate_similarity():
@@ -260,6 +304,16 @@ def test_components(spark):
     assert found == {k: v for k, v in label.items() if k not in singles}
 
 
+def test_one_of_repeated_rows_stays(spark):
+    """Rows that repeat under one id, or without one, leave one of them in either dedup stage."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text, 1)] * 4 + [(5, text, 2)] + [(None, text + " more", 3)] * 3 + [(6, "alone", 1)] * 2 + [(7, "", 1)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(3)
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.keep_first_copies(frame).collect()) == Counter({(5, text): 1, (None, text + " more"): 1, (6, "alone"): 1, (7, ""): 1})
+    # Empty texts are near copies of nothing.
+    assert Counter((r.doc_id, r.text) for r in near_dedup.keep_one_of_each(frame).collect()) == Counter({(5, text): 1, (6, "alone"): 1, (7, ""): 2})
+
+
 def test_near_awkward_rows(spark):
     frame = awkward(spark)
     found = near_dedup.near_groups(frame).collect()
@@ -598,6 +652,19 @@ def test_mix_follows_its_keys(spark, monkeypatch):
             assert copies[i].copies == epochs + (before - n / 2 <= target - epochs * total and target - epochs * total > 0)
 
 
+def test_the_mix_delivers_what_it_takes(spark):
+    """Ids that repeat, within a source and across, and rows without an id: delivered words are those that are taken."""
+    rng = random.Random(17)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join("w" for _ in range(rng.randint(1, 9))), rng.choice("aaaab")) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, delivered = Counter(), Counter()
+    for r in mixing.mix(frame).collect():
+        taken[r.source, r.doc_id] += r.taken
+    for r in mixing.mixed_documents(frame).collect():
+        delivered[r.source, r.doc_id] += len(r.text.split())
+    assert +taken == +delivered
+
+
 def test_mix_awkward_rows(spark):
     frame = awkward(spark)
     assert mixing.mix(frame).count() == frame.count()
