@@ -10,6 +10,8 @@ from sievewall.llm.shared import written
 
 #: A document is rejected from this score on.
 TOXIC_FROM = 0.3
+#: Documents are near copies from this similarity of their shingles on; so many bands miss a pair at the threshold once in 1.6 million.
+NEAR_PERCENT, NEAR_BANDS = 80, 36
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return near_dedup.keep_one_of_each(docs)
+    """One document of each near-duplicate component, from a similarity of 0.8 on."""
+    return near_dedup.keep_one_of_each(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
