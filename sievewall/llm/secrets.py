@@ -28,28 +28,39 @@ ENCODINGS = (
 )
 #: Lengths at which a new stratum of the false-discovery control begins.
 STRATA = (20, 24, 32, 40, 64, 128)
-SPAN = "struct<kind:string,start:long,end:long>"
+#: Sums of the squares and of the cubes of the letters' shares in European prose.
+LETTER_SQUARES, LETTER_CUBES = 0.068, 0.0058
+#: What is made of words changes between lower case, upper case and digits at most so often.
+CHANGES_OF_WORDS = 0.25
+#: A string that chance would make more rarely than this is not random.
+NOT_BY_CHANCE = 0.001
+#: Positions are summed up in blocks of so many matches.
+BLOCK = 256
 
 
-def located(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """Every match as struct(kind, start, end, value) in code points; value is the given group.
+def located(matches: Column, between: Column, kind: str, value: Column | None = None) -> Column:
+    """Every match as struct(kind, start, end, value) in code points; `value` is an array beside the matches, else they are it.
 
     The pieces between the matches and the matches themselves add up to the
-    text, so positions follow from their lengths.
+    text, so positions follow from their lengths. They are summed block by
+    block, as an array that grows by one is copied each time.
     """
-    empty = F.expr("array()").cast("array<struct<kind:string,start:long,end:long,value:string>>")
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("m"), value.alias("v")), lambda gap, mv: F.struct(F.length(gap).cast("long").alias("gap"), F.length(mv["m"]).cast("long").alias("n"), mv["v"].alias("v")))
-    state = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
+    spans = "array<struct<kind:string,start:long,end:long,value:string>>"
+    empty, none = F.expr("array()").cast(spans), F.expr("array()").cast(f"array<{spans}>")
+    steps = F.arrays_zip(F.transform(matches, lambda m: F.length(m).cast("long")).alias("n"), F.transform(between, lambda x: F.length(x).cast("long")).alias("gap"), (matches if value is None else value).alias("v"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda i: F.slice(F.slice(steps, F.lit(1), F.size(matches)), i * BLOCK + 1, F.lit(BLOCK)))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"), x["v"].alias("value"))
         return F.struct((start + x["n"]).alias("at"), F.concat(s["found"], F.array(span)).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, state, step, lambda s: s["found"])).otherwise(empty)
+    def block(s: Column, x: Column) -> Column:
+        own = F.aggregate(x, F.struct(s["at"].alias("at"), empty.alias("found")), step)
+        return F.element_at(F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(s["found"], F.array(o["found"])).alias("found"))), 1)
+
+    found = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), block, lambda s: F.flatten(s["found"]))
+    return F.when(F.size(matches) > 0, found).otherwise(empty)
 
 
 def upper_tail(z: Column) -> Column:
@@ -65,6 +76,37 @@ def encoding_of(value: Column) -> Column:
     return chosen
 
 
+def word_likeness(value: Column) -> Column:
+    """The p-value of "made of words": how often words come out as mixed as this, by two tests together.
+
+    Runs: of lower case, upper case and digits; what is made of words changes
+    between them at most CHANGES_OF_WORDS of the time. Chi-squared: the
+    letters' counts, either case, against their distribution in prose, by the
+    mean and variance of that; it is low where letters are even.
+    """
+    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d")
+    letters = F.lower(F.regexp_replace(value, "[^A-Za-z]", ""))
+    counts = F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz"), ""), lambda c: (F.length(letters) - F.length(F.replace(letters, c))).cast("double"))
+    s = F.struct(
+        F.greatest(F.length(plain) - 1, F.lit(1)).cast("double").alias("steps"),
+        (F.regexp_count(classes, F.lit("l+|u+|d+")) - 1).cast("double").alias("changes"),
+        F.length(letters).cast("double").alias("m"),
+        F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"),
+    )
+
+    def tests(s: Column) -> Column:
+        z_runs = (s["changes"] - s["steps"] * CHANGES_OF_WORDS) / F.sqrt(s["steps"] * (CHANGES_OF_WORDS * (1 - CHANGES_OF_WORDS)))
+        m = s["m"]
+        pairs = m * (m - 1)
+        mean = pairs * LETTER_SQUARES
+        variance = pairs * (m - 2) * (4 * (LETTER_CUBES - LETTER_SQUARES**2)) + pairs * (2 * (LETTER_SQUARES - LETTER_SQUARES**2))
+        z_letters = F.when(m >= 3, (mean - (s["squares"] - m)) / F.sqrt(variance)).otherwise(0.0)
+        return upper_tail((z_runs + z_letters) / F.sqrt(F.lit(2.0)))
+
+    return F.element_at(F.transform(F.array(s), tests), 1)
+
+
 def randomness(value: Column) -> Column:
     """struct(encoding, p): the p-value of "uniformly random in its encoding", the least of three tests, corrected.
 
@@ -113,12 +155,12 @@ def stratum(length: Column) -> Column:
     return found
 
 
-def dismissal_thresholds(found: DataFrame, rate: float) -> dict[int, float]:
+def discovery_thresholds(found: DataFrame, rate: float) -> dict[int, float]:
     """Benjamini and Hochberg's threshold of each length stratum, from counts by binned p-value.
 
-    What is dismissed as not random is a discovery; of those, at most `rate`
-    are random strings. p-values are rounded up to 1/200 of a decade, so the
-    counts are a table of fixed size whatever the number of strings.
+    What is reported as random is a discovery; of those, at most `rate` are
+    made of words. p-values are rounded up to 1/200 of a decade, so the counts
+    are a table of fixed size whatever the number of strings.
     """
     bins = F.least(F.lit(4000), F.floor(-F.log10(F.greatest(F.col("p"), F.lit(1e-20))) * 200)).cast("int")
     counts = found.select(stratum(F.col("length")).alias("stratum"), bins.alias("bin")).groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -135,44 +177,49 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     Spans are struct(kind, start, end) in code points of the whole text, end
     exclusive, by start and then kind as listed (assign, access, hex, random).
     A base span is a whole match. Runs of key characters that no base span
-    covers are tested for randomness in their inferred encoding; those that
-    the tests, under a false-discovery rate for each length stratum, do not
-    dismiss are spans of kind `random`. Null counts as empty; every row gives
-    a row, an empty table none; other columns are not read.
+    covers are tested twice: a string is a span of kind `random` if the
+    battery does not dismiss chance in its inferred encoding (`randomness`),
+    and if words would hardly make it (`word_likeness`), where the share of
+    strings made of words among those reported is held under `rate` for each
+    length stratum. Null counts as empty; every row gives a row, an empty
+    table none; other columns are not read.
     """
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    raw = source.select(
+    # One step each, so that a pattern runs once for its matches and, only where it has some, once for what is between them.
+    matched = source.select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in patterns.items()])
+    parted = matched.select("doc_id", *[f"m_{k}" for k in patterns], *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"b_{k}") for k, p in patterns.items()])
+    value = F.transform("m_assign", lambda m: F.regexp_extract(m, ASSIGN, 2))
+    raw = parted.select(
         "doc_id",
-        F.filter(located(F.col("text"), ASSIGN, "assign", 2), lambda x: F.length(x["value"]) >= 8).alias("assign"),
-        located(F.col("text"), ACCESS, "access").alias("access"),
-        located(F.col("text"), HEX, "hex").alias("hex"),
-        located(F.col("text"), CANDIDATE, "random").alias("candidates"),
+        F.filter(located(F.col("m_assign"), F.col("b_assign"), "assign", value), lambda x: F.length(x["value"]) >= 8).alias("assign"),
+        *[located(F.col(f"m_{k}"), F.col(f"b_{k}"), k).alias(k) for k in ("access", "hex", "random")],
     )
     base = F.concat("assign", "access", "hex")
     tested = raw.select(
         "doc_id",
         F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(F.lit("assign"), F.lit("access"), F.lit("hex")), x["kind"]).cast("int").alias("ord"), x["end"].alias("end"))).alias("base"),
         F.transform(
-            F.filter("candidates", lambda c: ~F.exists(base, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"]))),
-            lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("ord"), c["end"].alias("end"), randomness(c["value"])["p"].alias("p")),
+            F.filter("random", lambda c: ~F.exists(base, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"]))),
+            lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("ord"), c["end"].alias("end"), F.when(randomness(c["value"])["p"] < NOT_BY_CHANCE, 1.0).otherwise(word_likeness(c["value"])).alias("p")),
         ).alias("candidates"),
     )
     tested = written(tested, "secret-candidates")
     found = tested.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c")).select((F.col("c.end") - F.col("c.start")).alias("length"), F.col("c.p").alias("p"))
-    dismissed = dismissal_thresholds(found, rate)
+    thresholds = discovery_thresholds(found, rate)
 
-    def kept(c: Column) -> Column:
+    def reported(c: Column) -> Column:
         most = F.lit(-1.0)
-        for i, value in dismissed.items():
+        for i, value in thresholds.items():
             most = F.when(stratum(c["end"] - c["start"]) == i, value).otherwise(most)
-        return c["p"] > most
+        return c["p"] <= most
 
     names = F.array(*[F.lit(x) for x in ("assign", "access", "hex", "random")])
 
     def named(spans: Column) -> Column:
         return F.transform(F.array_sort(spans), lambda x: F.struct(F.element_at(names, x["ord"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
-    plain = F.transform(F.filter("candidates", kept), lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end")))
+    plain = F.transform(F.filter("candidates", reported), lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end")))
     return tested.select("doc_id", named(F.col("base")).alias("base"), named(F.concat("base", plain)).alias("spans"))
 
 

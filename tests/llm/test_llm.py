@@ -436,6 +436,80 @@ def test_battery_finds_random_strings_and_leaves_words(spark):
     assert all((s.start, s.end, s.kind) == (4, 52, "random") for r in found if r.doc_id < 1000 for s in r.spans)
 
 
+def tail(z):
+    return 1 / (1 + np.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def brute_p(value):
+    """The p-value by which a string is reported: 1 if the battery dismisses chance, else that of words."""
+    alphabet = next(a for _, pattern, a in secrets.ENCODINGS if re.search(pattern, value))
+    codes, k, n = np.array([alphabet.index(c) + 1.0 for c in value]), len(alphabet), len(value)
+    chi, spread = sum(value.count(c) ** 2 for c in alphabet) * k / n - n, 2 / (9 * (k - 1))
+    p_chi = tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / np.sqrt(spread))
+    high = codes > k / 2
+    expected = 2 * high.sum() * (n - high.sum()) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    p_runs = 2 * tail(abs(1 + (high[1:] != high[:-1]).sum() - expected) / np.sqrt(variance)) if variance > 0 else 0
+    centred = codes - codes.mean()
+    p_serial = 2 * tail(abs((centred[1:] * centred[:-1]).sum() / (centred**2).sum() * np.sqrt(n) + 1 / np.sqrt(n))) if (centred**2).sum() > 0 else 0
+    if 1 - (1 - min(p_chi, p_runs, p_serial, 1)) ** 3 < secrets.NOT_BY_CHANCE:
+        return 1.0
+    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value if c.isalnum()]
+    letters = [c.lower() for c in value if c.isalpha()]
+    steps, m = max(len(classes) - 1, 1), len(letters)
+    z_runs = (sum(a != b for a, b in zip(classes[1:], classes[:-1], strict=True)) - steps / 4) / np.sqrt(steps * 3 / 16)
+    y, s2, s3 = sum(v * (v - 1) for v in Counter(letters).values()), secrets.LETTER_SQUARES, secrets.LETTER_CUBES
+    z_letters = (m * (m - 1) * s2 - y) / np.sqrt(4 * m * (m - 1) * (m - 2) * (s3 - s2**2) + 2 * m * (m - 1) * (s2 - s2**2)) if m >= 3 else 0
+    return tail((z_runs + z_letters) / np.sqrt(2))
+
+
+def test_random_spans_match_brute_force(spark):
+    """Strings of all lengths and encodings among words: the reported ones are those of Benjamini and Hochberg's rule on the battery spelt out."""
+    rng = random.Random(31)
+    made = [identifier(rng) for _ in range(300)] + ["".join(rng.choice(rng.choice([a for _, _, a in secrets.ENCODINGS])) for _ in range(rng.randint(20, 150))) for _ in range(60)]
+    made += ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 70))) for _, _, alphabet in secrets.ENCODINGS for _ in range(12)]
+    texts = [f"see {x} and {y}." for x, y in zip(made, made[1:] + made[:1], strict=True)]
+    found = [(i, m.start(), m.end(), brute_p(m[0])) for i, t in enumerate(texts) for m in re.finditer(secrets.CANDIDATE, t) if not any(a < m.end() and m.start() < b for _, a, b in brute_spans(t))]
+    wanted = set()
+    for low, high in zip(secrets.STRATA, [*secrets.STRATA[1:], 1 << 30], strict=True):
+        own = sorted((x for x in found if low <= x[2] - x[1] < high), key=lambda x: x[3])
+        rounded = [10 ** (-np.floor(-np.log10(max(x[3], 1e-20)) * 200) / 200) for x in own]
+        passed = [k for k, p in enumerate(rounded) if p <= 0.05 * sum(q <= p for q in rounded) / len(own)]
+        wanted |= {x[:3] for x in own[: max(passed, default=-1) + 1]}
+    rows = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert 40 < len(wanted) < len(found) and {(r.doc_id, s.start, s.end) for r in rows for s in r.spans if s.kind == "random"} == wanted
+
+
+WORDS = "payload window buffer handler filter request user index cache value table token parse render update config module stream output reader writer session manager context".split()
+
+
+def identifier(rng):
+    """Words and a number, in one of the usual spellings, of 20 characters at least."""
+    words = [rng.choice(WORDS) for _ in range(rng.randint(3, 5))]
+    words.insert(rng.randrange(len(words) + 1), str(rng.choice([8, 32, 64, 256, 2024, rng.randrange(1000)])))
+    name = rng.choice(["_".join, "-".join, "/".join, lambda w: "".join(x.capitalize() for x in w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:])])(words)
+    return name if len(name) >= 20 else identifier(rng)
+
+
+def test_identifiers_are_not_secrets(spark):
+    """600 identifiers with a number, with and without real secrets beside them: under 2 % are reported."""
+    rng = random.Random(33)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = [(i, f"call {identifier(rng)} now") for i in range(600)]
+    keys = [(1000 + i, "see " + "".join(rng.choice(alphabet) for _ in range(48)) + " there") for i in range(200)] + [(2000 + i, "see " + "".join(rng.choice(alphabet) for _ in range(24)) + " there") for i in range(100)]
+    for rows in (names, names + keys):
+        found = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(s.kind == "random" for r in found if r.doc_id < 1000 for s in r.spans) < 12
+    assert sum(len(r.spans) for r in found if 1000 <= r.doc_id < 2000) >= 180 and sum(len(r.spans) for r in found if r.doc_id >= 2000) >= 80
+
+
+def test_positions_of_very_many_matches(spark):
+    """More matches in one text than a block of positions holds."""
+    text = "\U0001f600 token=abcdefgh12 " * 3000
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert [tuple(s) for s in row.base] == brute_spans(text)
+
+
 def test_secrets_awkward_rows(spark):
     frame = awkward(spark)
     assert secrets.secret_spans(frame).count() == frame.count()
