@@ -167,9 +167,10 @@ class LanguageModel:
 
 def sampled_words(docs: DataFrame, languages: list[str], share: dict[str, float]) -> DataFrame:
     """Words of a hashed sample of the labelled documents, counted: language (its number), word, n."""
-    limits = docs.sparkSession.createDataFrame([(x, i, share[x]) for i, x in enumerate(languages)], "_lang string, language int, _limit double")
+    numbers = F.create_map(*[F.lit(v) for i, x in enumerate(languages) for v in (x, i)])
+    limits = F.create_map(*[F.lit(v) for x in languages for v in (x, share[x])])
     part = (F.xxhash64(F.col("doc_id")) % F.lit(1 << 30) + F.lit(1 << 30)) / F.lit(float(1 << 31))
-    sample = docs.join(limits, (F.col("lang") == F.col("_lang")) & (part < F.col("_limit"))).select("language", "text")
+    sample = docs.where(part < F.try_element_at(limits, F.col("lang"))).select(F.try_element_at(numbers, F.col("lang")).alias("language"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {}
