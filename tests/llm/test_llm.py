@@ -564,6 +564,17 @@ def test_mined_verdicts_match_brute_force(spark):
     assert {r.verdict for r in found.values() if r.rule is None} == {"allow", "block"}
 
 
+def test_mining_of_urls_with_many_tokens_is_bounded(spark):
+    """Forty path segments and query keys that always come together, and a very long URL: as one token each, or the most telling."""
+    deep = "/".join(f"p{k}" for k in range(40))
+    urls = [f"http://a{i}.net/es/{deep}?{'&'.join(f'k{k}=1' for k in range(i % 30))}" for i in range(60)] + [f"http://b{i}.com/x{i % 3}" for i in range(60)]
+    urls += ["http://c.org/es/q/p1", "http://c.org/zz", "http://d.org/" + "s/" * 20_000 + "?" + "&".join(f"k{k}" for k in range(5_000))]
+    found = {r.page_id: r for r in url_filter.judged_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [found[i].verdict for i in (0, 59, 60, 119)] == ["block", "block", "allow", "allow"] and len(found) == len(urls)
+    # p1 is a token of the third place in both.
+    assert found[120].verdict == "block" and found[121].verdict == "allow"
+
+
 def test_urls_without_rows_or_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judged_urls(empty).collect() == []
