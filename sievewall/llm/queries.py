@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, lm_score, mixing, near_dedup, piece_bpe, secrets, topk, toxicity, url_filter
 from .shared import held_out
 
-#: The tokenizer file of the queries; a path, never a copy.
-MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
+
+def model_file() -> str:
+    """The tokenizer file of the queries; a path, never a copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), MODEL_FILE)
+    model = language_id.train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), model_file())
     found = language_id.identify(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -61,7 +64,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE, decoded="decoded")
+    decoded = piece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file(), decoded="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

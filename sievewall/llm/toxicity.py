@@ -20,6 +20,8 @@ WORD_GAPS = ~byte_class(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 PREFIXES = (3, 4, 5, 6)
 #: Their hashes fall into so many numbers.
 FEATURES = 1 << 19
+#: Texts are read in slices of about so many bytes, as each byte makes some dozens of bytes of features.
+SLICE = 1 << 20
 
 
 def instances(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1000, most_f
     sample = written(labels.select(F.col("doc_id").alias("_id"), "label", part.alias("part")).where(F.col("part") < limit), "toxicity-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             feature, sentence, text_of, _ = instances(*flat_text(batch.column("text")))
             order = np.argsort(sentence, kind="stable")
             feature, words = feature[order], np.bincount(sentence, minlength=len(text_of))
@@ -178,7 +180,7 @@ def toxic_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             flat, offsets = flat_text(batch.column("text"))
             feature, sentence, text_of, places = instances(flat, offsets)
             z = own.sentences(feature, sentence)
@@ -201,7 +203,7 @@ def below(docs: DataFrame, model: ToxicityModel, most: float, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, SLICE):
             feature, sentence, text_of, _ = instances(*flat_text(batch.column(text)))
             s = own.documents(own.sentences(feature, sentence), text_of, batch.num_rows)
             yield batch.filter(pa.array(-np.expm1(-s) < most))

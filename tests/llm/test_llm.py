@@ -100,8 +100,8 @@ def test_words_of_any_length_are_summed_whole(monkeypatch):
 def test_language_query_matches_brute_force(spark):
     """Every short text of a small table, by segmentations spelt out under the query's own model."""
     frame = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the cat sat on a mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("Ünder 12 öl", None), ("", "en"), (None, "de"), ("chat katze cat", "fr")] * 3)], "doc_id long, text string, lang string")
-    model = language_id.train(frame, queries.MODEL_FILE)
-    model.lattice.names = language_id.vocabulary_of(queries.MODEL_FILE)
+    model = language_id.train(frame, queries.model_file())
+    model.lattice.names = language_id.vocabulary_of(queries.model_file())
     assert model.languages == ["de", "en", "fr"] and np.allclose(model.probability.sum(axis=0), 1)
     known = {}
     for r in language_id.identify(frame, model).collect():
@@ -125,11 +125,11 @@ def test_language_of_held_out_documents(spark):
 
 def test_language_of_awkward_rows(spark):
     frame = awkward(spark)
-    model = language_id.train(frame.select("doc_id", "text", "lang"), queries.MODEL_FILE)
+    model = language_id.train(frame.select("doc_id", "text", "lang"), queries.model_file())
     found = [(r.lang_pred, r.score) for r in language_id.identify(frame, model).collect()]
     assert len(found) == frame.count() and Counter(x for x, _ in found)["und"] == 4
     assert language_id.identify(none_of(frame), model).collect() == []
-    assert language_id.train(none_of(frame), queries.MODEL_FILE) is None
+    assert language_id.train(none_of(frame), queries.model_file()) is None
     assert {r.lang_pred for r in language_id.identify(frame, None).collect()} == {"und"}
 
 
@@ -376,12 +376,44 @@ def test_allowance_and_thinning():
     assert words.tolist() == [0, 3, 7, 11] and sizes.tolist() == [4]
 
 
-def test_gradient_is_that_of_the_likelihood():
-    feature, sentence, text_of, label = np.array([1, 2, 1, 3]), np.array([0, 0, 1, 2]), np.array([0, 0, 1]), np.array([1, 0])
-    model = toxicity.fit(feature, sentence, text_of, label, np.ones(2), 400, 0.5, 0.0)
-    z = model.sentences(feature, sentence)
-    s = np.bincount(text_of, weights=toxicity.softplus(z))
-    assert -np.expm1(-s[0]) > 0.9 and -np.expm1(-s[1]) < 0.1
+def test_a_step_follows_the_gradient_of_the_likelihood():
+    """The first step of Adagrad moves each weight by the rate against the sign of the likelihood's slope, taken by differences."""
+    rng = np.random.default_rng(6)
+    feature, sentence = rng.integers(0, 6, 40), np.sort(rng.integers(0, 12, 40))
+    sentence = np.unique(sentence, return_inverse=True)[1]
+    text_of = np.sort(rng.integers(0, 5, sentence.max() + 1))
+    label, weight = np.array([1, 0, 1, 0, 0]), np.array([1.0, 2.0, 1.0, 1.0, 3.0])
+
+    def loss(w, bias):
+        p = 1 / (1 + np.exp(-(np.bincount(sentence, weights=w[feature]) + bias)))
+        s = np.array([1 - np.prod(1 - p[text_of == i]) for i in range(5)])
+        return -(weight * np.log(np.where(label == 1, s + 1e-12, 1 - s))).sum() / weight.sum()
+
+    model = toxicity.fit(feature, sentence, text_of, label, weight, 1, 0.5, 0.0)
+    for k in range(6):
+        w = np.zeros(6)
+        w[k] = 1e-3
+        slope = (loss(w, -8.0) - loss(-w, -8.0)) / 2e-3
+        assert np.isclose(model.weights[k], -0.5 * slope / np.sqrt(1e-8 + slope**2), rtol=1e-2, atol=1e-4)
+
+
+def test_toxicity_query_matches_brute_force(spark, docs):
+    """Sentences, words and beginnings spelt out, under the query's own model."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = queries.toxicity_model(docs, labels)
+    number = {}
+    for r in queries.op4_toxicity(spark, SF).collect():
+        number[r.doc_id] = r
+    for r in docs.limit(60).collect():
+        s = 0.0
+        for part in re.split(r"[.!?\n\r]", r.text or ""):
+            words = re.findall(rb"[A-Za-z0-9'\x80-\xff]+", part.encode())
+            if words:
+                parts = [w[:n] for w in words for n in toxicity.PREFIXES if len(w) > n] + words
+                features = [int(toxicity.prefix_hashes(np.frombuffer(x.lower(), np.uint8), np.array([0]), np.array([len(x)]), ())[-1][1][0] & np.uint64(toxicity.FEATURES - 1)) for x in parts]
+                s += np.logaddexp(0, sum(float(model.weights[f]) for f in features) + model.bias)
+        want = -np.expm1(-(s or np.logaddexp(0, model.bias)))
+        assert abs(number[r.doc_id].score - want) < 1e-6 and number[r.doc_id].predicted == int(number[r.doc_id].score >= 0.3)
 
 
 def test_toxicity_awkward_rows(spark):
@@ -594,9 +626,9 @@ def texts_for_pieces():
 
 def test_pieces_equal_the_library(spark):
     texts = texts_for_pieces()
-    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = piece_bpe.decode(piece_bpe.encode(frame, queries.MODEL_FILE, decoded="same"), queries.MODEL_FILE).collect()
+    found = piece_bpe.decode(piece_bpe.encode(frame, queries.model_file(), decoded="same"), queries.model_file()).collect()
     for r in found:
         assert r.same == r.decoded
         wanted = sp.encode(texts[r.doc_id] or "", add_eos=True)
@@ -604,7 +636,7 @@ def test_pieces_equal_the_library(spark):
 
 
 def test_piece_digests(spark, docs):
-    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in queries.op7_sentencepiece(spark, SF).collect():
         ids = sp.encode(texts[r.doc_id], add_eos=True)
@@ -614,17 +646,17 @@ def test_piece_digests(spark, docs):
 
 def test_units_start_anew(monkeypatch):
     monkeypatch.setattr(piece_bpe, "MOST_UNITS", 10)
-    model = piece_bpe.PieceModel(queries.MODEL_FILE)
-    encoder, sp = piece_bpe.Encoder(model), sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    model = piece_bpe.PieceModel(queries.model_file())
+    encoder, sp = piece_bpe.Encoder(model), sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
     for text in ("one two three four", "five six seven eight nine ten", "one two three") * 3:
         assert encoder.ids(text) == sp.encode(text, add_eos=True)
 
 
 def test_pieces_awkward_rows(spark):
     frame = awkward(spark).withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
-    out = piece_bpe.decode(piece_bpe.encode(frame, queries.MODEL_FILE), queries.MODEL_FILE)
+    out = piece_bpe.decode(piece_bpe.encode(frame, queries.model_file()), queries.model_file())
     assert out.count() == frame.count() and set(out.columns) == set(frame.columns)
-    assert piece_bpe.encode(none_of(frame), queries.MODEL_FILE).collect() == []
+    assert piece_bpe.encode(none_of(frame), queries.model_file()).collect() == []
 
 
 # 8 LM scores
@@ -844,7 +876,7 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, docs):
     near = brute_near([(i, r.text) for i, r in kept.items() if i in keep], 80)
     last = {i for i, (_, label, _) in near.items() if label == i}
     mixed = {r.doc_id: r.copies for r in mixing.mix(docs.where(F.col("doc_id").isin(list(last))), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
-    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
     found = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in found) == {i: n for i, n in mixed.items() if n}
     assert all(r.ids == sp.encode(kept[r.doc_id].text or "", add_eos=True) and r.n_tokens == len(r.ids) and r.decoded == sp.decode(r.ids) for r in found)
