@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as ids: doc_id, source, ids, n_tokens, decoded (the text that the ids spell)."""
-    ids = piece_bpe.encode(docs.select("doc_id", "source", "text"), queries.MODEL_FILE, decoded="decoded")
+    ids = piece_bpe.encode(docs.select("doc_id", "source", "text"), queries.model_file(), decoded="decoded")
     return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
