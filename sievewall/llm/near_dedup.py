@@ -60,50 +60,48 @@ def shingles_of(texts: DataFrame) -> DataFrame:
 
 
 def crowded_buckets(bands: DataFrame) -> DataFrame:
-    """Memberships of the buckets that matter: key, digest, lead (one of the bucket's members), blocks (that it needs).
+    """Memberships of the buckets that matter: key, digest, lead (the bucket's least digest), blocks (that it needs).
 
     bands: digest, n_shingles, key. Buckets of one member say nothing. Of
     buckets with the very same members (near copies meet in many bands) one is
-    enough: they share count, sum and least and greatest of the members'
-    64-bit hashes, and the one of least key stays.
+    enough: they share count, least and greatest digest and the sum of the
+    members' 64-bit hashes, and the one of least key stays.
     """
     member = F.xxhash64("digest")
     sizes = bands.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_bucket"),
         F.sum(F.shiftright(member, 20)).alias("total"),
         F.sum("n_shingles").alias("weight"),
-        F.min(F.struct(member, "digest")).alias("least"),
-        F.max(F.struct(member, "digest")).alias("most"),
+        F.min("digest").alias("least"),
+        F.max("digest").alias("most"),
     )
     chosen = sizes.where("n_bucket > 1").groupBy("n_bucket", "total", "least", "most").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("n_bucket") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    return bands.join(chosen.select("key", F.col("least.digest").alias("lead"), blocks.alias("blocks")), "key").select("key", "digest", "lead", "blocks")
+    return bands.join(chosen.select("key", F.col("least").alias("lead"), blocks.alias("blocks")), "key").select("key", "digest", "lead", "blocks")
 
 
 def star_rows(members: DataFrame) -> DataFrame:
     """Rows that compare each member with its bucket's lead: key, low, high, block, label, digest; a lead is block 0 and meets its members by the block."""
     own = members.where("digest <> lead").select(F.col("lead").alias("key"), F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int").alias("high"), "digest").distinct()
     leads = own.select("key", "high").distinct().select("key", "high", F.lit(0).alias("block"), F.col("key").alias("digest"))
-    return own.select("key", "high", F.lit(1).alias("block"), "digest").unionByName(leads).select(F.hex("key").alias("key"), F.lit(-1).alias("low"), "high", "block", F.col("digest").alias("label"), "digest")
+    rows = own.select("key", "high", F.lit(1).alias("block"), "digest").unionByName(leads)
+    return rows.select(F.hex("key").alias("key"), F.lit(-1).cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("block").cast("long").alias("block"), F.col("digest").alias("label"), "digest")
 
 
-def block_rows(members: DataFrame) -> DataFrame:
+def block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each pair of blocks that a member takes part in: key, low, high (blocks), block (its own), label, digest.
 
-    members: key, digest, label. Members of one label need no comparison: a
-    label of many members fills blocks of its own, which do not meet each
-    other; the others are dealt by label.
+    members: key, digest, label; labels: key, label, n (members). Members of
+    one label need no comparison: a label of many members fills blocks of its
+    own, which do not meet each other; the others are dealt by label.
     """
-    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    wide = labels.where(F.col("n") > BLOCK // 2).select("key", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("own"), F.abs(F.xxhash64("label")).alias("group"))
-    narrow = labels.where(F.col("n") <= BLOCK // 2).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pools"))
-    dealt = (
-        members.join(wide, ["key", "label"], "left").join(narrow, "key", "left")
-        .withColumn("block", F.coalesce(F.pmod(F.xxhash64("digest", F.lit(5)), F.col("own")), F.pmod(F.xxhash64("label", F.lit(6)), F.col("pools"))).cast("int"))
-        .select("key", F.coalesce("group", F.lit(-1).cast("long")).alias("group"), "block", "label", "digest")
-    )
-    blocks = dealt.select("key", "group", "block").distinct().withColumn("name", F.xxhash64("group", "block"))
-    other = blocks.select("key", F.col("group").alias("_group"), F.col("block").alias("_block"), F.col("name").alias("_name"))
+    wide = F.col("n") > BLOCK // 2
+    pools = labels.where(~wide).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pools"))
+    sized = labels.join(pools, "key", "left").select("key", "label", F.when(wide, F.abs(F.xxhash64("label"))).otherwise(F.lit(-1).cast("long")).alias("group"), F.when(wide, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("pools")).cast("int").alias("of"))
+    block = F.pmod(F.when(F.col("group") == -1, F.xxhash64("label", F.lit(6))).otherwise(F.xxhash64("digest", F.lit(5))), F.col("of")).cast("int")
+    dealt = members.join(sized, ["key", "label"]).select("key", "group", block.alias("block"), "label", "digest")
+    blocks = sized.select("key", "group", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block")).distinct().withColumn("name", F.xxhash64("group", "block"))
+    other = blocks.select("key", F.col("group").alias("_group"), F.col("name").alias("_name"))
     meets = (F.col("group") != F.col("_group")) | (F.col("group") == -1)
     pairs = blocks.join(other, "key").where(meets).select("key", "group", "block", F.least("name", "_name").alias("low"), F.greatest("name", "_name").alias("high"), "name")
     return dealt.join(pairs, ["key", "group", "block"]).select(F.col("key").cast("string").alias("key"), "low", "high", F.col("name").alias("block"), "label", "digest")
@@ -219,34 +217,33 @@ def links_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def labels_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The component of each linked digest: node, label. members: as of `crowded_buckets`, written.
+def links_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join each component. members: as of `crowded_buckets`, written.
 
     A bucket of one block is compared within a task. In a larger one all
-    members first meet the lead, which is linear; what is linked by then,
-    through any bucket, is one label. Members of different labels that have
-    met no lead of each other are compared block by block.
+    members first meet the lead, which is linear; those linked with one lead,
+    or with leads that share one, are one label. Members of different labels
+    are then compared block by block, the lead left out.
     """
-    single = members.where("blocks = 1").select(F.col("key").cast("string").alias("key"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), F.col("digest").alias("label"), "digest")
+    single = members.where("blocks = 1").select(F.col("key").cast("string").alias("key"), *[F.lit(0).cast("long").alias(x) for x in ("low", "high", "block")], F.col("digest").alias("label"), "digest")
     large = members.where("blocks > 1")
     if large.isEmpty():
-        links = written(verified_links(single, sets, percent), "near-links")
-        found = written(connected_components(links), "near-labels")
-        removed(links)
-        return found
-    star = star_rows(large).select("key", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("block").cast("long").alias("block"), "label", "digest")
-    links = written(verified_links(single.unionByName(star), sets, percent), "near-links")
-    labels = written(connected_components(links), "near-labels")
-    rest = large.where("digest <> lead").select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rest = written(rest.join(mixed, "key", "left_semi"), "near-rest")
-    if rest.isEmpty():
-        removed(links, rest)
-        return labels
-    more = written(verified_links(block_rows(rest), sets, percent).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "near-links")
-    found = written(connected_components(more), "near-labels")
-    removed(links, labels, rest, more)
-    return found
+        return written(verified_links(single, sets, percent), "near-links")
+    links = written(verified_links(single.unionByName(star_rows(large)), sets, percent), "near-links")
+    # The lead of a lead is a label, too: what shares one is connected.
+    nearest = links.select(F.greatest("a", "b").alias("digest"), F.least("a", "b").alias("label")).groupBy("digest").agg(F.min("label").alias("label"))
+    nearest = written(nearest, "near-labels")
+    further = nearest.join(nearest.select(F.col("digest").alias("label"), F.col("label").alias("_label")), "label", "left").select("digest", F.coalesce("_label", "label").alias("label"))
+    rest = large.where("digest <> lead").select("key", "digest").join(further, "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
+    rest = written(rest, "near-rest")
+    mixed = written(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "near-mixed")
+    if not mixed.isEmpty():
+        rows = rest.join(mixed, "key", "left_semi")
+        labels = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "near-label-sizes")
+        before, links = links, written(links.unionByName(verified_links(block_rows(rows, labels), sets, percent)), "near-links")
+        removed(before, labels)
+    removed(nearest, rest, mixed)
+    return links
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
@@ -261,7 +258,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
     Documents of equal sets are one node from the start. Nodes that share a
     band's key meet in a bucket, whose members are compared on their full
-    sets of 64-bit shingle hashes inside the tasks (`labels_of`): what leaves
+    sets of 64-bit shingle hashes inside the tasks (`links_of`): what leaves
     a task are stars of links, never its pairs, and there is no cap on a bucket.
     """
     joined = placed_rows(docs, doc_id, text, percent, bands)
@@ -289,8 +286,9 @@ def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: in
     wanted = members.select("digest").distinct().join(nodes.select("digest", "first_id", "first_mark"), "digest")
     texts = source.join(wanted, (source.mark == F.col("first_mark")) & source.doc_id.eqNullSafe(F.col("first_id")))
     sets = written(shingles_of(texts.select("text", "digest")), "near-sets")
-    labels = labels_of(members, sets, percent)
-    removed(members, sets)
+    links = links_of(members, sets, percent)
+    labels = written(connected_components(links), "near-labels")
+    removed(members, sets, links)
     known = nodes.select("digest", "first_id", "first_mark", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     linked = known.where("label is not null")
     least = linked.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest", "first_mark")).alias("f"))
