@@ -299,3 +299,34 @@ def test_change_hash_ignores_order_and_sees_content(spark):
     rows = [(1, *a), (1, *b), (2, *b), (2, *a), (3, *a), (3, *b[:6], "01", [])]
     found = {r.change_id: r.own_hash for r in markers.changes_hash(spark.createDataFrame(rows, schema)).collect()}
     assert found[1] == found[2] != found[3]
+
+
+def files_of(spark, *texts):
+    parsed = diffs.parsed_diffs(spark.createDataFrame(list(enumerate(texts)), "change_id long, diff string")).collect()
+    return [r.error or [(f.path, f.old_path, f.status) for f in r.files] for r in sorted(parsed, key=lambda r: r.change_id)]
+
+
+def test_quoted_paths_are_read_or_refused(spark):
+    head = "diff --git {}\n"
+    good = [r'"a/t\303\244 b.md" b/plain name.md', r'a/plain name.md "b/t\303\244.md"', r'"a/a\"b\\c" "b/a\"b\\c"', "a/x y b/x y", "a/p b/q b/r"]
+    bad = [r'"a/\377" "b/\377"', r'"a/x\q" "b/x\q"', r'"a/x"y" "b/x"y"', r'"a/x b/x', "a/x", r'"a/\777" "b/x"']
+    found = files_of(spark, *(head.format(x) for x in good + bad))
+    assert found[:5] == [[("plain name.md", "tä b.md", "renamed")], [("tä.md", "plain name.md", "renamed")], [('a"b\\c', None, "modified")], [("x y", None, "modified")], [("q b/r", "p", "renamed")]]
+    assert found[5:] == ["bad file header"] * 6
+    moves = files_of(spark, 'diff --git a/o b/n\nsimilarity index 100%\nrename from o\nrename to "n\\"q"\n', 'diff --git a/o b/n\nrename from "o\nrename to n\n')
+    assert moves == [[('n"q', "o", "renamed")], "bad quoted path"]
+
+
+def test_bodies_keep_notes_and_marks_that_look_like_headers(spark):
+    text = "diff --git a/q.sql b/q.sql\nindex 1..2 100644\n--- a/q.sql\n+++ b/q.sql\n@@ -1,3 +1,4 @@ x\n--- old comment\n+++ new comment\n same\n\\ No newline at end of file\n+@@ -1 +1 @@\n diff --git\n"
+    row = diffs.changed_files(diffs.parsed_diffs(spark.createDataFrame([(1, text)], "change_id long, diff string"))).collect()[0]
+    assert row.path == "q.sql" and row.removed == ["-- old comment"] and [tuple(x) for x in row.added] == [(1, "++ new comment"), (3, "@@ -1 +1 @@")]
+    assert row.body == ["--- old comment", "+++ new comment", " same", "\\ No newline at end of file", "+@@ -1 +1 @@", " diff --git"]
+    short = text.replace("+1,4", "+1,5")
+    assert files_of(spark, short, short + "diff --git a/x b/x\n", text + "odd\n", "@@ -1 +1 @@\n", text.replace("@@ -1,3", "@@ -x")) == ["truncated hunk", "bad hunk line", "unexpected line outside a hunk", "content before the first header", "bad hunk header"]
+
+
+def test_modes_and_links(spark):
+    text = "diff --git a/m b/m\nindex 1..2 160000\ndiff --git a/l b/l\nnew file mode 120000\nindex 0..2\n--- /dev/null\n+++ b/l\n@@ -0,0 +1 @@\n+t\ndiff --git a/s b/s\ndeleted file mode 160000\nindex 1..0\ndiff --git a/f b/f\nold mode 100644\nnew mode 100755\n"
+    found = [(r.path, r.status, r.old_mode, r.new_mode, r.gitlink) for r in diffs.changed_files(diffs.parsed_diffs(spark.createDataFrame([(1, text)], "change_id long, diff string"))).orderBy("ord").collect()]
+    assert found == [("m", "modified", None, None, True), ("l", "added", None, "120000", False), ("s", "deleted", "160000", None, False), ("f", "modified", "100644", "100755", False)]
