@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .credentials import first_rule
+from .unicode import unprintable_count
 
 # How much of a text the reference looks at, what is long enough to decode, and how much of it must be printable.
 SCAN_LENGTH, LEAST_INPUT, LEAST_DECODED, PRINTABLE_SHARE = 600_000, 16, 12, 0.90
 BASE64, HEX = r"[A-Za-z0-9+/_\-]{24,}={0,2}", r"[0-9a-fA-F]{32,}"
-#: Not printable: controls, format, private use, separators; the plain blanks are printable.
-NOT_PRINTABLE, BLANK = r"[\p{Cc}\p{Cf}\p{Co}\p{Zs}\p{Zl}\p{Zp}]", r"[ \t\n\r]"
+#: Blanks that count as printable.
+BLANK = r"[\t\n\r]"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ROTATED = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 
@@ -19,7 +20,7 @@ ROTATED = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 def printable_text(raw: Column) -> Column:
     """Bytes as text if they are valid UTF-8, long enough and printable enough; else null."""
     text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    odd = F.regexp_count(text, F.lit(NOT_PRINTABLE)) - F.regexp_count(text, F.lit(BLANK))
+    odd = unprintable_count(text) - F.regexp_count(text, F.lit(BLANK))
     return F.when((F.octet_length(raw) >= LEAST_DECODED) & (F.length(text) - odd >= F.length(text) * PRINTABLE_SHARE), text)
 
 

@@ -70,14 +70,65 @@ def patterns(profile: str = "prose") -> dict[str, str]:
 def hidden_counts(text: Column, profile: str = "prose") -> dict[str, Column]:
     """tag_hits, bidi_hits, zw_hits, fmt_hits and stripped, their sum."""
     own = patterns(profile)
-    hits = {f"{k}_hits": F.regexp_count(text, F.lit(own[k])).cast("int") for k in CLASSES}
+    hits = {f"{k}_hits": F.when(is_ascii(text), 0).otherwise(F.regexp_count(text, F.lit(own[k]))).cast("int") for k in CLASSES}
     return hits | {"stripped": sum(hits.values(), F.lit(0)).cast("int")}
 
 
-def exposed_selectors(text: Column) -> Column:
-    """Emoji presentation selectors in their ordinary place: one, after a base, with no other selector behind."""
+def is_ascii(text: Column) -> Column:
+    """Whether a text has one byte a character; no hidden character has."""
+    return F.octet_length(text) == F.length(text)
+
+
+def ordinary_selector() -> str:
+    """The pattern of an emoji presentation selector in its ordinary place: one, after a base, with no other selector behind."""
     selector = character_class([(0xFE00, 0xFE0F), (0xE0100, 0xE01EF)])
-    return F.regexp_count(text, F.lit(f"(?<={character_class(EMOJI_BASES)})[\\x{{FE0E}}\\x{{FE0F}}](?!{selector})")).cast("int")
+    return f"(?<={character_class(EMOJI_BASES)})[\\x{{FE0E}}\\x{{FE0F}}](?!{selector})"
+
+
+def exposed_selectors(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(ordinary_selector())).cast("int")
+
+
+def hidden_places(text: Column, profile: str = "prose") -> Column:
+    """array<struct<at, cp>> of hidden characters, by place from 0; source code's ordinary emoji selectors are none."""
+    seen = F.regexp_replace(text, ordinary_selector(), " ") if profile == "code" else text
+    marked = F.transform(F.split(seen, ""), lambda c, i: F.when(c.rlike(patterns(profile)["any"]), F.struct(i.alias("at"), F.ascii(c).alias("cp"))))
+    return F.when(is_ascii(text), F.array().cast("array<struct<at:int,cp:int>>")).otherwise(F.array_compact(marked))
+
+
+def code_point_name(cp: Column) -> Column:
+    """U+ and at least four hexadecimal digits."""
+    digits = F.hex(cp.cast("long"))
+    return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
+
+
+def with_hidden_shown(text: Column) -> Column:
+    """Every character that is hidden in source code as <U+XXXX>."""
+    hidden = patterns("code")["any"]
+    shown = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(hidden), F.concat(F.lit("<"), code_point_name(F.ascii(c)), F.lit(">"))).otherwise(c)), "")
+    return F.when(is_ascii(text) | ~text.rlike(hidden), text).otherwise(shown)
+
+
+def _unprintable() -> str:
+    """The class of what this Python calls unprintable, unassigned code points and surrogates' places too."""
+    ranges: list[tuple[int, int]] = []
+    for c in range(0x110000):
+        if not chr(c).isprintable() and c != 0x20 and not 0xD800 <= c <= 0xDFFF:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1] = (ranges[-1][0], c)
+            else:
+                ranges.append((c, c))
+    return character_class(ranges)
+
+
+#: Not printable: controls, format, private use, unassigned, and separators but the blank.
+UNPRINTABLE = _unprintable()
+#: Of ASCII the controls.
+UNPRINTABLE_ASCII = r"[\x00-\x1f\x7f]"
+
+
+def unprintable_count(text: Column) -> Column:
+    return F.when(is_ascii(text), F.regexp_count(text, F.lit(UNPRINTABLE_ASCII))).otherwise(F.regexp_count(text, F.lit(UNPRINTABLE)))
 
 
 def is_anomalous(stripped: Column, raw_length: Column) -> Column:
@@ -98,11 +149,10 @@ def sanitized(docs: DataFrame, text: str = "text", profile: str = "prose") -> Da
     """The frame with raw_length, the counters, clean (stripped, NFKC, slashes folded) and nfkc_changed.
 
     NFKC is the one step without a native function. ASCII texts are fixed
-    points of it, so they take a branch of their own and never reach Python.
+    points of it; in their place a null goes to Python, so a frame is read once.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.withColumns({"raw_length": F.length(raw).cast("int"), **hidden_counts(raw, profile), "_bare": F.regexp_replace(raw, patterns(profile)["any"], "")})
-    ascii_only = F.octet_length(raw) == F.length(raw)
-    plain = counted.where(ascii_only).withColumn("clean", F.col("_bare"))
-    other = counted.where(~ascii_only).withColumn("clean", with_slashes_folded(nfkc("_bare")))
-    return plain.unionByName(other).withColumn("nfkc_changed", F.col("clean") != F.col("_bare")).drop("_bare")
+    bare = F.when(is_ascii(raw), raw).otherwise(F.regexp_replace(raw, patterns(profile)["any"], ""))
+    counted = docs.withColumns({"raw_length": F.length(raw).cast("int"), **hidden_counts(raw, profile), "_bare": bare})
+    folded = with_slashes_folded(nfkc(F.when(~is_ascii(F.col("_bare")), F.col("_bare"))))
+    return counted.withColumn("clean", F.coalesce(folded, "_bare")).withColumn("nfkc_changed", F.col("clean") != F.col("_bare")).drop("_bare")

@@ -28,7 +28,7 @@ def settled_attempts(attempts: DataFrame, most: int = 3) -> DataFrame:
     seen = attempts.where(F.col("attempt") <= most)
     stop = seen.groupBy("id").agg(first.alias("stop"), F.max("attempt").alias("all"))
     used = seen.join(stop, "id").where(F.col("attempt") <= F.coalesce("stop", "all"))
-    return used.groupBy("id", "expected").agg(
+    return used.groupBy(*[x for x in ("ord", "id", "expected") if x in used.columns]).agg(
         F.min_by("predicted", "attempt").alias("first_predicted"), F.max_by("predicted", "attempt").alias("predicted"), F.count(F.lit(1)).cast("int").alias("attempts")
     )
 
@@ -53,7 +53,11 @@ def first_attempt_rates(results: DataFrame) -> DataFrame:
 
 
 def wrong_ids(results: DataFrame) -> DataFrame:
-    """kind, id of every wrong or flaky case: fn, fp, flaky (right in the end, but not at first)."""
+    """kind, n, ids of the wrong and flaky cases in the order in which they came: fn, fp, flaky (right in the end, but not at first).
+
+    results needs `ord`, the place of a case in its corpus. A list is as long
+    as its errors are many.
+    """
     kinds = F.array_compact(
         F.array(
             F.when((F.col("expected") == "block") & (F.col("predicted") != "block"), "fn"),
@@ -61,7 +65,8 @@ def wrong_ids(results: DataFrame) -> DataFrame:
             F.when((F.col("predicted") == F.col("expected")) & (F.col("first_predicted") != F.col("expected")), "flaky"),
         )
     )
-    return results.select(F.explode(kinds).alias("kind"), "id")
+    wrong = results.select(F.explode(kinds).alias("kind"), "ord", "id")
+    return wrong.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 def without_outages(results: DataFrame) -> DataFrame:

@@ -7,14 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewall.functions.unicode import exposed_selectors, patterns
+from sievewall.functions.unicode import code_point_name, hidden_places
 
 # First bytes of known formats, in the order in which they claim a file.
 MAGIC = (
-    ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("474946383761", "gif"), ("474946383961", "gif"), ("00000100", "ico"), ("774F4632", "woff2"),
-    ("774F4646", "woff"), ("4F54544F", "otf"), ("00010000", "ttf"), ("255044462D", "pdf"), ("504B0304", "zip"), ("504B0506", "zip"), ("1F8B", "gzip"),
-    ("425A68", "bzip2"), ("FD377A585A00", "xz"), ("28B52FFD", "zstd"), ("377ABCAF271C", "7z"), ("7F454C46", "elf"), ("4D5A", "pe"), ("0061736D", "wasm"),
-    ("2321", "script"), ("CFFAEDFE", "macho"), ("CEFAEDFE", "macho"), ("FEEDFACF", "macho"), ("FEEDFACE", "macho"), ("CAFEBABE", "macho"),
+    (b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpeg"), (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"\x00\x00\x01\x00", "ico"), (b"wOF2", "woff2"),
+    (b"wOFF", "woff"), (b"OTTO", "otf"), (b"\x00\x01\x00\x00", "ttf"), (b"%PDF-", "pdf"), (b"PK\x03\x04", "zip"), (b"PK\x05\x06", "zip"), (b"\x1f\x8b", "gzip"),
+    (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"\x7fELF", "elf"), (b"MZ", "pe"), (b"\x00asm", "wasm"),
+    (b"#!", "script"), (b"\xcf\xfa\xed\xfe", "macho"), (b"\xce\xfa\xed\xfe", "macho"), (b"\xfe\xed\xfa\xcf", "macho"), (b"\xfe\xed\xfa\xce", "macho"), (b"\xca\xfe\xba\xbe", "macho"),
 )
 # The format that a file name's ending promises, and other endings of known binary formats.
 ENDINGS = {
@@ -41,7 +41,7 @@ def magic_type(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 12))
     found = F.lit(None).cast("string")
     for prefix, kind in reversed(MAGIC):
-        found = F.when(head.startswith(prefix), kind).otherwise(found)
+        found = F.when(head.startswith(prefix.hex().upper()), kind).otherwise(found)
     return F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp").otherwise(found)
 
 
@@ -72,12 +72,45 @@ def binary_hits(files: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
-def hidden_lines(added: DataFrame) -> DataFrame:
-    """path, line_no of added lines with hidden or control characters. added(path, line_no, text)."""
-    line = F.regexp_replace("text", "\r\\z", "")
-    hidden = F.regexp_count(F.col("text"), F.lit(patterns("code")["any"])) - exposed_selectors(F.col("text"))
-    controls = F.regexp_count(line, F.lit("[\\x00-\\x08\\x0a\\x0b\\x0d-\\x1f\\x7f-\\x9f]"))
-    return added.where((hidden > 0) | (controls > 0)).select("path", "line_no")
+CONTROLS, PATH_CONTROLS = r"[\x00-\x08\x0a\x0b\x0d-\x1f\x7f-\x9f]", r"[\x00-\x1f\x7f-\x9f]"
+
+
+def odd_characters(text: Column, controls: str, own: Column | None = None) -> Column:
+    """Code points of characters that are hidden in source code, then of control characters (in `own`, if it is given)."""
+    hidden = F.transform(hidden_places(text, "code"), lambda x: x["cp"])
+    return F.concat(hidden, F.transform(F.regexp_extract_all(text if own is None else own, F.lit(controls), F.lit(0)), lambda c: F.ascii(c)))
+
+
+def named_characters(points: Column, most: int = 8) -> Column:
+    """The first distinct code points in order, by name."""
+    return F.array_join(F.transform(F.slice(F.array_sort(F.array_distinct(points)), 1, most), code_point_name), ", ")
+
+
+def hidden_hits(files: DataFrame, added: DataFrame) -> DataFrame:
+    """path, line_no, detail of paths (line_no is null) and added lines with hidden or control characters.
+
+    files(path, status), added(path, line_no, text). A path that a change
+    deletes may keep them. In a line a tab, a form feed and a last carriage
+    return are in order; in a path no control character is.
+    """
+    paths = files.where("status <> 'deleted'").select("path", F.lit(None).cast("long").alias("line_no"), odd_characters(F.col("path"), PATH_CONTROLS).alias("points"), F.lit("in the file path: ").alias("where"))
+    line = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
+    lines = added.select("path", F.col("line_no").cast("long").alias("line_no"), odd_characters(F.col("text"), CONTROLS, F.regexp_replace("text", "\r\\z", "")).alias("points"), line.alias("where"))
+    return paths.unionByName(lines).where(F.size("points") > 0).select("path", "line_no", F.concat("where", named_characters(F.col("points"))).alias("detail"))
+
+
+SUBMODULE = "submodule pointer: its content is not reviewed; check the target repo/commit before dismissing"
+
+
+def submodule_hits(files: DataFrame) -> DataFrame:
+    """path, detail of submodule pointers that stay. files(path, status, gitlink)."""
+    return files.where("gitlink and status <> 'deleted'").select("path", F.lit(SUBMODULE).alias("detail"))
+
+
+def found_binary(status: Column, binary: Column, body: Column, gitlink: Column, content: Column, peek: int = 8000) -> Column:
+    """Whether a file is binary: as its diff says, or, of a rename without a body, if its content has a zero byte early on."""
+    zero = F.substring(F.hex(F.substring(content, 1, peek)), F.lit(1), F.lit(2 * peek)).rlike("^(?:[0-9A-F]{2})*?00")
+    return binary | F.coalesce((status == "renamed") & (F.size(body) == 0) & ~gitlink & zero, F.lit(False))
 
 
 def glob_pattern(glob: str) -> str:
@@ -221,7 +254,9 @@ def fitting_contents(files: DataFrame, budget: int) -> DataFrame:
     return items.select("change_id", F.inline(F.aggregate("items", start, step, lambda s: s["out"])))
 
 
-# Names that ask for a closer look.
+# Names that ask for a closer look, and the patterns of install scripts and of pip's files.
+INSTALL = r"^(install|setup|bootstrap|preinstall|postinstall)([._-].*)?$"
+REQUIREMENTS = r"^(requirements|constraints)[\w.-]*\.(txt|in)$"
 MANIFESTS = ("package.json", "pyproject.toml", "setup.cfg", "cargo.toml", "gemfile", "go.mod", "makefile", "dockerfile", ".gitattributes", ".gitmodules", ".npmrc", ".yarnrc", ".yarnrc.yml", "pip.conf")
 LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "cargo.lock", "uv.lock", "poetry.lock", "pipfile.lock", "pdm.lock", "flake.lock", "gemfile.lock")
 VENDORED = ("dist", "vendor", "vendored", "third_party", "node_modules", "generated", "build")
@@ -234,11 +269,11 @@ def lockfile_kind(path: Column) -> Column:
     """The lockfile's name, `requirements` for pip's files, or null."""
     name = F.lower(F.substring_index(path, "/", -1))
     folder = F.lower(F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit("")))
-    pip = name.rlike(r"^(requirements|constraints)[\w.-]*\.(txt|in)$") | ((folder == "requirements") & name.rlike(r"\.(txt|in)$"))
+    pip = name.rlike(REQUIREMENTS) | ((folder == "requirements") & name.rlike(r"\.(txt|in)$"))
     return F.when(name.isin(*LOCKFILES), name).when(pip, "requirements")
 
 
-def scrutiny(files: DataFrame, long_line: int = 1000) -> DataFrame:
+def scrutiny(files: DataFrame, long_line: int = 500) -> DataFrame:
     """path, ord, reason: why a file that stays wants a closer look, in a fixed order. files(path, status, new_mode, gitlink, longest_line)."""
     path, name = F.col("path"), F.lower(F.substring_index("path", "/", -1))
     parts = F.split(path, "/")
@@ -249,7 +284,7 @@ def scrutiny(files: DataFrame, long_line: int = 1000) -> DataFrame:
         ("nix", suffix == ".nix"),
         ("lockfile", lockfile_kind(path).isNotNull()),
         ("build-script", name == "build.rs"),
-        ("install-script", name.rlike(r"^(install|setup|bootstrap|preinstall|postinstall)([._-].*)?$") & suffix.isin("", ".sh", ".py", ".ps1", ".bash", ".js")),
+        ("install-script", name.rlike(INSTALL) & suffix.isin("", ".sh", ".py", ".ps1", ".bash", ".js")),
         ("package-manifest", name.isin(*MANIFESTS)),
         ("dev-autorun", autorun),
         ("minified-or-vendored", F.contains(name, F.lit(".min.")) | F.arrays_overlap(folders, F.array(*[F.lit(x) for x in VENDORED]))),

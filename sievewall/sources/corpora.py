@@ -25,13 +25,18 @@ def strict_json(line: Column) -> Column:
 
 
 def labelled_cases(spark: SparkSession, path: str, needs_text: bool = True) -> DataFrame:
-    """id, text, expected of a file of one JSON object per line; any malformed line fails the job, naming its file only."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$")).select(F.input_file_name().alias("file"), strict_json(F.col("value")).alias("line"))
-    cases = lines.select("file", F.from_json("line", CASE).alias("c"))
+    """ord, id, text, expected of files of one JSON object per line; a malformed line fails the job, naming its file and number only.
+
+    A file of labels is read whole, as its lines are numbered; `ord` is the
+    place in it.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("at", "value"))
+    lines = files.where(~F.col("value").rlike(r"^\s*$")).select(F.concat("file", F.lit(":"), (F.col("at") + 1).cast("string")).alias("file"), F.col("at").alias("ord"), strict_json(F.col("value")).alias("line"))
+    cases = lines.select("file", "ord", F.from_json("line", CASE).alias("c"))
     good = F.coalesce(F.col("c").isNotNull() & valid_case_id(F.col("c.id")) & F.col("c.expected").isin("block", "pass"), F.lit(False))
     if needs_text:
         good = good & F.col("c.text").isNotNull()
-    return cases.where(F.assert_true(good, F.concat(F.lit("malformed case in "), F.col("file"))).isNull()).select("c.id", "c.text", "c.expected")
+    return cases.where(F.assert_true(good, F.concat(F.lit("malformed case in "), F.col("file"))).isNull()).select("ord", "c.id", "c.text", "c.expected")
 
 
 def corpus_folder(spark: SparkSession, folder: str, labels: str = "labels.jsonl") -> DataFrame:
@@ -39,7 +44,7 @@ def corpus_folder(spark: SparkSession, folder: str, labels: str = "labels.jsonl"
     cases = labelled_cases(spark, f"{folder}/{labels}", needs_text=False)
     files = text_files(spark, folder).select(F.substring_index("path", "/", -1).alias("_file"), F.col("text").alias("_file_text"))
     joined = cases.join(files, cases.id == files._file, "left").withColumn("text", F.coalesce("text", "_file_text"))
-    return joined.where(F.assert_true(F.col("text").isNotNull(), F.lit("a case has neither a text nor a file")).isNull()).select("id", "text", "expected")
+    return joined.where(F.assert_true(F.col("text").isNotNull(), F.lit("a case has neither a text nor a file")).isNull()).select("ord", "id", "text", "expected")
 
 
 def bounded_number(value: Column, default: float, low: float, high: float) -> Column:
