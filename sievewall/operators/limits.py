@@ -102,23 +102,44 @@ def limiter_decisions(events: DataFrame, config: LimiterConfig | None = None) ->
 
 
 def budget_decisions(events: DataFrame, limit: int) -> DataFrame:
-    """vendor, ord, granted, used of events(vendor, ord, ts, amount): all or nothing within a calendar month (UTC).
-
-    A refused amount is not spent, so this is a fold and no prefix sum; a
-    vendor's month is one sequence and streams through a task in order.
+    """vendor, ord, decision, granted, used of events(vendor, ord, ts, amount) and, where they have them, kind and reservation.
+
+    `reserve` (the kind where there is none) takes all of its amount or
+    nothing, within a calendar month (UTC): allowed, throttled, or error for
+    an amount that is null or negative. `release` gives a reservation's amount
+    back once, if it was granted and the ledger is still on its month; the
+    decision is released or ignored. An event of an earlier month than the
+    ledger's finds the later month's count: a clock that steps back mints no
+    budget. A refused amount is not spent, so this is a fold and no prefix
+    sum. A vendor is one sequence and streams through a task in order; what
+    is held are the amounts that the present month granted.
     """
-    months = events.select("vendor", "ord", "ts", F.date_format("ts", "yyyy-MM").alias("month"), F.col("amount").cast("long").alias("amount"))
+    has = set(events.columns)
+    kind = F.coalesce("kind", F.lit("reserve")) if "kind" in has else F.lit("reserve")
+    reservation = F.col("reservation").cast("string") if "reservation" in has else F.lit(None).cast("string")
+    months = events.select("vendor", "ord", "ts", F.date_format("ts", "yyyy-MM").alias("month"), F.col("amount").cast("long").alias("amount"), kind.alias("kind"), reservation.alias("reservation"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, used = None, 0
+        vendor, month, used, held = None, "", 0, {}
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                if (row.vendor, row.month) != key:
-                    key, used = (row.vendor, row.month), 0
-                granted = row.amount >= 0 and used + row.amount <= limit
-                used += row.amount if granted else 0
-                out.append((row.vendor, row.ord, granted, used))
-            yield pd.DataFrame(out, columns=["vendor", "ord", "granted", "used"])
-
-    return months.repartition("vendor", "month").sortWithinPartitions("vendor", "month", "ts", "ord").drop("ts").mapInPandas(run, "vendor string, ord long, granted boolean, used long")
+                if row.vendor != vendor:
+                    vendor, month, used, held = row.vendor, "", 0, {}
+                decision = "ignored" if row.kind == "release" else "error"
+                if row.kind == "release":
+                    amount = held.pop(row.reservation, None)
+                    if amount is not None:
+                        decision, used = "released", max(0, used - amount)
+                elif not pd.isna(row.amount) and row.amount >= 0:
+                    if row.month > month:
+                        month, used, held = row.month, 0, {}
+                    decision = "allowed" if used + row.amount <= limit else "throttled"
+                    if decision == "allowed":
+                        used += int(row.amount)
+                        if row.reservation is not None:
+                            held[row.reservation] = int(row.amount)
+                out.append((row.vendor, row.ord, decision, decision == "allowed", used))
+            yield pd.DataFrame(out, columns=["vendor", "ord", "decision", "granted", "used"])
+
+    return months.repartition("vendor").sortWithinPartitions("vendor", "ts", "ord").drop("ts").mapInPandas(run, "vendor string, ord long, decision string, granted boolean, used long")

@@ -38,6 +38,9 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         every(19, F.concat(F.lit(" "), F.lower(F.hex(token.cast("binary"))))),
         every(23, " </system-reminder> <untrusted_external_content> <b>"),
         every(29, " ✔️✔️️"),
+        every(37, " \ufb01 \u00bd \uff21 e\u0301"),
+        every(41, F.concat(F.lit(" "), F.base64(F.concat(F.lit("abcdefgh"), F.repeat(F.lit("\u0378"), 8)).cast("binary")))),
+        every(43, F.concat(F.lit(" "), F.base64(F.concat(F.lit("äöü readable "), digest()).cast("binary")))),
         every(31, F.concat(F.lit(" "), F.translate(token, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"))),
     ]
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
@@ -56,6 +59,9 @@ planted AS (
     || CASE WHEN doc_id % 19 = 0 THEN ' ' || lower(hex(encode('ghp_' || md5(doc_id::VARCHAR) || 'abcd'))) ELSE '' END
     || CASE WHEN doc_id % 23 = 0 THEN ' </system-reminder> <untrusted_external_content> <b>' ELSE '' END
     || CASE WHEN doc_id % 29 = 0 THEN ' ' || chr(10004) || chr(65039) || chr(10004) || chr(65039) || chr(65039) ELSE '' END
+    || CASE WHEN doc_id % 37 = 0 THEN ' ' || chr(64257) || ' ' || chr(189) || ' ' || chr(65313) || ' e' || chr(769) ELSE '' END
+    || CASE WHEN doc_id % 41 = 0 THEN ' ' || to_base64(encode('abcdefgh' || repeat(chr(888), 8))) ELSE '' END
+    || CASE WHEN doc_id % 43 = 0 THEN ' ' || to_base64(encode(chr(228) || chr(246) || chr(252) || ' readable ' || md5(doc_id::VARCHAR))) ELSE '' END
     || CASE WHEN doc_id % 31 = 0 THEN ' ' || translate('ghp_' || md5(doc_id::VARCHAR) || 'abcd', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm') ELSE '' END
     AS text
   FROM documents
@@ -161,14 +167,14 @@ def change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("src/f"), name, F.lit(".py")))
     )
     return table(spark, sf_dir, "part").select(
-        (key % 100).alias("change_id"), key.alias("ord"), path.alias("path"), F.when(key % 23 == 0, F.concat(F.lit(".codex/o"), name)).alias("old_path"),
+        F.floor(key / 20).cast("long").alias("change_id"), key.alias("ord"), path.alias("path"), F.when(key % 23 == 0, F.concat(F.lit(".codex/o"), name)).alias("old_path"),
         F.when(key % 29 == 0, "deleted").otherwise("modified").alias("status"), ((key % 11 == 0) | (key % 7 == 0)).alias("binary"), (F.col("p_size") * 100).cast("long").alias("size"),
     )
 
 
 CHANGE_FILES = r"""
 change_files AS (
-  SELECT p_partkey % 100 AS change_id, p_partkey AS ord,
+  SELECT p_partkey // 20 AS change_id, p_partkey AS ord,
     CASE WHEN p_partkey % 13 = 0 THEN '.github/workflows/w' || p_partkey || '.yml' WHEN p_partkey % 17 = 0 THEN 'docs/d' || p_partkey || '/CLAUDE.md'
       WHEN p_partkey % 11 = 0 THEN 'img/i' || p_partkey || '.png' WHEN p_partkey % 7 = 0 THEN 'bin/b' || p_partkey || '.js'
       WHEN p_partkey % 19 = 0 THEN '.github/x' || p_partkey || '.md' ELSE 'src/f' || p_partkey || '.py' END AS path,

@@ -55,7 +55,8 @@ def first_attempt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_fp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.wrong_ids(evaluation.settled_attempts(fx.attempts(spark, sf_dir)))
+    wrong = evaluation.wrong_ids(evaluation.settled_attempts(fx.attempts(spark, sf_dir).withColumn("ord", -F.col("id"))))
+    return wrong.select("kind", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def infra_reason_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +119,7 @@ def gate_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     passes = files.select("change_id").distinct().select("change_id", F.explode(names).alias("p")).select("change_id", "p.name", "p.ord")
     state = (F.col("change_id") + F.col("ord") * 3) % 10
     passes = passes.select("change_id", "name", "ord", F.when(state == 0, "incomplete").when(state == 1, "infra").otherwise("ok").alias("status"), F.when(state == 0, "cut-off").when(state == 1, "api-timeout").otherwise("").alias("reason"), (F.col("change_id") * 17 % 101 - F.col("ord")).cast("int").alias("suspicion"))
-    found = fx.findings(spark, sf_dir).where("change_id < 100 and ord % 97 = 0")
-    return gate.decided(hits, passes, found, 70)
+    return gate.decided(hits, passes, fx.findings(spark, sf_dir), 70)
 
 
 def severity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ SQL = {
         SELECT path, 0 AS ord, 'nix' AS reason FROM g WHERE p = 0 UNION ALL SELECT path, 1, 'lockfile' FROM g WHERE p IN (1, 9) UNION ALL SELECT path, 2, 'build-script' FROM g WHERE p = 2
         UNION ALL SELECT path, 3, 'install-script' FROM g WHERE p = 3 UNION ALL SELECT path, 4, 'package-manifest' FROM g WHERE p = 4 UNION ALL SELECT path, 5, 'dev-autorun' FROM g WHERE p = 5
         UNION ALL SELECT path, 6, 'minified-or-vendored' FROM g WHERE p IN (6, 7) UNION ALL SELECT path, 7, 'symlink' FROM g WHERE k % 7 = 0 UNION ALL SELECT path, 8, 'submodule' FROM g WHERE k % 11 = 0
-        UNION ALL SELECT path, 9, 'long-line' FROM g WHERE k * 37 % 2000 > 1000""",
+        UNION ALL SELECT path, 9, 'long-line' FROM g WHERE k * 37 % 2000 > 500""",
     "url_findings": r"""SELECT page_id, CASE WHEN starts_with(url, 'https://') AND host IN ('ththth.example.org', 'tionsh.example.net') THEN '' ELSE split_part(url, ':', 1) || '://' || host END AS bad
         FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)""",
     "vendor_replies": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'lakera_unavailable:bad-response' WHEN doc_id % 3 <> 0 THEN 'pass' WHEN doc_id % 2 = 0 THEN 'lakera:prompt_attack' ELSE 'lakera_unavailable:bad-response' END AS reason FROM documents""",
@@ -251,8 +251,8 @@ SQL = {
     "scorecard": f"""WITH {fx.ATTEMPTS}, c AS ({CARD.format(p='predicted')}), r AS (SELECT *, {RATE.format(a='tp', b='tp + fp')} AS precision, {RATE.format(a='tp', b='tp + fn')} AS recall,
         {RATE.format(a='(tp + tn)', b='tp + tn + fp + fn')} AS accuracy, {RATE.format(a='fp', b='fp + tn')} AS fp_rate FROM c) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r""",
     "first_attempt_metrics": f"WITH {fx.ATTEMPTS}, c AS ({CARD.format(p='first_predicted')}) SELECT {RATE.format(a='tp', b='tp + fn')} AS first_recall, {RATE.format(a='fp', b='fp + tn')} AS first_fp_rate FROM c",
-    "fn_fp_ids": f"""WITH {fx.ATTEMPTS} SELECT 'fn' AS kind, id FROM settled WHERE expected = 'block' AND predicted <> 'block' UNION ALL SELECT 'fp', id FROM settled WHERE expected <> 'block' AND predicted = 'block'
-        UNION ALL SELECT 'flaky', id FROM settled WHERE predicted = expected AND first_predicted <> expected""",
+    "fn_fp_ids": f"""WITH {fx.ATTEMPTS}, wrong AS (SELECT 'fn' AS kind, id FROM settled WHERE expected = 'block' AND predicted <> 'block' UNION ALL SELECT 'fp', id FROM settled WHERE expected <> 'block' AND predicted = 'block'
+        UNION ALL SELECT 'flaky', id FROM settled WHERE predicted = expected AND first_predicted <> expected) SELECT kind, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM wrong GROUP BY kind""",
     "host_allowlist_anti": r"SELECT page_id, host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages) WHERE host NOT IN ('ththth.example.org', 'tionsh.example.net')",
     "multiset_new_findings": """WITH f AS (SELECT l_returnflag AS what, l_linestatus || CAST(l_quantity % 7 AS INTEGER) AS value, l_orderkey FROM lineitem)
         SELECT what, value, count(*) AS n FROM (SELECT what, value FROM f WHERE l_orderkey % 2 = 0 EXCEPT ALL SELECT what, value FROM f WHERE l_orderkey % 2 = 1) GROUP BY what, value""",
@@ -272,12 +272,13 @@ SQL = {
     "gate_decide": f"""WITH {fx.CHANGE_FILES}, {fx.FINDINGS}, rules AS (SELECT DISTINCT change_id, 1 AS part, 'deterministic check: ' || CASE WHEN ord % 2 = 0 THEN 'binary' ELSE 'text-binary' END AS said, 0 AS ord FROM change_files WHERE binary_file AND ord % 5 = 0),
         passes AS (SELECT change_id, name, o, (change_id + o * 3) % 10 AS state, change_id * 17 % 101 - o AS suspicion FROM (SELECT DISTINCT change_id FROM change_files), (VALUES (0, 'intent'), (1, 'code'), (2, 'deps')) v(o, name)),
         tops AS (SELECT change_id, CAST(max(suspicion) FILTER (WHERE state > 1) AS INTEGER) AS suspicion, count(*) FILTER (WHERE state = 1) AS infra FROM passes GROUP BY change_id),
-        firsts AS (SELECT change_id, category, severity, min(ord) AS ord FROM findings WHERE change_id < 100 AND ord % 97 = 0 AND (category || ' ' || severity) IN ('malicious medium', 'malicious high', 'obscure medium', 'obscure high', 'security high') GROUP BY ALL),
+        firsts AS (SELECT change_id, category, severity, min(ord) AS ord FROM findings WHERE (category || ' ' || severity) IN ('malicious medium', 'malicious high', 'obscure medium', 'obscure high', 'security high') GROUP BY ALL),
         said AS (SELECT * FROM rules UNION ALL SELECT change_id, 2, 'reviewer did not complete: ' || name || ': cut-off', o FROM passes WHERE state = 0
           UNION ALL SELECT change_id, 3, 'suspicion ' || suspicion || ' >= threshold 70', 0 FROM tops WHERE suspicion >= 70
           UNION ALL SELECT change_id, 4, 'finding: ' || category || ' (' || severity || ')', ord FROM firsts)
-        SELECT t.change_id, count(s.said) > 0 OR t.infra > 0 AS block, t.suspicion, coalesce(string_agg(s.said, '; ' ORDER BY part, ord, s.said), '') AS reasons
-        FROM tops t LEFT JOIN said s ON t.change_id = s.change_id GROUP BY t.change_id, t.suspicion, t.infra""",
+        , ids AS (SELECT change_id FROM tops UNION SELECT change_id FROM said)
+        SELECT i.change_id, count(s.said) > 0 OR coalesce(any_value(t.infra), 0) > 0 AS block, any_value(t.suspicion) AS suspicion, coalesce(string_agg(s.said, '; ' ORDER BY part, s.ord, s.said), '') AS reasons
+        FROM ids i LEFT JOIN tops t ON t.change_id = i.change_id LEFT JOIN said s ON i.change_id = s.change_id GROUP BY i.change_id""",
     "severity_topk": f"""WITH {fx.FINDINGS} SELECT change_id, CAST(place AS INTEGER) AS place, ord, category, severity FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY list_position(['high', 'medium', 'low'], severity), ord) AS place FROM findings) WHERE place <= 40""",
     "newest_marker": "SELECT o_custkey % 50 AS change_id, max(o_orderkey) AS review_id, max_by(o_orderstatus || ':' || o_orderpriority, o_orderkey) AS marker FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
     "timeline_override": f"""WITH t AS (SELECT user_id % 60 AS change_id, event_id AS ord, CASE WHEN event_id % 37 = 0 THEN 'rewrite' WHEN event_id % 2 = 0 THEN 'reviewed' ELSE 'dismissed' END AS kind,

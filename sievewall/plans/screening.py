@@ -10,7 +10,16 @@ from sievewall.operators import verdicts, windows
 
 from .fixtures import PLANTED, planted, table
 
-P, C = unicode.patterns("prose"), unicode.patterns("code")
+# The SQL has patterns of its own, written out: hidden characters of prose and of source code by class, and encoded passages.
+P = {
+    "tag": r"[\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]", "bidi": r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]", "zw": r"[\x{200B}-\x{200D}\x{FEFF}]", "fmt": r"[\x{180E}\x{2060}-\x{2064}\x{206A}-\x{206F}]",
+    "any": r"[\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200B}-\x{200D}\x{FEFF}\x{180E}\x{2060}-\x{2064}\x{206A}-\x{206F}]",
+}
+C = {
+    "tag": r"[\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}\x{FE00}-\x{FE0F}]", "bidi": r"[\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200E}\x{200F}\x{061C}]", "zw": r"[\x{200B}-\x{200D}\x{FEFF}]",
+    "fmt": r"[\x{AD}\x{034F}\x{115F}\x{1160}\x{180B}-\x{180F}\x{2028}\x{2029}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{3164}\x{FFA0}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]",
+}
+SQL_BASE64, SQL_HEX = r"[A-Za-z0-9+/_-]{24,}={0,2}", "[0-9a-fA-F]{32,}"
 RULE_SQL = lambda x: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in credentials.RULES) + " END"
 
 
@@ -103,8 +112,10 @@ def counts_sql(own: dict[str, str]) -> str:
 
 
 ANOMALOUS = f"(length(text) > 0 AND {count_sql(P['any'])} >= 3 AND {count_sql(P['any'])} / length(text) > 0.001)"
-CLEAN = f"translate(regexp_replace(text, '{P['any']}', '', 'g'), chr(8260) || chr(8725), '//')"
-ODD = encodings.NOT_PRINTABLE
+BARE = f"regexp_replace(text, '{P['any']}', '', 'g')"
+# DuckDB composes; the compatibility forms are those that the fixture plants.
+CLEAN = f"translate(nfc_normalize(replace(replace(translate({BARE}, chr(65313), 'A'), chr(64257), 'fi'), chr(189), '1' || chr(8260) || '2')), chr(8260) || chr(8725), '//')"
+ODD = r"[\p{Cc}\p{Cf}\p{Co}\p{Zs}\p{Zl}\p{Zp}\x{0378}]"
 
 
 def text_of(raw: str) -> str:
@@ -116,9 +127,9 @@ def text_of(raw: str) -> str:
 BLOBS = f"""
 cleaned AS (SELECT doc_id, text, {CLEAN} AS clean FROM planted),
 tokens AS (
-  SELECT doc_id, 1 AS kind, unnest(regexp_extract_all(@T, '{encodings.BASE64}')) AS token, unnest(range(len(regexp_extract_all(@T, '{encodings.BASE64}')))) AS i FROM cleaned WHERE length(@T) >= 16
+  SELECT doc_id, 1 AS kind, unnest(regexp_extract_all(@T, '{SQL_BASE64}')) AS token, unnest(range(len(regexp_extract_all(@T, '{SQL_BASE64}')))) AS i FROM cleaned WHERE length(@T) >= 16
   UNION ALL
-  SELECT doc_id, 2, unnest(regexp_extract_all(@T, '{encodings.HEX}')), unnest(range(len(regexp_extract_all(@T, '{encodings.HEX}')))) FROM cleaned WHERE length(@T) >= 16
+  SELECT doc_id, 2, unnest(regexp_extract_all(@T, '{SQL_HEX}')), unnest(range(len(regexp_extract_all(@T, '{SQL_HEX}')))) FROM cleaned WHERE length(@T) >= 16
 ), raw AS (
   SELECT doc_id, kind, i, token,
     CASE WHEN kind = 1 AND length(rtrim(token, '=')) % 4 <> 1 THEN try(from_base64(translate(rtrim(token, '='), '-_', '+/') || repeat('=', CAST((4 - length(rtrim(token, '=')) % 4) % 4 AS INTEGER))))
@@ -143,7 +154,7 @@ reasons AS (
 """
 SQL = {
     "l0_counts": f"WITH {PLANTED} SELECT doc_id, {counts_sql(P)} FROM planted",
-    "l0_code_profile_counts": f"""WITH {PLANTED} SELECT *, stripped - CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END AS findable FROM (SELECT doc_id, {counts_sql(C)} FROM planted)""",
+    "l0_code_profile_counts": f"""WITH {PLANTED} SELECT * EXCLUDE t, stripped - len(regexp_extract_all(t, '[#*0-9\\x{{2600}}-\\x{{27BF}}][\\x{{FE0E}}\\x{{FE0F}}](?:[^\\x{{FE00}}-\\x{{FE0F}}]|$)')) AS findable FROM (SELECT doc_id, text AS t, {counts_sql(C)} FROM planted)""",
     "l0_strip": f"""WITH {PLANTED} SELECT doc_id, CAST(length(clean) AS INTEGER) AS clean_length, sha256(clean) AS clean_sha256, clean <> bare AS nfkc_changed
         FROM (SELECT doc_id, {CLEAN} AS clean, regexp_replace(text, '{P['any']}', '', 'g') AS bare FROM planted)""",
     "l0_anomaly": f"WITH {PLANTED} SELECT doc_id, {ANOMALOUS} AS anomalous FROM planted",

@@ -1,5 +1,9 @@
 """Single operators on small literal frames."""
 
+import hashlib
+import hmac
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,11 +284,17 @@ def test_honeypot_cascade(spark):
     assert panels.honeypot_outcome(honeypots.judged_turns(frame, ("note", "report_issue"), {"C1": "T1", "C2": "T2"})).count() == len(cases)
 
 
+def signature(key, verdict, repo, number, head, own_hash, rest):
+    """What a marker's signature is, spelt out."""
+    digest = hashlib.sha256(rest.replace("\r\n", "\n").replace("\r", "\n").rstrip().encode()).hexdigest()
+    return hmac.new(key, json.dumps(["pr-gate-marker", "v3", verdict, repo.casefold(), number, head, own_hash, digest], separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+
+
 def test_markers(spark):
     from sievewall.operators import markers
 
     rest = "\nbody\r\ntext \n"
-    mac = markers.signature(b"k", "pass", "Own/Repo", 7, "a" * 40, "b" * 64, rest)
+    mac = signature(b"k", "pass", "Own/Repo", 7, "a" * 40, "b" * 64, rest)
     line = f"<!-- pr-gate:v3 verdict=pass head={'a' * 40} hash={'b' * 64} mac={mac} -->"
     rows = [(1, "own/repo", 7, 1, line + rest), (1, "own/repo", 7, 2, line + rest + "more"), (1, "own/repo", 8, 3, line + rest), (1, "own/repo", 7, 4, "x" + line + rest), (1, "own/repo", 7, 5, line + "\nbody\ntext")]
     frame = spark.createDataFrame(rows, "change_id long, repo string, number int, review_id long, body string")

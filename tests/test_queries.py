@@ -41,4 +41,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"limiter_decisions"}
+    assert set(plans.queries()) - set(plans.oracle_sql()) == set()
