@@ -18,6 +18,16 @@ def every(n: int, value: Column | str, of: str = "doc_id") -> Column:
     return F.when(F.col(of) % n == 0, value if isinstance(value, Column) else F.lit(value)).otherwise("")
 
 
+def choice(values: list[str] | tuple[str, ...], key: Column) -> Column:
+    """The values by turns, as the key goes."""
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (key % len(values) + 1).cast("int"))
+
+
+def LITERALS(values: list[str] | tuple[str, ...]) -> str:  # noqa: N802
+    """A SQL list of the same values."""
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
 def digest(column: str = "doc_id") -> Column:
     return F.md5(F.col(column).cast("string").cast("binary"))
 

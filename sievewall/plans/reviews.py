@@ -179,10 +179,10 @@ QUERIES = (
 )
 
 PANEL = f"""
-cleaned AS (
+votes_cleaned AS (
   SELECT *, CASE WHEN reason = 'pass' OR reason = vendor || ':prompt_attack' OR starts_with(reason, vendor || '_unavailable:') THEN reason ELSE vendor || '_unavailable:bad-result' END AS said FROM panel_votes
 ), graded AS (
-  SELECT *, CASE WHEN said = 'pass' THEN 'pass' WHEN said = vendor || ':prompt_attack' THEN 'flag' WHEN said IN (vendor || '_unavailable:HTTPError:429', vendor || '_unavailable:throttled') THEN 'quota' ELSE 'hard' END AS grade FROM cleaned
+  SELECT *, CASE WHEN said = 'pass' THEN 'pass' WHEN said = vendor || ':prompt_attack' THEN 'flag' WHEN said IN (vendor || '_unavailable:HTTPError:429', vendor || '_unavailable:throttled') THEN 'quota' ELSE 'hard' END AS grade FROM votes_cleaned
 ), panel_sums AS (
   SELECT doc_id, CAST(count(*) FILTER (WHERE grade IN ('pass', 'flag')) AS INTEGER) AS verdicts, min_by(said, vendor_ord) FILTER (WHERE grade = 'flag') AS flag,
     min_by(said, vendor_ord) FILTER (WHERE grade = 'hard') AS hard, min_by(said, vendor_ord) FILTER (WHERE grade IN ('hard', 'quota')) AS short FROM graded GROUP BY doc_id
