@@ -823,20 +823,57 @@ def test_topk_of_few_or_no_rows(spark):
     assert topk.top_k(none_of(frame)).collect() == [] and topk.top_k(frame.where("vec_id > 0")).collect() == []
 
 
-def test_search_prunes():
-    rng = np.random.default_rng(1)
+def clustered(rng, n=20_000):
     centres = rng.normal(size=(40, 4)) * 5000
-    data = (centres[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 4)) * 20).astype(np.int64)
+    return (centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 4)) * 20).astype(np.int64)
+
+
+def test_search_prunes(monkeypatch):
+    data = clustered(np.random.default_rng(1))
     seen = []
     offer = topk.Best.offer
-    topk.Best.offer = lambda self, rows, scores, ids: (seen.append(scores.size), offer(self, rows, scores, ids))[1]
-    try:
-        topk.dual_search(data[:300], np.arange(300), data, np.arange(len(data)), 10)
-    finally:
-        topk.Best.offer = offer
+    monkeypatch.setattr(topk.Best, "offer", lambda self, rows, scores, ids: (seen.append(scores.size), offer(self, rows, scores, ids))[1])
+    topk.dual_search(topk.CoverTree(data[:300], np.arange(300)), topk.CoverTree(data, np.arange(len(data))), 10)
     assert sum(seen) < 0.5 * 300 * len(data)
 
 
+def test_trees_keep_their_radii():
+    """Children cover their parent's rows within a radius, which no two of their centres are nearer than, and it falls from level to level."""
+    rng = np.random.default_rng(7)
+    for points in (clustered(rng, 3000), (rng.normal(size=(3000, 32)) * 1000).astype(np.int64), np.ones((500, 3), np.int64)):
+        tree = topk.CoverTree(points, np.arange(len(points)))
+        assert sorted(tree.order.tolist()) == list(range(len(points)))
+        for centre, reach, _, first, last, kids in tree.nodes:
+            own = points[tree.order[first:last]].astype(float)
+            assert np.isclose(reach, np.sqrt(((own - points[centre]) ** 2).sum(axis=1)).max())
+            if kids:
+                inner = points[[tree.nodes[i][0] for i in kids]].astype(float)
+                apart = np.sqrt(((inner[:, None] - inner[None]) ** 2).sum(axis=2))
+                radius = max(tree.nodes[i][1] for i in kids)
+                assert radius < reach and apart[~np.eye(len(kids), dtype=bool)].min() >= radius - 1e-6 and sum(tree.nodes[i][4] - tree.nodes[i][3] for i in kids) == last - first
+
+
+def test_cells_are_pruned_before_anything_is_sent(spark, monkeypatch):
+    """Clustered vectors: queries meet few of the other cells, and the answers are those of brute force."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 200)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    data = clustered(np.random.default_rng(9), 6000) / 1024
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    sent = []
+    searched = topk.searched
+    monkeypatch.setattr(topk, "searched", lambda meetings, *rest: (sent.append(meetings.count()), searched(meetings, *rest))[1])
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect()
+    assert sorted(tuple(r) for r in found) == brute_topk(rows, 50, 5)
+    queries_cells = 30 * 30
+    assert sum(sent) < 0.5 * queries_cells
+
+
+def test_components_that_do_not_fit_take_no_part(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e9, 0.0]), (2, [1e6, 1e6]), (3, [1e300, 0.0]), (4, [-1e6, 1e6])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 100).collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 2 * 1024 * 1024 * 10**6), (4, 0)]
+
+
 def test_every_word_and_pair_is_counted(spark, monkeypatch):
     """More distinct words than the former vocabulary had, and more distinct pairs than it had cells; exact to rounding, over many chunks."""
     monkeypatch.setattr(lm_score, "CHUNK", 1 << 16)
