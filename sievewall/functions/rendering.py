@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,17 @@ SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 MESSAGE_LENGTH = 16_384
 
 
+def once(value: Column, step: Callable[[Column], Column]) -> Column:
+    """A step that uses a value several times, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
+
 def neutralised(text: Column, limit: int = 600) -> Column:
     """One line of plain text: nothing in it mentions, links, formats or hides. The order of the steps matters."""
     shown = with_hidden_shown(F.coalesce(text, F.lit("")))
-    plain = F.when(is_ascii(shown), F.regexp_replace(shown, UNPRINTABLE_ASCII, " ")).otherwise(F.regexp_replace(shown, UNPRINTABLE, " "))
+    plain = once(shown, lambda t: F.when(is_ascii(t), F.regexp_replace(t, UNPRINTABLE_ASCII, " ")).otherwise(F.regexp_replace(t, UNPRINTABLE, " ")))
     line = F.trim(F.regexp_replace(plain, " +", " "))
-    cut = F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit), F.lit("…"))).otherwise(line)
+    cut = once(line, lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("…"))).otherwise(t))
     flat = F.translate(cut, MARKUP, STAND_INS)
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         flat = F.replace(flat, F.lit(sign), F.lit(entity))

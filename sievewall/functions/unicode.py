@@ -121,8 +121,9 @@ def _unprintable() -> str:
     return character_class(ranges)
 
 
-#: Not printable: controls, format, private use, unassigned, and separators but the blank.
-UNPRINTABLE = _unprintable()
+#: Not printable: controls, format, private use, unassigned, and separators but the blank. The long class is asked only about
+#: what the JVM's own categories do not call printable, as they are those of an older Unicode.
+UNPRINTABLE = rf"[^\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}} ](?<={_unprintable()})"
 #: Of ASCII the controls.
 UNPRINTABLE_ASCII = r"[\x00-\x1f\x7f]"
 
