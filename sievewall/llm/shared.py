@@ -69,10 +69,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold_of(doc_id) == 2, F.lit(True))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches with about `limit` bytes of text each.
 
-    A single longer text makes a slice of its own; texts are never cut.
+    Each byte takes some fifty in the arrays that are made of it. A single
+    longer text makes a slice of its own; texts are never cut.
     """
     for batch in batches:
         ends = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
