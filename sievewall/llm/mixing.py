@@ -85,7 +85,8 @@ def copied(docs: DataFrame, quality: DataFrame | None, doc_id: str, text: str, s
         base = base.withColumn("quality", F.lit(None).cast("int"))
     else:
         known = quality.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_quality")).groupBy("_id").agg(F.max("_quality").alias("quality"))
-        base = base.join(known, base.doc_id == known._id, "left").drop("_id")
+        # Labels grow with the documents: merged at every size, so that the plan for few documents is the one for many.
+        base = base.join(known.hint("merge"), base.doc_id == known._id, "left").drop("_id")
     weight = F.when(F.col("quality") >= 1, 1.0).when(F.col("quality") <= 0, 0.25).otherwise(0.5)
     base = base.withColumn("key", sampling_key(F.col("doc_id"), weight)).drop("quality")
     base = base.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
