@@ -340,3 +340,55 @@ def test_modes_and_links(spark):
     text = "diff --git a/m b/m\nindex 1..2 160000\ndiff --git a/l b/l\nnew file mode 120000\nindex 0..2\n--- /dev/null\n+++ b/l\n@@ -0,0 +1 @@\n+t\ndiff --git a/s b/s\ndeleted file mode 160000\nindex 1..0\ndiff --git a/f b/f\nold mode 100644\nnew mode 100755\n"
     found = [(r.path, r.status, r.old_mode, r.new_mode, r.gitlink) for r in diffs.changed_files(diffs.parsed_diffs(spark.createDataFrame([(1, text)], "change_id long, diff string"))).orderBy("ord").collect()]
     assert found == [("m", "modified", None, None, True), ("l", "added", None, "120000", False), ("s", "deleted", "160000", None, False), ("f", "modified", "100644", "100755", False)]
+
+
+LOCKS = {
+    "package-lock.json": json.dumps({"packages": {"": {"name": "x"}, "node_modules/a": {"resolved": "https://registry.npmjs.org/a.tgz", "funding": {"url": "https://evil.x/f"}, "license": "MIT"}, "node_modules/b": {"resolved": "https://evil.example/b.tgz"}, "node_modules/c": {"resolved": "../c", "link": True}, "node_modules/d": {"resolved": "../d"}, "node_modules/e": {"dependencies": {"funding": "github:o/r#1"}}}}),
+    "requirements.txt": "a==1 \\\n  --hash=sha256:1\n--index-url https://pypi.org\\\n.evil.x/simple\n-ihttps://bad.host/s\nb @ https://files.pythonhosted.org/b.whl\n-r 'open\n",
+    "flake.lock": json.dumps({"nodes": {"n": {"locked": {"type": "github", "host": "evil.git", "owner": "o"}, "original": {"type": "mercurial"}}}}),
+    "bun.lock": '{"packages": {"a": ["a@1.0.0", "", {}, "sha"], "b": ["b@github:o/r", "", {},], "c": ["c@2", "http://x.y/z"],},}',
+    "x/pipfile.lock": '{"a": 1, "a": 2}',
+    "moved/gemfile.lock": "GEM\n  remote: https://rubygems.org/\n  remote: http://gems.x/ \\\n",
+}
+
+
+def test_lockfiles(spark):
+    from sievewall.operators import lockfiles
+
+    base = json.dumps({"packages": {"node_modules/b": {"resolved": "https://old.example/b.tgz"}}})
+    files = spark.createDataFrame([*((p, "other.txt" if p.startswith("moved") else None, "modified") for p in LOCKS), ("sub/yarn.lock", None, "modified"), ("gone/bun.lock", None, "deleted"), ("cap/flake.lock", None, "added")], "path string, old_path string, status string")
+    heads = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in LOCKS.items()], "path string, content binary")
+    bases = spark.createDataFrame([("package-lock.json", bytearray(base.encode()))], "path string, content binary")
+    lines = ('  resolved "git+ssh://git@github.com/x"', '  resolved "https://registry.yarnpkg.com/a"', '  x "https:\\u002f\\u002fevil.q/"', '  y "https:\\q//registry.yarnpkg.com"', "")
+    added = spark.createDataFrame([("sub/yarn.lock", 3 + i, t) for i, t in enumerate(lines)], "path string, line_no long, text string")
+    slot, no = "fetch slot that is not an https URL or a local path", "not allowlisted: "
+    assert sorted(tuple(r) for r in lockfiles.lockfile_hits(files, heads, bases, added).collect()) == sorted([
+        ("bun.lock", f"{no}{slot}, hosted-git spec github:, http://x.y"), ("flake.lock", f"{no}flake host evil.git, flake input type mercurial"), ("package-lock.json", f"{no}{slot}, hosted-git spec github:, https://evil.example"),
+        ("requirements.txt", f"line 3: {no}https://pypi.org.evil.x"), ("requirements.txt", f"line 5: {no}https://bad.host"), ("requirements.txt", f"line 7: {no}options pip cannot split"),
+        ("sub/yarn.lock", f"line 3: {no}git+ssh://github.com, hosted-git spec git+ssh:, {slot}"), ("sub/yarn.lock", f"line 5: {no}https://evil.q"), ("sub/yarn.lock", f"line 6: {no}undecodable escape near a URL, https://q"),
+        ("x/pipfile.lock", "lockfile does not parse"), ("moved/gemfile.lock", f"line 3: {no}line continuation, http://gems.x"), ("cap/flake.lock", "lockfile too large to check"),
+    ])
+
+
+def test_sinks_of_verdicts(spark, tmp_path):
+    from sievewall.operators import delivery
+
+    rows = spark.createDataFrame([("r1", "x")], "report_id string, prompt string")
+    delivery.append_quarantine(rows, str(tmp_path / "q"))
+    delivery.append_quarantine(rows, str(tmp_path / "q"))
+    assert spark.read.json(str(tmp_path / "q")).count() == 2
+    delivery.write_new(rows, str(tmp_path / "n"))
+    with pytest.raises(Exception, match="exist"):
+        delivery.write_new(rows, str(tmp_path / "n"))
+    panel = delivery.VendorPanel(floor=5)
+    with pytest.raises(ValueError, match="vendor"):
+        panel.votes(rows)
+    assert panel.add("a", lambda d: d).floor == 1 and delivery.VendorPanel(floor=0).add("a", lambda d: d).floor == 1
+    with pytest.raises(ValueError, match="there already"):
+        panel.add("a", lambda d: d)
+
+
+def test_budget_gives_back_once_and_within_its_month(spark):
+    events = [("v", 1, "2026-01-30", "reserve", "a", 60), ("v", 2, "2026-01-30", "reserve", "b", 50), ("v", 3, "2026-01-31", "release", "a", None), ("v", 4, "2026-01-31", "release", "a", None), ("v", 5, "2026-01-31", "reserve", "c", 100), ("v", 6, "2026-02-01", "reserve", "d", 10), ("v", 7, "2026-02-01", "release", "c", None), ("v", 8, "2026-02-02", "reserve", "e", -1), ("v", 9, "2026-02-02", "reserve", "f", None)]
+    frame = spark.createDataFrame(events, "vendor string, ord long, day string, kind string, reservation string, amount long").selectExpr("vendor", "ord", "cast(day as timestamp) as ts", "kind", "reservation", "amount")
+    assert [(r.decision, r.used) for r in limits.budget_decisions(frame, 100).orderBy("ord").collect()] == [("allowed", 60), ("throttled", 60), ("released", 0), ("ignored", 0), ("allowed", 100), ("allowed", 10), ("ignored", 10), ("error", 10), ("error", 10)]
