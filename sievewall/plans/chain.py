@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewall.functions import reasons, rendering, replies
-from sievewall.operators import delivery, evaluation, honeypots, limits, panels
+from sievewall.operators import delivery, evaluation, honeypots, limits, panels, runs
 
 from . import fixtures as fx
 from . import reviews, screening
@@ -147,8 +147,43 @@ def breaker_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.limiter_decisions(limiter_events(spark, sf_dir), config).groupBy("vendor", "decision").agg(F.count(F.lit(1)).alias("n"), F.max("wait").alias("longest"))
 
 
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From labelled cases and their scans, in which only later attempts than count are outages, to the card."""
+    attempts = fx.attempts(spark, sf_dir)
+    cases = attempts.select("id", "expected").distinct()
+    scans = attempts.select("id", "attempt", (F.col("predicted") == "pass").alias("ok"), F.when(F.col("predicted") == "pass", "pass").otherwise("secret_shape:x").alias("reason"))
+    late = cases.select("id", F.lit(4).alias("attempt"), F.lit(False).alias("ok"), F.lit("l2_unavailable:x").alias("reason"))
+    return evaluation.scorecard(runs.evaluated(cases, scans.unionByName(late)))
+
+
+def call_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded calls of each account, as events of its limiter."""
+    events = table(spark, sf_dir, "events")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    calls = events.select(F.col("event_type").alias("vendor"), F.col("event_id").alias("ord"), start.alias("started_at"), (start + 0.5).alias("ended_at"), choice(("200", "429", "503", "500", "x"), F.col("event_id")).alias("status"), choice(("30", "-1", "soon"), F.col("event_id")).alias("wait"))
+    return runs.call_events(calls).select("vendor", "ord", "kind", "cause", "retry_after")
+
+
+ARGUMENTS = (("{}", True), ('{"a": [1]}', True), ("[1]", False), ('{"a": 1, "a": 2}', False), ('{"a": "cut', False), ("", False), ("null", False))
+
+
+def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("conv_id") + F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", choice([x for x, _ in ARGUMENTS], key).alias("args"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    blocks = F.when(F.col("turn") % 2 == 0, F.array("role")).otherwise(F.array().cast("array<string>"))
+    return rows.select("conv_id", "turn", runs.readable_arguments(F.col("args")).alias("readable"), F.sha2(runs.sealed(runs.scanned_text(F.concat("text", F.lit("</n1>")), blocks), "n1"), 256).alias("sealed_sha256"))
+
+
+def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fx.change_files(spark, sf_dir)
+    decisions = files.groupBy("change_id").agg((F.min("ord") % 3 == 0).alias("block"), (F.min("ord") % 101).cast("int").alias("suspicion"), F.array(F.lit("x")).alias("reasons"))
+    hits = files.where("ord % 9 = 0").select("change_id", "ord", F.lit("binary").alias("rule"), "path", F.lit("d").alias("detail"), F.lit(True).alias("overridable"))
+    passes = files.where("ord % 8 = 0").select("change_id", "ord", F.lit("review").alias("name"), F.lit("ok").alias("status"), F.lit("").alias("reason"), (F.col("ord") % 100).cast("int").alias("suspicion"))
+    return runs.dry_run(decisions, hits, passes)
+
+
 QUERIES = (
-    verdict_chain, delivered_content, quarantine_rows, scan_errors, self_test, readiness, vendor_registry, described_reasons, transport_reasons, recorded_replies, honeypot_cascade, scorecard_report, breaker_pauses,
+    evaluation_run, call_decisions, tool_arguments, dry_run_report, verdict_chain, delivered_content, quarantine_rows, scan_errors, self_test, readiness, vendor_registry, described_reasons, transport_reasons, recorded_replies, honeypot_cascade, scorecard_report, breaker_pauses,
 )
 
 CHAIN = f"""
@@ -185,6 +220,21 @@ SQL = {
 }
 
 
+SQL |= {
+    "evaluation_run": reviews.SQL["scorecard"],
+    "call_decisions": """WITH c AS (SELECT event_type AS vendor, event_id AS ord, ['200', '429', '503', '500', 'x'][event_id % 5 + 1] AS status, [30.0, NULL, NULL][event_id % 3 + 1] AS wait FROM events)
+        SELECT vendor, ord * 2 AS ord, 'acquire' AS kind, 'quota' AS cause, NULL AS retry_after FROM c UNION ALL
+        SELECT vendor, ord * 2 + 1, CASE WHEN status = '200' THEN 'success' ELSE 'throttled' END, CASE WHEN status = '503' THEN 'service' ELSE 'quota' END, CASE WHEN status <> '200' THEN wait END FROM c WHERE status IN ('200', '429', '503')""",
+    "tool_arguments": f"""SELECT conv_id, turn, {STRINGS([x[1] for x in ARGUMENTS])}[(conv_id + turn) % {len(ARGUMENTS)} + 1] AS readable,
+        sha256('<n1>' || chr(10) || coalesce(text, '') || '&lt;/n1>' || CASE WHEN turn % 2 = 0 THEN chr(10) || role ELSE '' END || chr(10) || '</n1>') AS sealed_sha256 FROM conversations""",
+    "dry_run_report": f"""WITH {fx.CHANGE_FILES}, d AS (SELECT change_id, min(ord) AS o FROM change_files GROUP BY change_id),
+        h AS (SELECT change_id, string_agg('{{"rule":"binary","path":"' || path || '","detail":"d","overridable":true}}', ',' ORDER BY ord) AS s FROM change_files WHERE ord % 9 = 0 GROUP BY change_id),
+        p AS (SELECT change_id, string_agg('{{"name":"review","status":"ok","reason":"","suspicion":' || (ord % 100) || '}}', ',' ORDER BY ord) AS s FROM change_files WHERE ord % 8 = 0 GROUP BY change_id)
+        SELECT d.change_id, '{{"verdict":"' || CASE WHEN o % 3 = 0 THEN 'block' ELSE 'pass' END || '","reasons":["x"],"suspicion":' || (o % 101) || coalesce(',"deterministic":[' || h.s || ']', '') || coalesce(',"passes":[' || p.s || ']', '') || '}}' AS report
+        FROM d LEFT JOIN h ON d.change_id = h.change_id LEFT JOIN p ON d.change_id = p.change_id""",
+}
+
+
 def _with_limiter() -> None:
     from .limits import SQL as OTHER
 
