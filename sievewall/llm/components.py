@@ -23,18 +23,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     these, a plain join whose hot keys Spark can split, so that the centre of
     a star of very many nodes is no task's own.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "component-links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "component-links", True)
     while True:
         roles = edges.select(F.col("u").alias("node"), F.col("v").alias("least"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).alias("least"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         busy = roles.groupBy("node").agg(F.min("least").alias("least"), F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
-        busy = written(busy, "component-nodes")
+        busy = written(busy, "component-nodes", True)
         if busy.isEmpty():
             removed(busy)
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         between = busy.where("down = 1").select(F.col("node").alias("v"), "least")
-        large = written(edges.join(between, "v", "left").select("u", F.coalesce("least", "v").alias("v")).distinct(), "component-links")
-        several = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("u", "m"), "component-nodes")
+        large = written(edges.join(between, "v", "left").select("u", F.coalesce("least", "v").alias("v")).distinct(), "component-links", True)
+        several = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("u", "m"), "component-nodes", True)
         moved = large.join(several, "u", "left").withColumn("m", F.coalesce("m", "v"))
         small = moved.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        before, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct(), "component-links")
+        before, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct(), "component-links", True)
         removed(before, busy, large, several)

@@ -228,19 +228,19 @@ def links_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     single = members.where("blocks = 1").select(F.col("key").cast("string").alias("key"), *[F.lit(0).cast("long").alias(x) for x in ("low", "high", "block")], F.col("digest").alias("label"), "digest")
     large = members.where("blocks > 1")
     if large.isEmpty():
-        return written(verified_links(single, sets, percent), "near-links")
-    links = written(verified_links(single.unionByName(star_rows(large)), sets, percent), "near-links")
+        return written(verified_links(single, sets, percent), "near-links", True)
+    links = written(verified_links(single.unionByName(star_rows(large)), sets, percent), "near-links", True)
     # The lead of a lead is a label, too: what shares one is connected.
     nearest = links.select(F.greatest("a", "b").alias("digest"), F.least("a", "b").alias("label")).groupBy("digest").agg(F.min("label").alias("label"))
-    nearest = written(nearest, "near-labels")
+    nearest = written(nearest, "near-labels", True)
     further = nearest.join(nearest.select(F.col("digest").alias("label"), F.col("label").alias("_label")), "label", "left").select("digest", F.coalesce("_label", "label").alias("label"))
     rest = large.where("digest <> lead").select("key", "digest").join(further, "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
-    rest = written(rest, "near-rest")
-    mixed = written(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "near-mixed")
+    rest = written(rest, "near-rest", True)
+    mixed = written(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "near-mixed", True)
     if not mixed.isEmpty():
         rows = rest.join(mixed, "key", "left_semi")
-        labels = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "near-label-sizes")
-        before, links = links, written(links.unionByName(verified_links(block_rows(rows, labels), sets, percent)), "near-links")
+        labels = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "near-label-sizes", True)
+        before, links = links, written(links.unionByName(verified_links(block_rows(rows, labels), sets, percent)), "near-links", True)
         removed(before, labels)
     removed(nearest, rest, mixed)
     return links
@@ -287,7 +287,7 @@ def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: in
     texts = source.join(wanted, (source.mark == F.col("first_mark")) & source.doc_id.eqNullSafe(F.col("first_id")))
     sets = written(shingles_of(texts.select("text", "digest")), "near-sets")
     links = links_of(members, sets, percent)
-    labels = written(connected_components(links), "near-labels")
+    labels = written(connected_components(links), "near-labels", True)
     removed(members, sets, links)
     known = nodes.select("digest", "first_id", "first_mark", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     linked = known.where("label is not null")
@@ -295,7 +295,7 @@ def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: in
     firsts = [F.col(f"f.{x}").alias(y) for x, y in (("first_id", "component_id"), ("digest", "first_digest"), ("first_mark", "first_mark"))]
     placed = linked.select("label", "digest").join(least, "label").select("digest", *firsts)
     placed = placed.unionByName(known.where("label is null and copies > 1").select("digest", F.col("first_id").alias("component_id"), F.col("digest").alias("first_digest"), "first_mark"))
-    placed = written(placed, "near-components")
+    placed = written(placed, "near-components", True)
     removed(labels, nodes)
     return profile.select("doc_id", "mark", "n_shingles", "digest").join(placed, "digest", "left")
 
@@ -311,7 +311,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows = placed_rows(docs, doc_id, text, percent, bands).where("first_digest is not null")
     stays = (F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
-    decided = written(rows.select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("n")), "near-decided")
+    decided = written(rows.select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("n")), "near-decided", True)
     gone = decided.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
     same = (mark_of(docs[text]) == F.col("_mark")) & docs[doc_id].cast("long").eqNullSafe(F.col("_id"))
     kept = docs.join(gone, same, "left_anti")

@@ -33,12 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again.
 
     This cuts lineage: a lost executor costs a read, not the work before it.
+    A `narrow` table has a few numbers a row and comes out of a shuffle; it is
+    written in an eighth of the shuffle's partitions, as files cost more there
+    than rows.
     """
     spark = frame.sparkSession
+    if narrow:
+        frame = frame.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(spark)}/sievewall-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     found = spark.read.schema(frame.schema).parquet(path)
