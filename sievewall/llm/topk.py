@@ -204,7 +204,7 @@ def searched(meetings: DataFrame, queries: DataFrame, data: DataFrame, k: int) -
     asked = queries.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("tree").alias("asks"))
     given = data.select(F.col("cell").alias("d_cell"), F.col("part").alias("d_part"), F.col("tree").alias("gives"))
     parts = max(1, int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = meetings.join(asked, ["q_cell", "q_part"]).join(given, ["d_cell", "d_part"]).repartition(parts, "q_cell", "q_part", "d_cell", "d_part")
+    met = meetings.repartition(parts, "q_cell", "q_part", "d_cell", "d_part").join(asked, ["q_cell", "q_part"]).join(given, ["d_cell", "d_part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
