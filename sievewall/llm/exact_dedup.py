@@ -270,7 +270,8 @@ def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     owners = written(owners_of(plain, budget), "exact-owners").select(F.col("text_sha256").alias("_sha256"), F.col("keep_id").alias("_id"), F.col("keep_chars").alias("_chars"), F.col("keep_rows").alias("_rows"))
     same = F.sha2(without_blanks(docs[text]).cast("binary"), 256) == F.col("_sha256")
     is_first = (code_points(docs[text]) == F.col("_chars")) & docs[doc_id].cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.join(owners, same, "left").where(F.col("_sha256").isNull() | (is_first & (F.col("_rows") == 1))).select(*[docs[x] for x in docs.columns])
+    # Owners grow with the documents: merged at every size, so that the plan for few documents is the one for many.
+    kept = docs.join(owners.hint("merge"), same, "left").where(F.col("_sha256").isNull() | (is_first & (F.col("_rows") == 1))).select(*[docs[x] for x in docs.columns])
     repeated = owners.where("_rows > 1")
     if repeated.isEmpty():
         return kept

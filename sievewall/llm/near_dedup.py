@@ -179,7 +179,7 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 def verified_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between digests that are confirmed on their full sets. rows: as of `star_rows` (low is -1) and `block_rows`."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.join(sets, "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
+    placed = rows.join(sets.hint("merge"), "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, name = [], None
@@ -283,8 +283,9 @@ def placed_rows(docs: DataFrame, doc_id: str, text: str, percent: int, bands: in
     nodes = written(nodes.select("digest", F.col("m.doc_id").alias("first_id"), F.col("m.mark").alias("first_mark"), "copies", "b.n_shingles", "b.bands"), "near-nodes")
     members = written(crowded_buckets(nodes.select("digest", "n_shingles", F.explode("bands").alias("key"))), "near-buckets")
     # One text of each node that is in a bucket, found by id and text: rows without an id, or under one id, meet their own node only.
+    # What decides on documents grows with them: merged at every size, so that the plan for few documents is the one for many.
     wanted = members.select("digest").distinct().join(nodes.select("digest", "first_id", "first_mark"), "digest")
-    texts = source.join(wanted, (source.mark == F.col("first_mark")) & source.doc_id.eqNullSafe(F.col("first_id")))
+    texts = source.join(wanted.hint("merge"), (source.mark == F.col("first_mark")) & source.doc_id.eqNullSafe(F.col("first_id")))
     sets = written(shingles_of(texts.select("text", "digest")), "near-sets")
     links = links_of(members, sets, percent)
     labels = written(connected_components(links), "near-labels", True)
@@ -314,7 +315,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     decided = written(rows.select("doc_id", "mark", stays.alias("stays")).groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("n")), "near-decided", True)
     gone = decided.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
     same = (mark_of(docs[text]) == F.col("_mark")) & docs[doc_id].cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")
     repeated = decided.where("stays and n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
     if repeated.isEmpty():
         return kept
