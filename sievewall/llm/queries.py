@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, mixing, near_dedup, piece_bpe, secrets, topk, toxicity, url_filter
+from . import exact_dedup, language_id, lm_score, mixing, near_dedup, piece_bpe, secrets, topk, toxicity, url_filter, vector_codes
 from .shared import held_out
 
 
@@ -86,8 +86,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, model = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(model.digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk, op11_vector_codes)}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -156,5 +161,47 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
+def vector_codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds spelt out: each is an assignment of all distinct parts (a), then moved entries (b)."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT part, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (
+    SELECT x.part, x.p, b.e, CAST(sum((x.v - b.v) * (x.v - b.v)) AS BIGINT) AS d
+    FROM places x JOIN b{k} b ON x.p = b.p AND x.i = b.i GROUP BY x.part, x.p, b.e
+  ) GROUP BY part, p
+)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.i, CASE WHEN m.n IS NULL THEN b.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS v
+  FROM b{k} b LEFT JOIN (
+    SELECT x.p, a.e, x.i, CAST(sum(x.v * x.weight) AS BIGINT) AS s, CAST(sum(x.weight) AS BIGINT) AS n
+    FROM places x JOIN a{k} a ON x.part = a.part AND x.p = a.p GROUP BY x.p, a.e, x.i
+  ) m ON b.p = m.p AND b.e = m.e AND b.i = m.i
+)""")
+    return f"""
+WITH ints AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v, len(embedding) // 4 AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), parts AS (
+  SELECT vec_id, label, p, v[p * w + 1 : p * w + w] AS part FROM ints, range(4) r(p)
+), places AS MATERIALIZED (
+  SELECT part, p, weight, i, part[i + 1] AS v
+  FROM (SELECT part, p, count(*) AS weight FROM parts GROUP BY part, p) d, range((SELECT max(w) FROM ints)) r(i)
+), b0 AS MATERIALIZED (
+  SELECT p, e, i, part[i + 1] AS v
+  FROM (SELECT p, part, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) f, range((SELECT max(w) FROM ints)) r(i)
+  WHERE e < 256
+), {", ".join(steps)}, coded AS (
+  SELECT x.vec_id, x.label, string_agg(printf('%02x', a.e), '' ORDER BY x.p) AS code, CAST(sum(a.d) AS BIGINT) AS error
+  FROM parts x JOIN a{rounds} a ON x.part = a.part AND x.p = a.p GROUP BY x.vec_id, x.label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_topk": TOPK_SQL}
+    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_topk": TOPK_SQL, "op11_vector_codes": vector_codes_sql()}
