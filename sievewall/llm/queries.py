@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, mixing, near_dedup, piece_bpe, secrets, topk, toxicity, url_filter, vector_codes
+from . import exact_dedup, language_id, lm_score, mixing, near_dedup, phrases, piece_bpe, secrets, topk, toxicity, url_filter, vector_codes
 from .shared import held_out
 
 
@@ -91,8 +91,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", F.lit(model.digest).alias("codebooks_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk, op11_vector_codes, op12_collocations)}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -203,5 +207,44 @@ FROM coded
 """
 
 
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 4) r(m))
+), counts AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 10
+), candidates AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m >= 2
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+         (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 :], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, array_to_string(w[1 : 2], ' ') AS phrase FROM candidates WHERE m = 3
+    UNION ALL SELECT lang, a, array_to_string(w[2 : 3], ' ') FROM candidates WHERE m = 3
+  ) GROUP BY lang, phrase
+), kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN longer x ON x.lang = w.lang AND x.phrase = w.phrase
+  WHERE x.a IS NULL OR 100 * x.a < 50 * w.a
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase) AS rank, k.phrase,
+       k.a, k.l, k.r, CAST(t.n AS BIGINT) AS n, CAST(k.score AS BIGINT) AS score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_topk": TOPK_SQL, "op11_vector_codes": vector_codes_sql()}
+    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_topk": TOPK_SQL, "op11_vector_codes": vector_codes_sql(), "op12_collocations": COLLOCATIONS_SQL}
