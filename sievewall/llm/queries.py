@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, mixing, near_dedup, phrases, piece_bpe, secrets, topk, toxicity, url_filter, vector_codes
+from . import exact_dedup, language_id, licenses, lm_score, mixing, near_dedup, phrases, piece_bpe, secrets, topk, toxicity, url_filter, vector_codes
 from .shared import held_out
 
 
@@ -95,8 +95,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(x, ",").alias(x) for x in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk, op11_vector_codes, op12_collocations)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_near_dedup, op4_toxicity, op5_secret_scan, op6_url_filter, op7_sentencepiece, op8_lm_score, op9_mixing, op10_topk, op11_vector_codes, op12_collocations, op13_license_scan)}
 
 
 EXACT_DEDUP_SQL = r"""
