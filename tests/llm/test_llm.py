@@ -1,8 +1,10 @@
 """The corpus operators against brute force, SQL, round trips and held-out labels, and on awkward tables."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -14,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievewall.llm import exact_dedup, language_id, lm_score, mixing, near_dedup, piece_bpe, queries, secrets, similarity, topk, toxicity, url_filter
+from sievewall.llm import exact_dedup, language_id, licenses, lm_score, mixing, near_dedup, phrases, piece_bpe, queries, secrets, similarity, topk, toxicity, url_filter, vector_codes
 from sievewall.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -942,3 +944,201 @@ def test_stages_judge_rows_of_null_and_reused_ids_by_their_own_text(spark, monke
     monkeypatch.setattr(queries, "toxicity_model", lambda docs, labels: toxicity.ToxicityModel(weights, -10.0))
     found = corpus_pipeline.without_toxic(spark, spark.createDataFrame(rows + bad, "doc_id long, text string"), SF).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
+
+
+# 11 vector codes
+
+
+def brute_codes(rows, parts=4, entries=256, rounds=4):
+    """Lloyd over all rows one by one, in Python's integers."""
+    kept = [(i, label, [math.floor(1024 * x) for x in v]) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    w = len(kept[0][2]) // parts
+    cut = [[tuple(v[p * w : p * w + w]) for p in range(parts)] for _, _, v in kept]
+    as_bytes = lambda x: struct.pack(f"<{len(x)}{'h' if max(map(abs, x)) < 1 << 15 else 'i'}", *x)
+    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, [as_bytes(x) for x in cut[k]]))
+    books = [[cut[k][p] for k in order[:entries]] for p in range(parts)]
+
+    def best(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            near = [best(c[p], books[p])[1] for c in cut]
+            for k in range(len(books[p])):
+                own = [c[p] for c, e in zip(cut, near, strict=True) if e == k]
+                if own:
+                    books[p][k] = tuple(sum(x) // len(own) for x in zip(*own, strict=True))
+    found, by_label = [], Counter()
+    for (i, label, _), c in zip(kept, cut, strict=True):
+        near = [best(x, book) for x, book in zip(c, books, strict=True)]
+        found.append((i, label, "".join(f"{e:02x}" for _, e in near), sum(d for d, _ in near)))
+        by_label[label] += found[-1][3]
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return sorted(((i, c, e, by_label[label]) for i, label, c, e in found), key=str), digest
+
+
+def test_vector_codes_match_brute_force(spark):
+    rng = random.Random(11)
+    near = [round(rng.gauss(0, 0.2), 3) for _ in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in near] if i % 3 else near, i % 4 or None) for i in range(60)]
+    rows += [(60, None, 1), (61, [0.1] * 7 + [None], 1), (62, [0.1] * 7 + [float("nan")], 2), (63, [float("-inf")] + [0.1] * 7, 2), rows[5], rows[5], (None, near, 3), (7, [90.0] * 8, 3), (64, [], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for entries in (5, 256):
+        found, model = vector_codes.compressed(frame, entries=entries)
+        wanted, digest = brute_codes(rows, entries=entries)
+        assert sorted([(r.vec_id, r.code, r.error, r.label_error) for r in found.collect()], key=str) == wanted
+        assert model.digest == digest
+
+
+def test_vector_codes_are_exact_beyond_what_a_double_holds(spark):
+    rows = [(i, [x * 6_003.25 + i % 3, -x * 7.5, 0.25, 1e5 * (i % 3)], None) for i, x in enumerate(range(40))]
+    found, model = vector_codes.compressed(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), entries=6)
+    wanted, digest = brute_codes(rows, entries=6)
+    assert sorted([(r.vec_id, r.code, r.error, r.label_error) for r in found.collect()], key=str) == wanted and model.digest == digest
+    values = np.array([[1 << 29, -(1 << 29)], [5, 6]])
+    assert vector_codes.nearest(values, np.array([[1 << 29, 1 - (1 << 29)], [1 << 29, -(1 << 29)], [5, 6], [5, 6]]))[0].tolist() == [1, 2]
+    assert (vector_codes.unpacked(vector_codes.packed(values), 2) == values).all()
+
+
+def test_vector_codes_of_awkward_tables(spark):
+    schema = "vec_id long, embedding array<float>, label string, code int, error string, row int, part int, parts string"
+    none = spark.createDataFrame([], schema)
+    found, model = vector_codes.compressed(none)
+    assert found.count() == 0 and model.digest == hashlib.sha256(b"").hexdigest() and found.columns == ["vec_id", "label", "code", "error", "label_error"]
+    rows = [(1, [1.0, 2.0, 3.0, 4.0], None, 1, "x", 1, 1, "y"), (2, [1.0, 2.0, 3.0], "a", 1, "x", 1, 1, "y"), (3, [1e30, 0.0, 0.0, 0.0], "a", 1, "x", 1, 1, "y"), (4, [1.0] * 8, "a", 1, "x", 1, 1, "y"), (5, [0.0] * 4, "b", 1, "x", 1, 1, "y")]
+    found = {r.vec_id: (r.code, r.error, r.label, r.label_error) for r in vector_codes.compressed(spark.createDataFrame(rows, schema))[0].collect()}
+    assert found == {1: ("00000000", 0, None, 0), 5: ("01010101", 0, "b", 0)}
+
+
+# 12 phrases
+
+
+def brute_collocations(rows, least, longest, percent, top):
+    counts, n = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for m in range(1, longest + 1):
+                counts.setdefault(lang, Counter()).update(tuple(words[i : i + m]) for i in range(len(words) - m + 1))
+    found = []
+    for lang, f in counts.items():
+        own = {g: a for g, a in f.items() if len(g) > 1 and a >= least}
+        rows = []
+        for g, a in own.items():
+            score, _, left, right = min((1_000_000 * a * a // (f[g[:k]] * f[g[k:]]), k, f[g[:k]], f[g[k:]]) for k in range(1, len(g)))
+            inside = any(len(h) > len(g) and 100 * b >= percent * a and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1)) for h, b in own.items())
+            if not inside:
+                rows.append((-score, -a, " ".join(g).encode(), left, right))
+        found += [(lang, k + 1, p.decode(), -a, left, right, n[lang], -s) for k, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return sorted(found)
+
+
+def collocation_rows(frame, **kwargs):
+    return sorted(tuple(r) for r in phrases.collocations(frame, **kwargs).collect())
+
+
+@pytest.mark.parametrize("width", [8, 12, phrases.WIDTH])
+def test_collocations_match_brute_force(spark, monkeypatch, width):
+    """At any width of the sketch, even one that lets nearly all through, with texts over many slices and tasks."""
+    monkeypatch.setattr(phrases, "HELD", 50)
+    rng = random.Random(12)
+    names = ["new york city", "New York", "zürich see", "ab cd ef gh", "x"]
+    texts = [(" ".join(rng.choice([*names, "foo", "bar", "\t", "a.b", "no,no", "Ö", "\U0001f600"]) for _ in range(rng.randrange(60))) + rng.choice(["", "\n", " !"]), rng.choice(["en", "de", None, "und", ""])) for _ in range(120)]
+    texts += [(None, "en"), ("", None), ("solo", "xx"), ("ha " * 3000, "hot"), *[texts[0]] * 5]
+    frame = spark.createDataFrame(texts, "text string, lang string").repartition(5)
+    for longest, percent, top in ((3, 50, 2000), (4, 50, 7), (2, 90, 3)):
+        assert collocation_rows(frame, longest=longest, subsumed_percent=percent, top=top, width=width) == brute_collocations(texts, 10, longest, percent, top)
+
+
+def test_collocations_of_awkward_tables(spark):
+    frame = awkward(spark).withColumns({"phrase": F.lit(1), "a": F.lit("x"), "size": F.lit(None), "n": F.lit(2)})
+    wanted = brute_collocations([(r.text, r.lang) for r in frame.select("text", "lang").collect()], 2, 3, 50, 2000)
+    assert wanted and collocation_rows(frame, least=2) == wanted
+    assert collocation_rows(none_of(frame)) == []
+
+
+def test_collocation_scores_pass_64_bits(spark):
+    """Counts of billions: scored from a table of counts."""
+    a = 4_000_000_000
+    assert 1_000_000 * a * a > 1 << 63
+    row = spark.sql(f"select cast({a} as decimal(19,0)) * cast({a} as decimal(19,0)) * cast(1000000 as decimal(7,0)) div (cast({a + 1} as decimal(19,0)) * cast({a + 7} as decimal(19,0))) as s").first()
+    assert row.s == 1_000_000 * a * a // ((a + 1) * (a + 7))
+
+
+def test_sketch_never_counts_less_than_there_is(spark):
+    words = [(f"w{i % 50} w{i % 7}", "en") for i in range(700)]
+    frame = spark.createDataFrame(words, "text string, lang string").repartition(3)
+    for width in (4, 10):
+        found = {r.phrase: r.f for r in phrases.phrase_counts(frame, width=width).where("size > 0").collect()}
+        true = Counter(x for t, _ in words for x in (t, *t.split()))
+        assert found == {k: v for k, v in true.items() if v >= 10}
+
+
+# 13 licences
+
+
+def brute_licenses(text):
+    words = licenses.words_of(text or "")
+    places = [(i, label) for p, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_phrases_match_brute_force(spark):
+    rng = random.Random(13)
+    bits = ["MIT", "License", "license", "CC", "BY", "by", "cc", "gnu", "General", "public", "GNU general PUBLIC license", "apache", "-", "\n", "x", "é", "mit-license", "licenseé", "1", "_", "\U0001f600"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(80))) for _ in range(300)] + ["", None, "cc by " * 4000, "mit license"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, "cc by")], "doc_id long, text string")
+    for r in licenses.license_matches(frame).collect():
+        text = "cc by" if r.doc_id is None else texts[r.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base_labels)) == brute_licenses(text)
+        assert set(r.base_labels) <= set(r.labels) and (r.score == 1.0 if r.n_base else 0 <= r.score <= 1)
+
+
+def test_license_notices_are_found_where_they_stand(spark):
+    """Every notice in a long text with words changed, left out and put in; none in texts that only share their words."""
+    rng = random.Random(31)
+    filler = "lorem the software of this is provided any copy and use for in source forms".split()
+    rows, wanted = [], {}
+    for k, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        before, after = ([rng.choice(filler) for _ in range(rng.randrange(2000))] for _ in range(2))
+        rows.append((k, " ".join(["# Copyright 2020 Someone", *before, *words, *after])))
+        wanted[k] = (label, len(licenses.words_of(" ".join(before))) + 4)
+        shuffled = licenses.words_of(text)
+        rng.shuffle(shuffled)
+        rows.append((100 + k, " ".join(shuffled)))
+        rows.append((200 + k, " ".join(w for w in licenses.words_of(text) if w not in licenses.words_of(keys[0])[:2])))
+    found = {r.doc_id: r for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, at) in wanted.items():
+        own = [m for m in found[k].matches if m.label == label and abs(m.first - at) <= 4]
+        assert own and max(m.score for m in own) == 1.0, (k, label, found[k].matches)
+        assert not found[100 + k].matches
+        if [x for x, _, _ in licenses.TEMPLATES].count(label) == 1:
+            assert label not in [m.label for m in found[200 + k].matches]
+    mit = licenses.TEMPLATES[0][1].replace("Software", "Program", 1).replace("IN NO EVENT SHALL THE AUTHORS", "IN NO CASE WILL WE")
+    one = licenses.license_matches(spark.createDataFrame([(1, "/* " + mit + " */")], "doc_id long, text string")).first()
+    assert one.labels == ["mit"] and 0.8 < one.score < 1
+
+
+def test_licenses_of_awkward_tables(spark):
+    frame = awkward(spark).withColumns({"labels": F.lit(1), "matches": F.lit("x"), "n_words": F.lit(None)})
+    found = licenses.license_matches(frame)
+    assert found.count() == frame.count() and licenses.license_matches(none_of(frame)).count() == 0
+    assert {(r.n_base, r.score) for r in found.collect()} == {(0, 0.0)}
+
+
+def test_new_queries_run_and_equal_their_sql(spark):
+    duck = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        duck.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    for name in ("op11_vector_codes", "op12_collocations"):
+        found, sql = queries.queries()[name](spark, SF).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
+        assert sorted(found.columns) == sorted(sql.columns)
+        assert sorted(found[sorted(found)].itertuples(index=False, name=None)) == sorted(sql[sorted(found)].itertuples(index=False, name=None))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op13_license_scan(spark, SF).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(texts[r.doc_id])
