@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed patterns: a scheme before a colon that is no part of a longer word, what follows it, schemes that need no slashes, and git's user@host:path.
 URL = r"(?<![A-Za-z0-9+./-])([A-Za-z][A-Za-z0-9+.-]*):(?=(/*)([^/?#\s\"'`]*))"
 KNOWN_SCHEME = r"^(?:[A-Za-z0-9_]+\+)?(?:https?|ftp|wss?|git|ssh)$"
-REMOTE = r"(?<![A-Za-z0-9+./@:-])([A-Za-z0-9._-]+)@((?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z][A-Za-z0-9-]*\.?|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[[^\]/]*\]):(?=[^\s\"'])"
+REMOTE = r"(?<![A-Za-z0-9+./@:-])([A-Za-z0-9._-]+)@((?:[A-Za-z0-9][A-Za-z0-9-]*+\.(?=[A-Za-z0-9]))++[A-Za-z][A-Za-z0-9-]*\.?|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[[^\]/]*\]):(?=[^\s\"'])"
 GOOD_SCHEMES = ("https", "git+https", "registry+https", "sparse+https", "git+ssh", "ssh")
 
 

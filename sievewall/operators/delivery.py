@@ -15,18 +15,23 @@ LAYERS = "map<string,string>"
 
 
 def chained_verdicts(docs: DataFrame, panel: DataFrame, honeypot: DataFrame, judges: DataFrame, vendors: int = 2, floor: int = 2) -> DataFrame:
-    """doc_id, ok, reason, layers, clean: the deterministic layers first, then panel, honeypot and judges, each asked only while none rejects.
+    """doc_id, ok, reason, layers, clean, text: the deterministic layers first, then panel, honeypot and judges, each asked only while none rejects.
 
-    docs(doc_id, text); the rest as of the reductions in `panels`. A document
-    that a reduction has no row for is rejected by that layer. layers has what
-    each layer said up to the one that rejects.
+    docs(doc_id, text); the rest as of the reductions in `panels`, one row an
+    id. A row gives a row: rows that repeat an id share its reductions and keep
+    their own text; a row without an id, or whose id a reduction has no row
+    for, is rejected by that layer if the layers before let it through. layers
+    has what each layer said up to the one that rejects.
+
+    The reductions are joined with each other first, so that texts go through
+    one join.
     """
-    base = screened(docs)
-    route = arbitration(panel, honeypot, judges)
     votes = panel.select("doc_id", F.col("outcome").alias("_outcome"), panel_summary(F.col("outcome"), F.col("verdicts"), vendors, floor).alias("_l2"))
     traps = honeypot.select("doc_id", F.col("reason").alias("_honeypot"))
     bench = judges.select("doc_id", F.col("reason").alias("_judge"))
-    joined = base.join(votes, "doc_id", "left").join(traps, "doc_id", "left").join(bench, "doc_id", "left").join(route.select("doc_id", F.col("reason").alias("_route")), "doc_id", "left")
+    route = arbitration(panel, honeypot, judges).select("doc_id", F.col("reason").alias("_route"))
+    reductions = votes.join(traps, "doc_id", "full").join(bench, "doc_id", "full").join(route, "doc_id", "full")
+    joined = screened(docs.select("doc_id", "text")).join(reductions, "doc_id", "left")
     later = F.coalesce("_route", F.lit("l2_unavailable:missing"))
     reason = F.coalesce("reason", F.when(later != "pass", later), F.lit("pass"))
     asked = F.col("reason").isNull()
@@ -35,20 +40,25 @@ def chained_verdicts(docs: DataFrame, panel: DataFrame, honeypot: DataFrame, jud
     judged = trapped & deferred & ~F.coalesce(F.col("_route").startswith("honeypot:"), F.lit(False))
     said = F.map_from_arrays(F.array(F.lit("l2"), F.lit("honeypot"), F.lit("judge")), F.array(F.when(asked, F.col("_l2")), F.when(trapped, F.col("_honeypot")), F.when(judged, F.col("_judge"))))
     layers = F.map_concat(layer_map(F.col("unicode_reason"), F.col("encoded_reason"), F.col("secret_reason"), F.col("blobs")), F.map_filter(said, lambda _, v: v.isNotNull()))
-    return joined.select("doc_id", (reason == "pass").alias("ok"), reason.alias("reason"), layers.alias("layers"), "clean")
+    return joined.select("doc_id", (reason == "pass").alias("ok"), reason.alias("reason"), layers.alias("layers"), "clean", "text")
 
 
 def delivered(verdicts: DataFrame, source: str = "scanner") -> DataFrame:
-    """doc_id, content of what passed, wrapped. verdicts: as of `chained_verdicts`."""
-    return verdicts.where("ok").select("doc_id", wrapped(F.col("doc_id").cast("string"), without_wrap_tags(F.col("clean")), F.lit(source)).alias("content"))
+    """doc_id, content of what passed, wrapped; a row without an id has an empty one in its wrap. verdicts: as of `chained_verdicts`."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return verdicts.where("ok").select("doc_id", wrapped(own, without_wrap_tags(F.col("clean")), F.lit(source)).alias("content"))
+
 
+def quarantined(verdicts: DataFrame, ts: Column | None = None) -> DataFrame:
+    """ts, report_id, prompt, verdict, report_text of what was rejected: the only frame that holds its text, for the quarantine sink alone.
 
-def quarantined(verdicts: DataFrame, docs: DataFrame, ts: Column | None = None) -> DataFrame:
-    """ts, report_id, prompt, verdict, report_text of what was rejected: the only frame that holds its text, for the quarantine sink alone."""
+    Each rejected row is one row with its own text, whether its id is null or
+    repeats: nothing is joined. verdicts: as of `chained_verdicts`.
+    """
     when = F.date_format(F.current_timestamp() if ts is None else ts, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
-    gone = verdicts.where(~F.col("ok")).select("doc_id", F.to_json(F.struct("ok", "reason", "layers", F.length("clean").alias("sanitized_text_len"))).alias("verdict"))
     text = F.coalesce("text", F.lit(""))
-    return gone.join(docs.select("doc_id", "text"), "doc_id").select(when.alias("ts"), F.col("doc_id").cast("string").alias("report_id"), F.substring(text, 1, 300).alias("prompt"), "verdict", text.alias("report_text"))
+    verdict = F.to_json(F.struct("ok", "reason", "layers", F.length("clean").alias("sanitized_text_len")))
+    return verdicts.where(~F.col("ok")).select(when.alias("ts"), F.col("doc_id").cast("string").alias("report_id"), F.substring(text, 1, 300).alias("prompt"), verdict.alias("verdict"), text.alias("report_text"))
 
 
 def append_quarantine(rows: DataFrame, path: str) -> None:
@@ -62,9 +72,9 @@ def write_new(rows: DataFrame, path: str) -> None:
 
 
 def error_verdicts(failures: DataFrame) -> DataFrame:
-    """doc_id, ok, reason, layers, clean for documents whose scan itself failed: rejected, and only the error's type is told. failures(doc_id, error)."""
+    """doc_id, ok, reason, layers, clean, text for documents whose scan itself failed: rejected, and only the error's type is told. failures(doc_id, error)."""
     kind = F.when(F.col("error").rlike("^[A-Za-z_][A-Za-z0-9_]{0,63}$"), F.col("error")).otherwise("other")
-    return failures.select("doc_id", F.lit(False).alias("ok"), F.concat(F.lit("scanner_error:"), kind).alias("reason"), F.create_map(F.lit("scanner_error"), kind).alias("layers"), F.lit("").alias("clean"))
+    return failures.select("doc_id", F.lit(False).alias("ok"), F.concat(F.lit("scanner_error:"), kind).alias("reason"), F.create_map(F.lit("scanner_error"), kind).alias("layers"), F.lit("").alias("clean"), F.lit(None).cast("string").alias("text"))
 
 
 def self_test(canaries: DataFrame, scan: Callable[[DataFrame], DataFrame] = screened) -> DataFrame:

@@ -109,7 +109,7 @@ def submodule_hits(files: DataFrame) -> DataFrame:
 
 def found_binary(status: Column, binary: Column, body: Column, gitlink: Column, content: Column, peek: int = 8000) -> Column:
     """Whether a file is binary: as its diff says, or, of a rename without a body, if its content has a zero byte early on."""
-    zero = F.substring(F.hex(F.substring(content, 1, peek)), F.lit(1), F.lit(2 * peek)).rlike("^(?:[0-9A-F]{2})*?00")
+    zero = F.contains(F.substring(content, 1, peek), F.lit(bytearray(1)))
     return binary | F.coalesce((status == "renamed") & (F.size(body) == 0) & ~gitlink & zero, F.lit(False))
 
 

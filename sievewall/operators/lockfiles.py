@@ -1,8 +1,7 @@
 """Lockfiles by tables of strings: what a change newly fetches from places that are not allowed.
 
-JSON lockfiles and pip's files are read natively here. Strings of other
-formats come as rows of the same table (`lock_strings`), made by whatever
-reads them.
+JSON, TOML and YAML lockfiles become nodes (`trees`), and those rows of strings
+and fetch slots; pip's files and other formats are read by their lines.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievewall.functions.urls import bad_urls
 from sievewall.operators.gate import lockfile_kind, logical_lines, new_lines
+from sievewall.operators.trees import json_nodes, toml_nodes, yaml_nodes
 
 # The hosts that each lockfile fetches from.
 NPM, PYPI = ("registry.npmjs.org", "registry.yarnpkg.com"), ("pypi.org", "files.pythonhosted.org")
@@ -22,7 +22,8 @@ HOSTS = {
 }
 JSON_KINDS = ("package-lock.json", "npm-shrinkwrap.json", "pipfile.lock", "flake.lock", "bun.lock")
 NPM_KINDS = ("package-lock.json", "npm-shrinkwrap.json", "bun.lock", "yarn.lock", "pnpm-lock.yaml")
-PARSED_KINDS = (*JSON_KINDS, "cargo.lock", "uv.lock", "poetry.lock", "pdm.lock", "pnpm-lock.yaml", "yarn.lock")
+TOML_KINDS, YAML_KINDS = ("cargo.lock", "uv.lock", "poetry.lock", "pdm.lock"), ("pnpm-lock.yaml", "yarn.lock")
+PARSED_KINDS = (*JSON_KINDS, *TOML_KINDS, *YAML_KINDS)
 # Fixed patterns: hosted-git words, a protocol before a colon, a version, and what no lockfile's string holds.
 GIT_WORD = r"(?:[A-Za-z0-9.-]+\+)?(?:git|github|gitlab|bitbucket|gist)(?:\+[A-Za-z0-9.-]+)?"
 GIT_SPEC = rf"(?i)(?<![A-Za-z0-9+./-])({GIT_WORD}):(?!\s)"
@@ -33,8 +34,11 @@ LOCAL_PROTOCOLS, SAFE_PROTOCOLS = ("file", "link", "portal"), ("npm", "workspace
 FLAKE_TYPES = ("github", "git", "tarball", "file", "path", "indirect")
 METADATA = ("funding", "deprecated", "license")
 MULTI_LINE, NOT_FETCHABLE = "multi-line or control-character string", "fetch slot that is not an https URL or a local path"
-STRING = r'"(?:[^"\\]|\\.)*"'
-ENTRY = "map<string,string>"
+# Possessive: Java recurses on a group that it may give back, once for each character.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+SLOT = "struct<what:string,value:string,n:bigint>"
+# Fixed pattern: the note by which classic yarn's own format, which is no YAML, is known.
+YARN_V1 = r"(?i)^(?:#(?!\s+yarn\s+lockfile\s+v1\r?\n)[^\n]*+\n)*+#\s+yarn\s+lockfile\s+v1\r?\n"
 
 
 def hosts_of(kind: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -65,53 +69,97 @@ def lock_sides(files: DataFrame, heads: DataFrame, bases: DataFrame) -> DataFram
 
 def without_trailing_commas(kind: Column, doc: Column) -> Column:
     """bun's JSON as JSON: a comma before a closing bracket goes, one within a string stays."""
-    return F.when(kind == "bun.lock", F.regexp_replace(doc, rf'("(?:[^"\\\n]|\\.)*")|,(?=[ \t\r\n]*[\]}}])', "$1")).otherwise(doc)
+    return F.when(kind == "bun.lock", F.regexp_replace(doc, r'("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+")|,(?=[ \t\r\n]*[\]}])', "$1")).otherwise(doc)
 
 
-def literals(json: Column) -> Column:
-    """Every string of a JSON text, keys included, decoded."""
-    return F.transform(F.regexp_extract_all(json, F.lit(STRING), F.lit(0)), lambda x: F.try_element_at(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(1)))
-
-
-def entries_of(doc: Column) -> Column:
-    """Package entries of npm's lockfiles as maps from key to the value's JSON: packages, and the older dependencies at the top."""
-    tops = F.from_json(doc, f"packages map<string,{ENTRY}>, dependencies map<string,{ENTRY}>")
-    none = F.array().cast(f"array<{ENTRY}>")
-    return F.concat(F.coalesce(F.map_values(tops["packages"]), none), F.coalesce(F.map_values(tops["dependencies"]), none))
-
-
-def is_metadata(value: Column) -> Column:
-    """A string, an object of type and url, or a list of such: nothing fetches from it."""
-    plain = ~value.rlike(r"^\s*[\[{]")
-    one = rf'\{{(?:\s*"(?:type|url)"\s*:\s*{STRING}\s*,?)*\s*\}}'
-    return plain | value.rlike(rf"^\s*(?:{one}|\[(?:\s*(?:{one}|{STRING})\s*,?)*\s*\])\s*$")
+def lock_nodes(sides: DataFrame) -> DataFrame:
+    """path, kind, side, place, type, value of the nodes of all parsed lockfiles. sides: as of `lock_sides`."""
+    stack = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("head").alias("raw")), F.struct(F.lit("base").alias("side"), F.col("base").alias("raw"))))
+    docs = sides.select("path", "kind", stack.alias("s")).where("s.raw is not null").select("path", "kind", "s.side", F.regexp_replace(F.col("s.raw").cast("string"), "^\\x{FEFF}", "").alias("doc"))
+    docs = docs.withColumn("doc", F.when(F.is_valid_utf8("doc"), without_trailing_commas(F.col("kind"), F.col("doc"))).otherwise("\x00"))
+    found = json_nodes(docs.where(F.col("kind").isin(*JSON_KINDS)))
+    return found.unionByName(toml_nodes(docs.where(F.col("kind").isin(*TOML_KINDS)))).unionByName(yaml_nodes(docs.where(F.col("kind").isin(*YAML_KINDS))))
+
+
+def first_other(place: Column) -> Column:
+    """Of npm's older nested dependencies: the first even step (from 0) that is not `dependencies`, where a package's own fields are."""
+    steps = F.sequence(F.lit(0), F.greatest(F.size(place) - 1, F.lit(0)), F.lit(2))
+    return F.try_element_at(F.filter(steps, lambda i: ~F.get(place, i).eqNullSafe(F.lit(".dependencies"))), F.lit(1))
+
+
+def entry_steps(kind: Column, place: Column) -> Column:
+    """How many steps lead to the package entry that a place is in, by where each format keeps its packages; null for none."""
+    top = F.get(place, F.lit(0))
+    nested = first_other(place)
+    return (
+        F.when(kind.isin("package-lock.json", "npm-shrinkwrap.json"), F.when(top == ".packages", 2).when(nested > 0, nested))
+        .when(kind == "pnpm-lock.yaml", F.when(top.isin(".packages", ".snapshots"), 2))
+        .when(kind == "bun.lock", F.when((top == ".packages") & F.get(place, F.lit(2)).startswith("["), 3))
+        .when(kind == "yarn.lock", F.when(top != ".__metadata", 1))
+    )
 
 
-def lock_strings(sides: DataFrame) -> DataFrame:
-    """path, kind, side, value, meta of every string of JSON lockfiles, and the slots of their packages. sides: as of `lock_sides`.
+def lock_strings(nodes: DataFrame) -> DataFrame:
+    """path, kind, side, value, n, n_meta of every string, keys included: how often it may be fetched from, and how often it is metadata. nodes: as of `lock_nodes`.
 
-    meta tells of text that nothing fetches from (funding, a deprecation or a
-    license of a package entry), slot of the place: `resolved` or `linked`,
-    `spec` and `tarball` of bun's entries, `flake`. A JSON text with a key given
-    twice at any depth does not parse and gives no rows.
+    Metadata is what stands under funding, deprecated or license in a package
+    entry, if all of it is a string, a mapping of type and url, or a list of
+    such: nothing fetches from it.
     """
-    stack = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("head").alias("raw")), F.struct(F.lit("base").alias("side"), F.col("base").alias("raw"))))
-    text = F.regexp_replace(F.col("s.raw").cast("string"), "^\\x{FEFF}", "")
-    docs = sides.where(F.col("kind").isin(*JSON_KINDS)).select("path", "kind", stack.alias("s")).select("path", "kind", "s.side", without_trailing_commas(F.col("kind"), text).alias("doc")).where(F.try_parse_json("doc").isNotNull())
-    npm = F.col("kind").isin("package-lock.json", "npm-shrinkwrap.json")
-    entries = F.when(npm, entries_of(F.col("doc"))).otherwise(F.array().cast(f"array<{ENTRY}>"))
-    kept = docs.withColumn("entries", entries)
-    meta = F.flatten(F.transform("entries", lambda e: F.map_values(F.map_filter(e, lambda k, v: k.isin(*METADATA) & is_metadata(v)))))
-    meta = F.flatten(F.transform(meta, lambda v: F.when(v.rlike(r"^\s*[\[{]"), literals(v)).otherwise(F.array(v))))
-    slots = F.array_compact(F.transform("entries", lambda e: F.when(e["resolved"].isNotNull(), F.struct(F.when(e["link"] == "true", "linked").otherwise("resolved").alias("slot"), e["resolved"].alias("value")))))
-    bun = F.map_values(F.from_json("doc", "packages map<string,array<string>>")["packages"])
-    bun_slots = F.flatten(F.transform(bun, lambda e: F.array_compact(F.array(F.struct(F.lit("spec").alias("slot"), F.coalesce(F.try_element_at(e, F.lit(1)), F.lit("")).alias("value")), F.when(F.coalesce(F.try_element_at(e, F.lit(2)), F.lit("")) != "", F.struct(F.lit("tarball").alias("slot"), F.try_element_at(e, F.lit(2)).alias("value")))))))
-    nodes = F.map_values(F.from_json("doc", f"nodes map<string,struct<locked:{ENTRY},original:{ENTRY}>>")["nodes"])
-    flakes = F.flatten(F.transform(nodes, lambda n: F.transform(F.array_compact(F.array(n["locked"], n["original"])), lambda r: F.struct(F.lit("flake").alias("slot"), F.to_json(r).alias("value")))))
-    none = F.array().cast("array<struct<slot:string,value:string>>")
-    placed = F.concat(F.transform(literals(F.col("doc")), lambda v: F.struct(F.lit("any").alias("slot"), v.alias("value"))), F.transform(F.array_compact(meta), lambda v: F.struct(F.lit("meta").alias("slot"), v.alias("value"))), slots, F.when(F.col("kind") == "bun.lock", F.coalesce(bun_slots, none)).otherwise(none), F.when(F.col("kind") == "flake.lock", F.coalesce(flakes, none)).otherwise(none))
-    counted = kept.select("path", "kind", "side", F.explode(placed).alias("p")).groupBy("path", "kind", "side", "p.value").agg(F.count_if(F.col("p.slot") == "any").alias("n"), F.count_if(F.col("p.slot") == "meta").alias("n_meta"), F.array_sort(F.collect_list(F.when(~F.col("p.slot").isin("any", "meta"), F.col("p.slot")))).alias("slots"))
-    return counted.select("path", "kind", "side", "value", F.greatest(F.col("n") - F.col("n_meta"), F.lit(0)).alias("n"), F.least("n", "n_meta").alias("n_meta"), "slots")
+    place, steps = F.col("place"), entry_steps(F.col("kind"), F.col("place"))
+    field = F.get(place, steps)
+    rest = F.slice(place, steps + 2, F.size(place))
+    known = F.col("type").isin("string", "object", "array")
+    shaped = (
+        F.when(F.size(rest) == 0, known).when(F.size(rest) == 1, F.when(rest[0].startswith("["), F.col("type").isin("string", "object")).otherwise(rest[0].isin(".type", ".url") & (F.col("type") == "string")))
+        .otherwise((F.size(rest) == 2) & rest[0].startswith("[") & F.get(rest, F.lit(1)).isin(".type", ".url") & (F.col("type") == "string"))
+    )
+    under = F.when(field.isin(*[f".{x}" for x in METADATA]), F.array_join(F.slice(place, F.lit(1), steps + 1), "\x00"))
+    own = nodes.withColumns({"under": under, "shaped": F.coalesce(shaped, F.lit(False)), "below": F.size(place) > steps + 1})
+    whole = F.min("shaped").over(Window.partitionBy("path", "kind", "side", "under"))
+    judged = own.withColumn("meta", F.col("under").isNotNull() & whole)
+    key = F.when(F.element_at("place", -1).startswith("."), F.struct(F.substring(F.element_at("place", -1), F.lit(2), F.length(F.element_at("place", -1))).alias("value"), (F.col("meta") & F.coalesce("below", F.lit(False)) & (F.size(place) > steps + 1)).alias("meta")))
+    text = F.when(F.col("type") == "string", F.struct("value", "meta"))
+    strings = judged.where("size(place) > 0 or type = 'string'").select("path", "kind", "side", F.explode(F.array_compact(F.array(F.when(F.size(place) > 0, key), text))).alias("s"))
+    return strings.groupBy("path", "kind", "side", "s.value").agg(F.count_if(~F.col("s.meta")).alias("n"), F.count_if(F.col("s.meta")).alias("n_meta"))
+
+
+def lock_slots(nodes: DataFrame) -> DataFrame:
+    """path, kind, side, slot, value, more of the places that packages are fetched from. nodes: as of `lock_nodes`.
+
+    slot: `resolved` or `linked` (npm, yarn), `spec` (yarn, bun) with bun's
+    tarball in `more`, `resolution` (pnpm) with its fields in `more`, `flake`,
+    `odd` for a slot that holds no string. value: the whole of it.
+    """
+    place, kind = F.col("place"), F.col("kind")
+    top, last, size = F.get(place, F.lit(0)), F.element_at(place, -1), F.size(place)
+    npm = kind.isin("package-lock.json", "npm-shrinkwrap.json")
+    # The fields of an entry, or of what an entry holds, by their names.
+    of = (
+        F.when(npm & (top == ".packages") & (size == 3) & last.isin(".resolved", ".link"), F.struct(F.lit("npm").alias("slot"), F.slice(place, 1, 2).alias("of")))
+        .when(npm & (size > 2) & (first_other(place) == size - 1) & (last == ".resolved"), F.struct(F.lit("npm").alias("slot"), F.slice(place, F.lit(1), size - 1).alias("of")))
+        .when((kind == "pnpm-lock.yaml") & (top == ".packages") & (F.get(place, F.lit(2)) == ".resolution") & size.isin(3, 4), F.struct(F.lit("resolution").alias("slot"), F.slice(place, 1, 3).alias("of")))
+        .when((kind == "bun.lock") & (top == ".packages") & (size == 3) & last.isin("[0]", "[1]"), F.struct(F.lit("spec").alias("slot"), F.slice(place, 1, 2).alias("of")))
+        .when((kind == "yarn.lock") & (size == 2) & (last == ".resolution"), F.struct(F.lit("spec").alias("slot"), place.alias("of")))
+        .when((kind == "yarn.lock") & (size == 2) & (last == ".resolved"), F.struct(F.lit("npm").alias("slot"), place.alias("of")))
+        .when((kind == "flake.lock") & (top == ".nodes") & F.get(place, F.lit(2)).isin(".locked", ".original") & size.isin(3, 4), F.struct(F.lit("flake").alias("slot"), F.slice(place, 1, 3).alias("of")))
+    )
+    fields = nodes.withColumn("at", of).where("at is not null").groupBy("path", "kind", "side", "at").agg(F.collect_list(F.struct(last.alias("name"), "type", "value", size.alias("steps"))).alias("fields"))
+
+    def field(name: str) -> Column:
+        return F.try_element_at(F.filter("fields", lambda f: f["name"] == name), F.lit(1))
+
+    own = F.try_element_at(F.filter("fields", lambda f: f["steps"] == F.size("at.of")), F.lit(1))
+    rows = fields.select("path", "kind", "side", F.col("at.slot").alias("of"), "fields", own.alias("own"), field(".resolved").alias("resolved"), field(".link").alias("link"), F.coalesce(field(".resolution"), field("[0]")).alias("spec"), field("[1]").alias("tarball"))
+    more = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["name"].isin(".repo", ".type", ".tarball", ".directory", ".host")), lambda f: F.struct(F.substring(f["name"], 2, 20), F.struct(f["type"].alias("type"), f["value"].alias("value")))))
+    plain = lambda f: F.when(f["type"] == "string", f["value"])
+    slot = (
+        F.when((F.col("of") == "npm") & F.col("resolved").isNotNull(), F.struct(F.when(F.col("resolved.type") != "string", "odd").when((F.col("link.type") == "other") & (F.col("link.value") == "true"), "linked").otherwise("resolved").alias("slot"), F.coalesce("resolved.value", F.lit("")).alias("value")))
+        .when((F.col("of") == "spec") & F.col("spec").isNotNull(), F.struct(F.when(F.col("spec.type") != "string", "odd").otherwise("spec").alias("slot"), F.coalesce("spec.value", F.lit("")).alias("value")))
+        .when(F.col("of") == "resolution", F.struct(F.when(F.col("own").isNull() | (F.col("own.type") != "object"), "odd").otherwise("resolution").alias("slot"), F.to_json(F.array_sort("fields")).alias("value")))
+        .when((F.col("of") == "flake") & (F.col("own.type") == "object"), F.struct(F.lit("flake").alias("slot"), F.to_json(F.array_sort("fields")).alias("value")))
+    )
+    return rows.select("path", "kind", "side", slot.alias("s"), F.when(F.col("of").isin("resolution", "flake"), more).alias("more"), F.when(F.col("kind") == "bun.lock", plain(F.col("tarball"))).alias("tarball")).where("s is not null").select("path", "kind", "side", "s.*", "more", "tarball")
 
 
 def is_local(ref: Column) -> Column:
@@ -130,16 +178,36 @@ def spec_findings(value: Column) -> Column:
     return F.concat(git, F.array_compact(F.array(said)))
 
 
-def bad_slot(slot: Column, value: Column) -> Column:
-    """Whether what stands in a fetch slot is neither an https URL nor a local path (for a spec, nor a version or a safe protocol)."""
-    https = F.lower(F.substring(value, 1, 6)) == "https:"
+def is_https(value: Column) -> Column:
+    return F.lower(F.substring(value, 1, 6)) == "https:"
+
+
+def bad_resolved(value: Column, linked: Column) -> Column:
+    """Whether it is neither an https URL, nor a `file:` with a relative path, nor (where npm marks a link) a relative path."""
     file = (F.lower(F.substring(value, 1, 5)) == "file:") & is_local(F.substring(value, F.lit(6), F.length(value)))
+    return ~(is_https(value) | file | (linked & is_local(value)))
+
+
+def bad_spec(value: Column) -> Column:
+    """Whether the spec of `name@spec` is neither a version, nor an https URL, nor of a safe protocol (a local one with a relative path)."""
     at = F.locate("@", value, 2)
     spec = F.when(at > 1, F.substring(value, at + 1, F.length(value)))
     word = F.lower(F.regexp_extract(spec, SPEC_PREFIX, 1))
     safe = word.isin(*SAFE_PROTOCOLS) & (~word.isin(*LOCAL_PROTOCOLS) | is_local(F.substring(spec, F.length(word) + 2, F.length(spec))))
-    good = spec.rlike(VERSION) | (F.lower(F.substring(spec, 1, 6)) == "https:") | safe
-    return F.coalesce(F.when(slot == "resolved", ~(https | file)).when(slot == "linked", ~(https | file | is_local(value))).when(slot == "tarball", ~https).when(slot == "spec", ~F.coalesce(good, F.lit(False))), F.lit(False))
+    return ~F.coalesce(spec.rlike(VERSION) | is_https(spec) | safe, F.lit(False))
+
+
+def bad_slot() -> Column:
+    """Whether a row of `lock_slots` but a flake's cannot be fetched from where it should be."""
+    slot, value, more = F.col("slot"), F.col("value"), F.col("more")
+    odd_type = ~F.coalesce(more["type"]["type"] == "other", F.lit(True)) & ~more["type"]["value"].eqNullSafe(F.lit("directory"))
+    tarball = more["tarball"].isNotNull() & ((more["tarball"]["type"] != "string") | bad_resolved(more["tarball"]["value"], F.lit(False)))
+    folder = more["directory"].isNotNull() & ((more["directory"]["type"] != "string") | ~is_local(more["directory"]["value"]))
+    return F.coalesce(
+        F.when(slot == "odd", F.lit(True)).when(slot.isin("resolved", "linked"), bad_resolved(value, slot == "linked"))
+        .when(slot == "spec", bad_spec(value) | F.coalesce((F.col("tarball") != "") & ~is_https(F.col("tarball")), F.lit(False)))
+        .when(slot == "resolution", more["repo"].isNotNull() | odd_type | tarball | folder), F.lit(False),
+    )
 
 
 def percent_decoded(value: Column) -> Column:
@@ -148,24 +216,25 @@ def percent_decoded(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("%")), F.make_valid_utf8(F.unhex(F.array_join(parts, "")).cast("string"))).otherwise(value)
 
 
-def lock_findings(strings: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """path, side, what, value, n: bad values of lockfiles, counted by the whole value. strings: as of `lock_strings`."""
+def lock_findings(nodes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """path, side, what, value, n: bad values of lockfiles, counted by the whole value. nodes: as of `lock_nodes`."""
     npm = F.col("kind").isin(*NPM_KINDS)
-    allowed = hosts_of(F.col("kind"), extra)
-    forms = F.when(npm, F.array_distinct(F.array(F.col("value"), percent_decoded(F.col("value"))))).otherwise(F.array("value"))
-    none = F.array().cast("array<string>")
+    strings = lock_strings(nodes).withColumns({"npm": npm, "allowed": hosts_of(F.col("kind"), extra)})
+    forms = F.when(F.col("npm"), F.array_distinct(F.array(F.col("value"), percent_decoded(F.col("value"))))).otherwise(F.array("value"))
+    none, empty = F.array().cast("array<string>"), F.array().cast(f"array<{SLOT}>")
     checked = F.flatten(F.transform(forms, lambda t: F.transform(F.concat(bad_urls(t, F.col("allowed")), F.when(F.col("npm"), spec_findings(t)).otherwise(none)), lambda w: F.struct(w.alias("what"), t.alias("value"), F.col("n").alias("n")))))
-    control = F.when(F.col("value").rlike(CONTROL), F.array(F.struct(F.lit(MULTI_LINE).alias("what"), F.col("value"), (F.col("n") + F.col("n_meta")).alias("n"))))
-    kind, host = F.get_json_object("value", "$.type"), F.lower(F.get_json_object("value", "$.host"))
-    one = F.lit(1).cast("long")
+    control = F.when(F.col("value").rlike(CONTROL), F.array(F.struct(F.lit(MULTI_LINE).alias("what"), F.col("value"), (F.col("n") + F.col("n_meta")).alias("n")))).otherwise(empty)
+    of_strings = strings.select("path", "side", F.explode(F.concat(control, F.when(F.col("n") > 0, checked).otherwise(empty))).alias("f"))
+    one, more = F.lit(1).cast("long"), F.col("more")
+    text = F.when(more["type"]["type"] == "string", more["type"]["value"])
+    host = F.when(more["host"].isNotNull() & ~more["host"]["value"].eqNullSafe(F.lit("null")), more["host"]["value"])
     flake = F.array_compact(F.array(
-        F.when(~F.coalesce(kind.isin(*FLAKE_TYPES), F.lit(False)), F.struct(F.concat(F.lit("flake input type "), F.coalesce(kind, F.lit("None"))).alias("what"), F.col("value"), one.alias("n"))),
-        F.when(host.isNotNull() & ~F.array_contains("allowed", host), F.struct(F.concat(F.lit("flake host "), F.get_json_object("value", "$.host")).alias("what"), F.col("value"), one.alias("n"))),
+        F.when(~F.coalesce(text.isin(*FLAKE_TYPES), F.lit(False)), F.struct(F.concat(F.lit("flake input type "), F.coalesce(more["type"]["value"], F.lit("None"))).alias("what"), F.col("value"), one.alias("n"))),
+        F.when(host.isNotNull() & ~F.array_contains(hosts_of(F.col("kind"), extra), F.lower(host)), F.struct(F.concat(F.lit("flake host "), host).alias("what"), F.col("value"), one.alias("n"))),
     ))
-    slots = F.flatten(F.transform("slots", lambda s: F.when(s == "flake", flake).when(bad_slot(s, F.col("value")), F.array(F.struct(F.lit(NOT_FETCHABLE).alias("what"), F.col("value"), one.alias("n")))).otherwise(F.array().cast("array<struct<what:string,value:string,n:bigint>>"))))
-    empty = F.array().cast("array<struct<what:string,value:string,n:bigint>>")
-    found = strings.withColumns({"npm": npm, "allowed": allowed}).select("path", "side", F.explode(F.concat(F.coalesce(control, empty), F.when(F.col("n") > 0, checked).otherwise(empty), slots)).alias("f"))
-    return found.groupBy("path", "side", "f.what", "f.value").agg(F.sum("f.n").alias("n"))
+    bad = F.when(F.col("slot") == "flake", flake).when(bad_slot(), F.array(F.struct(F.lit(NOT_FETCHABLE).alias("what"), F.concat_ws("\n", "value", "tarball").alias("value"), one.alias("n")))).otherwise(empty)
+    of_slots = lock_slots(nodes).select("path", "side", F.explode(bad).alias("f"))
+    return of_strings.unionByName(of_slots).groupBy("path", "side", "f.what", "f.value").agg(F.sum("f.n").alias("n"))
 
 
 def reported(path_findings: DataFrame) -> DataFrame:
@@ -174,13 +243,20 @@ def reported(path_findings: DataFrame) -> DataFrame:
 
 
 def parsed_hits(sides: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """path, detail of JSON lockfiles with more of a bad value in the head than in the base, that do not parse, or were too large to read."""
-    own = sides.where(F.col("kind").isin(*JSON_KINDS))
-    found = lock_findings(lock_strings(own), extra)
+    """path, detail of parsed lockfiles with more of a bad value in the head than in the base, that do not parse, or were too large to read.
+
+    A base that does not parse has no findings. Classic yarn's own format is
+    checked by its lines and may fail to parse.
+    """
+    own = sides.where(F.col("kind").isin(*PARSED_KINDS))
+    nodes = lock_nodes(own)
+    unparsed = nodes.where("type = 'unparsed'").select("path", "side").distinct()
+    found = lock_findings(nodes, extra).join(unparsed, ["path", "side"], "left_anti")
     counts = found.groupBy("path", "what", "value").agg(F.sum(F.when(F.col("side") == "head", F.col("n")).otherwise(-F.col("n"))).alias("more"))
-    text = without_trailing_commas(F.col("kind"), F.regexp_replace(F.col("head").cast("string"), "^\\x{FEFF}", ""))
-    unread = own.select("path", F.when(F.col("head").isNull(), "lockfile too large to check").when(F.try_parse_json(text).isNull(), "lockfile does not parse").alias("detail")).where("detail is not null")
-    return reported(counts.where("more > 0")).unionByName(unread)
+    classic = own.where((F.col("kind") == "yarn.lock") & F.col("head").cast("string").rlike(YARN_V1)).select("path")
+    unread = unparsed.where("side = 'head'").join(classic, "path", "left_anti").select("path", F.lit("lockfile does not parse").alias("detail"))
+    large = own.where("head is null").select("path", F.lit("lockfile too large to check").alias("detail"))
+    return reported(counts.where("more > 0")).unionByName(unread).unionByName(large)
 
 
 # Where Python ends a line, and the escapes of one character.
@@ -218,8 +294,8 @@ def pip_options(line: Column) -> Column:
     """A line's options as pip reads them: from the first word with a dash, quotes resolved, attached values parted; null where quotes do not close."""
     bare = F.regexp_replace(F.trim(F.regexp_replace(line, r"(^|\s+)#.*$", "")), r"\\$", "")
     options = F.regexp_extract(bare, r"(?:^| )(-.*)$", 1)
-    words = F.regexp_extract_all(options, F.lit(r"""(?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""), F.lit(0))
-    whole = options.rlike(r"""^(?:[^"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')*$""")
+    words = F.regexp_extract_all(options, F.lit(rf"""(?:[^\s"'\\]++|\\.|{STRING}|'[^']*+')++"""), F.lit(0))
+    whole = options.rlike(rf"""^(?:[^"'\\]++|\\.|{STRING}|'[^']*+')*+$""")
     plain = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"'([^']*)'", "$1"), r"""(?<!\\)\"""", ""), r"\\(.)", "$1"))
     return F.when(whole, F.array_join(F.transform(plain, lambda w: F.regexp_replace(w, r"^(-[icref])(?=.)", "$1 ")), " "))
 
@@ -239,7 +315,7 @@ def line_hits(lines: DataFrame, resolved: bool, extra: tuple[str, ...] = ()) ->
     pip = F.col("kind") == "requirements"
     options = F.when(pip, pip_options(F.col("line")))
     none = F.array().cast("array<string>")
-    yarn = F.concat(F.filter(spec_findings(F.col("own.text")), lambda w: w.startswith("hosted-git")), F.when(bad_slot(F.lit("resolved"), F.regexp_extract("own.text", r'^\s+resolved\s+"?([^"]*)"?\s*$', 1)) & F.col("own.text").rlike(r"^\s+resolved\s"), F.array(F.lit(NOT_FETCHABLE))).otherwise(none))
+    yarn = F.concat(F.filter(spec_findings(F.col("own.text")), lambda w: w.startswith("hosted-git")), F.when(bad_resolved(F.regexp_extract("own.text", r'^\s+resolved\s+"?([^"]*)"?\s*$', 1), F.lit(False)) & F.col("own.text").rlike(r"^\s+resolved\s"), F.array(F.lit(NOT_FETCHABLE))).otherwise(none))
     bad = F.concat(
         none if resolved else F.when(continues(F.col("line"), pip), F.array(F.lit("line continuation"))).otherwise(none),
         F.when(F.col("own.unknown") & F.col("own.text").rlike(r"[A-Za-z][A-Za-z0-9+.-]*(?::|\\)"), F.array(F.lit("undecodable escape near a URL"))).otherwise(none),
@@ -267,7 +343,7 @@ def requirements_hits(sides: DataFrame, extra: tuple[str, ...] = ()) -> DataFram
 
 
 def lockfile_hits(files: DataFrame, heads: DataFrame, bases: DataFrame, added: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """path, detail of all lockfile rules: JSON ones whole, pip's by logical lines, others by their added lines.
+    """path, detail of all lockfile rules: JSON, TOML and YAML ones whole, pip's by logical lines, others and classic yarn's by their added lines.
 
     files(path, old_path, status), heads and bases(path, content), added(path,
     line_no, text). A file of the line-checked kinds that was renamed from
@@ -278,7 +354,9 @@ def lockfile_hits(files: DataFrame, heads: DataFrame, bases: DataFrame, added: D
     whole = plain.where("head is not null").select("path", F.posexplode(F.split(F.make_valid_utf8(F.col("head").cast("string")), "\n", -1)).alias("at", "line")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "line")
     large = plain.where("head is null").select("path", F.lit("lockfile too large to check").alias("detail"))
     kind, other = lockfile_kind(F.col("path")), renamed_from_other_kind(F.col("path"), F.col("old_path"))
-    by_line = files.where("status <> 'deleted'").where(kind.isNotNull() & ~kind.isin(*JSON_KINDS, "requirements") & ~other).select("path")
+    classic = sides.where((F.col("kind") == "yarn.lock") & F.col("head").cast("string").rlike(YARN_V1)).select("path")
+    read_whole = files.where("status <> 'deleted'").where(kind.isin(*PARSED_KINDS)).select("path").join(classic, "path", "left_anti")
+    by_line = files.where("status <> 'deleted'").where(kind.isNotNull() & (kind != "requirements") & ~other).select("path").join(read_whole, "path", "left_anti")
     lines = added.join(by_line, "path", "left_semi").select("path", F.col("line_no").cast("long").alias("line_no"), F.col("text").alias("line"))
     found = line_hits(lines.unionByName(whole), False, extra).unionByName(requirements_hits(sides, extra)).select("path", "detail")
     return found.unionByName(parsed_hits(sides, extra)).unionByName(large)

@@ -9,7 +9,7 @@ FILE = "struct<path:string,old_path:string,status:string,binary:boolean,old_mode
 # What follows a backslash in a path that git quotes, as hex of the byte; three octal digits are the other form.
 ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", '"': "22", "\\": "5C"}
 # Fixed formats of git's output: a quoted path, a hunk header, and the lines between the file header and its first hunk.
-QUOTED = r'"(?:[^"\\]|\\.)*"'
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 HUNK = r"^@@ -[0-9]+(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 HEADERS = (
     ("new file", r"^new file mode "), ("deleted file", r"^deleted file mode "), ("old mode", r"^old mode "), ("new mode", r"^new mode "),
