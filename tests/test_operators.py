@@ -287,7 +287,7 @@ def test_honeypot_cascade(spark):
 def signature(key, verdict, repo, number, head, own_hash, rest):
     """What a marker's signature is, spelt out."""
     digest = hashlib.sha256(rest.replace("\r\n", "\n").replace("\r", "\n").rstrip().encode()).hexdigest()
-    return hmac.new(key, json.dumps(["pr-gate-marker", "v3", verdict, repo.casefold(), number, head, own_hash, digest], separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+    return hmac.new(key, json.dumps(["sievewall-review-marker", "v3", verdict, repo.casefold(), number, head, own_hash, digest], separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
 
 
 def test_markers(spark):
@@ -295,7 +295,7 @@ def test_markers(spark):
 
     rest = "\nbody\r\ntext \n"
     mac = signature(b"k", "pass", "Own/Repo", 7, "a" * 40, "b" * 64, rest)
-    line = f"<!-- pr-gate:v3 verdict=pass head={'a' * 40} hash={'b' * 64} mac={mac} -->"
+    line = f"<!-- sievewall-review:v3 verdict=pass head={'a' * 40} hash={'b' * 64} mac={mac} -->"
     rows = [(1, "own/repo", 7, 1, line + rest), (1, "own/repo", 7, 2, line + rest + "more"), (1, "own/repo", 8, 3, line + rest), (1, "own/repo", 7, 4, "x" + line + rest), (1, "own/repo", 7, 5, line + "\nbody\ntext")]
     frame = spark.createDataFrame(rows, "change_id long, repo string, number int, review_id long, body string")
     assert sorted(r.review_id for r in markers.verified_markers(frame, b"k").collect()) == [1, 5]
@@ -348,6 +348,7 @@ LOCKS = {
     "flake.lock": json.dumps({"nodes": {"n": {"locked": {"type": "github", "host": "evil.git", "owner": "o"}, "original": {"type": "mercurial"}}}}),
     "bun.lock": '{"packages": {"a": ["a@1.0.0", "", {}, "sha"], "b": ["b@github:o/r", "", {},], "c": ["c@2", "http://x.y/z"],},}',
     "x/pipfile.lock": '{"a": 1, "a": 2}',
+    "sub/yarn.lock": "# THIS IS GENERATED\n# yarn lockfile v1\n\n",
     "moved/gemfile.lock": "GEM\n  remote: https://rubygems.org/\n  remote: http://gems.x/ \\\n",
 }
 
