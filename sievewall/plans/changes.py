@@ -150,13 +150,18 @@ def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.review_actions(flow_outcomes(spark, sf_dir), pull_markers(spark, sf_dir)).groupBy("change_id", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: More characters than any text has: nothing is cut.
+WHOLE = 1 << 30
+
+
 def neutralised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("@a #1 [x](http://www.e.x) `c` | <b> & gh-1 GH-x \x00"), F.col("text"))
-    return planted(spark, sf_dir).select("doc_id", rendering.neutralised(text, 80).alias("head"), F.sha2(rendering.neutralised(F.concat(F.substring("text", -200, 200), F.lit(" www.e.x "))), 256).alias("tail_sha256"))
+    """Whole texts, and as a report shows them, cut behind so many characters."""
+    text = F.concat(F.lit("@a #1 [x](http://www.e.x) `c` | <b> & gh-1 GH-x \x00"), F.col("text"), F.lit(" www.e.x "))
+    return planted(spark, sf_dir).select("doc_id", rendering.neutralised(text, 80).alias("head"), F.sha2(rendering.neutralised(text, WHOLE), 256).alias("whole_sha256"))
 
 
 def scrubbed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).select("doc_id", F.sha2(rendering.scrubbed(F.concat(F.lit("\x1b[1m \x85"), F.substring("text", -150, 150)), 100), 256).alias("said_sha256"))
+    return planted(spark, sf_dir).select("doc_id", F.sha2(rendering.scrubbed(F.concat(F.lit("\x1b[1m \x85"), "text"), WHOLE), 256).alias("said_sha256"))
 
 
 def escaped_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +221,7 @@ def neutral(text: str, limit: int) -> str:
     return rf"regexp_replace(replace(regexp_replace({flat}, '(?i)\b(gh)-([0-9])', '\1－\2', 'g'), '://', '[:]//'), '(?i)\bwww\.', 'www[.]', 'g')"
 
 
+SHOWN = "'@a #1 [x](http://www.e.x) `c` | <b> & gh-1 GH-x ' || chr(0) || text || ' www.e.x '"
 SQL = {
     "lockfile_findings": f"""WITH d AS (SELECT p_partkey AS k, {L(RESOLVED)}[p_partkey % {len(RESOLVED)} + 1] AS r, {L(SPECS)}[p_partkey // 7 % {len(SPECS)} + 1] AS s FROM part),
         w AS (SELECT k, unnest(list_filter([
@@ -248,9 +254,9 @@ SQL = {
     "gate_flow": f"WITH {FLOW} SELECT * FROM outcomes",
     "review_actions": f"""WITH {FLOW} SELECT change_id, CASE WHEN exit_code = 1 THEN 'request-changes' ELSE 'comment' END AS action, CAST(1 AS BIGINT) AS n FROM outcomes WHERE mode IS NOT NULL
         UNION ALL SELECT change_id, 'dismiss', count(*) FROM outcomes JOIN markers m ON m.k = change_id WHERE mode IS NOT NULL AND exit_code = 0 AND m.verdict = 'block' AND m.state = 'CHANGES_REQUESTED' GROUP BY change_id""",
-    "neutralised_text": f"""WITH {fx.PLANTED} SELECT doc_id, {neutral("('@a #1 [x](http://www.e.x) `c` | <b> & gh-1 GH-x ' || chr(0) || text)", 80)} AS head, sha256({neutral("(substr(text, -200) || ' www.e.x ')", 600)}) AS tail_sha256 FROM planted""",
-    "scrubbed_messages": rf"""WITH {fx.PLANTED}, t AS (SELECT doc_id, substr(text, -150) AS text FROM planted)
-        SELECT doc_id, sha256(substr(trim(regexp_replace(translate(nfc_normalize(replace(replace(translate(regexp_replace(regexp_replace(chr(27) || '[1m ' || chr(133) || text, '[\x00-\x1F\x7F-\x9F]', ' ', 'g'), '[\x{{200B}}\x{{202E}}\x{{2061}}\x{{E0041}}]', '', 'g'), chr(65313), 'A'), chr(64257), 'fi'), chr(189), '1' || chr(8260) || '2')), chr(8260) || chr(8725), '//'), '[\x09-\x0D\x20\x{{A0}}]+', ' ', 'g')), 1, 100)) AS said_sha256 FROM t""",
+    "neutralised_text": f"""WITH {fx.PLANTED} SELECT doc_id, {neutral("(" + SHOWN + ")", 80)} AS head, sha256({neutral("(" + SHOWN + ")", WHOLE)}) AS whole_sha256 FROM planted""",
+    "scrubbed_messages": rf"""WITH {fx.PLANTED}, t AS (SELECT doc_id, text FROM planted)
+        SELECT doc_id, sha256(substr(trim(regexp_replace(translate(nfc_normalize(replace(replace(translate(regexp_replace(regexp_replace(substr(chr(27) || '[1m ' || chr(133) || text, 1, 16384), '[\x00-\x1F\x7F-\x9F]', ' ', 'g'), '[\x{{200B}}\x{{202E}}\x{{2061}}\x{{E0041}}]', '', 'g'), chr(65313), 'A'), chr(64257), 'fi'), chr(189), '1' || chr(8260) || '2')), chr(8260) || chr(8725), '//'), '[\x09-\x0D\x20\x{{A0}}]+', ' ', 'g')), 1, {WHOLE})) AS said_sha256 FROM t""",
     "escaped_commands": "SELECT doc_id, sha256(replace(replace(replace('100%' || chr(13) || coalesce(text, ''), '%', '%25'), chr(13), '%0D'), chr(10), '%0A')) AS command_sha256 FROM documents",
     "review_body": f"""WITH {fx.CHANGE_FILES}, h AS (SELECT change_id, string_agg('- binary' || CASE WHEN ord % 4 = 0 THEN '' ELSE ' (not clearable by override)' END || ': ' || path || ': content is png', chr(10) || chr(10) ORDER BY ord) AS s FROM change_files WHERE ord % 2 = 0 GROUP BY change_id),
         f AS (SELECT change_id, string_agg('- ' || ['low', 'high', 'medium'][ord % 3 + 1] || ' · bug · ' || path || ' (review): see http[:]//x.y &lt;i&gt;' || ord, chr(10) || chr(10) ORDER BY list_position(['high', 'medium', 'low'], ['low', 'high', 'medium'][ord % 3 + 1]), ord) AS s FROM change_files WHERE ord % 3 = 0 GROUP BY change_id),
