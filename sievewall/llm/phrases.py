@@ -11,23 +11,28 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lm_score import pack, unpack
 from .shared import text_slices, written
 from .textarrays import byte_class, flat_text, gathered, lowered, mix64, span_hashes, word_spans
 
 #: What parts pieces, and what parts words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = byte_class(PIECE_ENDS + b" \t")
-#: A sketch has two rows of 2 ** WIDTH counters; a task holds a byte for each, the merged sketch a bit.
-WIDTH, ROWS = 26, 2
-#: Counters are sent and merged in blocks of so many.
-BLOCK = 1 << 20
+#: A sketch has two rows of 2 ** width counters, about LOAD n-grams to a counter, within these widths.
+ROWS, LOAD, NARROWEST, WIDEST = 2, 4, 20, 29
+#: Counters are sent and merged in blocks of so many; a task sends after so many touched ones.
+BLOCK, TOUCHED = 1 << 20, 1 << 22
 #: Distinct n-grams that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 21
+#: Counts are merged in bins of the n-grams' hashes, one for so many bytes of text, and so many at least.
+BIN, BINS = 1 << 23, 64
 #: Each language's candidates are ranked in so many parts first.
 PARTS = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 GRAMS = "lang string, size int, phrase string, f long"
+#: A task's n-grams of a bin, language and size: in order, each with a line end, and their counts; compressed.
+SENT = "bin int, lang string, size int, phrases binary, counts binary"
 
 
 def joined(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, size: int) -> pa.Array:
@@ -72,42 +77,59 @@ class Words:
             yield size, first, found[first]
 
 
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def width_for(size: int, longest: int) -> int:
+    """A width in proportion to the corpus: a word and the gap after it are taken for six bytes."""
+    return min(WIDEST, max(NARROWEST, (size * longest // (6 * LOAD)).bit_length()))
+
+
 def cells_of(hashes: np.ndarray, width: int) -> list[np.ndarray]:
     """Each hash's counter in each row of the sketch, rows end to end."""
     return [(hashes >> np.uint64(32 * k) & np.uint64((1 << width) - 1)).astype(np.uint32) + np.uint32(k << width) for k in range(ROWS)]
 
 
-def counts_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.append(first, len(values)))
+def sums_of(cells: np.ndarray, counts: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, each with its counts added up, `least` at most."""
+    order = np.argsort(cells, kind="stable") if counts is not None else None
+    cells = np.sort(cells) if order is None else cells[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(first, len(cells))) if order is None else np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return cells[first], np.minimum(sums, least).astype(np.uint32)
 
 
 def sketched(texts: DataFrame, least: int, longest: int, width: int) -> np.ndarray:
     """One bit for each counter of the merged sketch: whether it reaches `least`.
 
-    A task adds its n-grams to a sketch of its own and sends that in
-    compressed blocks, which one pass over each block's rows adds up. Counters
-    stop at `least`, which changes no answer: a sum with one that has stopped
-    reaches it too. What comes to the driver is 2 ** (width + 1) bits.
+    A task adds its n-grams up in a sketch of its own, of which it holds the
+    counters that it has touched, and sends these block by block; one pass
+    over each block's rows merges them. Counters stop at `least`, which
+    changes no answer: a sum with one that has stopped reaches it too. What
+    comes to the driver is 2 ** (width + 1) bits.
     """
-    kind, total = (np.uint8 if least < 256 else np.uint32), ROWS << width
+    block = min(BLOCK, 1 << width)
+
+    def blocks(cells: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        numbers, first = np.unique(cells // np.uint32(block), return_index=True)
+        ends = [*first[1:].tolist(), len(cells)]
+        rows = [pack(np.diff(cells[a:b] % np.uint32(block), prepend=np.uint32(0))) for a, b in zip(first.tolist(), ends, strict=True)]
+        sums = [pack(counts[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(rows, pa.binary()), pa.array(sums, pa.binary())], names=["block", "cells", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = None
+        held, size = [], 0
         for batch in text_slices(batches, "text"):
             words = Words(batch)
-            if counters is None:
-                counters = np.zeros(total, kind)
-            for _, _, hashes in words.grams(words.hashes(31), longest):
-                for cells in cells_of(hashes, width):
-                    touched, n = counts_of(cells)
-                    counters[touched] = np.minimum(counters[touched] + n, least)
-        if counters is not None:
-            for block in range(0, total, BLOCK):
-                own = counters[block : block + BLOCK]
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([pa.compress(own.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["block", "counters"])
+            cells = [c for _, _, hashes in words.grams(words.hashes(31), longest) for c in cells_of(hashes, width)]
+            held.append(sums_of(np.concatenate(cells), None, least))
+            size += len(held[-1][0])
+            if size > TOUCHED:
+                yield from blocks(*sums_of(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), least))
+                held, size = [], 0
+        if size:
+            yield from blocks(*sums_of(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), least))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums = None, None
@@ -116,22 +138,22 @@ def sketched(texts: DataFrame, least: int, longest: int, width: int) -> np.ndarr
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], names=["block", "bits"])
 
         for batch in batches:
-            for block, counters in zip(batch.column("block").to_pylist(), batch.column("counters"), strict=True):
-                own = np.frombuffer(pa.decompress(counters.as_buffer(), min(BLOCK, total) * np.dtype(kind).itemsize, codec="zstd"), kind)
-                if block != at:
+            for number, cells, counts in zip(batch.column("block").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+                if number != at:
                     if at is not None:
                         yield bits()
-                    at, sums = block, np.zeros(len(own), np.uint32)
-                sums = np.minimum(sums + own, least).astype(np.uint32)
+                    at, sums = number, np.zeros(block, np.uint32)
+                own = np.cumsum(unpack(cells.as_py(), np.uint32))
+                sums[own] = np.minimum(sums[own] + unpack(counts.as_py(), np.uint32), least)
         if at is not None:
             yield bits()
 
-    sent = texts.mapInArrow(count, "block int, counters binary")
+    sent = texts.mapInArrow(count, "block int, cells binary, counts binary")
     merged = sent.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    found = np.zeros(total // 8, np.uint8)
+    found = np.zeros((ROWS << width) // 8, np.uint8)
     for r in merged.collect():
         own = np.frombuffer(bytes(r.bits), np.uint8)
-        found[r.block * (BLOCK // 8) : r.block * (BLOCK // 8) + len(own)] = own
+        found[r.block * (block // 8) : r.block * (block // 8) + len(own)] = own
     return found
 
 
@@ -139,7 +161,7 @@ class Tally:
     """Distinct n-grams with their counts; told apart by two hashes of 64 bits."""
 
     def __init__(self):
-        self.held, self.size = [], 0
+        self.held, self.size, self.langs = [], 0, {}
 
     @staticmethod
     def runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,29 +175,45 @@ class Tally:
         one = order[begins]
         n = np.diff(np.append(begins, len(order)))
         phrases = joined(words.flat, words.starts, words.ends, at[one], size)
-        langs = words.langs.take(pa.array(words.text[at[one]])).cast(pa.large_string())
-        self.held.append((first[one], second[one], n, np.full(len(one), size, np.int32), phrases, langs))
+        numbers = np.array([self.langs.setdefault(x, len(self.langs)) for x in words.langs.to_pylist()], np.int32)
+        self.held.append((first[one], second[one], n, np.full(len(one), size, np.int8), numbers[words.text[at[one]]], phrases))
         self.size += len(one)
 
     def merge(self) -> None:
-        a, b, n, size = (np.concatenate([x[i] for x in self.held]) for i in range(4))
-        phrases, langs = (pa.concat_arrays([x[i] for x in self.held]) for i in (4, 5))
+        a, b, n, size, lang = (np.concatenate([x[i] for x in self.held]) for i in range(5))
+        phrases = pa.concat_arrays([x[5] for x in self.held])
+        self.held = []
         order, begins = self.runs(a, b)
         one = order[begins]
-        self.held = [(a[one], b[one], np.add.reduceat(n[order], begins), size[one], phrases.take(pa.array(one)), langs.take(pa.array(one)))]
+        self.held = [(a[one], b[one], np.add.reduceat(n[order], begins), size[one], lang[one], phrases.take(pa.array(one)))]
         self.size = len(one)
 
-    def taken(self) -> Iterator[pa.RecordBatch]:
+    def taken(self, bins: int) -> Iterator[pa.RecordBatch]:
+        """What is held, packed by bin, language and size."""
         if self.size:
             self.merge()
-            _, _, n, size, phrases, langs = self.held[0]
-            for begin in range(0, self.size, 1 << 16):
-                cut = slice(begin, min(self.size, begin + (1 << 16)))
-                yield pa.RecordBatch.from_arrays([langs[cut].cast(pa.string()), pa.array(size[cut]), phrases[cut].cast(pa.string()), pa.array(n[cut])], names=["lang", "size", "phrase", "f"])
+            a, _, n, size, lang, phrases = self.held[0]
+            # Phrases hold no line ends, as these end pieces.
+            phrases = pc.binary_join_element_wise(phrases, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+            group = ((a >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64) * len(self.langs) + lang) * 128 + size
+            order = pc.sort_indices(phrases).to_numpy()
+            order = order[np.argsort(group[order], kind="stable")]
+            group, n, phrases = group[order], n[order], phrases.take(pa.array(order))
+            offsets, data = np.frombuffer(phrases.buffers()[1], np.int64), phrases.buffers()[2]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            names, ends = list(self.langs), [*first[1:].tolist(), len(group)]
+            for begin in range(0, len(first), 256):
+                cuts = list(zip(first[begin : begin + 256].tolist(), ends[begin : begin + 256], strict=True))
+                keys = group[first[begin : begin + 256]]
+                texts = [pa.compress(data.slice(int(offsets[x]), int(offsets[y] - offsets[x])), codec="zstd", asbytes=True) for x, y in cuts]
+                sizes = [(int(offsets[y] - offsets[x])).to_bytes(8, "little") for x, y in cuts]
+                columns = [pa.array((keys // 128 // len(names)).astype(np.int32)), pa.array([names[k] for k in (keys // 128 % len(names)).tolist()], pa.string()), pa.array((keys % 128).astype(np.int32))]
+                columns += [pa.array([x + y for x, y in zip(sizes, texts, strict=True)], pa.binary()), pa.array([pack(n[x:y].astype(np.int64)) for x, y in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bin", "lang", "size", "phrases", "counts"])
         self.held, self.size = [], 0
 
 
-def survivors(texts: DataFrame, bits: Broadcast, longest: int, width: int) -> DataFrame:
+def survivors(texts: DataFrame, bits: Broadcast, longest: int, width: int, bins: int) -> DataFrame:
     """The n-grams that the sketch lets through, with their counts in a task; size 0 and no phrase: all words of a language.
 
     An n-gram is let through if its own counters are full and its two
@@ -199,26 +237,62 @@ def survivors(texts: DataFrame, bits: Broadcast, longest: int, width: int) -> Da
             if tally.size > HELD:
                 tally.merge()
                 if tally.size > HELD // 2:
-                    yield from tally.taken()
-        yield from tally.taken()
+                    yield from tally.taken(bins)
+        yield from tally.taken(bins)
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "size", "phrase", "f"])
+            n = len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(list(totals), pa.string()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([pack(np.array([x], np.int64)) for x in totals.values()], pa.binary())], names=["bin", "lang", "size", "phrases", "counts"])
+
+    return texts.mapInArrow(run, SENT)
+
+
+def merged_counts(sent: DataFrame, least: int) -> DataFrame:
+    """The n-grams of all tasks with their sums, bin by bin, those below `least` left out."""
+
+    def summed(lang: str, size: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        counts = np.concatenate([unpack(c, np.int64) for _, c in held])
+        if not size:
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.nulls(1, pa.string()), pa.array([int(counts.sum())])], names=["lang", "size", "phrase", "f"])
+            return
+        data = np.frombuffer(b"".join(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x, _ in held), np.uint8)
+        offsets = np.concatenate([[0], np.flatnonzero(data == 10) + 1]).astype(np.int64)
+        phrases = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        table = pa.table({"phrase": phrases, "n": counts}).group_by("phrase").aggregate([("n", "sum")])
+        table = table.filter(pc.greater_equal(table["n_sum"], least)).combine_chunks()
+        for batch in table.to_batches(max_chunksize=1 << 16):
+            own = pc.utf8_rtrim(batch.column("phrase"), characters="\n").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([size] * len(own), pa.int32()), own, batch.column("n_sum")], names=["lang", "size", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["bin"], row["lang"], row["size"])
+                if key != at and held:
+                    yield from summed(at[1], at[2], held)
+                    held = []
+                at = key
+                held.append((row["phrases"], row["counts"]))
+        if held:
+            yield from summed(at[1], at[2], held)
 
-    return texts.mapInArrow(run, GRAMS)
+    return sent.repartition("bin").sortWithinPartitions("bin", "lang", "size").mapInArrow(run, GRAMS)
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, width: int = WIDTH) -> DataFrame:
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, width: int | None = None) -> DataFrame:
     """Every word and phrase of up to `longest` words that occurs `least` times in its language, counted exactly: lang, size, phrase, f.
 
     Rows of size 0 without a phrase hold all word occurrences of a language.
     """
     texts = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
+    size = text_bytes(texts)
+    width = width_for(size, longest) if width is None else width
     bits = docs.sparkSession.sparkContext.broadcast(sketched(texts, least, longest, width))
-    found = survivors(texts, bits, longest, width).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return found.where((F.col("size") == 0) | (F.col("f") >= least))
+    bins = max(BINS, 1 << (size // BIN).bit_length())
+    return merged_counts(survivors(texts, bits, longest, width, bins), least)
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, subsumed_percent: int = 50, top: int = 2000, width: int = WIDTH) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, subsumed_percent: int = 50, top: int = 2000, width: int | None = None) -> DataFrame:
     """Each language's best collocations: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and
@@ -233,9 +307,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
     First pass: tasks fill count-min sketches, whose merged counters are never
     less than the true counts. Second pass: only n-grams that they let through
-    are counted, by their strings, first in the task. Sketches have a fixed
-    size (`width`): on a corpus that fills it more is let through, and the
-    second pass counts more; the result is the same.
+    are counted, by their strings, first in the task and then by bins of their
+    hashes. The sketch's width goes
+    with the corpus (or is `width`), up to 128 MB of bits in the second pass;
+    a corpus that fills more lets more through, and the second pass counts
+    more; the result is the same.
     """
     counts = written(phrase_counts(docs, text, lang, least, longest, width), "phrase-counts")
     candidates = counts.where("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("words"))

@@ -1040,10 +1040,11 @@ def collocation_rows(frame, **kwargs):
     return sorted(tuple(r) for r in phrases.collocations(frame, **kwargs).collect())
 
 
-@pytest.mark.parametrize("width", [8, 12, phrases.WIDTH])
+@pytest.mark.parametrize("width", [8, 12, None])
 def test_collocations_match_brute_force(spark, monkeypatch, width):
     """At any width of the sketch, even one that lets nearly all through, with texts over many slices and tasks."""
     monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "TOUCHED", 100)
     rng = random.Random(12)
     names = ["new york city", "New York", "zürich see", "ab cd ef gh", "x"]
     texts = [(" ".join(rng.choice([*names, "foo", "bar", "\t", "a.b", "no,no", "Ö", "\U0001f600"]) for _ in range(rng.randrange(60))) + rng.choice(["", "\n", " !"]), rng.choice(["en", "de", None, "und", ""])) for _ in range(120)]
