@@ -64,25 +64,54 @@ def alike_tokens(labelled: DataFrame, least: int) -> list[list[str]]:
     return [r.tokens for r in tokens.groupBy("n", "a", "b", "block").agg(F.sort_array(F.collect_list("token")).alias("tokens")).orderBy(telling, F.col("tokens")[0]).collect()]
 
 
-def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float, longest: int, most_items: int = 12) -> DataFrame:
-    """Association rules antecedent -> verdict from labelled token sets: rule_id, items, verdict, confidence, support.
+def in_bunches(labelled: DataFrame, tokens: list[str], longest: int, bunch_items: int) -> DataFrame:
+    """items: each labelled row's tokens once for every bunch, with its verdict, all marked with the bunch.
 
-    Spark's FP-growth finds the frequent sets; a rule is kept if its support
-    and confidence reach the bounds and it has at most `longest` tokens. A
-    rule that a shorter one of the same verdict and no less confidence
-    implies is pruned.
+    Tokens are dealt to groups so that `longest` groups hold about
+    `bunch_items` of a row's; a bunch is a choice of `longest` groups. Each set
+    of up to `longest` tokens is whole in some bunch, and a bunch has one row
+    for each labelled row: supports counted in it are those of the uncut rows.
+    """
+    numbered = F.create_map(*[x for i, t in enumerate(tokens) for x in (F.lit(t), F.lit(i))]) if tokens else F.lit(None).cast("map<string,int>")
+    frequent = F.filter(F.transform("tokens", lambda t: F.struct(t.alias("token"), F.try_element_at(numbered, t).alias("n"))), lambda x: x["n"].isNotNull())
+    rows = labelled.select("verdict", frequent.alias("tokens"))
+    most = rows.agg(F.max(F.size("tokens"))).first()[0] or 0
+    if most <= bunch_items:
+        return rows.select(F.array_append(F.transform("tokens", lambda x: F.concat(F.lit("|"), x["token"])), F.concat(F.lit("|verdict="), "verdict")).alias("items"))
+    groups = math.ceil(longest * most / bunch_items)
+    for k in range(longest):
+        first = F.lit(0) if k == 0 else F.col(f"g{k - 1}") + 1
+        rows = rows.withColumn(f"g{k}", F.explode(F.sequence(first, F.lit(groups - longest + k))))
+    chosen = [F.col(f"g{k}") for k in range(longest)]
+    mark = F.concat_ws(".", *[c.cast("string") for c in chosen])
+    own = F.filter("tokens", lambda x: (x["n"] % groups).isin(*chosen))
+    return rows.select(F.array_append(F.transform(own, lambda x: F.concat(mark, F.lit("|"), x["token"])), F.concat(mark, F.lit("|verdict="), "verdict")).alias("items"))
+
+
+def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float, longest: int, bunch_items: int = 12) -> DataFrame:
+    """Association rules antecedent -> verdict from labelled token sets: rule_id, items, verdict, confidence, support.
 
-    Frequent sets grow with the power of a URL's frequent tokens. Tokens that
-    always come together are therefore mined as one, which loses nothing (a
-    rule with one of them holds with each other), and of a labelled URL the
-    `most_items` most telling go into the mining, so it has at most
-    2 ** most_items sets; URLs are matched with all of their tokens.
+    Spark's FP-growth finds the frequent sets; every rule of at most `longest`
+    tokens whose support and confidence reach the bounds is found, and its
+    figures are those of the whole sets. A rule that a shorter one of the same
+    verdict and no less confidence implies is pruned.
+
+    Frequent sets of any size grow with the power of a URL's frequent tokens,
+    those of `longest` tokens with a power of `longest` only. Tokens that
+    always come together are mined as one, which loses nothing (a rule with one
+    of them holds with each other); rows with more frequent tokens than
+    `bunch_items` are mined in bunches of about so many, which together hold
+    every set of up to `longest` (`in_bunches`).
     """
     n = labelled.count()
-    groups = alike_tokens(labelled, math.ceil(min_support * n))
-    chosen = F.slice(F.array_intersect(F.array(*[F.lit(g[0]) for g in groups]).cast("array<string>"), F.col("tokens")), 1, most_items)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled.select(F.array_append(chosen, F.concat(F.lit("verdict="), F.col("verdict"))).alias("items")))
-    mined = model.associationRules.where(F.col("consequent")[0].startswith("verdict=")).where(F.size("antecedent") <= longest)
+    least = max(1, math.ceil(min_support * n))
+    groups = alike_tokens(labelled, least)
+    bunches = written(in_bunches(labelled, [g[0] for g in groups], longest, bunch_items), "url-bunches")
+    rows = bunches.count()
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=min_confidence).fit(bunches)
+    found = model.associationRules.where(F.substring_index(F.col("consequent")[0], "|", -1).startswith("verdict=") & (F.size("antecedent") <= longest))
+    plain = found.select(F.array_sort(F.transform("antecedent", lambda x: F.substring(x, F.locate("|", x) + 1, F.length(x)))).alias("antecedent"), F.substring_index(F.col("consequent")[0], "verdict=", -1).alias("verdict"), "confidence", (F.round(F.col("support") * rows) / n).alias("support"))
+    mined = plain.groupBy("antecedent", "verdict").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"))
     several = [v for g in groups if len(g) > 1 for v in (F.lit(g[0]), F.array(*[F.lit(x) for x in g]))]
     of = (lambda x: F.coalesce(F.try_element_at(F.create_map(*several), x), F.array(x))) if several else F.array
     mined = mined.withColumn("items", F.array().cast("array<string>"))
@@ -91,7 +120,7 @@ def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float,
         mined = mined.withColumn("_item", F.explode(choices)).withColumn("items", F.array_compact(F.array_append("items", F.col("_item")))).drop("_item")
     rules = mined.select(
         F.array_sort("items").alias("items"),
-        F.substring(F.col("consequent")[0], len("verdict=") + 1, 100).alias("verdict"),
+        "verdict",
         "confidence",
         "support",
     ).withColumn("rule_id", F.array_join("items", "\n"))
@@ -123,7 +152,7 @@ def matched_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fired.groupBy("url").agg(best.alias("best")).select("url", F.col("best.verdict").alias("mined_verdict"))
 
 
-def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, min_support: float = 0.02, min_confidence: float = 0.75, longest: int = 3, most_items: int = 12, default: str = "allow") -> DataFrame:
+def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, min_support: float = 0.02, min_confidence: float = 0.75, longest: int = 3, bunch_items: int = 12, default: str = "allow") -> DataFrame:
     """A verdict for every page's URL: page_id, host, path, rule, verdict.
 
     URLs that a fixed rule fits take its verdict; they also are the labelled
@@ -144,6 +173,6 @@ def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     rest = ruled.where("fixed is null").select("page_id", "url", "host", "path", F.lit(None).cast("string").alias("rule"))
     if labelled.isEmpty():
         return settled.unionByName(rest.select("page_id", "host", "path", "rule", F.lit(default).alias("verdict")))
-    found = matched_verdicts(open_urls, mined_rules(labelled, min_support, min_confidence, longest, most_items))
+    found = matched_verdicts(open_urls, mined_rules(labelled, min_support, min_confidence, longest, bunch_items))
     judged = rest.join(found, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("mined_verdict", F.lit(default)).alias("verdict"))
     return settled.unionByName(judged)

@@ -599,7 +599,7 @@ def test_mined_verdicts_match_brute_force(spark):
 
 
 def test_mining_of_urls_with_many_tokens_is_bounded(spark):
-    """Forty path segments and query keys that always come together, and a very long URL: as one token each, or the most telling."""
+    """Forty path segments that always come together, and a very long URL: as one token each."""
     deep = "/".join(f"p{k}" for k in range(40))
     urls = [f"http://a{i}.net/es/{deep}?{'&'.join(f'k{k}=1' for k in range(i % 30))}" for i in range(60)] + [f"http://b{i}.com/x{i % 3}" for i in range(60)]
     urls += ["http://c.org/es/q/p1", "http://c.org/zz", "http://d.org/" + "s/" * 20_000 + "?" + "&".join(f"k{k}" for k in range(5_000))]
@@ -609,6 +609,33 @@ def test_mining_of_urls_with_many_tokens_is_bounded(spark):
     assert found[120].verdict == "block" and found[121].verdict == "allow"
 
 
+@pytest.mark.parametrize("longest", [2, 3])
+def test_mined_rules_are_exact_whatever_the_number_of_tokens(spark, longest):
+    """Sixteen to thirty frequent tokens a URL, common ones that mean nothing and two that matter only together: every rule, with its figures on whole sets."""
+    from itertools import combinations
+
+    rng = random.Random(longest)
+    labelled = []
+    for _ in range(300):
+        tokens = {f"f{k:02d}" for k in range(26) if rng.random() < 0.85} | {x for x in ("x1", "x2", "y") if rng.random() < 0.5} | {"z1", "z2"}
+        odd = ("x1" in tokens) != ("x2" in tokens)
+        labelled.append((sorted(tokens), "block" if odd and rng.random() < 0.97 else "allow"))
+    assert all(16 <= len(t) <= 31 for t, _ in labelled)
+    least, sums, both = math.ceil(0.05 * len(labelled)), Counter(), Counter()
+    for t, v in labelled:
+        for n in range(1, longest + 1):
+            for c in combinations(t, n):
+                sums[c] += 1
+                both[c, v] += 1
+    rules = {(c, v): (n / sums[c], n / len(labelled)) for (c, v), n in both.items() if n >= least and n / sums[c] >= 0.9}
+    kept = {k: r for k, r in rules.items() if not any((s, k[1]) in rules and rules[s, k[1]][0] >= r[0] for m in range(1, len(k[0])) for s in combinations(k[0], m))}
+    found = url_filter.mined_rules(spark.createDataFrame(labelled, "tokens array<string>, verdict string"), 0.05, 0.9, longest).collect()
+    own = {(tuple(r["items"]), r.verdict): (r.confidence, r.support) for r in found}
+    # z1 and z2 always come together, so that a rule with both says no more than one with either.
+    assert set(own) == {k for k in kept if not {"z1", "z2"} <= set(k[0])}
+    assert all(np.allclose(own[k], kept[k]) for k in own) and len(own) == len(found)
+
+
 def test_urls_without_rows_or_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judged_urls(empty).collect() == []
