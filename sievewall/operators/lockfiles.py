@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sievewall.functions.urls import bad_urls
 from sievewall.operators.gate import lockfile_kind, logical_lines, new_lines
 from sievewall.operators.trees import json_nodes, toml_nodes, yaml_nodes
+from sievewall.tables import written
 
 # The hosts that each lockfile fetches from.
 NPM, PYPI = ("registry.npmjs.org", "registry.yarnpkg.com"), ("pypi.org", "files.pythonhosted.org")
@@ -249,7 +250,8 @@ def parsed_hits(sides: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     checked by its lines and may fail to parse.
     """
     own = sides.where(F.col("kind").isin(*PARSED_KINDS))
-    nodes = lock_nodes(own)
+    # Read three times: for strings, slots and what does not parse.
+    nodes = written(lock_nodes(own), "lock-nodes")
     unparsed = nodes.where("type = 'unparsed'").select("path", "side").distinct()
     found = lock_findings(nodes, extra).join(unparsed, ["path", "side"], "left_anti")
     counts = found.groupBy("path", "what", "value").agg(F.sum(F.when(F.col("side") == "head", F.col("n")).otherwise(-F.col("n"))).alias("more"))
