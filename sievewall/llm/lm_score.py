@@ -15,8 +15,8 @@ from .textarrays import BLANK_BYTES, flat_text, lowered, mix64, span_hashes, tab
 
 #: Texts are read in chunks of about so many words, each with its distinct words numbered.
 CHUNK = 1 << 20
-#: Words, and pairs too, are dealt by the leading bits of their keys into bins, one for each chunk within these bounds; a bin is counted in one piece.
-LEAST_BINS, MOST_BINS = 64, 1 << 16
+#: Words, and pairs too, are dealt by the leading bits of their keys into bins, one for each chunk and so many at least; a bin is counted in one piece.
+LEAST_BINS = 64
 #: What stands before a text's first word.
 START = table64(1, 29)
 #: Weight of the pair model against the single-word model, and what is added to every single-word count.
@@ -138,8 +138,8 @@ def keyed(chunks: DataFrame, bins: int) -> DataFrame:
                 chunk = Chunk(row)
                 for first_bin, keys, numbers in ((0, chunk.word_keys, chunk.words), (bins, chunk.pair_keys, chunk.pairs)):
                     counts = chunk.counts(numbers, len(keys))
-                    cuts = np.searchsorted((keys >> shift).astype(np.int64), np.arange(bins + 1)).tolist()
-                    some = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                    found, cuts = np.unique((keys >> shift).astype(np.int64), return_index=True)
+                    some = list(zip(found.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True))
                     columns = {"chunk": [chunk.number] * len(some), "bin": [first_bin + k for k, _, _ in some], "keys": [pack_keys(keys[a:b]) for _, a, b in some]}
                     columns |= {name: [pack(x[a:b].astype(np.int32)) for _, a, b in some] for name, x in zip(("n_target", "n_background"), counts, strict=True)}
                     yield batch_of(KEYED, len(some), columns)
@@ -180,11 +180,13 @@ def losses_of(chunk: Chunk, counts: list[np.ndarray], totals: list[float], texts
     docs = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
     own_word, own_pair = own_counts(docs, chunk.words, n_words), own_counts(docs, chunk.pairs, len(chunk.pair_keys))
     own_before = words_before(own_word, chunk.sizes, 1)
+    # Target texts have no part in the background; their losses are not asked for.
+    background = np.repeat(~chunk.target, chunk.sizes)
     losses = []
     for side, (found, total, n_texts) in enumerate(zip(counts, totals, texts, strict=True)):
         single, pair, context = found[:n_words][chunk.words], found[n_words:][chunk.pairs], np.append(found[:n_words], n_texts)[chunk.before]
         if side:
-            single, pair, context, total = single - own_word, pair - own_pair, context - own_before, total - np.repeat(chunk.sizes, chunk.sizes)
+            single, pair, context, total = single - own_word * background, pair - own_pair * background, context - own_before * background, total - np.repeat(chunk.sizes, chunk.sizes) * background
         losses.append(-np.log(PAIR_WEIGHT * np.minimum(pair / np.maximum(context, 1), 1.0) + (1 - PAIR_WEIGHT) * (single + ADDED) / total))
     return losses
 
@@ -231,12 +233,14 @@ def cross_entropy_difference(target: DataFrame, docs: DataFrame, doc_id: str = "
     nothing is capped. A chunk of the corpus is a row of numbered words; it
     sends each distinct key once, so that a frequent word or pair has a row
     for each chunk at most, and gets the key's counts back in the same order.
-    There are as many bins of keys as there are chunks, up to MOST_BINS.
+    There are as many bins of keys as there are chunks: a bin holds as many
+    keys as a chunk sends, whatever the corpus, and a chunk sends a row for each
+    bin that it has keys of, so never more rows than it has keys.
     """
     own = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(True).alias("in_target"))
     texts = own.unionByName(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(False).alias("in_target")))
     chunks = written(chunked(texts), "lm-chunks")
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
-    bins = 1 << (min(MOST_BINS, max(LEAST_BINS, size.n)) - 1).bit_length()
+    bins = 1 << (max(LEAST_BINS, size.n) - 1).bit_length()
     counts = written(counted(keyed(chunks, bins)), "lm-counts")
     return scored(chunks, counts, bins, [size.t or 0, size.b or 0])

@@ -973,6 +973,20 @@ def test_stages_judge_rows_of_null_and_reused_ids_by_their_own_text(spark, monke
     assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
 
 
+def test_lm_rows_grow_as_the_corpus(spark, monkeypatch):
+    """A fourfold corpus sends four times the rows, however many chunks it has; and a chunk never sends more rows than it has keys."""
+    monkeypatch.setattr(lm_score, "CHUNK", 64)
+    rng, sent = random.Random(8), []
+    for n in (400, 1600):
+        texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40)), False) for i in range(n)]
+        chunks = lm_score.chunked(spark.createDataFrame(texts, "doc_id long, text string, in_target boolean").coalesce(2)).cache()
+        bins = 1 << (chunks.count() - 1).bit_length()
+        rows = lm_score.keyed(chunks, bins).selectExpr("chunk", "length(keys) as size").cache()
+        sent.append(rows.count())
+        assert rows.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 2 * (64 + 41)
+    assert sent[1] < 5 * sent[0]
+
+
 # 11 vector codes
 
 
