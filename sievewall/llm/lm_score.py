@@ -139,7 +139,7 @@ def keyed(chunks: DataFrame, bins: int) -> DataFrame:
                 for first_bin, keys, numbers in ((0, chunk.word_keys, chunk.words), (bins, chunk.pair_keys, chunk.pairs)):
                     counts = chunk.counts(numbers, len(keys))
                     found, cuts = np.unique((keys >> shift).astype(np.int64), return_index=True)
-                    some = list(zip(found.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True))
+                    some = list(zip(found.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)][: len(cuts)], strict=True))
                     columns = {"chunk": [chunk.number] * len(some), "bin": [first_bin + k for k, _, _ in some], "keys": [pack_keys(keys[a:b]) for _, a, b in some]}
                     columns |= {name: [pack(x[a:b].astype(np.int32)) for _, a, b in some] for name, x in zip(("n_target", "n_background"), counts, strict=True)}
                     yield batch_of(KEYED, len(some), columns)
