@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewall.functions.rendering import wrapped
-from sievewall.operators.panels import arbitration, panel_outcome, panel_summary
+from sievewall.operators.panels import arbitration, clean_votes, panel_outcome, panel_summary
 from sievewall.operators.verdicts import layer_map, screened, without_wrap_tags
 
 LAYERS = "map<string,string>"
@@ -107,14 +107,25 @@ class VendorPanel:
 
     def __init__(self, floor: int = 2):
         self.vendors: dict[str, Vendor] = {}
+        self.probes: dict[str, Vendor | None] = {}
         self.wanted = floor
 
-    def add(self, name: str, votes: Vendor) -> VendorPanel:
+    def add(self, name: str, votes: Vendor, ready: Vendor | None = None) -> VendorPanel:
+        """ready: from probes to the vendor's votes on them, which a ready vendor passes; without it the vendor votes on the probes itself."""
         if name in self.vendors:
             raise ValueError(f"vendor {name!r} is there already")
-        self.vendors[name] = votes
+        self.vendors[name], self.probes[name] = votes, ready
         return self
 
+    def readiness(self, probes: DataFrame) -> DataFrame:
+        """layer, member, ord, reason of every vendor, as `first_unready` takes them: why a benign probe did not pass, or null. probes(doc_id, text)."""
+        asked = VendorPanel(self.wanted)
+        for name, votes in self.vendors.items():
+            asked.add(name, self.probes[name] or votes)
+        votes = clean_votes(asked.votes(probes))
+        failed = F.min(F.when(F.col("kind") != "pass", F.struct("doc_id", "reason")))["reason"]
+        return votes.groupBy("vendor", "vendor_ord").agg(failed.alias("reason")).select(F.lit("l2").alias("layer"), F.col("vendor").alias("member"), F.col("vendor_ord").alias("ord"), "reason")
+
     @property
     def floor(self) -> int:
         """The floor between one and as many vendors as there are."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,17 +243,24 @@ def owner_overrides(timeline: DataFrame, owner: str) -> DataFrame:
 def fitting_contents(files: DataFrame, budget: int) -> DataFrame:
     """change_id, path, taken: files in order as long as they fit what is left; one that does not is passed over.
 
-    files(change_id, ord, path, size). The fold is over one change's files,
-    whose number a change bounds.
+    files(change_id, ord, path, size). What is left after a file depends on
+    every file before it, so a change is one sequence; its rows stream through
+    a task in order, whatever their number, and one number is held.
     """
-    items = files.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("ord", "path", "size"))).alias("items"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<path:string,taken:boolean>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = x["size"] <= s["left"]
-        return F.struct((s["left"] - F.when(fits, x["size"]).otherwise(0)).alias("left"), F.concat(s["out"], F.array(F.struct(x["path"].alias("path"), fits.alias("taken")))).alias("out"))
-
-    return items.select("change_id", F.inline(F.aggregate("items", start, step, lambda s: s["out"])))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        change, left = None, budget
+        for batch in batches:
+            taken = []
+            for own, size in zip(batch["change_id"], batch["size"], strict=True):
+                if own != change:
+                    change, left = own, budget
+                fits = bool(size <= left)
+                left -= size if fits else 0
+                taken.append(fits)
+            yield pd.DataFrame({"change_id": batch["change_id"], "path": batch["path"], "taken": taken})
+
+    return files.select("change_id", "ord", "path", "size").repartition("change_id").sortWithinPartitions("change_id", "ord").mapInPandas(run, "change_id long, path string, taken boolean")
 
 
 # Names that ask for a closer look, and the patterns of install scripts and of pip's files.

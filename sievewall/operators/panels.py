@@ -102,15 +102,15 @@ def arbitration(panel: DataFrame, honeypot: DataFrame, judges: DataFrame, use_ho
     return joined.select("doc_id", reason.alias("reason"))
 
 
-def canary_contacts(calls: DataFrame, canaries: DataFrame) -> DataFrame:
+def canary_contacts(calls: DataFrame, canaries: list[tuple[str, str]]) -> DataFrame:
     """doc_id, signal: the first call that carries a planted canary, the document's own before others'.
 
-    calls(doc_id, own, call_ord, tool, args); canaries(canary_ord, label, token):
-    a fixed handful of scenario constants, so the search is a filter per call
-    on an array of them and not a join.
+    calls(doc_id, own, call_ord, tool, args); canaries: (label, token) of a
+    fixed handful of scenario constants in order, so the search is a filter per
+    call on an array of them and not a join.
     """
-    known = canaries.agg(F.array_sort(F.collect_list(F.struct("canary_ord", "label", "token"))).alias("known")).first().known
-    table = F.array(*[F.struct(F.lit(k.canary_ord).alias("canary_ord"), F.lit(k.label).alias("label"), F.lit(k.token).alias("token")) for k in known])
+    none = F.array().cast("array<struct<canary_ord:int,label:string,token:string>>")
+    table = F.array(*[F.struct(F.lit(i).alias("canary_ord"), F.lit(label).alias("label"), F.lit(token).alias("token")) for i, (label, token) in enumerate(canaries)]) if canaries else none
     met = calls.withColumn("met", F.explode(F.filter(table, lambda c: F.contains(F.col("args"), c["token"]))))
     cross = F.col("met.label") != F.col("own")
     signal = F.concat(F.when(cross, "canary_in_arg_crosstalk:").otherwise("canary_in_arg:"), F.col("met.label"), F.lit(":"), F.col("tool"))

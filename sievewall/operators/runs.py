@@ -37,6 +37,29 @@ def within_pages(rows: DataFrame, key: str, most: int = PAGE_ROWS * MOST_PAGES)
     return rows.join(over.select(key), key, "left_semi")
 
 
+def recorded_pages(pages: DataFrame, key: str, page_rows: int = PAGE_ROWS, most_pages: int = MOST_PAGES) -> DataFrame:
+    """key, place, item of recorded answers in pages, in the order of the source; a recording that is not whole fails the job.
+
+    pages(key, page, next_page, items): pages count from 1, each but the last
+    names the one behind it, and holds `page_rows` items at most. A page that
+    is missing, there twice, out of its place, too large, or names a next one
+    that is not there, and a source of more than `most_pages`, are no whole
+    recording: what is missing might be what matters. Only the pages' numbers
+    are gathered for this, not their items.
+    """
+    shape = pages.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("distinct"), F.min("page").alias("first"), F.max("page").alias("last"), F.max(F.size("items")).alias("largest"),
+        F.count_if(~F.col("next_page").eqNullSafe(F.col("page") + 1) & F.col("next_page").isNotNull()).alias("odd"), F.count_if(F.col("next_page").isNull()).alias("ends"), F.max_by(F.col("next_page").isNull(), "page").alias("ended"),
+    )
+    wrong = (
+        F.when((F.col("distinct") != F.col("n")) | (F.col("first") != 1) | (F.col("last") != F.col("n")), "a page is missing or there twice").when(F.col("odd") > 0, "a page is followed by another than the next")
+        .when((F.col("ends") != 1) | ~F.col("ended"), "the last page is not the end").when(F.col("n") > most_pages, f"more than {most_pages} pages").when(F.col("largest") > page_rows, f"more than {page_rows} items in a page")
+    )
+    whole = shape.where(F.assert_true(wrong.isNull(), F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(": "), wrong)).isNull()).select(key)
+    items = pages.join(whole, key, "left_semi").select(key, "page", F.posexplode("items").alias("at", "item"))
+    return items.select(key, ((F.col("page") - 1) * page_rows + F.col("at")).alias("place"), "item")
+
+
 def readable_arguments(args: Column) -> Column:
     """Whether a call's arguments are a JSON object, even an empty one, without a key given twice."""
     return F.coalesce(F.schema_of_variant(F.try_parse_json(args)).startswith("OBJECT"), F.lit(False))

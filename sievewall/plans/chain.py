@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewall.functions import reasons, rendering, replies
-from sievewall.operators import delivery, evaluation, honeypots, limits, panels, runs
+from sievewall.operators import containment, delivery, evaluation, honeypots, limits, panels, runs
 
 from . import fixtures as fx
 from . import reviews, screening
@@ -55,13 +55,62 @@ def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.error_verdicts(failures).select("doc_id", "ok", "reason", F.col("layers")["scanner_error"].alias("kind"))
 
 
-CANARIES = (
-    ("token", "leaked: ghp_" + "a" * 36, "github_token"), ("bidi", "safe‮" + "x" * 10 + "‮" * 5, "unicode_anomaly"), ("plain", "nothing to see", "github_token"), ("wrong", "leaked: ghp_" + "b" * 36, "unicode_anomaly"),
-)
+def canary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as canaries: by turns with a credential, with hidden characters, with nothing, and with one where the other is expected."""
+    key, token = F.col("doc_id"), F.concat(F.lit(" ghp_"), F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("abcd"))
+    hidden = F.repeat(F.lit("\u202e"), 2000)
+    planted_text = F.when(key % 4 == 0, token).when(key % 4 == 1, hidden).when(key % 4 == 2, "").otherwise(token)
+    expected = F.when(key % 4 == 1, "unicode_anomaly").when(key % 4 == 3, "unicode_anomaly").otherwise("github_token")
+    return table(spark, sf_dir, "documents").select(key.cast("string").alias("label"), F.concat(F.coalesce("text", F.lit("")), planted_text).alias("text"), expected.alias("expected"))
 
 
 def self_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.self_test(spark.createDataFrame(CANARIES, "label string, text string, expected string"))
+    """The canaries that are not blocked by the detector that should."""
+    return delivery.self_test(canary_texts(spark, sf_dir))
+
+
+def audit_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the chain's public columns holds a piece of its text: nothing; and of the same frame with two columns that leak, every such value."""
+    judged = chained(spark, sf_dir)
+    public = judged.select("doc_id", "ok", "reason", "layers", F.length("clean").alias("n"), F.when(F.col("doc_id") % 10 == 0, F.substring("text", 5, 30)).alias("excerpt"), F.array(F.when(F.col("doc_id") % 25 == 0, F.substring("text", 1, 40))).alias("parts"))
+    return containment.leaks(public, judged.select("doc_id", "text"))
+
+
+SCENARIOS_OF = [("leak", ["t1"], "C1"), ("env", ["t2", "t3"], "C2"), ("none", [], "C1")]
+
+
+def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scenarios of every conversation, of which turns stand for what a model did: some call traps, many are not there."""
+    turns = table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") + F.col("turn")
+    name = F.when(key % 5 == 0, "t1").when(key % 7 == 0, "t2").when(key % 11 == 0, "odd").otherwise("note")
+    calls = F.array(F.struct(F.lit(0).alias("ord"), name.alias("name"), F.coalesce("text", F.lit("")).alias("args"), F.lit(True).alias("parsed")))
+    told = turns.where("turn < 3").select(F.col("conv_id").alias("doc_id"), choice(("leak", "env", "gone"), F.col("turn")).alias("scenario"), calls.alias("calls"), F.lit("").alias("text"))
+    docs = turns.select(F.col("conv_id").alias("doc_id"))
+    return honeypots.scenario_results(docs, SCENARIOS_OF, told, ("note",), {"C1": "TOK1", "C2": "TOK2"})
+
+
+def paged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as recorded pages of three turns, and their turns again."""
+    turns = table(spark, sf_dir, "conversations")
+    pages = turns.groupBy("conv_id", (F.floor(F.col("turn") / 3) + 1).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("items"))
+    last = pages.groupBy("conv_id").agg(F.max("page").alias("last"))
+    told = pages.join(last, "conv_id").select("conv_id", "page", F.when(F.col("page") < F.col("last"), F.col("page") + 1).alias("next_page"), "items")
+    found = runs.recorded_pages(told, "conv_id", page_rows=3)
+    return runs.within_pages(found, "conv_id").select("conv_id", "place", F.col("item.role").alias("role"), F.sha2(F.coalesce("item.text", F.lit("")), 256).alias("text_sha256"))
+
+
+def vendor_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readiness of a panel of three on every document as a benign probe, one of which has a probe of its own; floors of one and two."""
+    found = None
+    for floor in (1, 2):
+        panel = delivery.VendorPanel(floor)
+        fine = lambda d: d.select("doc_id", F.lit(True).alias("ok"), F.lit(False).alias("flagged"), F.lit("pass").alias("reason"))
+        down = lambda d: d.select("doc_id", F.lit(False).alias("ok"), F.lit(False).alias("flagged"), F.concat(F.lit("two_unavailable:no-key"), F.when(F.col("doc_id") < 3, "").otherwise(":x")).alias("reason"))
+        panel.add("one", fine).add("two", down).add("three", fine, ready=lambda d: d.select("doc_id", F.lit(False).alias("ok"), F.lit(True).alias("flagged"), F.lit("three:prompt_attack").alias("reason")))
+        own = delivery.first_unready(panel.readiness(table(spark, sf_dir, "documents").select("doc_id", "text")), panel.floor).select(F.lit(floor).alias("floor"), "layer", "reason")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +251,7 @@ def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    evaluation_run, call_decisions, tool_arguments, dry_run_report, verdict_chain, delivered_content, quarantine_rows, quarantine_repeats, delivered_repeats, scan_errors, self_test, readiness, vendor_registry, described_reasons, transport_reasons, recorded_replies, honeypot_cascade, scorecard_report, breaker_pauses,
+    evaluation_run, call_decisions, tool_arguments, dry_run_report, verdict_chain, delivered_content, quarantine_rows, quarantine_repeats, delivered_repeats, scan_errors, self_test, audit_containment, scenario_grid, paged_turns, vendor_readiness, readiness, vendor_registry, described_reasons, transport_reasons, recorded_replies, honeypot_cascade, scorecard_report, breaker_pauses,
 )
 
 CHAIN = f"""
@@ -231,7 +280,15 @@ SQL = {
     "quarantine_rows": f"WITH {CHAIN} SELECT '1970-01-01T00:00:00.000Z' AS ts, CAST(doc_id AS VARCHAR) AS report_id, sha256(substr(text, 1, 300)) AS prompt_sha256, reason, CAST(length(text) AS INTEGER) AS report_length FROM verdicts WHERE reason <> 'pass'",
     "quarantine_repeats": f"WITH {REPEATS} SELECT '1970-01-01T00:00:00.000Z' AS ts, CAST(doc_id AS VARCHAR) AS report_id, sha256(substr(text, 1, 300)) AS prompt_sha256, reason, CAST(length(text) AS INTEGER) AS report_length FROM repeats WHERE reason <> 'pass'",
     "scan_errors": "SELECT doc_id, false AS ok, 'scanner_error:' || kind AS reason, kind FROM (SELECT doc_id, ['ValueError', 'other', 'UnicodeError', 'other'][doc_id % 4 + 1] AS kind FROM documents)",
-    "self_test": "SELECT 'plain' AS label, 'payload passed (expected block)' AS failure UNION ALL SELECT 'wrong', 'blocked but wrong layer (secret_shape:github_token)'",
+    "self_test": """SELECT CAST(doc_id AS VARCHAR) AS label, CASE WHEN doc_id % 4 = 2 THEN 'payload passed (expected block)' ELSE 'blocked but wrong layer (secret_shape:github_token)' END AS failure FROM documents WHERE doc_id % 4 IN (2, 3)""",
+    "audit_containment": f"""WITH {fx.PLANTED} SELECT doc_id, 'excerpt' AS "column" FROM planted WHERE doc_id % 10 = 0 AND length(text) >= 28 UNION ALL SELECT doc_id, 'parts' FROM planted WHERE doc_id % 25 = 0 AND regexp_matches(substr(text, 1, 40), '[^\\x00-\\x1F"\\\\]{{24}}')""",
+    "scenario_grid": """WITH d AS (SELECT DISTINCT conv_id AS doc_id FROM conversations), s(scenario_ord, scenario) AS (VALUES (0, 'leak'), (1, 'env'), (2, 'none')),
+        t AS (SELECT conv_id AS doc_id, turn AS scenario_ord, CASE WHEN (conv_id + turn) % 5 = 0 THEN 't1' WHEN (conv_id + turn) % 7 = 0 THEN 't2' WHEN (conv_id + turn) % 11 = 0 THEN 'odd' ELSE 'note' END AS name FROM conversations WHERE turn < 2),
+        v AS (SELECT d.doc_id, s.scenario, CAST(s.scenario_ord AS INTEGER) AS scenario_ord, CASE WHEN name IS NULL THEN 'unavailable:no-turn' WHEN name = 'note' THEN 'left_alone' WHEN name = 't1' AND scenario = 'leak' OR name = 't2' AND scenario = 'env' THEN 'trap:' || name ELSE 'unavailable:malformed-tool-call' END AS signal
+          FROM d CROSS JOIN s LEFT JOIN t ON t.doc_id = d.doc_id AND t.scenario_ord = s.scenario_ord)
+        SELECT doc_id, scenario, scenario_ord, CASE WHEN signal = 'left_alone' THEN 'Honeypot_Left_Alone' WHEN starts_with(signal, 'trap:') THEN 'Honeypot_Triggered' ELSE 'Honeypot_Skipped' END AS verdict, signal FROM v""",
+    "paged_turns": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, sha256(coalesce(text, '')) AS text_sha256 FROM conversations",
+    "vendor_readiness": "SELECT CAST(2 AS INTEGER) AS floor, 'l2' AS layer, min_by('two_unavailable:no-key' || CASE WHEN doc_id < 3 THEN '' ELSE ':x' END, doc_id) AS reason FROM documents",
     "readiness": """WITH m AS (SELECT n_regionkey AS region, ['l2', 'honeypot', 'judge'][n_nationkey % 3 + 1] AS layer, n_nationkey AS ord, CASE WHEN n_nationkey % 4 = 0 THEN 'm' || n_nationkey || '_unavailable:no-key' END AS reason FROM nation)
         SELECT region, layer, min_by(reason, ord) FILTER (WHERE reason IS NOT NULL) AS reason FROM m GROUP BY region, layer HAVING count(reason) > 0 AND (layer <> 'l2' OR count(*) - count(reason) < 1)""",
     "vendor_registry": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unavailable' WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 9 = 0 THEN 'flagged' ELSE 'pass' END AS outcome,

@@ -39,7 +39,7 @@ def arbitration_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canary_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    canaries = spark.createDataFrame([(0, "C0", "the and"), (1, "C1", "of the"), (2, "C2", "der die")], "canary_ord int, label string, token string")
+    canaries = [("C0", "the and"), ("C1", "of the"), ("C2", "der die")]
     calls = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.concat(F.lit("C"), (F.col("conv_id") % 3).cast("string")).alias("own"), F.col("turn").alias("call_ord"), F.col("role").alias("tool"), F.coalesce("text", F.lit("")).alias("args")
     )

@@ -23,23 +23,26 @@ def restored(row: tuple, now: float, config: LimiterConfig) -> LimiterState:
 def limiter_stream(events: DataFrame, config: LimiterConfig | None = None) -> DataFrame:
     """vendor, ord, decision, wait for a streaming frame of the same columns as the batch operator's.
 
-    Events of one trigger are taken in order of time; the state carries to
-    the next. A success that began before the breaker's last trip is late and
+    Events are taken batch by batch in the order in which they come, in order
+    of time within a batch, so that a trigger's rows are never held together;
+    the state carries to the next. A success that began before the breaker's last trip is late and
     does not close it.
     """
     own = config or LimiterConfig()
     names = [x.split()[0] for x in STATE.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "ord"], kind="stable")
-        first = float(rows["ts"].iloc[0])
-        limiter = restored(state.get, first, own) if state.exists else LimiterState(own.burst, config=own)
-        out = []
-        for row in rows.itertuples(index=False):
-            after = None if pd.isna(row.retry_after) else float(row.retry_after)
-            out.append((key[0], row.ord, *step(limiter, row.kind, row.ts, row.started_at, row.cause, after)))
-        kept = asdict(limiter)
-        state.update(tuple(kept[x] for x in names))
-        yield pd.DataFrame(out, columns=["vendor", "ord", "decision", "wait"])
+        limiter = None
+        for rows in parts:
+            rows, out = rows.sort_values(["ts", "ord"], kind="stable"), []
+            if limiter is None:
+                limiter = restored(state.get, float(rows["ts"].iloc[0]), own) if state.exists else LimiterState(own.burst, config=own)
+            for row in rows.itertuples(index=False):
+                after = None if pd.isna(row.retry_after) else float(row.retry_after)
+                out.append((key[0], row.ord, *step(limiter, row.kind, row.ts, row.started_at, row.cause, after)))
+            yield pd.DataFrame(out, columns=["vendor", "ord", "decision", "wait"])
+        if limiter is not None:
+            kept = asdict(limiter)
+            state.update(tuple(kept[x] for x in names))
 
     return events.groupBy("vendor").applyInPandasWithState(run, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
