@@ -44,7 +44,8 @@ def recorded_pages(pages: DataFrame, key: str, page_rows: int = PAGE_ROWS, most_
     names the one behind it, and holds `page_rows` items at most. A page that
     is missing, there twice, out of its place, too large, or names a next one
     that is not there, and a source of more than `most_pages`, are no whole
-    recording: what is missing might be what matters. Only the pages' numbers
+    recording: what is missing might be what matters. A table without an item
+    gives no rows and checks nothing. Only the pages' numbers
     are gathered for this, not their items.
     """
     shape = pages.groupBy(key).agg(
