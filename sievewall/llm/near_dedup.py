@@ -60,7 +60,7 @@ def shingles_of(texts: DataFrame) -> DataFrame:
 
 
 def crowded_buckets(bands: DataFrame) -> DataFrame:
-    """Memberships of the buckets that matter: key, digest, lead (the bucket's least digest), blocks (that it needs).
+    """Memberships of the buckets that matter: key, digest, lead (the bucket's least digest), blocks (that it needs), n_shingles (null where one block does).
 
     bands: digest, n_shingles, key. Buckets of one member say nothing. Of
     buckets with the very same members (near copies meet in many bands) one is
@@ -77,7 +77,8 @@ def crowded_buckets(bands: DataFrame) -> DataFrame:
     )
     chosen = sizes.where("n_bucket > 1").groupBy("n_bucket", "total", "least", "most").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("n_bucket") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    return bands.join(chosen.select("key", F.col("least").alias("lead"), blocks.alias("blocks")), "key").select("key", "digest", "lead", "blocks")
+    kept = bands.join(chosen.select("key", F.col("least").alias("lead"), blocks.alias("blocks")), "key")
+    return kept.select("key", "digest", "lead", "blocks", F.when(F.col("blocks") > 1, F.col("n_shingles")).alias("n_shingles"))
 
 
 def star_rows(members: DataFrame) -> DataFrame:
@@ -91,13 +92,16 @@ def star_rows(members: DataFrame) -> DataFrame:
 def block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each pair of blocks that a member takes part in: key, low, high (blocks), block (its own), label, digest.
 
-    members: key, digest, label; labels: key, label, n (members). Members of
-    one label need no comparison: a label of many members fills blocks of its
-    own, which do not meet each other; the others are dealt by label.
+    members: key, digest, label; labels: key, label, n (members), weight (their
+    shingles). Members of one label need no comparison: a label with more than
+    half a block of members or shingles fills blocks of its own, which do not
+    meet each other; the others are dealt by label.
     """
-    wide = F.col("n") > BLOCK // 2
-    pools = labels.where(~wide).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pools"))
-    sized = labels.join(pools, "key", "left").select("key", "label", F.when(wide, F.abs(F.xxhash64("label"))).otherwise(F.lit(-1).cast("long")).alias("group"), F.when(wide, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("pools")).cast("int").alias("of"))
+    needed = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+    wide = (F.col("n") > BLOCK // 2) | (F.col("weight") > BLOCK_SHINGLES // 2)
+    pools = labels.where(~wide).groupBy("key").agg(needed(F.sum("n"), F.sum("weight")).alias("pools"))
+    of = F.when(wide, F.least(needed(F.col("n"), F.col("weight")), F.col("n"))).otherwise(F.col("pools")).cast("int")
+    sized = labels.join(pools, "key", "left").select("key", "label", F.when(wide, F.abs(F.xxhash64("label"))).otherwise(F.lit(-1).cast("long")).alias("group"), of.alias("of"))
     block = F.pmod(F.when(F.col("group") == -1, F.xxhash64("label", F.lit(6))).otherwise(F.xxhash64("digest", F.lit(5))), F.col("of")).cast("int")
     dealt = members.join(sized, ["key", "label"]).select("key", "group", block.alias("block"), "label", "digest")
     blocks = sized.select("key", "group", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block")).distinct().withColumn("name", F.xxhash64("group", "block"))
@@ -182,18 +186,19 @@ def verified_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = rows.join(sets.hint("merge"), "digest").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held, name = [], None
+        held, name, weight = [], None, 0
         for batch in batches:
             heads = list(zip(*(batch.column(x).to_pylist() for x in ("key", "low", "high")), strict=True))
             own_blocks, labels, digests, lists = *(batch.column(x).to_pylist() for x in ("block", "label", "digest")), batch.column("shingles")
             values, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for i, head in enumerate(heads):
                 # A star's lead comes first; its members are compared as they come.
-                if head != name or (head[1] == -1 and len(held) > BLOCK):
+                if head != name or (head[1] == -1 and (len(held) > BLOCK or weight > BLOCK_SHINGLES)):
                     if len(held) > 1:
                         yield name, held
                     held = held[:1] if head == name else []
-                    name = head
+                    name, weight = head, 0
+                weight += int(offsets[i + 1] - offsets[i])
                 held.append((own_blocks[i], labels[i], digests[i], values[offsets[i] : offsets[i + 1]].copy()))
         if len(held) > 1:
             yield name, held
@@ -234,12 +239,12 @@ def links_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nearest = links.select(F.greatest("a", "b").alias("digest"), F.least("a", "b").alias("label")).groupBy("digest").agg(F.min("label").alias("label"))
     nearest = written(nearest, "near-labels", True)
     further = nearest.join(nearest.select(F.col("digest").alias("label"), F.col("label").alias("_label")), "label", "left").select("digest", F.coalesce("_label", "label").alias("label"))
-    rest = large.where("digest <> lead").select("key", "digest").join(further, "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
+    rest = large.where("digest <> lead").select("key", "digest", "n_shingles").join(further, "digest", "left").select("key", "digest", "n_shingles", F.coalesce("label", "digest").alias("label"))
     rest = written(rest, "near-rest", True)
     mixed = written(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "near-mixed", True)
     if not mixed.isEmpty():
         rows = rest.join(mixed, "key", "left_semi")
-        labels = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "near-label-sizes", True)
+        labels = written(rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")), "near-label-sizes", True)
         before, links = links, written(links.unionByName(verified_links(block_rows(rows, labels), sets, percent)), "near-links", True)
         removed(before, labels)
     removed(nearest, rest, mixed)
