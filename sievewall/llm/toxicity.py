@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_slices, written
-from .textarrays import byte_class, flat_text, gathered, lowered, mix64, prefix_hashes, word_spans
+from .textarrays import byte_class, flat_text, lowered, prefix_hashes, word_spans
 
 #: Words are runs of ASCII letters, digits, apostrophes and bytes of other scripts; sentences end at these.
 ENDINGS = byte_class(b".!?\n\r")
@@ -84,39 +84,29 @@ def fit(feature: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, label: n
     return ToxicityModel(w, bias)
 
 
-def allowance(sizes: np.ndarray, most: int) -> int:
-    """The largest number that documents of these sizes can have each, at most, and `most` together; one at least."""
-    ordered = np.sort(sizes)
-    before = np.cumsum(ordered) - ordered
-    level = (most - before) // np.arange(len(ordered), 0, -1) if len(ordered) else np.zeros(0, np.int64)
-    short = np.flatnonzero(level < ordered)
-    return max(1, int(level[short[0]])) if len(short) else int(sizes.max(initial=1))
-
-
-def thinned(words: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many of a document's features: whole sentences in a hashed order; of one that is longer itself, features at even steps."""
-    if len(words) <= most:
-        return words, sizes
-    order = np.argsort(mix64(np.arange(len(sizes), dtype=np.uint64)))
-    fits = np.sort(order[np.cumsum(sizes[order], dtype=np.int64) <= most])
-    ends = np.cumsum(sizes, dtype=np.int64)
-    if not len(fits):
-        first = order[0]
-        at = ends[first] - sizes[first] + np.linspace(0, sizes[first] - 1, most).astype(np.int64)
-        return words[at], np.array([most], np.int32)
-    return words[gathered(ends[fits] - sizes[fits], sizes[fits].astype(np.int64))], sizes[fits]
+def admitted(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Which rows fit into `most` together, taken in their order; one that does not fit is passed over. The shortest if none fits."""
+    taken, used = np.zeros(len(sizes), bool), 0
+    for i, n in enumerate(sizes.tolist()):
+        if used + n <= most:
+            taken[i], used = True, used + n
+    if len(sizes) and not taken.any():
+        taken[int(sizes.argmin())] = True
+    return taken
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1000, most_features: int = 10_000_000, steps: int = 200, rate: float = 0.5, shrink: float = 2e-4) -> ToxicityModel:
     """Weights from document labels; docs: doc_id, text, and labels: doc_id, label (0 or 1), a row per document.
 
-    Only a sample chosen by the hash of the id is learnt from: about
-    `docs_per_class` documents of each label, weighted back to the labels'
-    true shares. Every one of them is learnt from. Only if together they have
-    more than `most_features` features, the longest are thinned to as many
-    each as fits (`allowance`), clean ones weighted for what they lost. The sample is drawn from the labels, so
-    that texts are matched with a small table and never shuffled. Without
-    labels, or without toxic ones, no text is toxic.
+    Only a sample of rows chosen by the hash of the id is learnt from, each by
+    its whole text: about `docs_per_class` documents of each label, and never
+    more than twice as many rows, should ids repeat. Rows of one label have
+    half of `most_features` features together: in the order of their hashes,
+    a row that does not fit any more is passed over (`admitted`). Equal rows
+    of one id are one. Rows are weighted back to the labels' true shares. The
+    sample is drawn from the labels, so that texts are matched with a small
+    table and never shuffled. Without labels, or without toxic ones, no text
+    is toxic.
     """
     labels = labels.where("label in (0, 1) and doc_id is not null")
     sizes = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -140,17 +130,16 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1000, most_f
     picked = texts.join(sample, F.col("_doc_id") == F.col("_id")).select("part", "label", F.coalesce("text", F.lit("")).alias("text"))
     rows = picked.mapInArrow(run, "part double, label int, words array<int>, sizes array<int>")
     rows = written(rows, "toxicity-features")
-    most = allowance(np.array([r.n for r in rows.select(F.size("words").alias("n")).collect()], np.int64), most_features)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("words"), batch.column("sizes"), strict=True)]
-            pairs = [thinned(words, sizes, most) for words, sizes in pairs]
-            lists = [pa.array([x[i] for x in pairs], pa.list_(pa.int32())) for i in (0, 1)]
-            whole = pc.list_value_length(batch.column("words"))
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("label"), *lists, whole], names=["part", "label", "words", "sizes", "whole"])
-
-    rows = rows.mapInArrow(cut, "part double, label int, words array<int>, sizes array<int>, whole int").toArrow().sort_by("part")
+    keys = ["label", "part", "tie"]
+    sized = rows.select("label", "part", F.xxhash64("words", "sizes").alias("tie"), F.size("words").alias("n")).distinct()
+    chosen = []
+    for value in (0, 1):
+        listed = sized.where(F.col("label") == value).orderBy("part", "tie").limit(2 * docs_per_class).collect()
+        fits = admitted(np.array([r.n for r in listed], np.int64), most_features // 2)
+        chosen += [(r.label, r.part, r.tie) for r, fit_too in zip(listed, fits, strict=True) if fit_too]
+    wanted = docs.sparkSession.createDataFrame(chosen, "label int, part double, tie long")
+    rows = rows.withColumn("tie", F.xxhash64("words", "sizes")).join(F.broadcast(wanted), keys)
+    rows = rows.groupBy(*keys).agg(F.any_value(F.struct("words", "sizes")).alias("f")).select(*keys, "f.*").toArrow().sort_by([(x, "ascending") for x in keys[1:]])
     words, lengths = rows["words"].combine_chunks(), rows["sizes"].combine_chunks()
     label = rows["label"].to_numpy().astype(np.int64)
     words_in = lengths.flatten().to_numpy()
@@ -159,8 +148,6 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1000, most_f
     weight = np.zeros(len(label))
     for value, n in sizes.items():
         weight[label == value] = n / max(1, int((label == value).sum()))
-    # The sentences that a thinned clean document has left stand for all of its sentences.
-    weight *= np.where(label == 0, rows["whole"].to_numpy() / np.maximum(pc.list_value_length(words).to_numpy(), 1), 1.0).clip(1.0)
     return fit(words.flatten().to_numpy().astype(np.int64), sentence, text_of, label, weight, steps, rate, shrink)
 
 

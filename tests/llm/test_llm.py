@@ -283,6 +283,23 @@ def test_a_bucket_of_thousands_is_compared_with_its_lead(spark, monkeypatch):
     assert sum(sent) < 2 * 25 * 5000
 
 
+def test_blocks_are_bounded_by_shingles_and_all_labels_meet(spark):
+    """300 members of 20,000 shingles in one bucket, 60 of them of one label: a task holds two blocks, and members of two labels meet once."""
+    members = [("k", f"d{i}".encode(), 20_000, b"one" if i < 60 else f"d{i}".encode()) for i in range(300)]
+    rows = spark.createDataFrame([(1, *x[1:]) for x in members], "key long, digest binary, n_shingles long, label binary")
+    labels = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    meetings = {}
+    for r in near_dedup.block_rows(rows, labels).collect():
+        meetings.setdefault((r.low, r.high), []).append((r.block, bytes(r.digest), bytes(r.label)))
+    assert max(len(own) for own in meetings.values()) * 20_000 < 4 * near_dedup.BLOCK_SHINGLES
+    met = Counter()
+    for own in meetings.values():
+        several = len({x[0] for x in own}) > 1
+        met.update(tuple(sorted((x[1], y[1]))) for i, x in enumerate(own) for y in own[:i] if x[2] != y[2] and (not several or x[0] != y[0]))
+    wanted = {tuple(sorted((x[1], y[1]))) for i, x in enumerate(members) for y in members[:i] if x[3] != y[3]}
+    assert set(met) == wanted and set(met.values()) == {1}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
     for n in (1, 3, 30, 1000):
@@ -369,13 +386,22 @@ def test_long_and_many_documents_leave_the_toxic_ones_in_the_sample(spark):
     assert found == {i: label == 1 for i, _, label in rows if i != 5}
 
 
-def test_allowance_and_thinning():
-    assert toxicity.allowance(np.array([1, 2, 100, 50]), 63) == 30 and toxicity.allowance(np.array([3, 4]), 7) == 4 and toxicity.allowance(np.zeros(0, np.int64), 5) == 1
-    words, sizes = toxicity.thinned(np.arange(12, dtype=np.int32), np.array([3, 4, 5], np.int32), 8)
-    starts = {0: 3, 3: 4, 7: 5}
-    assert 0 < len(words) <= 8 and sizes.sum() == len(words) and all(starts[w] == n for w, n in zip(words[np.cumsum(sizes) - sizes].tolist(), sizes.tolist(), strict=True))
-    words, sizes = toxicity.thinned(np.arange(12, dtype=np.int32), np.array([12], np.int32), 4)
-    assert words.tolist() == [0, 3, 7, 11] and sizes.tolist() == [4]
+def test_whole_rows_are_admitted_in_order():
+    taken = lambda sizes, most: toxicity.admitted(np.array(sizes, np.int64), most).tolist()
+    assert taken([3, 9, 4, 2], 9) == [True, False, True, True] and taken([3, 4], 7) == [True, True] and taken([], 5) == []
+    assert taken([9, 8, 8], 5) == [False, True, False]
+
+
+def test_repeated_ids_leave_the_sample_bounded(spark, monkeypatch):
+    """3,000 rows under one id and label, half of them equal: no more than twice the asked rows are learnt from, equal ones once."""
+    learnt = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda feature, sentence, text_of, label, *more: (learnt.append(np.bincount(label, minlength=2).tolist()), fit(feature, sentence, text_of, label, *more))[1])
+    docs = spark.createDataFrame([(7, f"w{i} is vile" if i % 2 else "the same vile text") for i in range(3000)] + [(i, f"fine w{i}") for i in range(100, 120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, 0) for i in range(100, 120)], "doc_id long, label int")
+    toxicity.train(docs, labels, docs_per_class=50)
+    toxicity.train(docs.where("doc_id <> 7 or text like 'the same%'"), labels, docs_per_class=50)
+    assert learnt == [[20, 100], [20, 1]]
 
 
 def test_a_step_follows_the_gradient_of_the_likelihood():
