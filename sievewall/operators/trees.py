@@ -8,6 +8,8 @@ row of type `unparsed` besides, so that whoever asks can refuse it whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 DEEPEST = 64
 # Possessive: Java recurses on a group that it may give back, once for each character.
 DOUBLE, SINGLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"'[^']*+(?:''[^']*+)*+'"
-NODE = "place array<string>, type string, value string"
+NODE = "struct<place:array<string>,type:string,value:string>"
 
 
 def exploded(docs: DataFrame, nodes: Column) -> DataFrame:
@@ -23,32 +25,54 @@ def exploded(docs: DataFrame, nodes: Column) -> DataFrame:
     return docs.select(*own, F.explode(nodes).alias("_n")).select(*own, "_n.place", "_n.type", "_n.value")
 
 
-def json_nodes(docs: DataFrame) -> DataFrame:
+def depth(doc: Column) -> Column:
+    """How deep a JSON text's brackets go, those in its strings not counted."""
+    brackets = F.regexp_replace(F.regexp_replace(doc, DOUBLE, ""), r"[^\[\]{}]++", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(brackets, ""), start, lambda s, c: F.when(c.isin("[", "{"), F.struct((s["now"] + 1).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))).otherwise(F.struct((s["now"] - F.length(c)).alias("now"), s["most"].alias("most"))), lambda s: s["most"])
+
+
+def json_nodes(docs: DataFrame, told: Callable[[Column], Column] | None = None) -> DataFrame:
     """The nodes of JSON documents. docs: any columns and doc, the text; its columns stay, doc goes.
 
-    A text is parsed once. Levels are opened in a fold that ends early in
-    effect: a level without containers left to open is passed on as it is. A
-    key given twice anywhere is no JSON here.
+    A text is parsed once. Levels are opened in a fold that holds the nodes
+    read so far and those of the next level, so that a node is opened once.
+    told: of which places, containers are written out as values (all but the
+    outermost, if not given); a text within n such containers is n times in the
+    nodes, so a caller with deep documents names the few that it reads. A key
+    given twice anywhere is no JSON here.
     """
+    node = lambda place, v: F.struct(place.alias("place"), v.alias("v"))
 
-    def open_one(n: Column) -> Column:
-        place, v = n["place"], n["v"]
-        node = lambda p, x, kind, more: F.struct(p.alias("place"), x.alias("v"), F.lit(kind).cast("string").alias("type"), F.lit(more).alias("open"))
-        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        items = F.try_variant_get(v, "$", "array<variant>")
-        of_object = F.concat(F.array(node(place, v, "object", False)), F.transform(entries, lambda e: node(F.array_append(place, F.concat(F.lit("."), e["key"])), e["value"], None, True)))
-        of_array = F.concat(F.array(node(place, v, "array", False)), F.transform(items, lambda x, i: node(F.array_append(place, F.concat(F.lit("["), i.cast("string"), F.lit("]"))), x, None, True)))
-        return F.when(~n["open"], F.array(n)).when(entries.isNotNull(), of_object).when(items.isNotNull(), of_array).otherwise(F.array(node(place, v, None, False)))
+    def read(n: Column) -> Column:
+        entries = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
+        return F.struct(n["place"].alias("place"), n["v"].alias("v"), entries.alias("entries"), F.try_variant_get(n["v"], "$", "array<variant>").alias("items"))
 
-    root = F.array(F.struct(F.array().cast("array<string>").alias("place"), F.col("v"), F.lit(None).cast("string").alias("type"), F.lit(True).alias("open")))
-    levels = F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), root, lambda found, _: F.when(F.exists(found, lambda n: n["open"]), F.flatten(F.transform(found, open_one))).otherwise(found))
-    unparsed = F.array(F.struct(F.array().cast("array<string>").alias("place"), F.lit("unparsed").alias("type"), F.lit(None).cast("string").alias("value")))
+    def kept(n: Column) -> Column:
+        kind = F.when(n["entries"].isNotNull(), "object").when(n["items"].isNotNull(), "array").when(F.schema_of_variant(n["v"]) == "STRING", "string").otherwise("other")
+        shown = (kind == "string") | (F.size(n["place"]) > 1) & (told(n["place"]) | (kind == "other") if told else F.lit(True))
+        # As a variant, which is handed on from level to level as it is; a string would be copied.
+        return F.struct(n["place"].alias("place"), kind.alias("type"), F.when(shown, n["v"]).alias("v"))
 
-    def plain(n: Column) -> Column:
-        kind = F.when(n["open"], "unparsed").otherwise(F.coalesce(n["type"], F.when(F.schema_of_variant(n["v"]) == "STRING", "string").otherwise("other")))
-        return F.struct(n["place"].alias("place"), kind.alias("type"), F.when(kind == "string", F.try_variant_get(n["v"], "$", "string")).when(F.size(n["place"]) > 1, F.to_json(n["v"])).alias("value"))
+    def inner(n: Column) -> Column:
+        of_object = F.transform(n["entries"], lambda e: node(F.array_append(n["place"], F.concat(F.lit("."), e["key"])), e["value"]))
+        of_array = F.transform(n["items"], lambda x, i: node(F.array_append(n["place"], F.concat(F.lit("["), i.cast("string"), F.lit("]"))), x))
+        return F.coalesce(of_object, of_array, F.array().cast("array<struct<place:array<string>,v:variant>>"))
+
+    def open_level(found: Column, _: Column) -> Column:
+        # Bound as the one item of an array: each node is read once, for itself and for what is in it.
+        step = F.transform(F.array(F.transform(found["open"], read)), lambda level: F.struct(F.concat(found["done"], F.transform(level, kept)).alias("done"), F.flatten(F.transform(level, inner)).alias("open")))
+        return F.when(F.size(found["open"]) > 0, step[0]).otherwise(found)
 
-    return exploded(docs.withColumn("v", F.try_parse_json("doc")).drop("doc"), F.when(F.col("v").isNull(), unparsed).otherwise(F.transform(levels, plain))).drop("v")
+    def plain(n: Column) -> Column:
+        return F.struct(n["place"].alias("place"), n["type"].alias("type"), F.when(n["type"] == "string", F.try_variant_get(n["v"], "$", "string")).otherwise(F.to_json(n["v"])).alias("value"))
+
+    none = F.array().cast("array<string>")
+    root = F.struct(F.array().cast("array<struct<place:array<string>,type:string,v:variant>>").alias("done"), F.array(node(none, F.col("v"))).alias("open"))
+    unparsed = lambda place: F.struct(place.alias("place"), F.lit("unparsed").alias("type"), F.lit(None).cast("string").alias("value"))
+    nodes = F.aggregate(F.sequence(F.lit(0), F.col("deep")), root, open_level, lambda found: F.concat(F.transform(found["done"], plain), F.transform(found["open"], lambda n: unparsed(n["place"]))))
+    parsed = docs.withColumns({"v": F.try_parse_json("doc"), "deep": F.least(depth(F.col("doc")), F.lit(DEEPEST))}).drop("doc")
+    return exploded(parsed, F.when(F.col("v").isNull(), F.array(unparsed(none))).otherwise(nodes)).drop("v", "deep")
 
 
 # Fixed formats of YAML's plain scalars: what they may begin with, in flows too, and those that are no strings.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievewall.functions import encoding, paths
 from sievewall.operators import lockfiles, markers, trees
+from sievewall.tables import spread
 
 from .changes import lock_file_rows
 from .fixtures import LITERALS, choice, table
@@ -35,13 +36,13 @@ def toml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, name = F.col("p_partkey"), F.col("p_partkey").cast("string")
     long = F.when(key % 199 == 0, F.concat(F.lit('\nlong = "'), F.repeat(F.lit("x"), LONG), F.lit('"'))).otherwise("")
     doc = F.concat(F.lit('version = 3\n\n[[package]]\nname = "a'), name, F.lit('"\n'), choice([x for x, _ in TOML_SOURCES], key), long, F.lit("\n\n[package.more]\nx = 1\n\n[[package]]\nname = 'b'\n\n[package.more]\nx = 1\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("t"), name, F.lit("/Cargo.lock")).alias("path"), doc.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("t"), name, F.lit("/Cargo.lock")).alias("path"), doc.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
 
 
 def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, name = F.col("p_partkey"), F.col("p_partkey").cast("string")
     doc = F.concat(F.lit("lockfileVersion: '9.0'\n\nimporters:\n  .:\n    dependencies:\n      a:\n        specifier: ^1.0.0\n        version: 1.0.0\n\npackages:\n\n  a@1.0."), name, F.lit(":  # the entry\n    "), choice([x for x, _ in YAML_ENTRIES], key), F.lit("\n\n  '@s/b@2.0.0':\n    hasBin: true\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("y"), name, F.lit("/pnpm-lock.yaml")).alias("path"), doc.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("y"), name, F.lit("/pnpm-lock.yaml")).alias("path"), doc.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
 
 
 def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = (key % 13).cast("int")
     inner = F.concat(F.lit('"d": {"resolved": "'), choice(NESTED, key), F.lit('", "license": "https://evil.example/l", "requires": {"license": "'), F.when(key % 4 == 0, "github:o/license").otherwise("^1.0.0"), F.lit('"}'), F.when(key % 199 == 0, F.concat(F.lit(', "x": "'), F.repeat(F.lit("x\\\\"), LONG), F.lit('"'))).otherwise(""), F.lit("}"))
     doc = F.concat(F.repeat(F.lit('{"dependencies": {"e": '), depth), F.lit('{"dependencies": {'), inner, F.lit("}}"), F.repeat(F.lit("}}"), depth))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("n"), name, F.lit("/package-lock.json")).alias("path"), doc.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("n"), name, F.lit("/package-lock.json")).alias("path"), doc.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
 
 
 def toml_lock_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def nested_lock_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the nested documents."""
     docs = nested_documents(spark, sf_dir).select("path", F.col("head").alias("doc"))
-    return trees.json_nodes(docs).select("path", F.array_join("place", "").alias("place"), "type", F.when(F.col("type") == "string", F.sha2("value", 256)).alias("value_sha256"))
+    return trees.json_nodes(docs, told=lambda _: F.lit(False)).select("path", F.array_join("place", "").alias("place"), "type", F.when(F.col("type") == "string", F.sha2("value", 256)).alias("value_sha256"))
 
 
 #: Longer than a block of the hash, so that it is hashed itself.

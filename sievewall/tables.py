@@ -38,6 +38,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over as many tasks as there are cores, four times: for short rows that become long texts.
+
+    A table of short rows is a file or two, so a task or two, whatever its rows
+    are made into. The number is a given one, as Spark would merge parts that
+    are small before they are made into anything.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def removed(*frames: DataFrame) -> None:
     """Removes the files of written tables that nothing reads any more."""
     for frame in frames:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievewall.functions import encoding, paths, urls
 from sievewall.operators import lockfiles, markers, trees
+from sievewall.plans import locks
 from sievewall.sources import diffs
 
 
@@ -53,6 +54,18 @@ def test_json_that_is_refused(spark):
     assert ["unparsed" in {t for _, t, _ in found[k]} for k in range(7)] == [True] * 6 + [False]
 
 
+def test_json_tree_writes_no_container_out_and_deals_its_documents(spark):
+    doc = '{"a": [' * 20 + json.dumps("x" * 50_000) + "]}" * 20
+    found = nodes_of(spark, lambda docs: trees.json_nodes(docs, told=lambda _: F.lit(False)), [doc])[0]
+    assert len(found) == 41 and sum(len(v or "") for _, _, v in found) == 50_000
+    assert locks.nested_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_depth_of_brackets_outside_of_strings(spark):
+    docs = spark.createDataFrame([("",), ("1",), ('{"a]]": ["}\\"}}", {"[": 1}], "b": {}}',), ("[" * 100,)], "doc string")
+    assert [r[0] for r in docs.select(trees.depth(F.col("doc"))).collect()] == [0, 0, 3, 100]
+
+
 YAML = {
     "a: 1\nb:\n  c: 'x''y'\n  d:\n    - p\n    - \"q\\u0041\"\ne: [u, 'v', \"w\"]\nf: {g: h, 'i': 2}\n": [((".a",), "other"), ((".b",), "object"), ((".b", ".c"), "string"), ((".b", ".d"), "object"), ((".b", ".d", "[4]"), "string"), ((".b", ".d", "[5]"), "string"), ((".e",), "array"), ((".e", "[0]"), "string"), ((".e", "[1]"), "string"), ((".e", "[2]"), "string"), ((".f",), "object"), ((".f", ".g"), "string"), ((".f", ".i"), "other")],
     "# c\n\na: https://x.y/z#f # note\n'k: 1': \n": [((".a",), "string"), ((".k: 1",), "object")],
