@@ -42,4 +42,5 @@ def bad_urls(text: Column, allowed: Column) -> Column:
     remotes = F.arrays_zip(F.regexp_extract_all(flat, F.lit(REMOTE), F.lit(1)).alias("user"), F.regexp_extract_all(flat, F.lit(REMOTE), F.lit(2)).alias("host"))
     plain = F.transform(remotes, lambda r: F.struct(r["user"].alias("user"), F.regexp_replace(F.lower(r["host"]), r"\.+$", "").alias("host")))
     ssh = F.transform(F.filter(plain, lambda r: (r["user"] != "git") | ~F.array_contains(allowed, r["host"])), lambda r: F.concat(F.lit("ssh://"), r["host"]))
-    return F.concat(web, ssh)
+    # Each of the patterns holds a colon; a null stays one.
+    return F.when(~F.contains(text, F.lit(":")), F.array().cast("array<string>")).otherwise(F.concat(web, ssh))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sievewall.functions.urls import bad_urls
 from sievewall.operators.gate import lockfile_kind, logical_lines, new_lines
 from sievewall.operators.trees import json_nodes, toml_nodes, yaml_nodes
-from sievewall.tables import written
+from sievewall.tables import by_key, written
 
 # The hosts that each lockfile fetches from.
 NPM, PYPI = ("registry.npmjs.org", "registry.yarnpkg.com"), ("pypi.org", "files.pythonhosted.org")
@@ -64,8 +64,9 @@ def lock_sides(files: DataFrame, heads: DataFrame, bases: DataFrame) -> DataFram
     other = renamed_from_other_kind(F.col("path"), F.col("old_path"))
     wanted = files.where("status <> 'deleted'").select("path", kind.alias("kind"), F.when(~other, F.coalesce("old_path", "path")).alias("_base_path"), other.alias("_other"))
     wanted = wanted.where(F.col("kind").isin(*PARSED_KINDS) | (F.col("kind") == "requirements") | (F.col("kind").isNotNull() & F.col("_other")))
-    joined = wanted.join(heads.select("path", F.col("content").alias("head")), "path", "left")
-    return joined.join(bases.select(F.col("path").alias("_base_path"), F.col("content").alias("base")), "_base_path", "left").select("path", "kind", "head", "base")
+    # Contents that are made in the plan are larger than Spark thinks: none is broadcast. Few files have a base, so its text goes through both joins.
+    based = wanted.join(bases.select(F.col("path").alias("_base_path"), F.col("content").alias("base")).hint("merge"), "_base_path", "left").select("path", "kind", "base")
+    return by_key(based, "path").join(by_key(heads.select("path", F.col("content").alias("head")), "path").hint("merge"), "path", "left").select("path", "kind", "head", "base")
 
 
 def without_trailing_commas(kind: Column, doc: Column) -> Column:
@@ -78,7 +79,8 @@ def lock_nodes(sides: DataFrame) -> DataFrame:
     stack = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("head").alias("raw")), F.struct(F.lit("base").alias("side"), F.col("base").alias("raw"))))
     docs = sides.select("path", "kind", stack.alias("s")).where("s.raw is not null").select("path", "kind", "s.side", F.regexp_replace(F.col("s.raw").cast("string"), "^\\x{FEFF}", "").alias("doc"))
     docs = docs.withColumn("doc", F.when(F.is_valid_utf8("doc"), without_trailing_commas(F.col("kind"), F.col("doc"))).otherwise("\x00"))
-    found = json_nodes(docs.where(F.col("kind").isin(*JSON_KINDS)))
+    # Of containers only those in slots are compared as they are written.
+    found = json_nodes(docs.where(F.col("kind").isin(*JSON_KINDS)), told=lambda place: slot_of(F.col("kind"), place).isNotNull())
     return found.unionByName(toml_nodes(docs.where(F.col("kind").isin(*TOML_KINDS)))).unionByName(yaml_nodes(docs.where(F.col("kind").isin(*YAML_KINDS))))
 
 
@@ -125,18 +127,12 @@ def lock_strings(nodes: DataFrame) -> DataFrame:
     return strings.groupBy("path", "kind", "side", "s.value").agg(F.count_if(~F.col("s.meta")).alias("n"), F.count_if(F.col("s.meta")).alias("n_meta"))
 
 
-def lock_slots(nodes: DataFrame) -> DataFrame:
-    """path, kind, side, slot, value, more of the places that packages are fetched from. nodes: as of `lock_nodes`.
-
-    slot: `resolved` or `linked` (npm, yarn), `spec` (yarn, bun) with bun's
-    tarball in `more`, `resolution` (pnpm) with its fields in `more`, `flake`,
-    `odd` for a slot that holds no string. value: the whole of it.
-    """
-    place, kind = F.col("place"), F.col("kind")
-    top, last, size = F.get(place, F.lit(0)), F.element_at(place, -1), F.size(place)
+def slot_of(kind: Column, place: Column) -> Column:
+    """struct(slot, of): which slot a place is a field of, and where that is; null for most places, and for all but one or two within each other."""
+    top, last, size = F.get(place, F.lit(0)), F.try_element_at(place, F.lit(-1)), F.size(place)
     npm = kind.isin("package-lock.json", "npm-shrinkwrap.json")
     # The fields of an entry, or of what an entry holds, by their names.
-    of = (
+    return (
         F.when(npm & (top == ".packages") & (size == 3) & last.isin(".resolved", ".link"), F.struct(F.lit("npm").alias("slot"), F.slice(place, 1, 2).alias("of")))
         .when(npm & (size > 2) & (first_other(place) == size - 1) & (last == ".resolved"), F.struct(F.lit("npm").alias("slot"), F.slice(place, F.lit(1), size - 1).alias("of")))
         .when((kind == "pnpm-lock.yaml") & (top == ".packages") & (F.get(place, F.lit(2)) == ".resolution") & size.isin(3, 4), F.struct(F.lit("resolution").alias("slot"), F.slice(place, 1, 3).alias("of")))
@@ -145,6 +141,17 @@ def lock_slots(nodes: DataFrame) -> DataFrame:
         .when((kind == "yarn.lock") & (size == 2) & (last == ".resolved"), F.struct(F.lit("npm").alias("slot"), place.alias("of")))
         .when((kind == "flake.lock") & (top == ".nodes") & F.get(place, F.lit(2)).isin(".locked", ".original") & size.isin(3, 4), F.struct(F.lit("flake").alias("slot"), F.slice(place, 1, 3).alias("of")))
     )
+
+
+def lock_slots(nodes: DataFrame) -> DataFrame:
+    """path, kind, side, slot, value, more of the places that packages are fetched from. nodes: as of `lock_nodes`.
+
+    slot: `resolved` or `linked` (npm, yarn), `spec` (yarn, bun) with bun's
+    tarball in `more`, `resolution` (pnpm) with its fields in `more`, `flake`,
+    `odd` for a slot that holds no string. value: the whole of it.
+    """
+    place, of = F.col("place"), slot_of(F.col("kind"), F.col("place"))
+    last, size = F.element_at(place, -1), F.size(place)
     fields = nodes.withColumn("at", of).where("at is not null").groupBy("path", "kind", "side", "at").agg(F.collect_list(F.struct(last.alias("name"), "type", "value", size.alias("steps"))).alias("fields"))
 
     def field(name: str) -> Column:
@@ -176,7 +183,8 @@ def spec_findings(value: Column) -> Column:
     known = (word == "") | word.rlike(f"^{GIT_WORD}$") | word.rlike(URL_WORD)
     rest = F.substring(value, F.length(word) + 2, F.length(value))
     said = F.when(known, None).when(~word.isin(*SAFE_PROTOCOLS), F.concat(F.lit("package spec protocol "), F.substring(word, 1, 32), F.lit(":"))).when(word.isin(*LOCAL_PROTOCOLS) & ~is_local(rest), F.concat(word, F.lit(": reference that is not a relative path")))
-    return F.concat(git, F.array_compact(F.array(said)))
+    # Each of the patterns holds a colon; a null stays one.
+    return F.when(~F.contains(value, F.lit(":")), F.array().cast("array<string>")).otherwise(F.concat(git, F.array_compact(F.array(said))))
 
 
 def is_https(value: Column) -> Column:
@@ -250,8 +258,8 @@ def parsed_hits(sides: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     checked by its lines and may fail to parse.
     """
     own = sides.where(F.col("kind").isin(*PARSED_KINDS))
-    # Read three times: for strings, slots and what does not parse.
-    nodes = written(lock_nodes(own), "lock-nodes")
+    # Read three times: for strings, slots and what does not parse. All that follows is by path, and more.
+    nodes = by_key(written(lock_nodes(own), "lock-nodes"), "path")
     unparsed = nodes.where("type = 'unparsed'").select("path", "side").distinct()
     found = lock_findings(nodes, extra).join(unparsed, ["path", "side"], "left_anti")
     counts = found.groupBy("path", "what", "value").agg(F.sum(F.when(F.col("side") == "head", F.col("n")).otherwise(-F.col("n"))).alias("more"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewall.functions import rendering
 from sievewall.operators import flow, gate, lockfiles
+from sievewall.tables import spread
 
 from . import fixtures as fx
 from .fixtures import LITERALS, choice, planted, table
@@ -25,7 +26,7 @@ def lock_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         choice(RESOLVED, key), F.lit('"}, "node_modules/c": {"dependencies": {"d": "'), choice(SPECS, F.floor(key / 7).cast("long")), F.when(key % 13 == 0, '", "funding": "https://evil.example/x').otherwise(""), F.lit('"}}}}'),
     )
     head = F.when(key % 11 == 0, F.replace(doc, F.lit('{"name"'), F.lit('{"name": "", "name"'))).otherwise(doc)
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), name, F.lit("/package-lock.json")).alias("path"), head.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("p"), name, F.lit("/package-lock.json")).alias("path"), head.alias("head"), F.when(key % 3 == 0, doc).alias("base"))
 
 
 def lock_file_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

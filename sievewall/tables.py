@@ -45,8 +45,13 @@ def spread(rows: DataFrame) -> DataFrame:
     are made into. The number is a given one, as Spark would merge parts that
     are small before they are made into anything.
     """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by their keys over as many tasks as a shuffle has, however well they compress: windows and sums by these keys, and more, follow without another shuffle."""
     spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def removed(*frames: DataFrame) -> None:

@@ -5,6 +5,7 @@ import hmac
 import json
 import posixpath
 import random
+import re
 import tomllib
 
 import pytest
@@ -61,6 +62,31 @@ def test_json_tree_writes_no_container_out_and_deals_its_documents(spark):
     assert locks.nested_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def lock_nodes_of(spark, docs, name):
+    files = spark.createDataFrame([(f"{k}/{name}", None, "modified") for k in range(len(docs))], "path string, old_path string, status string")
+    heads = spark.createDataFrame([(f"{k}/{name}", doc.encode()) for k, doc in enumerate(docs)], "path string, content binary")
+    return lockfiles.lock_nodes(lockfiles.lock_sides(files, heads, heads.where("false")))
+
+
+def test_nodes_of_a_deep_lockfile_are_as_long_as_the_file(spark):
+    resolved = {"x": "y" * 50_000}
+    deep = '{"dependencies": {"e": ' * 13 + json.dumps({"resolved": resolved}) + "}}" * 13
+    rows = lock_nodes_of(spark, [deep], "package-lock.json").collect()
+    assert sum(len(r.value or "") for r in rows) < 3 * len(deep)
+    assert [json.loads(r.value) for r in rows if list(r.place)[-1:] == [".resolved"]] == [resolved]
+
+
+def test_lines_of_lockfiles_are_not_shuffled(spark):
+    plan = lock_nodes_of(spark, ["a: b\n"], "pnpm-lock.yaml")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not re.search(r"Exchange hashpartitioning\(path#\d+, kind", plan) and "BroadcastExchange" not in plan
+
+
+def test_strings_without_a_colon_ask_no_pattern(spark):
+    rows = spark.createDataFrame([("x" * 10,), ("http%3A//evil.example",), ("git:x",), ("git@evil.example:x",), (None,)], "t string")
+    said = rows.select(urls.bad_urls(F.col("t"), F.array(F.lit("ok"))), lockfiles.spec_findings(F.col("t"))).collect()
+    assert [tuple(r) for r in said] == [([], []), ([], []), (["git://x"], ["hosted-git spec git:"]), (["ssh://evil.example"], []), (None, None)]
+
+
 def test_depth_of_brackets_outside_of_strings(spark):
     docs = spark.createDataFrame([("",), ("1",), ('{"a]]": ["}\\"}}", {"[": 1}], "b": {}}',), ("[" * 100,)], "doc string")
     assert [r[0] for r in docs.select(trees.depth(F.col("doc"))).collect()] == [0, 0, 3, 100]
