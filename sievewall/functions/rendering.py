@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import UNPRINTABLE, UNPRINTABLE_ASCII, is_ascii, nfkc, patterns, with_hidden_shown, with_slashes_folded
+from .unicode import UNPRINTABLE, UNPRINTABLE_ASCII, is_ascii, normalized, patterns, with_hidden_shown
 
 # What stands for characters that mean something in Markdown.
 MARKUP, STAND_INS = "@#[]`|", "＠＃［］ˋ¦"
@@ -38,7 +38,7 @@ def scrubbed(text: Column, keep: int) -> Column:
     """A provider's message as one line: controls become blanks, hidden characters go, blanks run together last; then it is cut."""
     flat = F.regexp_replace(F.substring(text, 1, MESSAGE_LENGTH), r"[\x00-\x1f\x7f-\x9f]", " ")
     bare = F.when(is_ascii(flat), flat).otherwise(F.regexp_replace(flat, patterns("prose")["any"], ""))
-    folded = F.coalesce(with_slashes_folded(nfkc(F.when(~is_ascii(bare), bare))), bare)
+    folded = normalized(bare)
     return F.substring(F.trim(F.regexp_replace(folded, SPACE, " ")), 1, keep)
 
 

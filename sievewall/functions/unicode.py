@@ -141,19 +141,49 @@ def with_slashes_folded(text: Column) -> Column:
     return F.translate(text, "\u2044\u2215", "//")
 
 
+def _not_inert() -> str:
+    """The pattern of what NFKC may change, reorder or join to a character before it, by this Python's tables; no other character takes part in it."""
+    letters = [chr(c) for c in range(0xA0, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    # What stands behind another character in a canonical decomposition, the vowels and finals of Hangul too.
+    seconds = {chr(int(x, 16)) for c in letters for x in unicodedata.decomposition(c).split()[1:] if not unicodedata.decomposition(c).startswith("<")}
+    seconds |= {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    ranges: list[tuple[int, int]] = []
+    for c in letters:
+        if unicodedata.combining(c) or c in seconds or unicodedata.normalize("NFKC", c) != c:
+            if ranges and ranges[-1][1] == ord(c) - 1:
+                ranges[-1] = (ranges[-1][0], ord(c))
+            else:
+                ranges.append((ord(c), ord(c)))
+    # The long class is asked only beyond ASCII, the first letters and the longest stretches of letters that stay as they are.
+    between = [(a + 1, b - 1) for (_, a), (b, _) in zip([(0, -1), *ranges], ranges, strict=False) if a + 1 < b]
+    plain = between[:12] + sorted(between[12:], key=lambda r: r[0] - r[1])[:12]
+    return f"(?=[^{character_class(plain)[1:-1]}]){character_class(ranges)}"
+
+
+#: A passage for NFKC: characters that it may change and the one before them, to which they may be joined. Zero bytes stand between the passages of a text, as NFKC changes nothing across them.
+PASSAGE = rf"[^\x00]?(?:{_not_inert()})+"
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def normalized(text: Column) -> Column:
+    """NFKC with slashes folded; Python is sent the passages that NFKC may change, and a null for ASCII."""
+    told = nfkc(F.when(~is_ascii(text), F.array_join(F.regexp_extract_all(text, F.lit(PASSAGE), F.lit(0)), "\x00")))
+    whole = F.array_join(F.zip_with(F.split(text, PASSAGE, -1), F.split(told, "\x00", -1), lambda rest, own: F.concat(rest, F.coalesce(own, F.lit("")))), "")
+    return F.when(is_ascii(text), text).otherwise(with_slashes_folded(F.when(told != "", whole).otherwise(text)))
+
+
 def sanitized(docs: DataFrame, text: str = "text", profile: str = "prose") -> DataFrame:
     """The frame with raw_length, the counters, clean (stripped, NFKC, slashes folded) and nfkc_changed.
 
-    NFKC is the one step without a native function. ASCII texts are fixed
-    points of it; in their place a null goes to Python, so a frame is read once.
+    NFKC is the one step without a native function. Of a text only the passages
+    that it may change go to Python, so a frame is read once and a batch of
+    long texts is short there.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     bare = F.when(is_ascii(raw), raw).otherwise(F.regexp_replace(raw, patterns(profile)["any"], ""))
     counted = docs.withColumns({"raw_length": F.length(raw).cast("int"), **hidden_counts(raw, profile), "_bare": bare})
-    folded = with_slashes_folded(nfkc(F.when(~is_ascii(F.col("_bare")), F.col("_bare"))))
-    return counted.withColumn("clean", F.coalesce(folded, "_bare")).withColumn("nfkc_changed", F.col("clean") != F.col("_bare")).drop("_bare")
+    return counted.withColumn("clean", normalized(F.col("_bare"))).withColumn("nfkc_changed", F.col("clean") != F.col("_bare")).drop("_bare")

@@ -3,12 +3,15 @@
 import hashlib
 import hmac
 import json
+import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievewall.functions import credentials, encodings, unicode
-from sievewall.operators import evaluation, gate, limits, panels, verdicts, windows
+from sievewall.operators import delivery, evaluation, gate, limits, panels, verdicts, windows
 from sievewall.sources import corpora, diffs
 
 
@@ -393,3 +396,36 @@ def test_budget_gives_back_once_and_within_its_month(spark):
     events = [("v", 1, "2026-01-30", "reserve", "a", 60), ("v", 2, "2026-01-30", "reserve", "b", 50), ("v", 3, "2026-01-31", "release", "a", None), ("v", 4, "2026-01-31", "release", "a", None), ("v", 5, "2026-01-31", "reserve", "c", 100), ("v", 6, "2026-02-01", "reserve", "d", 10), ("v", 7, "2026-02-01", "release", "c", None), ("v", 8, "2026-02-02", "reserve", "e", -1), ("v", 9, "2026-02-02", "reserve", "f", None)]
     frame = spark.createDataFrame(events, "vendor string, ord long, day string, kind string, reservation string, amount long").selectExpr("vendor", "ord", "cast(day as timestamp) as ts", "kind", "reservation", "amount")
     assert [(r.decision, r.used) for r in limits.budget_decisions(frame, 100).orderBy("ord").collect()] == [("allowed", 60), ("throttled", 60), ("released", 0), ("ignored", 0), ("allowed", 100), ("allowed", 10), ("ignored", 10), ("error", 10), ("error", 10)]
+
+
+def test_nfkc_by_passages_equals_nfkc_of_the_whole(spark):
+    rng = random.Random(5)
+    odd = [chr(c) for c in (0x41, 0x65, 0x20, 0, 0xE4, 0xDF, 0x301, 0x323, 0x327, 0x0F71, 0x0F72, 0xFB01, 0xBD, 0x2026, 0x1100, 0x1161, 0x11A8, 0xAC00, 0x09C7, 0x09BE, 0x110BA, 0x1109A, 0x1F600, 0x3070, 0x3099, 0xFF76, 0xFF9E, 0x2F81A, 0xFDFA, 0x1D15E, 0x0A, 0x85, 0xA0)]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c <= 0xDFFF) for a in range(0x80, 0x30000, 64)]
+    cut = re.compile("[\U000e0000-\U000e007f\U000e0100-\U000e01ef\u202a-\u202e\u2066-\u2069\u200b-\u200d\ufeff\u180e\u2060-\u2064\u206a-\u206f]")
+    rows = unicode.sanitized(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")).select("k", "clean").collect()
+    assert len(rows) == len(texts)
+    for k, clean in rows:
+        assert clean == unicodedata.normalize("NFKC", cut.sub("", texts[k])).translate({0x2044: "/", 0x2215: "/"}), ascii(texts[k])
+
+
+def test_inert_texts_send_nothing_to_python(spark):
+    rows = unicode.sanitized(spark.createDataFrame([("schön und groß, «été» año ✔️ \u0430\u0431",), ("x" * 50 + "\ufb01" + "y" * 50,)], "text string"))
+    found = spark.createDataFrame([("schön und groß, «été» año ✔️ \u0430\u0431",), ("x" * 50 + "\ufb01" + "y" * 50,)], "text string").select(F.regexp_extract_all("text", F.lit(unicode.PASSAGE), F.lit(0)).alias("p")).collect()
+    assert [r.p for r in found] == [[], ["x\ufb01"]]
+    assert [r.clean for r in rows.collect()] == ["schön und groß, «été» año ✔️ \u0430\u0431", "x" * 50 + "fi" + "y" * 50]
+
+
+def test_rows_without_an_id_stay_where_they_are(spark):
+    docs = spark.range(400, numPartitions=8).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("plain words "), F.col("id").cast("string")).alias("text"))
+    ids = spark.range(400).select(F.col("id").alias("doc_id"))
+    panel = ids.select("doc_id", F.lit("pass").alias("outcome"), F.lit("pass").alias("reason"), F.lit(2).alias("verdicts"))
+    said = ids.select("doc_id", F.lit(True).alias("ok"), F.lit("pass").alias("reason"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = delivery.chained_verdicts(docs, panel, said, said).select("doc_id", "ok", "reason", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.ok, r.reason) for r in rows if r.doc_id is None} == {(False, "l2_unavailable:missing")} and sum(r.doc_id is None for r in rows) == 200
+    assert {(r.ok, r.reason) for r in rows if r.doc_id is not None} == {(True, "pass")} and len({r.task for r in rows if r.doc_id is None}) == 8
