@@ -67,10 +67,15 @@ def patterns(profile: str = "prose") -> dict[str, str]:
     return found | {"any": character_class([r for own in ranges_of(profile).values() for r in own])}
 
 
+def beyond_ascii(text: Column) -> Column:
+    """The characters of a text that are not ASCII, in order. All hidden ones are among them, and long classes are asked about few."""
+    return F.regexp_replace(text, r"[\x00-\x7F]++", "")
+
+
 def hidden_counts(text: Column, profile: str = "prose") -> dict[str, Column]:
     """tag_hits, bidi_hits, zw_hits, fmt_hits and stripped, their sum."""
     own = patterns(profile)
-    hits = {f"{k}_hits": F.when(is_ascii(text), 0).otherwise(F.regexp_count(text, F.lit(own[k]))).cast("int") for k in CLASSES}
+    hits = {f"{k}_hits": F.when(is_ascii(text), 0).otherwise(F.regexp_count(beyond_ascii(text), F.lit(own[k]))).cast("int") for k in CLASSES}
     return hits | {"stripped": sum(hits.values(), F.lit(0)).cast("int")}
 
 
@@ -85,15 +90,20 @@ def ordinary_selector() -> str:
     return f"(?<={character_class(EMOJI_BASES)})[\\x{{FE0E}}\\x{{FE0F}}](?!{selector})"
 
 
+def has_selector(text: Column) -> Column:
+    """Whether a text holds a presentation selector at all; few do, and its pattern looks behind every character."""
+    return F.contains(text, F.lit("\ufe0e")) | F.contains(text, F.lit("\ufe0f"))
+
+
 def exposed_selectors(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(ordinary_selector())).cast("int")
+    return F.when(text.isNull() | has_selector(text), F.regexp_count(text, F.lit(ordinary_selector()))).otherwise(0).cast("int")
 
 
-def hidden_places(text: Column, profile: str = "prose") -> Column:
-    """array<struct<at, cp>> of hidden characters, by place from 0; source code's ordinary emoji selectors are none."""
-    seen = F.regexp_replace(text, ordinary_selector(), " ") if profile == "code" else text
-    marked = F.transform(F.split(seen, ""), lambda c, i: F.when(c.rlike(patterns(profile)["any"]), F.struct(i.alias("at"), F.ascii(c).alias("cp"))))
-    return F.when(is_ascii(text), F.array().cast("array<struct<at:int,cp:int>>")).otherwise(F.array_compact(marked))
+def hidden_points(text: Column, profile: str = "prose") -> Column:
+    """Code points of hidden characters in order, as often as they stand there; source code's ordinary emoji selectors are none."""
+    seen = F.when(has_selector(text), F.regexp_replace(text, ordinary_selector(), " ")).otherwise(text) if profile == "code" else text
+    found = F.transform(F.regexp_extract_all(beyond_ascii(seen), F.lit(patterns(profile)["any"]), F.lit(0)), F.ascii)
+    return F.when(is_ascii(text), F.array().cast("array<int>")).otherwise(found)
 
 
 def code_point_name(cp: Column) -> Column:
@@ -104,9 +114,12 @@ def code_point_name(cp: Column) -> Column:
 
 def with_hidden_shown(text: Column) -> Column:
     """Every character that is hidden in source code as <U+XXXX>."""
-    hidden = patterns("code")["any"]
-    shown = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(hidden), F.concat(F.lit("<"), code_point_name(F.ascii(c)), F.lit(">"))).otherwise(c)), "")
-    return F.when(is_ascii(text) | ~text.rlike(hidden), text).otherwise(shown)
+    # ASCII is told by one range before the long class is asked.
+    hidden = r"(?![\x00-\x7F])" + patterns("code")["any"]
+    # What stands between hidden characters, one piece more than there are of these, and their names.
+    names = F.transform(F.regexp_extract_all(text, F.lit(hidden), F.lit(0)), lambda c: F.concat(F.lit("<"), code_point_name(F.ascii(c)), F.lit(">")))
+    shown = F.array_join(F.zip_with(F.split(text, hidden, -1), names, lambda piece, name: F.concat(piece, F.coalesce(name, F.lit("")))), "")
+    return F.when(is_ascii(text) | ~beyond_ascii(text).rlike(hidden), text).otherwise(shown)
 
 
 def _unprintable() -> str:

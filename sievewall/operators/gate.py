@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewall.functions.unicode import code_point_name, hidden_places
+from sievewall.functions.unicode import code_point_name, hidden_points
 
 # First bytes of known formats, in the order in which they claim a file.
 MAGIC = (
@@ -79,8 +79,7 @@ CONTROLS, PATH_CONTROLS = r"[\x00-\x08\x0a\x0b\x0d-\x1f\x7f-\x9f]", r"[\x00-\x1f
 
 def odd_characters(text: Column, controls: str, own: Column | None = None) -> Column:
     """Code points of characters that are hidden in source code, then of control characters (in `own`, if it is given)."""
-    hidden = F.transform(hidden_places(text, "code"), lambda x: x["cp"])
-    return F.concat(hidden, F.transform(F.regexp_extract_all(text if own is None else own, F.lit(controls), F.lit(0)), lambda c: F.ascii(c)))
+    return F.concat(hidden_points(text, "code"), F.transform(F.regexp_extract_all(text if own is None else own, F.lit(controls), F.lit(0)), lambda c: F.ascii(c)))
 
 
 def named_characters(points: Column, most: int = 8) -> Column:
