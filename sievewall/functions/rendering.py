@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import UNPRINTABLE, UNPRINTABLE_ASCII, is_ascii, nfkc, patterns, with_hidden_shown, with_slashes_folded
+from .unicode import UNPRINTABLE, UNPRINTABLE_ASCII, beyond_ascii, is_ascii, nfkc, patterns, with_hidden_shown, with_slashes_folded
 
 # What stands for characters that mean something in Markdown.
 MARKUP, STAND_INS = "@#[]`|", "＠＃［］ˋ¦"
@@ -21,17 +21,27 @@ def once(value: Column, step: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), step), 1)
 
 
+def one_line(text: Column) -> Column:
+    """The text with hidden characters named, on one line: what is not printable becomes a blank, blanks run together."""
+    shown = with_hidden_shown(F.coalesce(text, F.lit("")))
+    plain = once(shown, lambda t: F.when(is_ascii(t) | ~beyond_ascii(t).rlike(UNPRINTABLE), F.regexp_replace(t, UNPRINTABLE_ASCII, " ")).otherwise(F.regexp_replace(t, UNPRINTABLE, " ")))
+    return F.trim(F.regexp_replace(plain, "  +", " "))
+
+
 def neutralised(text: Column, limit: int = 600) -> Column:
     """One line of plain text: nothing in it mentions, links, formats or hides. The order of the steps matters."""
-    shown = with_hidden_shown(F.coalesce(text, F.lit("")))
-    plain = once(shown, lambda t: F.when(is_ascii(t), F.regexp_replace(t, UNPRINTABLE_ASCII, " ")).otherwise(F.regexp_replace(t, UNPRINTABLE, " ")))
-    line = F.trim(F.regexp_replace(plain, " +", " "))
+    return neutralised_line(one_line(text), limit)
+
+
+def neutralised_line(line: Column, limit: int = 600) -> Column:
+    """The same of a text that is one line already, as of `one_line`."""
     cut = once(line, lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("…"))).otherwise(t))
     flat = F.translate(cut, MARKUP, STAND_INS)
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         flat = F.replace(flat, F.lit(sign), F.lit(entity))
-    flat = F.regexp_replace(flat, r"(?iU)\b(gh)-(?=\d)", "$1－")
-    return F.regexp_replace(F.replace(flat, F.lit("://"), F.lit("[:]//")), r"(?iU)\bwww\.", "www[.]")
+    # The letters are looked for first, as a word's bound is asked of Unicode's tables.
+    flat = F.regexp_replace(flat, r"(?U)(?=[Gg][Hh]-)\b([Gg][Hh])-(?=\d)", "$1－")
+    return F.regexp_replace(F.replace(flat, F.lit("://"), F.lit("[:]//")), r"(?U)(?=[Ww]{3}\.)\b[Ww]{3}\.", "www[.]")
 
 
 def scrubbed(text: Column, keep: int) -> Column:

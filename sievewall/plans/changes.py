@@ -158,7 +158,8 @@ WHOLE = 1 << 30
 def neutralised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, and as a report shows them, cut behind so many characters."""
     text = F.concat(F.lit("@a #1 [x](http://www.e.x) `c` | <b> & gh-1 GH-x \x00"), F.col("text"), F.lit(" www.e.x "))
-    return planted(spark, sf_dir).select("doc_id", rendering.neutralised(text, 80).alias("head"), F.sha2(rendering.neutralised(text, WHOLE), 256).alias("whole_sha256"))
+    lines = planted(spark, sf_dir).select("doc_id", rendering.one_line(text).alias("line"))
+    return lines.select("doc_id", rendering.neutralised_line(F.col("line"), 80).alias("head"), F.sha2(rendering.neutralised_line(F.col("line"), WHOLE), 256).alias("whole_sha256"))
 
 
 def scrubbed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Single operators on small literal frames."""
 
+import re
 import hashlib
 import hmac
 import json
@@ -393,3 +394,38 @@ def test_budget_gives_back_once_and_within_its_month(spark):
     events = [("v", 1, "2026-01-30", "reserve", "a", 60), ("v", 2, "2026-01-30", "reserve", "b", 50), ("v", 3, "2026-01-31", "release", "a", None), ("v", 4, "2026-01-31", "release", "a", None), ("v", 5, "2026-01-31", "reserve", "c", 100), ("v", 6, "2026-02-01", "reserve", "d", 10), ("v", 7, "2026-02-01", "release", "c", None), ("v", 8, "2026-02-02", "reserve", "e", -1), ("v", 9, "2026-02-02", "reserve", "f", None)]
     frame = spark.createDataFrame(events, "vendor string, ord long, day string, kind string, reservation string, amount long").selectExpr("vendor", "ord", "cast(day as timestamp) as ts", "kind", "reservation", "amount")
     assert [(r.decision, r.used) for r in limits.budget_decisions(frame, 100).orderBy("ord").collect()] == [("allowed", 60), ("throttled", 60), ("released", 0), ("ignored", 0), ("allowed", 100), ("allowed", 10), ("ignored", 10), ("error", 10), ("error", 10)]
+
+
+def test_hidden_characters_of_long_texts(spark):
+    """As character by character; a long text with one umlaut costs about a pass of a pattern, not a question for each of its characters."""
+    import random
+    import time
+
+    from sievewall.functions import rendering
+    from sievewall.operators import gate
+
+    rng = random.Random(5)
+    hidden = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for own in unicode.ranges_of("code").values() for a, b in own) + "]")
+    letters = ["a", "\u200b", "é", "\U000e0041", "\ue000", "#", "\ufe0f", "\u2600", "\x1b", " ", "\U0001f600", "\u0378", "\xad"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(300)] + ["", "\u200b", "\u200bx\u200b", None]
+    shown = column(spark, texts, unicode.with_hidden_shown)
+    assert shown == [t and hidden.sub(lambda m: f"<U+{ord(m[0]):04X}>", t) if t is not None else None for t in texts]
+    counted = column(spark, texts, lambda t: unicode.hidden_counts(t, "code")["stripped"])
+    assert counted == [None if t is None else len(hidden.findall(t)) for t in texts]
+    bare = [t.replace("\ufe0f", "") for t in texts if t is not None]
+    assert column(spark, bare, lambda t: unicode.hidden_points(t, "code")) == [[ord(c) for c in hidden.findall(t)] for t in bare]
+
+    def seconds(expression):
+        frame = spark.createDataFrame([(1,)], "i int").select(F.concat(F.repeat(F.lit("plain words "), 200_000), F.lit("\u200b\xe4")).alias("t"))
+        found = []
+        for _ in range(3):
+            began = time.time()
+            frame.select(expression(F.col("t")).alias("x")).write.format("noop").mode("overwrite").save()
+            found.append(time.time() - began)
+        return min(found)
+
+    one = seconds(lambda t: F.regexp_count(t, F.lit("[xyz]")))
+    assert seconds(lambda t: F.size(gate.odd_characters(t, gate.CONTROLS))) < 8 * one + 0.4
+    assert seconds(lambda t: F.length(unicode.with_hidden_shown(t))) < 8 * one + 0.4
+    assert seconds(lambda t: F.length(rendering.neutralised(t, 1 << 30))) < 20 * one + 1
+    assert seconds(unicode.exposed_selectors) < 3 * one + 0.4
