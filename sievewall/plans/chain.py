@@ -73,7 +73,7 @@ def audit_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the chain's public columns holds a piece of its text: nothing; and of the same frame with two columns that leak, every such value."""
     judged = chained(spark, sf_dir)
     public = judged.select("doc_id", "ok", "reason", "layers", F.length("clean").alias("n"), F.when(F.col("doc_id") % 10 == 0, F.substring("text", 5, 30)).alias("excerpt"), F.array(F.when(F.col("doc_id") % 25 == 0, F.substring("text", 1, 40))).alias("parts"))
-    return containment.leaks(public, judged.select("doc_id", "text"))
+    return containment.leaks(public, planted(spark, sf_dir))
 
 
 SCENARIOS_OF = [("leak", ["t1"], "C1"), ("env", ["t2", "t3"], "C2"), ("none", [], "C1")]
