@@ -68,9 +68,11 @@ DIFFS = (
 
 
 def diff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added lines of all diffs, and the error of those that do not parse, from one reading of them."""
     parsed = diffs.parsed_diffs(diff_texts(spark, sf_dir))
-    lines = diffs.added_lines(diffs.changed_files(parsed)).select("change_id", "path", "line_no", "text")
-    return lines.unionByName(parsed.where("error is not null").select("change_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line_no"), F.col("error").alias("text")))
+    lines = F.flatten(F.transform("files", lambda f: F.transform(f["added"], lambda a: F.struct(f["path"].alias("path"), a["line_no"].alias("line_no"), a["text"].alias("text")))))
+    failed = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line_no"), F.col("error").alias("text")))
+    return parsed.select("change_id", F.explode(F.when(F.col("error").isNull(), lines).otherwise(failed)).alias("l")).select("change_id", "l.*")
 
 
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:

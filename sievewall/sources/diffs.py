@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewall.tables import by_key
+
 FILE = "struct<path:string,old_path:string,status:string,binary:boolean,old_mode:string,new_mode:string,gitlink:boolean,added:array<struct<line_no:long,text:string>>,removed:array<string>,body:array<string>>"
 # What follows a backslash in a path that git quotes, as hex of the byte; three octal digits are the other form.
 ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", '"': "22", "\\": "5C"}
@@ -95,9 +97,11 @@ def parsed_diffs(diffs: DataFrame, change_id: str = "change_id", diff: str = "di
 
     Lines end at newlines alone. Of a file's header lines the last of a kind
     counts; a `no newline` note is in the file's body, as it is part of what
-    changed, and in no line. A null diff is an empty one.
+    changed, and in no line. A null diff is an empty one. Diffs are dealt by
+    their change once, before they are lines, in tasks that no compression
+    merges; windows and sums follow without a shuffle.
     """
-    source = diffs.select(F.col(change_id).cast("long").alias("change_id"), F.coalesce(F.col(diff), F.lit("")).alias("diff"))
+    source = by_key(diffs.select(F.col(change_id).cast("long").alias("change_id"), F.coalesce(F.col(diff), F.lit("")).alias("diff")), "change_id")
     lines = diff_lines(source)
     value = F.regexp_extract("line", r"^(?:new file mode|deleted file mode|old mode|new mode|(?:rename|copy) (?:from|to)|---|\+\+\+|diff --git) (.*)$", 1)
     side = F.substring_index(value, "\t", 1)

@@ -429,3 +429,40 @@ def test_hidden_characters_of_long_texts(spark):
     assert seconds(lambda t: F.length(unicode.with_hidden_shown(t))) < 8 * one + 0.4
     assert seconds(lambda t: F.length(rendering.neutralised(t, 1 << 30))) < 20 * one + 1
     assert seconds(unicode.exposed_selectors) < 3 * one + 0.4
+
+
+def test_diffs_and_markers_stay_dealt(spark):
+    """Rows that compress well are not merged into a few tasks: more hold some than a shuffle here has, four."""
+    from sievewall.operators import flow
+
+    changes = spark.range(400).select(F.col("id").alias("change_id"), F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -0,0 +1 @@\n+"), F.col("id").cast("string"), F.lit("\n")).alias("diff"))
+    read = diffs.parsed_diffs(changes)
+    assert read.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    assert read.where("error is null and files[0].added[0].text = cast(change_id as string)").count() == 400
+    events = spark.range(400).select(F.col("id").alias("change_id"), F.lit("h").alias("event_head"), F.lit("o").alias("own_hash"))
+    rows = events.select("change_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("review_id"), F.lit("block").alias("verdict"), F.lit("h").alias("head"), F.lit("o").alias("own_hash"), F.lit("DISMISSED").alias("state"))
+    marked = flow.marks(rows, events)
+    assert marked.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    assert marked.where("blocked = array(1, 2) and blocked_head and not carried").count() == 400
+
+
+def test_pieces_are_looked_for_by_blocks(spark):
+    """As by trying every piece, and with fewer looks at the text."""
+    import random
+    import time
+
+    from sievewall.operators import containment
+
+    rng = random.Random(11)
+    pairs = [("".join(rng.choice("ab") for _ in range(rng.randrange(0, 14))), "".join(rng.choice("ab") for _ in range(rng.randrange(0, 30)))) for _ in range(400)]
+    for piece in (1, 4, 5, 6):
+        frame = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(pairs)], "i int, v string, t string")
+        found = [r.x for r in frame.withColumn("x", containment.holds_piece(F.col("v"), F.col("t"), piece)).orderBy("i").collect()]
+        assert found == [any(v[i : i + piece] in t for i in range(len(v) - piece + 1)) for v, t in pairs]
+    frame = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.md5(i.cast("string").cast("binary"))), "").alias("v"), F.repeat(F.lit("0123456789abcdef ghi "), 2000).alias("t"))
+    seconds = []
+    for test in (lambda v, t: F.size(F.filter(F.sequence(F.lit(1), F.lit(8000)), lambda i: F.contains(t, F.substring(v, i, F.lit(24))))), containment.holds_piece):
+        began = time.time()
+        frame.select(test(F.col("v"), F.col("t")).alias("x")).write.format("noop").mode("overwrite").save()
+        seconds.append(time.time() - began)
+    assert seconds[1] < 2.5 * seconds[0]
