@@ -218,3 +218,22 @@ def test_slots_of_packages(spark):
     for k, (_, _, wanted) in LOCKS.items():
         told = wanted.split("|") if "|" in wanted else wanted.split(" ")
         assert sorted(found[k]) == sorted(x.replace("slot", lockfiles.NOT_FETCHABLE) if x == "slot" else x for x in told), k
+
+
+def test_long_documents_are_read_in_one_task_memory_and_states_follow_their_items(spark):
+    """Folds over blocks equal a fold item by item, at block ends too; readers neither sort nor window a document's lines to place them."""
+    sizes = (0, 1, trees.BLOCK - 1, trees.BLOCK, trees.BLOCK + 1, 5 * trees.BLOCK + 3)
+    frame = spark.createDataFrame([(list(range(n)),) for n in sizes], "x array<int>")
+    own = [r[0] for r in frame.select(trees.running(F.col("x"), F.lit(5), lambda s, x: s + x)).collect()]
+    assert own == [[5 + sum(range(i + 1)) for i in range(n)] for n in sizes]
+    docs = spark.createDataFrame([(1, "a: b\n")], "k int, doc string")
+    plans = [reader(docs)._jdf.queryExecution().optimizedPlan().toString() for reader in (trees.toml_nodes, trees.yaml_nodes)]
+    assert "Window" not in plans[0] and "Aggregate" not in plans[0] and plans[1].count("Window [") == 1
+    many = 3000
+    yaml = "packages:\n" + "".join(f"  a{i}:\n    r: {{i: x{i}}}\n    cpu:\n      - y{i}\n" for i in range(many))
+    found = nodes_of(spark, trees.yaml_nodes, [yaml])[0]
+    assert {(p, v) for p, t, v in found if t == "string"} == {((".packages", f".a{i}", ".r", ".i"), f"x{i}") for i in range(many)} | {((".packages", f".a{i}", ".cpu", f"[{4 * i + 4}]"), f"y{i}") for i in range(many)}
+    toml = "".join(f"[[p]]\nn = \"k{i}\"\nd = [\n \"a{i}\",\n]\n[p.z]\ny = 'u{i}'\n" for i in range(many))
+    found = nodes_of(spark, trees.toml_nodes, [toml, toml + "[p.z]\n"])
+    assert {(p, v) for p, _, v in found[0]} == {x for i in range(many) for x in (((".p", ".n"), f"k{i}"), ((".p", ".d"), f"a{i}"), ((".p.z", ".y"), f"u{i}"))}
+    assert "unparsed" in {t for _, t, _ in found[1]}
