@@ -75,8 +75,16 @@ def without_trailing_commas(kind: Column, doc: Column) -> Column:
 
 
 def lock_nodes(sides: DataFrame) -> DataFrame:
-    """path, kind, side, place, type, value of the nodes of all parsed lockfiles. sides: as of `lock_sides`."""
-    stack = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("head").alias("raw")), F.struct(F.lit("base").alias("side"), F.col("base").alias("raw"))))
+    """path, kind, side, place, type, value of the nodes of all parsed lockfiles. sides: as of `lock_sides`.
+
+    side: head, base, or `both` for a text that is both, which is read once. A
+    head that is not there has a row `unparsed` of side `none`, one in classic
+    yarn's own format one of side `classic`, so that sides are made once.
+    """
+    text = lambda side, raw: F.struct(F.lit(side).alias("side"), raw.alias("raw"))
+    head, base, no_text = F.col("head"), F.col("base"), F.lit("\x00").cast("binary")
+    marks = F.array_compact(F.array(F.when(head.isNull(), text("none", no_text)), F.when((F.col("kind") == "yarn.lock") & head.cast("string").rlike(YARN_V1), text("classic", no_text))))
+    stack = F.explode(F.concat(F.when(head == base, F.array(text("both", head))).otherwise(F.array(text("head", head), text("base", base))), marks))
     docs = sides.select("path", "kind", stack.alias("s")).where("s.raw is not null").select("path", "kind", "s.side", F.regexp_replace(F.col("s.raw").cast("string"), "^\\x{FEFF}", "").alias("doc"))
     docs = docs.withColumn("doc", F.when(F.is_valid_utf8("doc"), without_trailing_commas(F.col("kind"), F.col("doc"))).otherwise("\x00"))
     # Of containers only those in slots are compared as they are written.
@@ -102,6 +110,20 @@ def entry_steps(kind: Column, place: Column) -> Column:
     )
 
 
+def metadata_above(kind: Column, place: Column) -> Column:
+    """The place of the package entry's metadata that a place is, or is in; null for most."""
+    steps = entry_steps(kind, place)
+    return F.when(F.get(place, steps).isin(*[f".{x}" for x in METADATA]), F.array_join(F.slice(place, F.lit(1), steps + 1), "\x00"))
+
+
+def telling(nodes: DataFrame) -> DataFrame:
+    """The nodes that findings can come from, as each of their patterns holds a colon (npm's perhaps as %3A) or a control character, and slots, metadata and what does not parse; of a text that is head and base alike, what does not parse."""
+    name = F.when(F.col("type") != "unparsed", F.try_element_at("place", F.lit(-1)))
+    asked = lambda t: F.contains(t, F.lit(":")) | F.contains(t, F.lit("%")) | t.rlike(CONTROL)
+    found = (F.col("type") == "string") & asked(F.col("value")) | name.startswith(".") & asked(name) | slot_of(F.col("kind"), F.col("place")).isNotNull() | metadata_above(F.col("kind"), F.col("place")).isNotNull()
+    return nodes.where((F.col("type") == "unparsed") | (F.col("side") != "both") & found)
+
+
 def lock_strings(nodes: DataFrame) -> DataFrame:
     """path, kind, side, value, n, n_meta of every string, keys included: how often it may be fetched from, and how often it is metadata. nodes: as of `lock_nodes`.
 
@@ -110,15 +132,13 @@ def lock_strings(nodes: DataFrame) -> DataFrame:
     such: nothing fetches from it.
     """
     place, steps = F.col("place"), entry_steps(F.col("kind"), F.col("place"))
-    field = F.get(place, steps)
     rest = F.slice(place, steps + 2, F.size(place))
     known = F.col("type").isin("string", "object", "array")
     shaped = (
         F.when(F.size(rest) == 0, known).when(F.size(rest) == 1, F.when(rest[0].startswith("["), F.col("type").isin("string", "object")).otherwise(rest[0].isin(".type", ".url") & (F.col("type") == "string")))
         .otherwise((F.size(rest) == 2) & rest[0].startswith("[") & F.get(rest, F.lit(1)).isin(".type", ".url") & (F.col("type") == "string"))
     )
-    under = F.when(field.isin(*[f".{x}" for x in METADATA]), F.array_join(F.slice(place, F.lit(1), steps + 1), "\x00"))
-    own = nodes.withColumns({"under": under, "shaped": F.coalesce(shaped, F.lit(False)), "below": F.size(place) > steps + 1})
+    own = nodes.withColumns({"under": metadata_above(F.col("kind"), place), "shaped": F.coalesce(shaped, F.lit(False)), "below": F.size(place) > steps + 1})
     whole = F.min("shaped").over(Window.partitionBy("path", "kind", "side", "under"))
     judged = own.withColumn("meta", F.col("under").isNotNull() & whole)
     key = F.when(F.element_at("place", -1).startswith("."), F.struct(F.substring(F.element_at("place", -1), F.lit(2), F.length(F.element_at("place", -1))).alias("value"), (F.col("meta") & F.coalesce("below", F.lit(False)) & (F.size(place) > steps + 1)).alias("meta")))
@@ -254,18 +274,19 @@ def reported(path_findings: DataFrame) -> DataFrame:
 def parsed_hits(sides: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """path, detail of parsed lockfiles with more of a bad value in the head than in the base, that do not parse, or were too large to read.
 
-    A base that does not parse has no findings. Classic yarn's own format is
-    checked by its lines and may fail to parse.
+    A base that does not parse has no findings, and a head that equals its base
+    none that are new. Classic yarn's own format is checked by its lines and may
+    fail to parse.
     """
     own = sides.where(F.col("kind").isin(*PARSED_KINDS))
     # Read three times: for strings, slots and what does not parse. All that follows is by path, and more.
-    nodes = by_key(written(lock_nodes(own), "lock-nodes"), "path")
+    nodes = by_key(written(telling(lock_nodes(own)), "lock-nodes"), "path")
     unparsed = nodes.where("type = 'unparsed'").select("path", "side").distinct()
     found = lock_findings(nodes, extra).join(unparsed, ["path", "side"], "left_anti")
     counts = found.groupBy("path", "what", "value").agg(F.sum(F.when(F.col("side") == "head", F.col("n")).otherwise(-F.col("n"))).alias("more"))
-    classic = own.where((F.col("kind") == "yarn.lock") & F.col("head").cast("string").rlike(YARN_V1)).select("path")
-    unread = unparsed.where("side = 'head'").join(classic, "path", "left_anti").select("path", F.lit("lockfile does not parse").alias("detail"))
-    large = own.where("head is null").select("path", F.lit("lockfile too large to check").alias("detail"))
+    said = unparsed.groupBy("path").agg(F.collect_set("side").alias("of"))
+    unread = said.where(F.arrays_overlap("of", F.array(F.lit("head"), F.lit("both"))) & ~F.array_contains("of", "classic")).select("path", F.lit("lockfile does not parse").alias("detail"))
+    large = said.where(F.array_contains("of", "none")).select("path", F.lit("lockfile too large to check").alias("detail"))
     return reported(counts.where("more > 0")).unionByName(unread).unionByName(large)
 
 

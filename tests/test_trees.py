@@ -237,3 +237,19 @@ def test_long_documents_are_read_in_one_task_memory_and_states_follow_their_item
     found = nodes_of(spark, trees.toml_nodes, [toml, toml + "[p.z]\n"])
     assert {(p, v) for p, _, v in found[0]} == {x for i in range(many) for x in (((".p", ".n"), f"k{i}"), ((".p", ".d"), f"a{i}"), ((".p.z", ".y"), f"u{i}"))}
     assert "unparsed" in {t for _, t, _ in found[1]}
+
+
+def test_only_nodes_that_tell_something_are_written_and_equal_sides_are_read_once(spark):
+    bad, plain = "[[package]]\nname = 'a'\nsource = 'https://evil.example/a'\n", "a = 'b'\n"
+    rows = [("same", bad, bad), ("new", bad, plain), ("less", plain, bad), ("again", bad + "c = 'https://evil.example/a'\n", bad), ("torn", "a = ", "a = "), ("mended", plain, "a = "), ("none", None, plain)]
+    files = spark.createDataFrame([(f"{k}/Cargo.lock", None, "modified") for k, *_ in rows] + [("y/yarn.lock", None, "modified")], "path string, old_path string, status string")
+    classic = "# THIS IS AN AUTOGENERATED FILE.\n# yarn lockfile v1\na@1:\n  version \"1\"\n"
+    heads = spark.createDataFrame([(f"{k}/Cargo.lock", head.encode()) for k, head, _ in rows if head] + [("y/yarn.lock", classic.encode())], "path string, content binary")
+    bases = spark.createDataFrame([(f"{k}/Cargo.lock", base.encode()) for k, _, base in rows], "path string, content binary")
+    sides = lockfiles.lock_sides(files, heads, bases)
+    nodes = lockfiles.lock_nodes(sides)
+    assert {r.side for r in nodes.where("path = 'same/Cargo.lock'").collect()} == {"both"}
+    told = {(r.path.split("/")[0], r.side, r.type) for r in lockfiles.telling(nodes).collect()}
+    assert told == {("new", "head", "string"), ("less", "base", "string"), ("again", "head", "string"), ("again", "base", "string"), ("torn", "both", "unparsed"), ("mended", "base", "unparsed"), ("none", "none", "unparsed"), ("y", "head", "unparsed"), ("y", "classic", "unparsed")}
+    said = {r.path.split("/")[0]: r.detail for r in lockfiles.parsed_hits(sides).collect()}
+    assert said == {"new": "not allowlisted: https://evil.example", "again": "not allowlisted: https://evil.example", "torn": "lockfile does not parse", "none": "lockfile too large to check"}
